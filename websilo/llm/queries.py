@@ -20,6 +20,12 @@ def op1_pii(spark, sf_dir):
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, counts=True)
 
 
+def op3_topk(spark, sf_dir):
+    from .topk import top_inner_products
+
+    return top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 def op4_licences(spark, sf_dir):
     from .licences import scan_licences
 
@@ -51,13 +57,15 @@ def op10_toxicity(spark, sf_dir):
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_licences, op6_mixing, op7_decontamination, op8_url_filter, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_topk, op4_licences, op6_mixing, op7_decontamination, op8_url_filter, op10_toxicity)}
 
 
 def _oracles() -> dict[str, str]:
     from .mixing import MIX_SQL
 
-    return {"op6_mixing": MIX_SQL}
+    from .topk import TOPK_SQL
+
+    return {"op3_topk": TOPK_SQL, "op6_mixing": MIX_SQL}
 
 
 ORACLES = _oracles()
