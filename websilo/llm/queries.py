@@ -20,6 +20,12 @@ def op1_pii(spark, sf_dir):
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, counts=True)
 
 
+def op2_near_duplicates(spark, sf_dir):
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark, sf_dir):
     from .topk import top_inner_products
 
@@ -57,7 +63,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_topk, op4_licences, op6_mixing, op7_decontamination, op8_url_filter, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_topk, op4_licences, op6_mixing, op7_decontamination, op8_url_filter, op10_toxicity)}
 
 
 def _oracles() -> dict[str, str]:
