@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
@@ -16,3 +18,18 @@ def cut(df: DataFrame) -> DataFrame:
         own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", own))
     return df.checkpoint()
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """df, written as Parquet in the checkpoint folder and read back: smaller than a checkpoint for many narrow rows.
+
+    The table stays in that folder, as checkpoints do, for the folder's owner to sweep.
+    """
+    spark = df.sparkSession
+    jsc = spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty():
+        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", own))
+    path = f"{jsc.getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

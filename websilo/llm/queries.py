@@ -57,13 +57,19 @@ def op8_url_filter(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_repeats(spark, sf_dir):
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op10_toxicity(spark, sf_dir):
     from .toxicity import toxicity_report
 
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_topk, op4_licences, op6_mixing, op7_decontamination, op8_url_filter, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_topk, op4_licences, op6_mixing, op7_decontamination, op8_url_filter, op9_repeats, op10_toxicity)}
 
 
 def _oracles() -> dict[str, str]:
