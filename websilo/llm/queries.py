@@ -38,6 +38,12 @@ def op4_licences(spark, sf_dir):
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scores(spark, sf_dir):
+    from .lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     from .mixing import with_copies
 
@@ -69,7 +75,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_topk, op4_licences, op6_mixing, op7_decontamination, op8_url_filter, op9_repeats, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_topk, op4_licences, op5_lm_scores, op6_mixing, op7_decontamination, op8_url_filter, op9_repeats, op10_toxicity)}
 
 
 def _oracles() -> dict[str, str]:
