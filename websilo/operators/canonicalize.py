@@ -16,8 +16,13 @@ def rank(name: Column) -> Column:
     return F.coalesce(lookup(RANK, F.lower(name)), F.lit(LAST))
 
 
+def canonical(headers: Column) -> Column:
+    """Header fields in canonical order and spelling."""
+    placed = F.transform(headers, lambda h, i: F.struct(
+        rank(h["name"]).alias("r"), i.alias("i"), F.coalesce(standard_name(F.lower(h["name"])), h["name"]).alias("name"), h["value"].alias("value")))
+    return F.transform(F.array_sort(placed), lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value")))
+
+
 def canonicalize(raw: DataFrame) -> DataFrame:
     """raw with standard names respelled and fields in canonical order; fields of equal rank keep theirs, values stay."""
-    placed = F.transform("headers", lambda h, i: F.struct(
-        rank(h["name"]).alias("r"), i.alias("i"), F.coalesce(standard_name(F.lower(h["name"])), h["name"]).alias("name"), h["value"].alias("value")))
-    return raw.withColumn("headers", F.transform(F.array_sort(placed), lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"))))
+    return raw.withColumn("headers", canonical(F.col("headers")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields as body_fields
 from ..functions import values as v
-from .canonicalize import canonicalize
+from .canonicalize import canonical
 
 
 def split_two(value: Column, separator: str, terminator: str = "") -> Column:
@@ -19,17 +19,19 @@ def split_two(value: Column, separator: str, terminator: str = "") -> Column:
     return F.struct(head.alias("head"), F.when(has, F.substring(cut, at + len(separator), F.length(cut))).alias("tail"))
 
 
-def set_two(fields: Column, name: str, head: Column | None, tail: Column | None, separator: str, terminator: str, part: str) -> tuple[Column, Column]:
-    """(fields, error) with the given parts of a value set and the others kept; a tail alone needs one to replace."""
-    none = F.lit(None).cast("string")
+def set_two(df: DataFrame, name: str, head: Column | None, tail: Column | None, separator: str, terminator: str, part: str) -> DataFrame:
+    """df with the given parts of a field's value set in ``_fields`` and the others kept; ``_why`` if a tail alone has none to replace."""
     if head is None and tail is None:
-        return fields, none
-    now = split_two(body_fields.get(fields, name), separator, terminator)
-    new_tail = tail if tail is not None else now["tail"]
-    new_head = head if head is not None else now["head"]
-    value = F.when(new_tail.isNotNull(), F.concat(new_head, F.lit(separator), new_tail, F.lit(terminator))).otherwise(new_head)
-    lacks = none if head is not None else F.when(now["tail"].isNull(), F.lit(f"the {name} field has no {part} to replace"))
-    return body_fields.put(fields, name, F.when(lacks.isNull(), value)), lacks
+        return df
+    df = df.withColumn("_now", body_fields.get(F.col("_fields"), name))
+    df = df.withColumn("_now", split_two(F.col("_now"), separator, terminator))
+    now = F.col("_now")
+    df = df.withColumns({"_head": now["head"] if head is None else head, "_tail": now["tail"] if tail is None else tail})
+    value = F.when(F.col("_tail").isNotNull(), F.concat("_head", F.lit(separator), "_tail", F.lit(terminator))).otherwise(F.col("_head"))
+    lacks = F.lit(None).cast("string") if head is not None else F.when(now["tail"].isNull(), F.lit(f"the {name} field has no {part} to replace"))
+    df = df.withColumn("_lacks", lacks)
+    df = df.withColumns({"_value": F.when(F.col("_lacks").isNull(), value), "_why": F.coalesce("_why", "_lacks")})
+    return df.withColumn("_fields", body_fields.put(F.col("_fields"), name, F.col("_value"))).drop("_now", "_head", "_tail", "_value", "_lacks")
 
 
 def rewrite_warcinfo(records: DataFrame, filename: str | None = None, software: tuple[str | None, str | None] = (None, None),
@@ -43,15 +45,13 @@ def rewrite_warcinfo(records: DataFrame, filename: str | None = None, software:
     info = F.coalesce((F.col("record_type") == "warcinfo") & F.col("error").isNull(), F.lit(False))
     lit = lambda x: None if x is None else F.lit(x)
     # a column for each step, so that none is computed twice
-    out = records.withColumn("_fields", F.when(info, F.col("body_fields")))
-    parts = {"software": (*map(lit, software), "/", "", "version"), "operator": (*map(lit, operator), " <", ">", "email address")}
-    for name, given in parts.items():
-        fields, why = set_two(F.col("_fields"), name, *given)
-        out = out.withColumn(f"_why_{name}", why).withColumn("_fields", fields)
+    out = records.withColumns({"_fields": F.when(info, F.col("body_fields")), "_why": F.lit(None).cast("string")})
+    out = set_two(out, "software", *map(lit, software), "/", "", "version")
+    out = set_two(out, "operator", *map(lit, operator), " <", ">", "email address")
     if collection is not None:
         out = out.withColumn("_fields", body_fields.put(F.col("_fields"), "isPartOf", F.lit(collection)))
     no_fields = F.when(F.col("body_fields").isNull(), F.lit("the block is not application/warc-fields"))
-    out = out.withColumn("rewrite_error", F.when(info, F.coalesce(no_fields, "_why_software", "_why_operator"))).drop("_why_software", "_why_operator")
+    out = out.withColumn("rewrite_error", F.when(info, F.coalesce(no_fields, "_why"))).drop("_why")
     go = info & F.col("rewrite_error").isNull()
     out = out.withColumn("_body", F.when(go, body_fields.render(F.col("_fields")))).drop("_fields")
     known = F.coalesce(F.col("block_digest")["algorithm"].isin("md5", "sha1", "sha256"), F.lit(False))
@@ -62,8 +62,12 @@ def rewrite_warcinfo(records: DataFrame, filename: str | None = None, software:
         new["WARC-Filename"] = F.lit(filename)
     kept = F.filter("headers", lambda h: ~F.lower(h["name"]).isin(*[n.lower() for n in new]))
     added = F.array(*[F.struct(F.lit(n).alias("name"), F.concat(F.lit(" "), t).cast("binary").alias("value")) for n, t in new.items()])
-    changed = canonicalize(out.where(go).withColumns({"headers": F.concat(kept, added), "body": F.col("_body"), "content_length": F.length("_body").cast("decimal(20,0)")}))
-    return changed.unionByName(out.where(~go)).drop("_body")
+    # conditions rather than a filter: a filter would be pushed down, and its long expression be spelt out again
+    out = out.withColumn("_go", go)
+    pick = lambda new, old: F.when(F.col("_go"), new).otherwise(F.col(old))
+    return out.withColumns({
+        "headers": pick(canonical(F.concat(kept, added)), "headers"), "body": pick(F.col("_body"), "body"),
+        "content_length": pick(F.length("_body").cast("decimal(20,0)"), "content_length")}).drop("_body", "_go")
 
 
 def compress(raw: DataFrame, path: str, level: int = 6) -> DataFrame:

@@ -55,8 +55,21 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(both)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once in the checkpoint folder, so that what follows is planned apart from how it was made."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", own))
+    return df.checkpoint()
+
+
 def as_raw(rendered: DataFrame) -> DataFrame:
     """Rendered records as a table of raw records: file by file_no, index by place."""
+    return settled(_as_raw(rendered))
+
+
+def _as_raw(rendered: DataFrame) -> DataFrame:
     return rendered.select(
         F.concat(F.lit("part-"), F.lpad(F.col("file_no").cast("string"), 6, "0"), F.lit(".warc")).alias("file"), F.col("place").cast("long").alias("record_index"),
         F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), "version", "headers", "content_length", "body",

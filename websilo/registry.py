@@ -1,4 +1,5 @@
 """The queries of the web-archive part and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
