@@ -81,9 +81,10 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_topk, op4_l
 def _oracles() -> dict[str, str]:
     from .mixing import MIX_SQL
 
+    from .oracles import DECONTAMINATION_SQL, URL_SQL
     from .topk import TOPK_SQL
 
-    return {"op3_topk": TOPK_SQL, "op6_mixing": MIX_SQL}
+    return {"op3_topk": TOPK_SQL, "op6_mixing": MIX_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op8_url_filter": URL_SQL}
 
 
 ORACLES = _oracles()
