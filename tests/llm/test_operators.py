@@ -133,6 +133,37 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values())) and kept.columns == docs_of(spark, []).columns
 
 
+def stars(n_stars, copies, size=300, least=0.81):
+    """Originals amid their copies, which are similar to the original alone."""
+    r, texts = random.Random(7), []
+    for star in range(n_stars):
+        original = [f"s{star}w{k}" for k in range(size)]
+        here = [original]
+        for c in range(copies):
+            w, n = list(original), 0
+            places = r.sample(range(5, size - 5), 24)
+            for place in places:  # each word changed takes up to five shingles
+                old, w[place] = w[place], f"c{star}x{c}y{n}"
+                n += 1
+                a, b = ({tuple(x[k:k + 5]) for k in range(size - 4)} for x in (original, w))
+                if len(a & b) < least * len(a | b):
+                    w[place] = old
+                    break
+            here.append(w)
+        r.shuffle(here)
+        texts += [" ".join(w) for w in here]
+    return texts
+
+
+@pytest.mark.parametrize("bucket, copies", [(2, 60)])
+def test_near_duplicates_of_stars(spark, monkeypatch, bucket, copies):
+    monkeypatch.setattr(neardup, "BUCKET", bucket)
+    texts = stars(2, copies)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    want = brute_classes(texts)
+    assert len(set(want.values())) == 2 and got == want
+
+
 def test_near_duplicates_of_repeated_and_missing_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (2, None)], "doc_id long, text string")
     assert sorted(map(str, (r["doc_id"] for r in neardup.keep_first(df).collect()))) == ["1", "2", "None"]

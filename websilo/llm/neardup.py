@@ -11,25 +11,31 @@ empty register are drawn again with a larger bound.
 
 Texts of the same words are one representative first.  Representatives meet in
 bands of registers (32 bands of 6: a pair of similarity 0.8 misses all with
-probability 0.00006); a bucket of over ``BUCKET`` rows is dealt into salted parts,
-whose smallest and largest rows also meet the bucket's first row.  (A pair of similarity 0.8
-meets in eight bands on average, and only buckets of a widely shared passage are
-that large, so pairs in different parts meet elsewhere.)  Inside a part, rows are
-ordered by signature and meet the part's first row and their two predecessors,
-so the number of pairs grows with the rows.  Pairs whose signatures agree enough
-are verified on the texts; verified links are joined into classes by label
-propagation with pointer jumping.
+probability 0.00006), in rounds.  The first round makes a number of pairs that grows
+with the rows: in order of signature, rows meet their part's first row and their two
+predecessors, and the ends of a large bucket's parts meet its first row.  Pairs whose
+signatures agree enough are verified on the texts, and verified links are joined into
+classes by label propagation with pointer jumping.
+
+Later rounds compare the signatures of all rows of a bucket whose classes differ.
+Buckets of one class drop out; of a large one, parts meet each other, but for those of
+its largest class.  While rounds find links, each row is paired with its best
+partner of another class.  Then one last round verifies every pair that is left and
+agrees enough.  So classes are those of all pairs that share a band and agree
+enough, whatever the size of the bucket.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Rolling, Words, mix, sliced
-from .lineage import cut
+from .lineage import cut, cut_table
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -179,15 +185,20 @@ def _overlap(batches):
             yield pa.RecordBatch.from_arrays([part.column("a").filter(good), part.column("b").filter(good)], names=["a", "b"])
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of representatives (rep, bands, sig) that meet in a band."""
+def bucket_rows(reps: DataFrame) -> DataFrame:
+    """(key, rep, n, lo): the rows of buckets of more than one, with the bucket's size and smallest rep."""
     rows = reps.select("rep", F.explode("bands").alias("key"))
     multi = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("rep").alias("lo")).where(F.col("n") > 1)
+    return rows.join(multi, "key").select("key", "rep", "n", "lo")
+
+
+def first_pairs(reps: DataFrame, met: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of the first round, from representatives (rep, sig) and bucket_rows."""
     # parts double with the bucket and don't depend on the band, so that a large group of copies, which fills a
     # bucket of every band, gives much the same pairs in all of them
     parts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n") / BUCKET, F.lit(1.0))))).cast("int")
-    met = rows.join(multi, "key").withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    met = met.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     near = (
         met.select("key", "salt", "rep").join(reps.select("rep", "sig"), "rep")  # signatures of rows that meet any other
         .repartition("key", "salt").sortWithinPartitions("key", "salt", "sig", "rep")
@@ -199,6 +210,129 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     return near.union(to_first).distinct()
 
 
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places each row of x equals each row of y."""
+    if len(x) * len(y) <= 4096:
+        return (x[:, None] == y[None]).sum(axis=2)
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for u, v in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)):
+        out += u[:, None] == v[None]
+    return out
+
+
+def _cell(rep, label, sig, side, cross: bool, whole: bool, step: int = 256):
+    """Places (i, j) of rows of other classes that agree enough: all such pairs, or each row's best."""
+    left, right = (np.flatnonzero(side == k) for k in (0, 1)) if cross else (np.arange(len(rep)),) * 2
+    if not len(left) or not len(right):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    out, best, best_at = [], np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
+    for lo in range(0, len(left), step):
+        mine = left[lo : lo + step]
+        n = _agree(sig[mine], sig[right])
+        n = np.where((label[mine][:, None] != label[right]) & (n >= LEAST_AGREEMENT * TRAVELS), n, 0)
+        if whole:
+            i, j = np.nonzero(n)
+            out.append((mine[i], right[j]))
+            continue
+        j = n.argmax(axis=1)
+        i = np.flatnonzero(n[np.arange(len(mine)), j])
+        out.append((mine[i], right[j[i]]))
+        top = n.max(axis=0)
+        more = top > best
+        best[more], best_at[more] = top[more], mine[n.argmax(axis=0)[more]]
+    if cross and not whole:
+        out.append((best_at[best > 0], right[best > 0]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _unlike(whole: bool):
+    """Over rows (key, i, j, side, rep, label, sig), ordered by (key, i, j): pairs of other classes that agree enough."""
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            if batch is None and not held:
+                return
+            table = pa.Table.from_batches([*held, *([] if batch is None else [batch])]).combine_chunks()
+            key, i, j, side, rep, label = (table.column(c).to_numpy() for c in ("key", "i", "j", "side", "rep", "label"))
+            heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            # the last cell may go on in the next batch
+            done = len(key) if batch is None else int(heads[-1])
+            held = table.slice(done).to_batches()
+            sig = np.frombuffer(b"".join(table.column("sig").slice(0, done).to_pylist()), np.uint8).reshape(done, -1)
+            a, b = [], []
+            for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(key)]):
+                if hi > done or hi - lo < 2 or (label[lo:hi] == label[lo]).all():
+                    continue
+                x, y = _cell(rep[lo:hi], label[lo:hi], sig[lo:hi], side[lo:hi], i[lo] != j[lo], whole)
+                a.append(np.minimum(rep[lo + x], rep[lo + y]))
+                b.append(np.maximum(rep[lo + x], rep[lo + y]))
+            if a:
+                # a pair stands twice where both rows of it looked for a partner
+                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return run
+
+
+def unlike_pairs(reps: DataFrame, met: DataFrame, labels: DataFrame, whole: bool) -> DataFrame:
+    """Distinct pairs (a < b) that share a bucket and agree enough, but are of different classes (id, label).
+
+    whole: all of them; else, in each meeting of two parts, each row's best partner.
+    """
+    rows = met.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "key", "rep", F.coalesce("label", "rep").alias("label"))
+    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(
+        F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main")).where(F.col("classes") > 1)
+    size = BUCKET * 8
+    small = F.col("n") <= size
+    # parts: first those of the smaller classes, then those of the largest, which needn't meet each other
+    few = F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("main")["n"]) / size)).cast("int")
+    many = F.when(small, 0).otherwise(F.ceil(F.col("main")["n"] / size)).cast("int")
+    spread = F.xxhash64("rep")
+    rows = rows.join(mixed, "key").withColumn("few", few).withColumn("many", many)
+    part = F.when((F.col("many") > 0) & (F.col("label") == F.col("main")["label"]), F.col("few") + F.pmod(spread, F.greatest("many", F.lit(1))))
+    rows = rows.withColumn("g", F.coalesce(part, F.pmod(spread, F.col("few"))).cast("int"))
+    last = F.when(F.col("g") < F.col("few"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1
+    cells = rows.select("key", "rep", "label", "g", F.explode(F.sequence(F.lit(0), last)).alias("o")).select(
+        "key", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), (F.col("g") > F.col("o")).cast("int").alias("side"), "rep", "label")
+    return (
+        cells.join(reps.select("rep", "sig"), "rep").select("key", "i", "j", "side", "rep", "label", "sig")
+        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        .mapInArrow(_unlike(whole), "a long, b long").distinct()
+    )
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts (id, text) are similar enough."""
+    met = (
+        pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        .select("a", "b", "text_a", "text_b")
+    )
+    return met.mapInArrow(_overlap, "a long, b long")
+
+
+def linked(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, label) of representatives that are linked to any other; label: the smallest of their class."""
+    met = cut(bucket_rows(reps))
+    texts = cut_table(texts.join(met.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    tried = cut(first_pairs(reps, met))
+    links = cut(verified(tried, texts))
+    whole = False
+    while True:
+        labels = components(links)
+        pairs = cut(unlike_pairs(reps, met, labels, whole).join(tried, ["a", "b"], "left_anti"))
+        new = cut(verified(pairs, texts))
+        found = new.limit(1).count() > 0
+        tried, links = tried.union(pairs), links.union(new)
+        if whole:  # all pairs of different classes have been verified now
+            return components(links) if found else labels
+        whole = not found
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every node of (a, b) edges; label: the smallest id of its component."""
     # both ways from one pass: a union would compute the edges twice
@@ -228,14 +362,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = signed.where(F.col("bands").isNotNull()).groupBy("d1", "d2").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     reps = cut(reps)
-    pairs = candidate_pairs(reps)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    met = (
-        pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
-    )
-    labels = components(met.mapInArrow(_overlap, "a long, b long"))
+    labels = linked(reps, docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     named = reps.select("d1", "d2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "d1", "d2", F.coalesce("label", "rep").alias("label"))
     by_row = signed.select("doc_id", "d1", "d2", F.col("bands").isNotNull().alias("some"))
