@@ -155,7 +155,7 @@ def stars(n_stars, copies, size=300, least=0.81):
     return texts
 
 
-@pytest.mark.parametrize("bucket, copies", [(2, 60)])
+@pytest.mark.parametrize("bucket, copies", [(256, 60), (2, 60)])
 def test_near_duplicates_of_stars(spark, monkeypatch, bucket, copies):
     monkeypatch.setattr(neardup, "BUCKET", bucket)
     texts = stars(2, copies)
