@@ -365,6 +365,19 @@ def test_probabilities_sum_to_one():
     assert abs(np.exp(np.array(one) - first).sum() - 1) < 1e-3
 
 
+def test_every_token_is_learned_once():
+    texts = ["", "one two", " ".join(f"word{k}" for k in range(900)), "three four five " * 50]
+    vocabulary = attention.Vocabulary.of(np.ones(lm.encoder(lm.TOKENIZER)[1] + 1))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    w, h = lm.words_of(batch.column("text"))
+    tokens, n = lm.Encoded(lm.TOKENIZER)(w, h)
+    size = np.bincount(w.doc, n, len(texts)).astype(int)
+    x, y, _ = attention._inputs(np.insert(tokens, np.cumsum(size), len(vocabulary.outputs) - 1), size + 1, len(vocabulary.outputs))
+    got = [p for turn in range(3) for p in lm.learning_windows([batch], lm.TOKENIZER, vocabulary, turn, 3)]
+    rows = lambda x, y: sorted(map(tuple, np.concatenate([x, y], axis=1).tolist()))
+    assert rows(np.concatenate([p[0] for p in got]), np.concatenate([p[1] for p in got])) == rows(x, y)
+
+
 def test_lm_scores(spark):
     r = random.Random(5)
     texts = [*ODD, *[" ".join(r.choices(["alpha", "Beta", "gamma,", "delta", "x" + str(i)], k=r.randint(1, 80))) for i in range(120)]]
