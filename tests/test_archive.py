@@ -120,6 +120,15 @@ def test_merge_redirects_to_the_earliest(spark):
     assert bytes(out[1]["headers"][3]["value"]) == b" <urn:x:a>"
 
 
+def test_redirect_joins_like_its_map(spark):
+    line = lambda n, t: (n, bytearray(t.encode()))
+    heads = [None, [], [line("X", "y")], [line("WARC-Refers-To", "<urn:x:b>"), line("X", "<urn:x:b>"), line("warc-concurrent-to", " <urn:x:c>"), line("WARC-Warcinfo-ID", "")]]
+    records = spark.createDataFrame([(0, i, h) for i, h in enumerate(heads)], "file_seq int, record_index long, headers array<struct<name: string, value: binary>>")
+    to = spark.createDataFrame([("urn:x:b", "urn:x:a"), ("urn:x:c", None)], "record_id string, keep_id string")
+    by_map, by_join = (merge.redirect(records, to, bound).orderBy("record_index").collect() for bound in (9, 0))
+    assert by_join == by_map and len(by_join) == 4 and bytes(by_join[3]["headers"][0]["value"]) == b" <urn:x:a>"
+
+
 def test_labels_and_hues(spark):
     ids = ["urn:uuid:12345678-a", "urn:uuid:12345678-b", "urn:uuid:99", None, "http://example.org/" + "x" * 40]
     df = spark.createDataFrame([("f", i, "response", r) for i, r in enumerate(ids)], "file string, record_index long, record_type string, record_id string")

@@ -81,14 +81,15 @@ def redirect(records: DataFrame, to: DataFrame, bound: int = 200_000) -> DataFra
         changed = F.transform("headers", lambda h: F.struct(h["name"].alias("name"), F.when(
             F.lower(h["name"]).isin(*refers) & new(h).isNotNull(), F.concat(F.lit(" <"), new(h), F.lit(">")).cast("binary")).otherwise(h["value"]).alias("value")))
         return records.join(table, F.lit(True), "left").withColumn("headers", changed).drop("_to")
-    parts = records.select("file_seq", "record_index", F.posexplode("headers").alias("i", "h"))
-    parts = parts.withColumn("record_id", F.when(F.lower(F.col("h")["name"]).isin(*refers), normal_id(F.col("h")["value"])))
-    joined = parts.join(to, "record_id", "left").select("file_seq", "record_index", F.struct(
-        "i", F.col("h")["name"].alias("name"), F.when(F.col("keep_id").isNotNull(), F.concat(F.lit(" <"), F.col("keep_id"), F.lit(">")).cast("binary"))
-        .otherwise(F.col("h")["value"]).alias("value")).alias("h"))
-    back = joined.groupBy("file_seq", "record_index").agg(F.array_sort(F.collect_list("h")).alias("hs"))
-    back = back.select("file_seq", "record_index", F.transform("hs", lambda h: F.struct(h["name"].alias("name"), h["value"].alias("value"))).alias("headers"))
-    return records.drop("headers").join(back, ["file_seq", "record_index"]).select(*records.columns)
+    # only referring lines are joined, and records without any stay as they are
+    lines = records.select("file_seq", "record_index", F.posexplode("headers").alias("i", "h")).where(F.lower(F.col("h")["name"]).isin(*refers))
+    lines = lines.select("file_seq", "record_index", "i", normal_id(F.col("h")["value"]).alias("record_id")).where(F.col("record_id").isNotNull())
+    found = lines.join(to.where(F.col("keep_id").isNotNull()), "record_id").groupBy("file_seq", "record_index").agg(
+        F.map_from_entries(F.collect_list(F.struct("i", "keep_id"))).alias("_to"))
+    at = lambda i: F.try_element_at(F.col("_to"), i)
+    changed = F.transform("headers", lambda h, i: F.struct(h["name"].alias("name"), F.when(
+        at(i).isNotNull(), F.concat(F.lit(" <"), at(i), F.lit(">")).cast("binary")).otherwise(h["value"]).alias("value")))
+    return records.join(found, ["file_seq", "record_index"], "left").withColumn("headers", changed).select(*records.columns)
 
 
 def in_order(files: DataFrame, names: list[str]) -> DataFrame:
