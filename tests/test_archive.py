@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import io
 import os
 
@@ -155,6 +156,15 @@ def test_queries_match_sql(spark, name):
     same(name, spark, SMALL)
 
 
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_every_document_is_reassembled(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    texts = [(d["text"] or "").encode() for d in docs]
+    want = sorted((max(1, -(-len(t) // 1000)), hashlib.sha256(t).hexdigest()) for t in texts)
+    got = registry.QUERIES["segment_reassembly"](spark, SMALL).collect()
+    assert sorted((r["segments"], r["block"]) for r in got) == want and len({r["record_id"] for r in got}) == len(docs)
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 def test_stream(spark):
     from websilo.streaming.ingest import captures_by_window, stream_warc
