@@ -340,7 +340,7 @@ def test_gradients_and_each_token_scored_once():
     vocab = attention.Vocabulary.of(r.integers(1, 50, 301).astype(float))
     p = {k: w.astype(float) for k, w in attention.initial(vocab).items()}
     tokens, sizes = r.integers(0, 300, 120), np.array([70, 1, 49])
-    x, y, _ = attention._inputs(tokens, sizes, 301)
+    x, y, _ = attention.windows(tokens, sizes, 301)
     assert sorted(y[y >= 0].tolist()) == sorted(tokens.tolist())
     _, g = attention.gradients(p, vocab, x, y)
     for name in p:
@@ -365,17 +365,49 @@ def test_probabilities_sum_to_one():
     assert abs(np.exp(np.array(one) - first).sum() - 1) < 1e-3
 
 
-def test_every_token_is_learned_once():
-    texts = ["", "one two", " ".join(f"word{k}" for k in range(900)), "three four five " * 50]
-    vocabulary = attention.Vocabulary.of(np.ones(lm.encoder(lm.TOKENIZER)[1] + 1))
-    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
-    w, h = lm.words_of(batch.column("text"))
-    tokens, n = lm.Encoded(lm.TOKENIZER)(w, h)
-    size = np.bincount(w.doc, n, len(texts)).astype(int)
-    x, y, _ = attention._inputs(np.insert(tokens, np.cumsum(size), len(vocabulary.outputs) - 1), size + 1, len(vocabulary.outputs))
-    got = [p for turn in range(3) for p in lm.learning_windows([batch], lm.TOKENIZER, vocabulary, turn, 3)]
-    rows = lambda x, y: sorted(map(tuple, np.concatenate([x, y], axis=1).tolist()))
-    assert rows(np.concatenate([p[0] for p in got]), np.concatenate([p[1] for p in got])) == rows(x, y)
+def naive_score(p, v, tokens):
+    """Log probability of a text, one token at a time, without windows, batches or masks."""
+    total, seen = 0.0, [len(v.outputs)]
+    for t in tokens:
+        past = [p["E"][v.inputs[x]].astype(float) for x in seen[-attention.REACH:]][::-1]
+        a = np.exp([past[0] @ (e @ p["m"]) + p["b"][k] for k, e in enumerate(past)])
+        h = np.maximum(past[0] + sum(w * (e @ p["v"]) for w, e in zip(a / a.sum(), past)), 0)
+        z = h @ p["U"] + p["c"]
+        cls, group = v.outputs[t], v.groups[seen[-1]]
+        members = [x for x in range(len(v.outputs)) if v.outputs[x] == cls]
+        n = lambda x: float(v.pairs[group, v.inputs[x]]) if len(members) > 1 and v.inputs[x] < attention.INPUTS - 64 else 0.0
+        share = (n(t) + attention.PRIOR * v.share[t]) / (sum(map(n, members)) + attention.PRIOR)
+        total += z[cls] - np.log(np.exp(z).sum()) + np.log(share)
+        seen.append(t)
+    return total
+
+
+def test_scores_equal_a_naive_forward_pass():
+    r = np.random.default_rng(3)
+    vocab = attention.Vocabulary.of(r.integers(1, 50, 301).astype(float))
+    counts = np.zeros((attention.AFTER, attention.INPUTS))
+    before, token = r.integers(0, 302, 5000), r.integers(0, 301, 5000)
+    at = vocab.place(before, token)
+    np.add.at(counts.reshape(-1), at[at >= 0], 1)
+    vocab, p = vocab.with_pairs(counts), attention.initial(vocab)
+    texts = [r.integers(0, 301, n) for n in (1, 2, 40, 97)]
+    got = attention.Scorer(p, vocab).texts(np.concatenate(texts), np.array([len(t) for t in texts]))
+    assert np.allclose(got, [naive_score(p, vocab, t.tolist()) for t in texts], rtol=1e-4)
+    one = [attention.Scorer(p, vocab).texts(np.array([5, t]), np.array([2]))[0] for t in range(301)]
+    assert abs(np.exp(np.array(one) - attention.Scorer(p, vocab).texts(np.array([5]), np.array([1]))[0]).sum() - 1) < 1e-3
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)  # many blocks
+    monkeypatch.setattr(lm, "GROUP", 3)
+    r = random.Random(8)
+    df = docs_of(spark, [" ".join(r.choices(["alpha", "beta", "gamma", "delta", "epsilon"], k=r.randint(1, 80))) for _ in range(100)])
+    once = {x["doc_id"]: x for x in lm.score_texts(df.coalesce(1)).collect()}
+    monkeypatch.setattr(lm, "SPREAD", 2)  # counts of a word meet in waves
+    again = {x["doc_id"]: x for x in lm.score_texts(df.repartition(8)).collect()}
+    assert once == again
+    # better than the counts of words, on texts that it hasn't learned from
+    assert len(once) == 100 and all(x["score"] < 0 for x in once.values())
 
 
 def test_lm_scores(spark):

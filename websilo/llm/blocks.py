@@ -7,6 +7,7 @@ a character is 0x80 or more, the rule works on UTF-8 bytes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,8 +84,40 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def hashes(self, seed: int = 1) -> np.ndarray:
+        """A 64-bit hash of each word: eight bytes at a time, each mixed in; of words over ``LONG`` bytes, of their BLAKE2 digest."""
+        data = np.append(self.data, np.zeros(8, np.uint8))
+        eight = np.ndarray(shape=(len(self.data) + 1,), dtype="<u8", buffer=data, strides=(1,))
+        size = self.ends - self.starts
+        with np.errstate(over="ignore"):
+            out = mix(size.astype(np.uint64) + np.uint64(seed) * _ODD)
+            at, left = np.arange(len(self)), size
+            for offset in range(0, LONG, 8):
+                short = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
+                x = eight[self.starts[at] + offset] & ~(~np.uint64(0) << np.minimum(short, np.uint64(63))) | np.where(
+                    short == 64, eight[self.starts[at] + offset], np.uint64(0))
+                out[at] = mix(out[at] ^ x * _ODD)
+                on = left > 8
+                at, left = at[on], left[on] - 8
+                if not len(at):
+                    break
+        for i in np.flatnonzero(size > LONG).tolist():
+            digest = hashlib.blake2b(data[self.starts[i] : self.ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+            out[i] = int.from_bytes(digest.digest(), "little")
+        return out
+
+    def runs(self, head: np.ndarray, size: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """A hash of each run of ``size`` words from word ``head``, of the words' hashes."""
+        with np.errstate(over="ignore"):
+            out = mix(size.astype(np.uint64) * _ODD)
+            for k in range(int(size.max(initial=0))):
+                on = slice(None) if (size > k).all() else size > k
+                out[on] = mix(out[on] * _ODD + words[head[on] + k])
+        return out
+
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
