@@ -1,4 +1,4 @@
-"""Cutting a plan's lineage in storage that all executors share."""
+"""Cutting a plan's lineage in storage that all executors share, and names that no column of a table has."""
 
 from __future__ import annotations
 
@@ -7,16 +7,31 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and checkpointed in the folder that the session names in spark.checkpoint.dir.
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df hasn't, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    Only where that is unset (as in tests) a folder in the warehouse is used.
-    """
-    spark = df.sparkSession
+
+def quoted(df: DataFrame) -> list[str]:
+    """The columns of df, for select: names may hold dots."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
+def _folder(spark) -> str:
+    """The folder of spark.checkpoint.dir; only where that is unset (as in tests) one in the warehouse."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", own))
+    return jsc.getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and checkpointed in the folder that the session names in spark.checkpoint.dir."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -25,11 +40,6 @@ def cut_table(df: DataFrame) -> DataFrame:
 
     The table stays in that folder, as checkpoints do, for the folder's owner to sweep.
     """
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", own))
-    path = f"{jsc.getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

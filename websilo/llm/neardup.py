@@ -19,14 +19,17 @@ classes by label propagation with pointer jumping.
 
 Later rounds compare the signatures of all rows of a bucket whose classes differ.
 Buckets of one class drop out; of a large one, parts meet each other, but for those of
-its largest class.  While rounds find links, each row is paired with its best
-partner of another class.  Then one last round verifies every pair that is left and
-agrees enough.  So classes are those of all pairs that share a band and agree
-enough, whatever the size of the bucket.
+its largest class.  Every pair of rows of different classes that agree enough is
+verified; only where a meeting of two parts has more than MANY such pairs a row, each
+row is paired with its best partner of another class, and a further round follows,
+until those classes are joined or a last round verifies every pair that is left.  So
+classes are those of all pairs that share a band and agree enough, whatever the size
+of the bucket.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import chain
 
 import numpy as np
@@ -34,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Rolling, Words, mix, sliced
-from .lineage import cut, cut_table
+from .blocks import Words, mix, sliced
+from .lineage import cut, cut_table, quoted, spare
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
-BUCKET = 256
+BUCKET, MANY = 256, 4
 #: A byte of so many registers travels with a row; pairs that agree in less than this share of them
 #: (five deviations under 0.8) aren't verified.
 TRAVELS, LEAST_AGREEMENT = 96, 0.6
@@ -53,8 +56,7 @@ def shingles(words: Words, size: int = SHINGLE, seed: int = 1) -> tuple[np.ndarr
     head = words.first[doc] + np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
     if not len(doc):
         return doc, np.zeros(0, np.uint64)
-    last = head + np.minimum(words.count, size)[doc] - 1
-    return doc, Rolling(words.data, seed).ranges(words.starts[head], words.ends[last])
+    return doc, words.runs(head, np.minimum(words.count, size)[doc], words.hashes(seed))
 
 
 def bags(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +111,7 @@ def bag_minhash(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int,
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, d1, d2, bands, sig): hashes of the whole word sequence and of each band, and bytes of registers.
+    """(doc_id, d1, d2, bands, sig): the BLAKE2 digest of all words in turn, hashes of each band, and bytes of registers.
 
     Texts without words (null ones too) have null bands.
     """
@@ -123,7 +125,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             d1, d2 = np.zeros(w.n_docs, np.int64), np.zeros(w.n_docs, np.int64)
             if some.any():
                 a, b = w.starts[w.first[some]], w.ends[(w.first + w.count)[some] - 1]
-                d1[some], d2[some] = (Rolling(w.data, seed).ranges(a, b).view(np.int64) for seed in (2, 3))
+                raw = w.data.tobytes()
+                digests = b"".join(hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(a.tolist(), b.tolist()))
+                d1[some], d2[some] = np.frombuffer(digests, np.int64).reshape(-1, 2).T
             sig = bag_minhash(*bags(*shingles(w)), w.n_docs, m).view(np.uint64)
             with np.errstate(over="ignore"):
                 band = np.full((w.n_docs, BANDS), np.uint64(7)) + np.arange(BANDS, dtype=np.uint64) * _GOLD
@@ -169,7 +173,7 @@ def _meet(batches):
 
 
 def _overlap(batches):
-    """Rows (a, b, text_a, text_b); the pairs of weighted Jaccard similarity of at least SIMILAR."""
+    """Rows (a, b, text_a, text_b) -> (a, b, good): whether their weighted Jaccard similarity is at least SIMILAR."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
@@ -182,7 +186,7 @@ def _overlap(batches):
             same = np.flatnonzero((doc[1:] == doc[:-1]) & (h[1:] == h[:-1]))
             common = np.bincount(doc[same], np.minimum(times[same], times[same + 1]), n)
             good = pa.array((common > 0) & (common >= SIMILAR * (total - common) - 1e-9))
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(good), part.column("b").filter(good)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), good], names=["a", "b", "good"])
 
 
 def bucket_rows(reps: DataFrame) -> DataFrame:
@@ -220,33 +224,43 @@ def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cell(rep, label, sig, side, cross: bool, whole: bool, step: int = 256):
-    """Places (i, j) of rows of other classes that agree enough: all such pairs, or each row's best."""
-    left, right = (np.flatnonzero(side == k) for k in (0, 1)) if cross else (np.arange(len(rep)),) * 2
+def _cell(label, sig, side, cross: bool, whole: bool, step: int = 256):
+    """(i, j, all): places of rows of other classes that agree enough; all such pairs, or, of too many, each row's best."""
+    left, right = (np.flatnonzero(side == k) for k in (0, 1)) if cross else (np.arange(len(label)),) * 2
     if not len(left) or not len(right):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    out, best, best_at = [], np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), True
+    most = MANY * (len(left) + len(right))
+    every, n_every, all_of = [], 0, True
+    some, best, best_at = [], np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
     for lo in range(0, len(left), step):
         mine = left[lo : lo + step]
         n = _agree(sig[mine], sig[right])
         n = np.where((label[mine][:, None] != label[right]) & (n >= LEAST_AGREEMENT * TRAVELS), n, 0)
-        if whole:
+        if all_of:
             i, j = np.nonzero(n)
-            out.append((mine[i], right[j]))
+            every.append((mine[i], right[j]))
+            n_every += len(i)
+            if n_every > most and not whole:
+                every, all_of = [], False
+        if whole:
             continue
         j = n.argmax(axis=1)
         i = np.flatnonzero(n[np.arange(len(mine)), j])
-        out.append((mine[i], right[j[i]]))
+        some.append((mine[i], right[j[i]]))
         top = n.max(axis=0)
         more = top > best
         best[more], best_at[more] = top[more], mine[n.argmax(axis=0)[more]]
-    if cross and not whole:
-        out.append((best_at[best > 0], right[best > 0]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    if all_of:
+        return *(np.concatenate(x) for x in zip(*every)), True
+    some.append((best_at[best > 0], right[best > 0]))
+    return *(np.concatenate(x) for x in zip(*some)), False
 
 
 def _unlike(whole: bool):
-    """Over rows (key, i, j, side, rep, label, sig), ordered by (key, i, j): pairs of other classes that agree enough."""
+    """Over rows (key, i, j, side, rep, label, sig), ordered by (key, i, j): pairs of other classes that agree enough.
+
+    A cell that doesn't give all of them gives a pair of a row with itself, too.
+    """
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in chain(batches, [None]):
@@ -265,9 +279,12 @@ def _unlike(whole: bool):
             for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(key)]):
                 if hi > done or hi - lo < 2 or (label[lo:hi] == label[lo]).all():
                     continue
-                x, y = _cell(rep[lo:hi], label[lo:hi], sig[lo:hi], side[lo:hi], i[lo] != j[lo], whole)
+                x, y, all_of = _cell(label[lo:hi], sig[lo:hi], side[lo:hi], i[lo] != j[lo], whole)
                 a.append(np.minimum(rep[lo + x], rep[lo + y]))
                 b.append(np.maximum(rep[lo + x], rep[lo + y]))
+                if not all_of:
+                    a.append(rep[lo : lo + 1])
+                    b.append(rep[lo : lo + 1])
             if a:
                 # a pair stands twice where both rows of it looked for a partner
                 pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
@@ -279,7 +296,7 @@ def _unlike(whole: bool):
 def unlike_pairs(reps: DataFrame, met: DataFrame, labels: DataFrame, whole: bool) -> DataFrame:
     """Distinct pairs (a < b) that share a bucket and agree enough, but are of different classes (id, label).
 
-    whole: all of them; else, in each meeting of two parts, each row's best partner.
+    Unless whole, a meeting of two parts that has many gives some, and a pair (a, a).
     """
     rows = met.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("label", "rep").alias("label"))
@@ -306,31 +323,34 @@ def unlike_pairs(reps: DataFrame, met: DataFrame, labels: DataFrame, whole: bool
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (id, text) are similar enough."""
+    """(a, b, good) of pairs (a, b), by their texts (id, text)."""
     met = (
         pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
-    return met.mapInArrow(_overlap, "a long, b long")
+    return met.mapInArrow(_overlap, "a long, b long, good boolean")
 
 
 def linked(reps: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, label) of representatives that are linked to any other; label: the smallest of their class."""
     met = cut(bucket_rows(reps))
     texts = cut_table(texts.join(met.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
-    tried = cut(first_pairs(reps, met))
-    links = cut(verified(tried, texts))
+    tried = cut(verified(first_pairs(reps, met), texts))
+    labels = components(tried.where("good").select("a", "b"))
     whole = False
     while True:
-        labels = components(links)
-        pairs = cut(unlike_pairs(reps, met, labels, whole).join(tried, ["a", "b"], "left_anti"))
+        pairs = unlike_pairs(reps, met, labels, whole).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        # a pair (a, a) says that there were more; its text is compared with itself
         new = cut(verified(pairs, texts))
-        found = new.limit(1).count() > 0
-        tried, links = tried.union(pairs), links.union(new)
-        if whole:  # all pairs of different classes have been verified now
-            return components(links) if found else labels
-        whole = not found
+        links, more = new.agg(F.count(F.when((F.col("a") != F.col("b")) & F.col("good"), 1)), F.count(F.when(F.col("a") == F.col("b"), 1))).first()
+        new = new.where("a <> b")
+        tried = tried.union(new)
+        if links:
+            labels = components(tried.where("good").select("a", "b"))
+        if not more:  # all pairs of different classes have been verified
+            return labels
+        whole = not links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -354,9 +374,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, class_id) of every row: class_id is the smallest doc_id of its class.
 
     Classes are the connected components of links of weighted Jaccard similarity
-    of at least 0.8 over shingles of five words, copies included.  Texts without
-    words are classes of their own.  A row without an id has no class (null).
-    Rows that repeat an id share its class.
+    of at least 0.8 over shingles of five words, copies (the same words, by a digest of
+    128 bits) included.  Texts without words, null ones too, are classes of their own.
+    A row without an id has no class (null).  Rows that repeat an id share its class.
+    Texts are taken whole, however long.  Other columns play no part, whatever their
+    names.  An empty table gives no rows.
     """
     signed = cut(signatures(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
     reps = signed.where(F.col("bands").isNotNull()).groupBy("d1", "d2").agg(
@@ -373,11 +395,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each class: that of its smallest doc_id (one of them if the id repeats); rows without an id stay."""
+    """One row of each class: that of its smallest doc_id (one of them if the id repeats); rows without an id stay.
+
+    The columns of docs come back as they are, whatever their names.
+    """
     classes = near_duplicates(docs)
+    one, n = spare(docs, "first_id"), spare(docs, "rows")
     ids = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("rows")).where(F.col("class_id") == F.col("doc_id"))
-    kept = docs.join(ids.select(F.col("doc_id").alias("_id"), F.col("rows").alias("_rows")), docs["doc_id"].cast("long") == F.col("_id"))
-    once = kept.where(F.col("_rows") == 1).select(*docs.columns)
-    more = kept.where(F.col("_rows") > 1).dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.join(ids.select(F.col("doc_id").alias(one), F.col("rows").alias(n)), docs["doc_id"].cast("long") == F.col(one))
+    once = kept.where(F.col(n) == 1).select(*quoted(docs))
+    more = kept.where(F.col(n) > 1).dropDuplicates(["doc_id"]).select(*quoted(docs))
     return once.union(more).union(docs.where(F.col("doc_id").isNull()))
