@@ -314,6 +314,27 @@ def test_mixing(spark):
 
 # ---- top-k
 
+CLASHES = ["found", "first_id", "rows", "size", "source_size", "target", "copies", "source_name", "rate", "turn", "score", "n_words", "n_hit", "ranges",
+           "items", "class_id", "label", "rep", "id", "a", "b", "h", "block", "k1", "dot.ted", "_found", "_rate", "N_Card", "held_out", "word", "toxic"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["see 4111 1111 1111 1111 of Ada", "one two three four five six seven", "one two three four five six seven", None, "", "is bad"] * 3
+    df = docs_of(spark, texts)
+    for c in CLASHES:
+        df = df.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    spark.createDataFrame([(i, 1, int(t == "is bad")) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "of Ada")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        rows = out.collect()
+        assert out.columns == df.columns and rows, name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHES), name
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
 def test_topk(spark):
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in r.standard_normal(16) * (1 + i % 5)]) for i in range(400)]

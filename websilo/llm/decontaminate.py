@@ -8,9 +8,10 @@ window's last block list the strings that may end the search there, and a direct
 comparison of bytes and word borders confirms.  NumPy moves many search windows
 (lanes) over a block of texts at once.
 
-The benchmark goes to the executors in chunks of at most ``CHUNK_BYTES`` of
-text; with more chunks, documents pass through one search after another without
-a shuffle.
+The benchmark goes to the executors in chunks of about ``CHUNK_BYTES`` of text;
+documents pass through one search after another without a shuffle.  What the first
+``LIVE`` chunks have found is written before the next ones are sent, so that only so
+many chunks are held at a time.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Words, sliced
+from .lineage import cut_table, quoted, spare
 
 WINDOW = 13
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, LIVE = 1 << 20, 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Lower ends of the length groups.
 _GROUPS = (1, 4, 16, 40)
@@ -163,39 +165,47 @@ def _chunks(benchmark: DataFrame, item_col: str, text_col: str):
         yield k == n - 1, [(r["i"], r["t"]) for r in part.collect()]
 
 
-_FOUND = T.StructType([
-    T.StructField("_n_words", T.LongType()), T.StructField("_n_hit", T.LongType()),
-    T.StructField("_ranges", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType())),
-])
+_FOUND = ("n_words", "n_hit", "ranges", "items")
+_KINDS = (T.LongType(), T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType()))
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                 item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with _n_words, _n_hit, _ranges (word ranges [lo, hi) in turn) and _items (sorted item ids).
+                 item_text: str = "text", keep: list[str] | None = None, names: tuple[str, ...] = _FOUND) -> DataFrame:
+    """docs with n_words, n_hit, ranges (word ranges [lo, hi) in turn) and items (sorted item ids), under ``names``.
 
     A word is hit if it lies in an occurrence of a benchmark window; occurrences
     may overlap.  Null texts have no words; items without words occur nowhere;
-    items with the same id count once.  ``keep``: the columns of docs to return.
+    items with the same id count once, an item without an id is named null; without
+    items, nothing is hit.  Texts are taken whole, repeated rows alike; an empty table
+    gives no rows.  ``keep``: the columns of docs to return; those of ``names`` are replaced.
     """
-    docs = docs.drop(*_FOUND.names)
+    docs = docs.drop(*names)
     wanted = list(keep if keep is not None else docs.columns)
-    carried = [*wanted, *([text_col] if text_col not in wanted else [])]
-    out = docs.select(*carried)
+    plain = [f"c{i}" for i in range(len(wanted))]  # mapInArrow takes no names with dots
+    out = docs.select(*["`" + c.replace("`", "``") + "`" for c in wanted], F.col(text_col)).toDF(*plain, "text")
     sc = docs.sparkSession.sparkContext
+    shared_now = []
     for last, rows in _chunks(benchmark, item_col, item_text):
+        if len(shared_now) == LIVE:
+            out = cut_table(out)
+            for old in shared_now:
+                old.unpersist()
+            shared_now = []
         shared = sc.broadcast(Benchmark(rows))
-        names = wanted if last else carried
-        schema = T.StructType([f for n in names for f in out.schema if f.name == n] + list(_FOUND))
+        shared_now.append(shared)
+        given = plain if last else [*plain, "text"]
+        schema = T.StructType([f for n in given for f in out.schema if f.name == n] + [T.StructField(n, k) for n, k in zip(_FOUND, _KINDS)])
 
-        def run(batches, shared=shared, names=names):
+        def run(batches, shared=shared, given=given):
             bench = shared.value
-            for batch in sliced(batches, text_col):
-                words, lo, hi, doc, string = bench.find(batch.column(batch.schema.get_field_index(text_col)))
-                n, old = batch.num_rows, "_ranges" in batch.schema.names
+            for batch in sliced(batches, "text"):
+                at = batch.schema.get_field_index
+                words, lo, hi, doc, string = bench.find(batch.column(at("text")))
+                n, old = batch.num_rows, at("ranges") >= 0
                 ranges: list[list] = [[] for _ in range(n)]
                 items: list[set] = [set() for _ in range(n)]
                 if old:  # what the chunks before have found
-                    for i, (r, x) in enumerate(zip(batch.column("_ranges").to_pylist(), batch.column("_items").to_pylist())):
+                    for i, (r, x) in enumerate(zip(batch.column(at("ranges")).to_pylist(), batch.column(at("items")).to_pylist())):
                         ranges[i] = list(zip(r[::2], r[1::2]))
                         items[i] = set(x)
                 first = words.first[doc]
@@ -209,31 +219,28 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     pa.array([[x for ab in r for x in ab] for r in ranges], pa.list_(pa.int64())),
                     pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                 ]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index(c)) for c in names] + new, names=[*names, *_FOUND.names])
+                yield pa.RecordBatch.from_arrays([batch.column(at(c)) for c in given] + new, names=[*given, *_FOUND])
 
         out = out.mapInArrow(run, schema)
-    return out
+    return out.toDF(*wanted, *names)
 
 
-def contaminated(n_hit: str = "_n_hit", n_words: str = "_n_words", one_in: int = 20):
+def contaminated(n_hit: str = "n_hit", n_words: str = "n_words", one_in: int = 20):
     return (F.col(n_hit) > 0) & (F.lit(one_in) * F.col(n_hit) >= F.col(n_words))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
-    found = find_windows(docs, benchmark, keep=["doc_id"])
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row; see find_windows."""
+    found = find_windows(docs.select("doc_id", "text"), benchmark, keep=["doc_id"])
     return found.select(
-        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
-        contaminated().alias("contaminated"),
-    )
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that aren't contaminated, with the columns of docs."""
-    return find_windows(docs, benchmark).where(~contaminated()).select(*docs.columns)
+    """The rows of docs that aren't contaminated, with the columns of docs as they are, whatever their names."""
+    names = tuple(spare(docs, n) for n in _FOUND)
+    return find_windows(docs, benchmark, names=names).where(~contaminated(names[1], names[0])).select(*quoted(docs))
 
 
 def brute_force(texts: list[str | None], items: list[tuple[str, str | None]], window: int = WINDOW):

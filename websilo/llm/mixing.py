@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import quoted, spare
+
 #: A source table of at most so many rows and bytes of names is broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 4 << 20
 
@@ -58,35 +60,42 @@ def source_targets(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most:
     return sums.select("source", "source_size", target.alias("target"))
 
 
-def with_copies(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
-    """docs with size, source_size, target and copies (0 to the cap).
+_NAMES = ("size", "source_size", "target", "copies")
+
+
+def with_copies(docs: DataFrame, seed: str = "mix", names: tuple[str, ...] = _NAMES, **targets) -> DataFrame:
+    """docs with size, source_size, target and copies (0 to the cap), under ``names``.
 
     Null texts have size 0; a source without any words has target 0 and its
-    documents get no copies.  Rows with the same id draw alike.  Columns of docs
-    of these names are replaced.
+    documents get no copies; a null source is a source of its own.  Rows with the same
+    id draw alike.  Texts are taken whole.  Columns of docs of ``names`` are replaced; others
+    stay as they are, whatever their names.  An empty table gives no rows.
     """
-    docs = docs.drop("size", "source_size", "target", "copies")
+    size, source_size, target, copies = names
+    docs = docs.drop(*names)
+    mine, rate_col = spare(docs, "source_name"), spare(docs, "rate")
     by_source = source_targets(docs, **targets).select(
-        F.col("source").alias("_source"), "source_size", "target")
-    n, names = by_source.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_source")), F.lit(0))).first()
-    if n <= BROADCAST_ROWS and names <= BROADCAST_BYTES:
+        F.col("source").alias(mine), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    n, length = by_source.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(mine)), F.lit(0))).first()
+    if n <= BROADCAST_ROWS and length <= BROADCAST_BYTES:
         by_source = F.broadcast(by_source)
-    joined = docs.join(by_source, docs["source"].eqNullSafe(by_source["_source"])).drop("_source")
+    joined = docs.join(by_source, docs["source"].eqNullSafe(by_source[mine])).drop(mine)
     most = float(targets.get("most", 2.0))
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
+    rate = F.when(F.col(source_size) > 0, F.least(F.col(target) / F.col(source_size), F.lit(most))).otherwise(0.0)
     return (
-        joined.withColumn("size", size_of(F.col("text")))
-        .withColumn("_rate", rate)
-        .withColumn("copies", (F.floor("_rate") + (draw(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")))
-        .drop("_rate")
+        joined.withColumn(size, size_of(F.col("text")))
+        .withColumn(rate_col, rate)
+        .withColumn(copies, (F.floor(rate_col) + (draw(F.col("doc_id"), seed) < F.col(rate_col) - F.floor(rate_col)).cast("long")))
+        .drop(rate_col)
     )
 
 
 def mix(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
-    """docs repeated to the target weights, with the columns of docs."""
-    many = with_copies(docs, seed, **targets)
-    copies = F.array_repeat(F.lit(1), F.col("copies").cast("int"))
-    return many.withColumn("_copy", F.explode(copies)).select(*docs.columns)
+    """docs repeated to the target weights, with the columns of docs as they are, whatever their names."""
+    names = tuple(spare(docs, n) for n in _NAMES)
+    many = with_copies(docs, seed, names, **targets)
+    turn = spare(many, "turn")
+    return many.withColumn(turn, F.explode(F.array_repeat(F.lit(1), F.col(names[3]).cast("int")))).select(*quoted(docs))
 
 
 MIX_SQL = r"""

@@ -30,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import quoted, spare
+
 ROUNDS = 10
 KINDS = ("email", "ip", "date", "phone", "ssn", "card")
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -210,22 +212,23 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", undo: bool =
 
     The key is a secret of the caller's; a text without digits and @ isn't
     searched.  A null text stays null (counts 0), an empty one empty; texts are
-    treated whole, rows one by one, without a shuffle.  Columns of docs named
-    n_<kind> are replaced if counts are asked for.
+    treated whole, however long, rows one by one, without a shuffle; repeated rows
+    alike.  Columns of docs named n_<kind> are replaced if counts are asked for; other
+    columns stay as they are, whatever their names.  An empty table gives no rows.
     """
     text = F.col(text_col)
     hunted = text.rlike("[0-9@]")
-    spare = "_found"
-    out = docs.withColumn(spare, F.when(hunted, _found(text, key, undo)))
+    found = spare(docs, "found")
+    out = docs.withColumn(found, F.when(hunted, _found(text, key, undo)))
     gaps = F.split(text, ANY, -1)
-    new = F.zip_with(gaps, F.col(spare), lambda gap, f: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(f["new"], f["old"], F.lit(""))))
-    out = out.withColumn(text_col, F.when(F.size(F.col(spare)) > 0, F.array_join(new, "")).otherwise(text))
+    new = F.zip_with(gaps, F.col(found), lambda gap, f: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(f["new"], f["old"], F.lit(""))))
+    out = out.withColumn(text_col, F.when(F.size(F.col(found)) > 0, F.array_join(new, "")).otherwise(text))
     if counts:
         for k in KINDS:
-            n = F.size(F.filter(spare, _of_kind(k)))
-            out = out.withColumn(f"n_{k}", F.when(F.col(spare).isNull(), 0).otherwise(n).cast("long"))
+            n = F.size(F.filter(found, _of_kind(k)))
+            out = out.withColumn(f"n_{k}", F.when(F.col(found).isNull(), 0).otherwise(n).cast("long"))
     extra = [f"n_{k}" for k in KINDS if counts and f"n_{k}" not in docs.columns]
-    return out.select(*docs.columns, *extra)
+    return out.select(*quoted(docs), *extra)
 
 
 def reveal(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:

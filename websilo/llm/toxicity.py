@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Rolling, Words, sliced
+from .blocks import Words, sliced
+from .lineage import quoted, spare
 
 #: Fixed lists: names of groups that a sentence may mention neutrally, by kind, and the neutral word.
 IDENTITY_TERMS = (
@@ -36,7 +37,7 @@ VOCABULARY, LEAST_DOCS = 4096, 5
 def word_hash(words: list[str]) -> np.ndarray:
     """The hashes that texts' words get."""
     w = Words(pa.array(words, pa.string()))
-    return Rolling(w.data).ranges(w.starts, w.ends)
+    return w.hashes()
 
 
 def presence(column) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +45,7 @@ def presence(column) -> tuple[np.ndarray, np.ndarray]:
     w = Words(column)
     if not len(w):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = Rolling(w.data).ranges(w.starts, w.ends)
+    h = w.hashes()
     order = np.lexsort((h, w.doc))
     doc, h = w.doc[order], h[order]
     once = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))
@@ -166,16 +167,17 @@ def with_scores(docs: DataFrame, model: Model, name: str = "score", keep: list[s
     from pyspark.sql import types as T
 
     keep = [c for c in (keep if keep is not None else docs.columns) if c != name]
-    given = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    schema = T.StructType([f for c in keep for f in given.schema if f.name == c] + [T.StructField(name, T.DoubleType())])
+    given = docs.select(*["`" + c.replace("`", "``") + "`" for c in keep], F.col("text"))
+    plain = [f"c{i}" for i in range(len(keep))]  # mapInArrow takes no names with dots
+    kinds = [f.dataType for f in given.schema][: len(keep)]
+    schema = T.StructType([*map(T.StructField, plain, kinds), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in sliced(batches, "text"):
-            at = batch.schema.get_field_index
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(at(c)) for c in keep] + [pa.array(model.scores(batch.column(at("text"))))], names=[*keep, name])
+            scores = model.scores(batch.column(len(plain)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(plain)], pa.array(scores)], names=[*plain, "score"])
 
-    return given.mapInArrow(run, schema)
+    return given.toDF(*plain, "text").mapInArrow(run, schema).toDF(*keep, name)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
@@ -187,5 +189,6 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFr
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
-    """The rows whose score is under 0.5, with the columns of docs."""
-    return with_scores(docs, train(docs, labels, fold), name="_score").where(F.col("_score") < 0.5).select(*docs.columns)
+    """The rows whose score is under 0.5, with the columns of docs as they are, whatever their names."""
+    name = spare(docs, "score")
+    return with_scores(docs, train(docs, labels, fold), name=name).where(F.col(name) < 0.5).select(*quoted(docs))
