@@ -9,8 +9,10 @@ coordinates hold most of the length, and a partial sum over those plus the
 product of the residual lengths bounds every score from above.  Only pairs whose
 bound reaches the query's threshold are scored, in whole numbers.
 
-Queries meet blocks of candidates on a (block, query group) grid, so no task
-holds more than one block and one group.
+Queries meet blocks of candidates on a grid of blocks and query groups, so no task
+holds more than one block and one group.  Queries that need few blocks, by the ratio
+of threshold to length, are in groups of their own, and a block goes only to groups
+with a query that reaches it.
 """
 
 from __future__ import annotations
@@ -20,22 +22,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Rows that fit the rotation and the first thresholds; results don't depend on them.
 SAMPLE_ROWS, FIRST_ROWS = 4096, 2048
-BLOCK_ROWS = (1024, 32768)
-LARGEST = 1 << 24  # whole-number components are held within +-2**24
+BLOCK_ROWS, GROUP_ROWS = (1024, 32768), (2048, 16384)
+#: Ranges of length that blocks are cut by; with more blocks, a range is dealt into several by a hash.
+RANGES = 512
 
 
 def whole_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int = 64) -> DataFrame:
     """(vec_id, v, n2): floor(scale * x) of each component as long, and the squared length.
 
     Null vectors, vectors with null or non-finite components and rows without an
-    id are left out; an empty vector scores 0 with all.
+    id are left out; an empty vector scores 0 with all.  Components stay whole, whatever
+    their size.
     """
     x = F.col(vector_col)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
-    held = lambda c: F.greatest(F.least(F.floor(c.cast("double") * scale), F.lit(LARGEST)), F.lit(-LARGEST)).cast("long")
-    v = F.transform(x, held)
+    v = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
     return (
         rows.where(F.col(id_col).isNotNull() & x.isNotNull()).where(F.coalesce(finite, F.lit(False)))
         .select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
@@ -121,11 +126,16 @@ def top_inner_products(rows: DataFrame, k: int = 20, every: int = 20, head: int
 
     Queries: rows whose id is divisible by ``every``; candidates: every row with
     another id, repeated rows each for itself.  Query rows equal in id and vector
-    are answered once.  Vectors of unequal length are filled with zeros.
+    are answered once.  Vectors of unequal length are filled with zeros.  Scores are
+    exact; vectors so long that a score might not fit a long raise an error.  Other
+    columns of rows play no part, whatever their names.  An empty table gives no rows.
     """
     every_row = whole_vectors(rows, id_col, vector_col, scale)
-    n, dim, n_queries = every_row.agg(
-        F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
+    n, dim, n_queries, most = every_row.agg(
+        F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count(F.when(F.col("vec_id") % every == 0, 1)),
+        F.coalesce(F.max("n2"), F.lit(0.0))).first()
+    if most > 2.0**63 * 0.999:  # no score is above the largest squared length
+        raise ValueError("inner products of these vectors don't fit a long: scale them down")
     dim = max(int(dim), 1)
     head = min(head, dim)
     part = every_row.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_ROWS / max(n, 1))))
@@ -137,18 +147,22 @@ def top_inner_products(rows: DataFrame, k: int = 20, every: int = 20, head: int
 
     block_rows = int(np.clip(n // 24, *BLOCK_ROWS))
     n_blocks = max(1, -(-int(n) // block_rows))
-    n_groups = max(1, -(-int(n_queries) // 2048))
-    borders = []
-    if n_blocks > 1:
-        cuts = [1.0 - i / n_blocks for i in range(1, n_blocks)]
-        borders = list(every_row.agg(F.percentile_approx("n2", cuts, 100 * n_blocks)).first()[0])
-    edges = F.array(*[F.lit(float(b)) for b in borders]) if borders else F.array().cast("array<double>")
-    n2 = F.col("n2")
+    n_groups = max(1, -(-int(n_queries) // int(np.clip(n_queries // 16, *GROUP_ROWS))))
+    n_ranges = min(n_blocks, RANGES)
+    parts = -(-n_blocks // n_ranges)
+
+    def borders(df, column, cuts: list[float]):
+        edges = df.agg(F.percentile_approx(column, cuts, 100 * len(cuts))).first()[0] if cuts else None
+        return F.array(*[F.lit(float(b)) for b in edges]) if edges else F.array().cast("array<double>")
+
+    edges = borders(every_row, "n2", [1.0 - i / n_ranges for i in range(1, n_ranges)])
+    n2, spread = F.col("n2"), F.xxhash64("vec_id", "v")
     above = F.size(F.filter(edges, lambda b: b > n2))
     equal = F.size(F.filter(edges, lambda b: b == n2))
-    blocks = every_row.withColumn("block", (above + F.pmod(F.xxhash64("vec_id", "v"), equal + 1)).cast("int"))
-    longest_of = {r["block"]: r["m"] for r in blocks.groupBy("block").agg(F.max("n2").alias("m")).collect()}
-    reach = F.array(*[F.lit(float(longest_of.get(i, -1.0))) for i in range(n_blocks)])
+    blocks = every_row.withColumn("range", (above + F.pmod(spread, equal + 1)).cast("int")).withColumn(
+        "block", (F.col("range") * parts + F.pmod(F.shiftright(spread, 20), F.lit(parts))).cast("int"))
+    longest_of = {r["range"]: r["m"] for r in blocks.groupBy("range").agg(F.max("n2").alias("m")).collect()}
+    reach = F.array(*[F.lit(float(longest_of.get(i, -1.0))) for i in range(n_ranges)])
 
     shared = rows.sparkSession.sparkContext.broadcast(first)
 
@@ -161,11 +175,19 @@ def top_inner_products(rows: DataFrame, k: int = 20, every: int = 20, head: int
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.float64())], names=[*batch.schema.names, "least"])
 
     queries = every_row.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    queries = queries.mapInArrow(thresholds, "vec_id long, v array<bigint>, n2 double, least double")
+    queries = cut(queries.mapInArrow(thresholds, "vec_id long, v array<bigint>, n2 double, least double"))
     far = lambda r, i: (r >= 0) & (F.col("least").isNull() | (F.sqrt(F.col("n2") * r) * (1 + 1e-9) + 1e-6 >= F.col("least")))
     to = F.filter(F.transform(reach, lambda r, i: F.when(far(r, i), i)), lambda i: i.isNotNull())
-    left = queries.withColumn("block", F.explode(to)).withColumn("query_group", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_groups)).cast("int"))
-    right = blocks.withColumn("query_group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    # queries that need few blocks stand together
+    ratio = F.coalesce(F.col("least") / F.sqrt("n2"), F.lit(float("-inf")))
+    need = borders(queries.where(ratio > float("-inf")), ratio, [i / n_groups for i in range(1, n_groups)])
+    group = F.size(F.filter(need, lambda b: b < ratio))
+    tied = F.size(F.filter(need, lambda b: b == ratio))
+    grouped = queries.withColumn("query_group", (group + F.pmod(spread, tied + 1)).cast("int"))
+    left = grouped.withColumn("range", F.explode(to)).withColumn(
+        "block", F.explode(F.sequence(F.col("range") * parts, F.col("range") * parts + parts - 1))).drop("range")
+    wanted = left.select(F.col("block").alias("to"), F.col("query_group").alias("asking")).distinct()
+    right = blocks.join(wanted, F.col("block") == F.col("to")).select("vec_id", "v", F.col("to").alias("block"), F.col("asking").alias("query_group"))
 
     def meet(key, qs, cs):
         out = pa.schema([("query_id", pa.int64()), ("qv", pa.list_(pa.int64())), ("vec_id", pa.int64()), ("score", pa.int64())])
