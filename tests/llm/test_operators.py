@@ -354,6 +354,25 @@ def test_topk(spark):
     assert topk.top_inner_products(df.limit(0)).count() == 0
 
 
+def test_topk_of_large_components_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", (16, 16))
+    monkeypatch.setattr(topk, "GROUP_ROWS", (4, 4))
+    monkeypatch.setattr(topk, "RANGES", 5)
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.standard_normal(8) * 10.0 ** (i % 7)]) for i in range(400)] + [(900, [400000.0] + [0.0] * 7), (901, [300000.0] + [0.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in topk.top_inner_products(df).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["vec_id"], x["score"]))
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    for q, v in whole:
+        if q % 20 == 0:
+            want = sorted(((-sum(a * b for a, b in zip(v, c)), i) for i, c in whole if i != q))[:20]
+            assert got[q] == [(i, -s) for s, i in want]
+    with pytest.raises(ValueError):
+        topk.top_inner_products(spark.createDataFrame([(1, [1e12])], "vec_id long, embedding array<double>"))
+
+
 # ---- language model
 
 def test_gradients_and_each_token_scored_once():
@@ -472,6 +491,39 @@ def test_toxicity(spark):
     assert toxicity.toxicity_report(docs.limit(0), labels).count() == 0
 
 
+def test_counterfactual_gradient():
+    r = np.random.default_rng(1)
+    rows = [(int(r.integers(0, 2)), np.unique(r.integers(0, 12, 5))) for _ in range(20)] + [(1, np.zeros(0, int))]
+    x = toxicity.Examples.of(rows, {2: [3, 4], 7: [4]})
+    assert set(x.copy_of.tolist()) == set(range(21)) and (x.out[x.copy_of == 20] == -1).all()
+    w, c = r.standard_normal(12), 0.3
+    _, g = x.loss(w, c, 4.0, 0.1)
+    for i in range(13):
+        d = np.eye(13)[i] * 1e-6
+        slope = (x.loss(w + d[:12], c + d[12], 4.0, 0.1)[0] - x.loss(w - d[:12], c - d[12], 4.0, 0.1)[0]) / 2e-6
+        assert abs(slope - g[i]) < 1e-6
+
+
+def test_counterfactual_penalty_on_held_out_mentions(spark):
+    r = random.Random(9)
+    voc = [f"w{i}" for i in range(100)]
+    texts, toxic = [], []
+    for i in range(800):
+        bad = i % 4 == 0
+        t = r.choices(voc, k=20) + (["slur"] if bad and i % 8 == 0 else []) + (["muslim"] if bad and r.random() < 0.8 else [])
+        texts.append(" ".join(t))
+        toxic.append(int(bad))
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)] * 2, "doc_id long, quality int, toxic int")
+    held = [t.replace(" muslim", "") for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 == 0]
+    change = {}
+    for penalty in (0.0, 4.0):
+        model = toxicity.train(docs, labels, penalty=penalty)
+        with_name, without = model.scores(pa.array([t + " muslim" for t in held])), model.scores(pa.array(held))
+        change[penalty] = np.abs(with_name - without).mean()
+    assert change[4.0] < 0.05 and change[4.0] < change[0.0] / 2, change
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -2,10 +2,11 @@
 
 A logistic model over the presence of words.  Word counts by class choose the
 vocabulary (Spark), the bounded training rows carry only chosen words to the
-driver, and NumPy fits the weights.  For every training text that names a group,
-copies with the name swapped for another one, or for a neutral word, must get the
-same score: the squared change is part of the loss.  So a mention by itself
-can't raise a score.
+driver, and NumPy fits the weights.  Every training text has counterfactual copies: if
+it names groups, with each name swapped for others of its kind or for a neutral word; if
+it names none, with a name put in.  A copy has its text's label, and the squared change
+of score between a text and its copies is part of the loss, too.  So a mention by
+itself can't raise a score, whether or not the training texts hold any.
 """
 
 from __future__ import annotations
@@ -68,31 +69,62 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(logit, -500, 500)))
 
 
+@dataclass
+class Examples:
+    """Labelled rows as (row, word) pairs, and their copies: in copy k of row copy_of[k], word out[k] (-1: none) gives way to word into[k]."""
+
+    y: np.ndarray
+    owner: np.ndarray
+    word: np.ndarray
+    copy_of: np.ndarray
+    out: np.ndarray
+    into: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, np.ndarray]], swaps: dict[int, list[int]]) -> Examples:
+        y = np.array([label for label, _ in rows], float)
+        owner = np.repeat(np.arange(len(rows)), [len(x) for _, x in rows])
+        word = np.concatenate([x for _, x in rows]).astype(np.int64) if len(owner) else np.zeros(0, np.int64)
+        names, copies = sorted(swaps), []
+        for i, (_, x) in enumerate(rows):
+            mine = [int(a) for a in x if int(a) in swaps]
+            copies += [(i, a, b) for a in mine for b in swaps[a]]
+            if not mine and names:
+                copies.append((i, -1, names[i % len(names)]))
+        at = np.array(copies, np.int64).reshape(-1, 3)
+        return cls(y, owner, word, at[:, 0], at[:, 1], at[:, 2])
+
+    def loss(self, w: np.ndarray, c: float, penalty: float, ridge: float) -> tuple[float, np.ndarray]:
+        """Loss and gradient (of the bias at last): mean log loss of rows and of copies, the penalty, and a ridge."""
+        n, k, n_words = len(self.y), max(len(self.copy_of), 1), len(w)
+        kept = self.out >= 0
+        change = w[self.into] - np.where(kept, w[np.maximum(self.out, 0)], 0.0)
+        z = c + np.bincount(self.owner, w[self.word], n)
+        z_copy, y_copy = z[self.copy_of] + change, self.y[self.copy_of]
+        loss = (np.logaddexp(0, z) - self.y * z).mean() + (np.logaddexp(0, z_copy) - y_copy * z_copy).sum() / k
+        loss += penalty * (change**2).sum() / k + ridge / 2 * (w**2).sum() / n**0.5
+        off_copy = (_logistic(z_copy) - y_copy) / k
+        off = (_logistic(z) - self.y) / n + np.bincount(self.copy_of, off_copy, n)
+        moved = off_copy + 2 * penalty * change / k
+        g = np.bincount(self.word, off[self.owner], n_words) + ridge * w / n**0.5
+        g += np.bincount(self.into, moved, n_words) - np.bincount(self.out[kept], moved[kept], n_words)
+        return float(loss), np.append(g, off.sum())
+
+
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+
+
 def fit(rows: list[tuple[int, np.ndarray]], n_words: int, swaps: dict[int, list[int]],
         penalty: float = 4.0, ridge: float = 0.02, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """(weights, bias) for (label, word numbers) rows; swaps: identity word number -> the words it is swapped for.
-
-    Loss: mean log loss, plus penalty times the mean squared change of the score
-    over all swapped copies, plus a ridge.
-    """
-    y = np.array([label for label, _ in rows], float)
-    if not len(y):
+    """(weights, bias) for (label, word numbers) rows; swaps: identity word number -> the words it is swapped for."""
+    x = Examples.of(rows, swaps)
+    if not len(x.y):
         return np.zeros(n_words), -4.0
-    owner = np.repeat(np.arange(len(rows)), [len(x) for _, x in rows])
-    word = np.concatenate([x for _, x in rows]).astype(np.int64) if len(owner) else np.zeros(0, np.int64)
-    # a swapped copy changes one word's presence for another's, so its change of score is w[a] - w[b]
-    pairs = [(int(a), b) for _, x in rows for a in x if int(a) in swaps for b in swaps[int(a)]]
-    a, b = (np.array(p, np.int64) for p in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
-    w, c = np.zeros(n_words), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    w, c = np.zeros(n_words), float(np.log((x.y.sum() + 0.5) / (len(x.y) - x.y.sum() + 0.5)))
     m, v = np.zeros(n_words + 1), np.zeros(n_words + 1)
     for t in range(1, steps + 1):
-        p = 1.0 / (1.0 + np.exp(-np.clip(c + np.bincount(owner, w[word], len(y)), -500, 500)))
-        off = (p - y) / len(y)
-        g = np.bincount(word, off[owner], n_words) + ridge * w / len(y) ** 0.5
-        if len(a):
-            d = 2 * penalty * (w[a] - w[b]) / len(a)
-            g += np.bincount(a, d, n_words) - np.bincount(b, d, n_words)
-        g = np.append(g, off.sum())
+        g = x.loss(w, c, penalty, ridge)[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, c = w - step[:-1], c - step[-1]
@@ -102,7 +134,7 @@ def fit(rows: list[tuple[int, np.ndarray]], n_words: int, swaps: dict[int, list[
 def _learning_rows(docs: DataFrame, labels: DataFrame, fold: int, max_rows: int) -> DataFrame:
     """(doc_id, toxic, text) of at most about max_rows labelled rows outside the held-out fold."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(
-        F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != 0))
+        F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = usable.count()
     if n > max_rows:
         usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("rows")), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
@@ -111,8 +143,12 @@ def _learning_rows(docs: DataFrame, labels: DataFrame, fold: int, max_rows: int)
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int = 5, max_rows: int = MAX_ROWS,
-          terms=IDENTITY_TERMS, neutral: str = NEUTRAL) -> Model:
-    """A model of labels.toxic from labelled rows whose crc32(doc_id as text) mod fold isn't 0."""
+          terms=IDENTITY_TERMS, neutral: str = NEUTRAL, penalty: float = 4.0) -> Model:
+    """A model of labels.toxic from labelled rows whose crc32(doc_id as text) mod fold isn't 0.
+
+    Labels of the same document count once, as 1 if any is; other labels than 0 and 1, and
+    null ids, don't count.  Without labels, all texts score alike, and low.
+    """
     rows = _learning_rows(docs, labels, fold, max_rows)
 
     def words_of(batches):
@@ -158,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, max_rows: int = MAX
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = rows.select("doc_id", "toxic", "text").mapInArrow(chosen_of, f"doc_id {kind}, toxic int, words binary").collect()
     got.sort(key=lambda r: (str(r["doc_id"]), r["toxic"], bytes(r["words"])))
-    weights, bias = fit([(r["toxic"], np.frombuffer(r["words"], np.int32)) for r in got], len(vocabulary), swaps)
+    weights, bias = fit([(r["toxic"], np.frombuffer(r["words"], np.int32)) for r in got], len(vocabulary), swaps, penalty)
     return Model(vocabulary, weights, bias)
 
 
@@ -181,7 +217,12 @@ def with_scores(docs: DataFrame, model: Model, name: str = "score", keep: list[s
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; held_out: crc32(doc_id as text) mod fold is 0."""
+    """(doc_id, held_out, score, predicted) of every row; held_out: crc32(doc_id as text) mod fold is 0 (null id: no).
+
+    Texts are taken whole, repeated rows score alike; null and empty texts get the score of
+    no words.  A score of 0.5 is predicted as 1.  Other columns than doc_id and text play no
+    part, whatever their names.  An empty table gives no rows.
+    """
     scored = with_scores(docs, train(docs, labels, fold), keep=["doc_id"])
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold
     return scored.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score",
