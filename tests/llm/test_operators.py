@@ -412,7 +412,7 @@ def naive_score(p, v, tokens):
         past = [p["E"][v.inputs[x]].astype(float) for x in seen[-attention.REACH:]][::-1]
         a = np.exp([past[0] @ (e @ p["m"]) + p["b"][k] for k, e in enumerate(past)])
         h = np.maximum(past[0] + sum(w * (e @ p["v"]) for w, e in zip(a / a.sum(), past)), 0)
-        z = h @ p["U"] + p["c"]
+        z = h @ p["U"] + p["c"] + v.starts(np.array([seen[-1]]))[0]
         cls, group = v.outputs[t], v.groups[seen[-1]]
         members = [x for x in range(len(v.outputs)) if v.outputs[x] == cls]
         n = lambda x: float(v.pairs[group, v.inputs[x]]) if len(members) > 1 and v.inputs[x] < attention.INPUTS - 64 else 0.0
@@ -429,7 +429,9 @@ def test_scores_equal_a_naive_forward_pass():
     before, token = r.integers(0, 302, 5000), r.integers(0, 301, 5000)
     at = vocab.place(before, token)
     np.add.at(counts.reshape(-1), at[at >= 0], 1)
-    vocab, p = vocab.with_pairs(counts), attention.initial(vocab)
+    classes = np.zeros((attention.AFTER, attention.CLASSES))
+    np.add.at(classes, (vocab.groups[before], vocab.outputs[token]), 1)
+    vocab, p = vocab.with_pairs(counts, classes), attention.initial(vocab)
     texts = [r.integers(0, 301, n) for n in (1, 2, 40, 97)]
     got = attention.Scorer(p, vocab).texts(np.concatenate(texts), np.array([len(t) for t in texts]))
     assert np.allclose(got, [naive_score(p, vocab, t.tolist()) for t in texts], rtol=1e-4)

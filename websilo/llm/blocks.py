@@ -52,34 +52,35 @@ def sliced(batches, column: str = "text", max_bytes: int = 4 << 20) -> Iterator[
 class Words:
     """Words of a block of texts.
 
-    ``data``: the texts with one space before every word and after every text's
-    last word, separators collapsed.  ``starts``: where each word starts in
+    ``data``: the texts with one space before every word and after the last one,
+    separators collapsed (unless ``collapse`` is false: then as they stand).  ``starts``: where each word starts in
     ``data``; ``ends``; ``doc``: the text of each word; ``count``: words of each
     text; ``first``: index of each text's first word.
     """
 
-    def __init__(self, column, table: np.ndarray = WORD_TABLE):
+    def __init__(self, column, table: np.ndarray = WORD_TABLE, collapse: bool = True):
         raw, offsets = flat(column)
         n = len(offsets) - 1
-        # one separator after each text keeps words of different texts apart
+        # a separator before the first text and after each keeps words of different texts apart
         data = np.full(len(raw) + n + 1, SPACE, np.uint8)
-        shift = np.repeat(np.arange(1, n + 1), np.diff(offsets))
-        data[np.arange(len(raw)) + shift] = table[raw]
-        ends = offsets[1:] + np.arange(1, n + 1)  # each text's closing separator
+        inside = np.ones(len(data), bool)
+        borders = offsets + np.arange(n + 1)
+        inside[borders] = False
+        data[inside] = table[raw]
         word = data != SPACE
-        begins = word.copy()
-        begins[1:] &= ~word[:-1]
-        keep = word.copy()
-        keep[:-1] |= word[1:]  # the separator just before a word stays
-        starts = np.flatnonzero(begins)
-        self.count = np.diff(np.searchsorted(starts, ends), prepend=0)
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1  # words begin and end in turn
+        self.starts, self.ends = edge[::2], edge[1::2]
+        self.count = np.diff(np.searchsorted(self.starts, borders))
         self.first = np.cumsum(self.count) - self.count
         self.doc = np.repeat(np.arange(n), self.count)
-        place = np.cumsum(keep)
-        self.data = np.append(data[keep], np.uint8(SPACE))
-        self.starts = place[starts] - 1
-        self.ends = np.append(self.starts[1:] - 1, len(self.data) - 1)[: len(starts)]
-        self.n_docs = n
+        self.data, self.n_docs = data, n
+        if collapse:
+            keep = word.copy()
+            keep[:-1] |= word[1:]  # the separator just before a word stays
+            self.data = np.append(data[keep], np.uint8(SPACE))
+            size = self.ends - self.starts
+            self.ends = np.cumsum(size + 1)
+            self.starts = self.ends - size
 
     def __len__(self) -> int:
         return len(self.starts)
