@@ -155,15 +155,36 @@ def stars(n_stars, copies, size=300, least=0.81):
     return texts
 
 
-@pytest.mark.parametrize("bucket, copies", [(256, 60), (2, 60)])
-def test_near_duplicates_of_stars(spark, monkeypatch, bucket, copies):
+@pytest.mark.parametrize("bucket, copies, many", [(256, 60, 4), (2, 60, 4), (2, 60, 0)])
+def test_near_duplicates_of_stars(spark, monkeypatch, bucket, copies, many):
     monkeypatch.setattr(neardup, "BUCKET", bucket)
+    monkeypatch.setattr(neardup, "MANY", many)  # 0: all pairs are verified within their bucket
     texts = stars(2, copies)
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
     want = brute_classes(texts)
     assert len(set(want.values())) == 2 and got == want
 
 
+def test_pairs_amid_texts_that_share_a_passage(spark):
+    r, texts = random.Random(3), []
+    passage = [f"p{k}" for k in range(150)]
+    for pair in range(150):  # 0.83 to each other, and 0.79 to all others
+        own = [f"q{pair}x{k}" for k in range(4)]
+        texts += [" ".join(passage + own + [f"z{pair}y{side}v{k}" for k in range(14)]) for side in (0, 1)]
+    r.shuffle(texts)
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == brute_classes(texts)
+
+
+def test_thue_morse_texts_are_not_copies(spark):
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), " ".join(word), " ".join(word.translate(str.maketrans("ab", "ba")))]
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == brute_classes(texts)
+    h = blocks.Words(pa.array(texts[:2])).hashes()
+    assert h[0] != h[1]
+
+
 def test_near_duplicates_of_repeated_and_missing_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (2, None)], "doc_id long, text string")
     assert sorted(map(str, (r["doc_id"] for r in neardup.keep_first(df).collect()))) == ["1", "2", "None"]

@@ -17,14 +17,14 @@ predecessors, and the ends of a large bucket's parts meet its first row.  Pairs
 signatures agree enough are verified on the texts, and verified links are joined into
 classes by label propagation with pointer jumping.
 
-Later rounds compare the signatures of all rows of a bucket whose classes differ.
+A second round compares the signatures of all rows of a bucket whose classes differ.
 Buckets of one class drop out; of a large one, parts meet each other, but for those of
 its largest class.  Every pair of rows of different classes that agree enough is
-verified; only where a meeting of two parts has more than MANY such pairs a row, each
-row is paired with its best partner of another class, and a further round follows,
-until those classes are joined or a last round verifies every pair that is left.  So
-classes are those of all pairs that share a band and agree enough, whatever the size
-of the bucket.
+verified.  Where a meeting of two parts has more than MANY such pairs a row, as among
+many texts that are not quite similar enough, no pairs leave it: the rows' shingles come
+to the meeting, all its pairs are verified there, and one link for each two classes
+leaves it.  So classes are those of all pairs that share a band and agree enough,
+whatever the size of the bucket.
 """
 
 from __future__ import annotations
@@ -224,80 +224,117 @@ def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cell(label, sig, side, cross: bool, whole: bool, step: int = 256):
-    """(i, j, all): places of rows of other classes that agree enough; all such pairs, or, of too many, each row's best."""
-    left, right = (np.flatnonzero(side == k) for k in (0, 1)) if cross else (np.arange(len(label)),) * 2
-    if not len(left) or not len(right):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), True
-    most = MANY * (len(left) + len(right))
-    every, n_every, all_of = [], 0, True
-    some, best, best_at = [], np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
-    for lo in range(0, len(left), step):
-        mine = left[lo : lo + step]
-        n = _agree(sig[mine], sig[right])
-        n = np.where((label[mine][:, None] != label[right]) & (n >= LEAST_AGREEMENT * TRAVELS), n, 0)
-        if all_of:
-            i, j = np.nonzero(n)
-            every.append((mine[i], right[j]))
-            n_every += len(i)
-            if n_every > most and not whole:
-                every, all_of = [], False
-        if whole:
+def _cells(batches):
+    """(columns, rows) of each cell, in which rows (key, i, j, side, rep, label, data) stand in order of (key, i, j)."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
             continue
-        j = n.argmax(axis=1)
-        i = np.flatnonzero(n[np.arange(len(mine)), j])
-        some.append((mine[i], right[j[i]]))
-        top = n.max(axis=0)
-        more = top > best
-        best[more], best_at[more] = top[more], mine[n.argmax(axis=0)[more]]
-    if all_of:
-        return *(np.concatenate(x) for x in zip(*every)), True
-    some.append((best_at[best > 0], right[best > 0]))
-    return *(np.concatenate(x) for x in zip(*some)), False
-
-
-def _unlike(whole: bool):
-    """Over rows (key, i, j, side, rep, label, sig), ordered by (key, i, j): pairs of other classes that agree enough.
-
-    A cell that doesn't give all of them gives a pair of a row with itself, too.
-    """
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in chain(batches, [None]):
-            if batch is not None and not batch.num_rows:
-                continue
-            if batch is None and not held:
-                return
-            table = pa.Table.from_batches([*held, *([] if batch is None else [batch])]).combine_chunks()
-            key, i, j, side, rep, label = (table.column(c).to_numpy() for c in ("key", "i", "j", "side", "rep", "label"))
-            heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-            # the last cell may go on in the next batch
-            done = len(key) if batch is None else int(heads[-1])
-            held = table.slice(done).to_batches()
-            sig = np.frombuffer(b"".join(table.column("sig").slice(0, done).to_pylist()), np.uint8).reshape(done, -1)
-            a, b = [], []
-            for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(key)]):
-                if hi > done or hi - lo < 2 or (label[lo:hi] == label[lo]).all():
-                    continue
-                x, y, all_of = _cell(label[lo:hi], sig[lo:hi], side[lo:hi], i[lo] != j[lo], whole)
-                a.append(np.minimum(rep[lo + x], rep[lo + y]))
-                b.append(np.maximum(rep[lo + x], rep[lo + y]))
-                if not all_of:
-                    a.append(rep[lo : lo + 1])
-                    b.append(rep[lo : lo + 1])
-            if a:
-                # a pair stands twice where both rows of it looked for a partner
-                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    return run
-
-
-def unlike_pairs(reps: DataFrame, met: DataFrame, labels: DataFrame, whole: bool) -> DataFrame:
-    """Distinct pairs (a < b) that share a bucket and agree enough, but are of different classes (id, label).
-
-    Unless whole, a meeting of two parts that has many gives some, and a pair (a, a).
-    """
+        if batch is None and not held:
+            return
+        table = pa.Table.from_batches([*held, *([] if batch is None else [batch])]).combine_chunks()
+        key, i, j, side, rep, label = (table.column(c).to_numpy() for c in ("key", "i", "j", "side", "rep", "label"))
+        heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        # the last cell may go on in the next batch
+        done = len(key) if batch is None else int(heads[-1])
+        held = table.slice(done).to_batches()
+        data = table.column("data").slice(0, done).to_pylist()
+        for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(key)]):
+            if hi <= done and hi - lo > 1 and not (label[lo:hi] == label[lo]).all():
+                cross = i[lo] != j[lo]
+                left, right = (np.flatnonzero(side[lo:hi] == k) for k in (0, 1)) if cross else (np.arange(hi - lo),) * 2
+                if len(left) and len(right):
+                    yield int(key[lo]), rep[lo:hi], label[lo:hi], data[lo:hi], left, right
+
+
+def _pairs_out(a, b, dense):
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if not dense else np.stack([a, b])
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.full(pairs.shape[1], dense))], names=["a", "b", "dense"])
+
+
+def _agreeing(batches, step: int = 256):
+    """Pairs of rows of other classes whose signatures agree enough; of a cell with too many, its key instead (dense)."""
+    for key, rep, label, data, left, right in _cells(batches):
+        sig = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
+        most, some = MANY * (len(left) + len(right)), []
+        for lo in range(0, len(left), step):
+            mine = left[lo : lo + step]
+            n = _agree(sig[mine], sig[right])
+            x, y = np.nonzero((label[mine][:, None] != label[right]) & (n >= LEAST_AGREEMENT * TRAVELS))
+            some.append((rep[mine[x]], rep[right[y]]))
+            most -= len(x)
+            if most < 0:
+                break
+        if most < 0:
+            yield _pairs_out(np.array([key]), np.array([0]), True)
+        else:
+            a, b = (np.concatenate(x) for x in zip(*some))
+            if len(a):
+                yield _pairs_out(a, b, False)
+
+
+def _elements(batches):
+    """(id, text) -> (rep, data): hashes of the shingles of a text, an element for each time that one occurs."""
+    for batch in sliced(batches, "text", 2 << 20):
+        doc, h, times = bags(*shingles(Words(batch.column("text"))))
+        owner, of = np.repeat(doc, times), np.repeat(h, times)
+        turn = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
+        with np.errstate(over="ignore"):
+            e = mix(of + _GOLD * turn.astype(np.uint64))
+        cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+        raw = e.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([raw[8 * a : 8 * b] for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["rep", "data"])
+
+
+def _linking(batches, step: int = 64):
+    """Links between rows of other classes, from their shingles: one for each two classes of a cell, and no more than join them."""
+    for _, rep, label, data, left, right in _cells(batches):
+        size = np.array([len(d) // 8 for d in data])
+        code = np.unique(np.frombuffer(b"".join(data), np.uint64), return_inverse=True)[1]
+        parent = {int(x): int(x) for x in np.unique(label)}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        # what all rows have counts for every pair, and what one has for none
+        n = np.bincount(code)
+        shared = int((n == len(data)).sum())
+        tell = (n > 1) & (n < len(data))
+        on = tell[code]
+        code, owner = (np.cumsum(tell) - 1)[code[on]], np.repeat(np.arange(len(data)), size)[on]
+        begin = np.searchsorted(owner, np.arange(len(data) + 1))
+        rows = right
+        some = np.flatnonzero(begin[rows + 1] > begin[rows])
+        given = np.concatenate([code[begin[r] : begin[r + 1]] for r in rows[some]]) if len(some) else code[:0]
+        width = (begin[1:] - begin[:-1])[rows[some]]
+        heads = np.cumsum(width) - width
+        a, b = [], []
+        for lo in range(0, len(left), step):
+            mine = left[lo : lo + step]
+            common = np.full((len(mine), len(rows)), shared, np.int64)
+            if len(some):
+                has = np.zeros((len(mine), int(tell.sum())), np.uint8)
+                for k, r in enumerate(mine):
+                    has[k, code[begin[r] : begin[r + 1]]] = 1
+                common[:, some] += np.add.reduceat(has[:, given], heads, axis=1, dtype=np.int32)
+            good = (common > 0) & (common >= SIMILAR * (size[mine][:, None] + size[rows] - common) - 1e-9)
+            x, y = np.nonzero(good & (label[mine][:, None] != label[rows]))
+            once = np.unique(np.stack([label[mine[x]], label[rows[y]]]), axis=1, return_index=True)[1] if len(x) else x
+            for u, v in zip(mine[x[once]].tolist(), rows[y[once]].tolist()):
+                p, q = root(int(label[u])), root(int(label[v]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    a.append(rep[u])
+                    b.append(rep[v])
+        if a:
+            yield _pairs_out(np.array(a), np.array(b), False)
+
+
+def cells(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, i, j, side, rep, label): the rows of each meeting of two parts of a bucket (of one with itself, i = j) of different classes."""
     rows = met.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("label", "rep").alias("label"))
     sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -313,12 +350,15 @@ def unlike_pairs(reps: DataFrame, met: DataFrame, labels: DataFrame, whole: bool
     part = F.when((F.col("many") > 0) & (F.col("label") == F.col("main")["label"]), F.col("few") + F.pmod(spread, F.greatest("many", F.lit(1))))
     rows = rows.withColumn("g", F.coalesce(part, F.pmod(spread, F.col("few"))).cast("int"))
     last = F.when(F.col("g") < F.col("few"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1
-    cells = rows.select("key", "rep", "label", "g", F.explode(F.sequence(F.lit(0), last)).alias("o")).select(
+    return rows.select("key", "rep", "label", "g", F.explode(F.sequence(F.lit(0), last)).alias("o")).select(
         "key", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), (F.col("g") > F.col("o")).cast("int").alias("side"), "rep", "label")
+
+
+def met_with(data: DataFrame, placed: DataFrame, judge, schema: str) -> DataFrame:
+    """What judge makes of cells, whose rows have the data (rep, data)."""
     return (
-        cells.join(reps.select("rep", "sig"), "rep").select("key", "i", "j", "side", "rep", "label", "sig")
-        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        .mapInArrow(_unlike(whole), "a long, b long").distinct()
+        placed.join(data, "rep").select("key", "i", "j", "side", "rep", "label", "data")
+        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(judge, schema)
     )
 
 
@@ -337,20 +377,17 @@ def linked(reps: DataFrame, texts: DataFrame) -> DataFrame:
     met = cut(bucket_rows(reps))
     texts = cut_table(texts.join(met.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
     tried = cut(verified(first_pairs(reps, met), texts))
-    labels = components(tried.where("good").select("a", "b"))
-    whole = False
-    while True:
-        pairs = unlike_pairs(reps, met, labels, whole).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        # a pair (a, a) says that there were more; its text is compared with itself
-        new = cut(verified(pairs, texts))
-        links, more = new.agg(F.count(F.when((F.col("a") != F.col("b")) & F.col("good"), 1)), F.count(F.when(F.col("a") == F.col("b"), 1))).first()
-        new = new.where("a <> b")
-        tried = tried.union(new)
-        if links:
-            labels = components(tried.where("good").select("a", "b"))
-        if not more:  # all pairs of different classes have been verified
-            return labels
-        whole = not links
+    links = tried.where("good").select("a", "b")
+    labels = components(links)
+    placed = cells(met, labels)
+    kind = "a long, b long, dense boolean"
+    unlike = cut(met_with(reps.select("rep", F.col("sig").alias("data")), placed, _agreeing, kind).distinct())
+    untried = unlike.where("not dense").select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    dense = placed.join(unlike.where("dense").select(F.col("a").alias("key")).distinct(), "key", "left_semi")
+    bags_of = texts.join(dense.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_elements, "rep long, data binary")
+    within = met_with(bags_of, dense, _linking, kind).select("a", "b")
+    more = cut(verified(untried, texts).where("good").select("a", "b").union(within).distinct())
+    return components(links.union(more)) if more.limit(1).count() else labels
 
 
 def components(edges: DataFrame) -> DataFrame:
