@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 PAIR = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))
 _PAIR = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
-_FIELD = re.compile(rb"([!#$%&'*+\-.0-9A-Z^_`a-z|~]+)[ \t]*:((?:[^\r\n]|\r?\n[ \t])*)\r?\n")
+_FIELD = re.compile(rb"([!#$%&'*+\-.0-9A-Z^_`a-z|~]+)[ \t]*:((?:[^\r\n]|\r?\n[ \t])*+)\r?\n")
 _FOLD = re.compile(rb"(?:\r?\n)[ \t]+")
 
 #: The fields of warcinfo and metadata blocks, and the DCMI metadata terms (the first fifteen
@@ -145,3 +145,35 @@ def dcmi_terms(spark) -> DataFrame:
     """(name, uri, is_element) of the DCMI terms."""
     rows = [(n, DCMI_TERMS_URI + n, n in DCMI_ELEMENTS) for n in sorted(DCMI_ELEMENTS + DCMI_FURTHER)]
     return spark.createDataFrame(rows, "name string, uri string, is_element boolean")
+
+
+def dcmi_term(name: Column) -> Column:
+    """struct(name, uri, is_element) of the DCMI term of a field name, in any case; null for others."""
+    terms = {n.lower(): n for n in DCMI_ELEMENTS + DCMI_FURTHER}
+    own = F.try_element_at(F.create_map(*[F.lit(x) for pair in terms.items() for x in pair]), F.lower(name))
+    return F.when(own.isNotNull(), F.struct(own.alias("name"), F.concat(F.lit(DCMI_TERMS_URI), own).alias("uri"), own.isin(*DCMI_ELEMENTS).alias("is_element")))
+
+
+def _some(values: dict[str, Column | None]) -> Column:
+    """Named fields of the values that are given and not null, in turn."""
+    parts = [F.struct(F.lit(n).alias("name"), c.cast("string").alias("value")) for n, c in values.items() if c is not None]
+    return F.filter(F.array(*parts), lambda f: f["value"].isNotNull()) if parts else F.array().cast("array<struct<name: string, value: string>>")
+
+
+def warcinfo_body(operator: tuple[Column, Column | None] | None = None, software: tuple[Column, Column | None] | None = None, robots: Column | None = None,
+                  hostname: Column | None = None, ip: Column | None = None, user_agent: Column | None = None, from_address: Column | None = None) -> Column:
+    """Fields of a warcinfo block: an operator is ``name <email>``, software ``name/version``; what is null is left out."""
+    def two(pair, between: str, after: str):
+        if pair is None:
+            return None
+        head, tail = pair
+        return head if tail is None else F.when(tail.isNull(), head).otherwise(F.concat(head, F.lit(between), tail, F.lit(after)))
+
+    return _some({"operator": two(operator, " <", ">"), "software": two(software, "/", ""), "robots": robots, "hostname": hostname, "ip": ip,
+                  "http-header-user-agent": user_agent, "http-header-from": from_address})
+
+
+def metadata_body(via: Column | None = None, hops_from_seed: Column | None = None, fetch_time: Column | None = None) -> Column:
+    """Fields of a metadata block; fetch_time in seconds, written in whole milliseconds."""
+    ms = None if fetch_time is None else F.floor(fetch_time.cast("decimal(18,6)") * 1000).cast("long")
+    return _some({"via": via, "hopsFromSeed": hops_from_seed, "fetchTimeMs": ms})

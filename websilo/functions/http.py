@@ -9,12 +9,15 @@ from pyspark.sql import types as T
 
 from .values import latin
 
-_HEAD = r"(?s)\A(.*?)\r\n\r\n"
+_LONGEST_HEAD = 1 << 20
 
 
 def head(body: Column) -> Column:
-    """The start line and fields, with folds joined, as ISO-8859-1 text; empty without the closing empty line."""
-    return F.regexp_replace(F.regexp_extract(latin(body), _HEAD, 1), "\r\n[ \t]+", " ")
+    """The start line and fields, with folds joined, as ISO-8859-1 text; empty without the closing empty line in the first MB."""
+    # most heads end early: a megabyte is only looked at where the first 8 KB have no end
+    first = latin(F.substring(body, 1, 8192))
+    text = F.when(F.instr(first, "\r\n\r\n") > 0, first).otherwise(latin(F.substring(body, 1, _LONGEST_HEAD)))
+    return F.regexp_replace(F.when(text.contains("\r\n\r\n"), F.substring_index(text, "\r\n\r\n", 1)).otherwise(F.when(text.isNotNull(), "")), "\r\n[ \t]+", " ")
 
 
 def status(body: Column) -> Column:
@@ -71,7 +74,7 @@ def entity_bytes(message: bytes) -> bytes:
     if not names:
         return body
     if [c.lower() for c in names] != ["chunked"]:
-        raise PayloadError(f"The HTTP message declares the transfer-coding `{codings.strip()}`, which this crate cannot remove.")
+        raise PayloadError(f"The HTTP message declares the transfer-coding `{codings.strip()}`: only chunked can be undone.")
     out, at = [], 0
     while True:
         end = body.find(b"\n", at)
@@ -146,23 +149,66 @@ def request_block(method: Column, target: Column, fields: Column, body: Column)
     return F.concat(F.concat(method, F.lit(" "), target, F.lit(" HTTP/1.1\r\n"), lines, F.lit("\r\n")).cast("binary"), body)
 
 
-#: Signatures of payload types, as hex prefixes.
-SIGNATURES = {
-    "89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "47494638": "image/gif", "25504446": "application/pdf",
-    "1F8B": "application/gzip", "504B0304": "application/zip",
-}
+#: Signatures of payload types, as (first byte, hex, type).
+SIGNATURES = (
+    (0, "89504E470D0A1A0A", "image/png"), (0, "FFD8FF", "image/jpeg"), (0, "47494638", "image/gif"), (0, "424D", "image/bmp"),
+    (0, "49492A00", "image/tiff"), (0, "4D4D002A", "image/tiff"), (8, "57454250", "image/webp"), (4, "6674797061766966", "image/avif"),
+    (0, "25504446", "application/pdf"), (0, "1F8B", "application/gzip"), (0, "504B0304", "application/zip"), (0, "425A68", "application/x-bzip2"),
+    (0, "FD377A585A00", "application/x-xz"), (0, "28B52FFD", "application/zstd"), (0, "377ABCAF271C", "application/x-7z-compressed"),
+    (0, "0061736D", "application/wasm"), (0, "7F454C46", "application/x-executable"), (0, "53514C69746520666F726D6174203300", "application/vnd.sqlite3"),
+    (0, "774F4646", "font/woff"), (0, "774F4632", "font/woff2"), (0, "4F54544F", "font/otf"), (0, "0001000000", "font/ttf"),
+    (0, "4F676753", "audio/ogg"), (0, "664C6143", "audio/flac"), (0, "494433", "audio/mpeg"), (8, "57415645", "audio/wav"),
+    (4, "66747970", "video/mp4"), (0, "1A45DFA3", "video/webm"), (8, "41564920", "video/avi"),
+)
 
 
 def payload_type(payload: Column, declared: Column, valid_json: Column) -> Column:
     """application/json if JSON is declared and valid; else by signature; text/plain for printable UTF-8; else null."""
-    start = F.hex(F.substring(payload, 1, 16))
+    start = F.hex(F.substring(payload, 1, 32))
     out = F.when(F.lower(declared).rlike(r"^[^;]*[/+]json\s*(?:;|$)") & valid_json, "application/json")
-    for signature, name in SIGNATURES.items():
-        out = out.when(start.startswith(signature), name)
+    for at, signature, name in SIGNATURES:
+        out = out.when(F.substring(start, 2 * at + 1, len(signature)) == signature, name)
     printable = ~latin(payload).rlike(r"[\x00-\x08\x0E-\x1A\x1C-\x1F]") & F.is_valid_utf8(payload.cast("string"))
     low = F.lower(F.ltrim(latin(F.substring(payload, 1, 256))))
-    return out.when((F.length(payload) > 0) & printable & low.rlike(r"^<(?:!doctype html|html)"), "text/html").when(
-        (F.length(payload) > 0) & printable, "text/plain")
+    some = (F.length(payload) > 0) & printable
+    return out.when(some & low.rlike(r"^<(?:!doctype html|html)"), "text/html").when(some & low.rlike(r"^<\?xml"), "application/xml").when(some, "text/plain")
+
+
+def declared_type(message: Column) -> Column:
+    """The first Content-Type of an HTTP message, folds joined; null if it declares none."""
+    return header(message, "Content-Type")
+
+
+def with_message_type(df: DataFrame, body: str = "body", into: str = "payload_type") -> DataFrame:
+    """df with the type of the payload of an HTTP message: of its entity body, whatever its chunking, and its own Content-Type."""
+    out = with_entity_body(df, body, "_entity")
+    payload = F.col("_entity")["body"]
+    return out.withColumn(into, F.when(payload.isNotNull(), payload_type(payload, declared_type(F.col(body)), strict_json(payload)))).drop("_entity")
+
+
+def body_framing(body: Column, is_request: Column, method: Column | None = None) -> Column:
+    """struct(kind, length, error): how a message's body ends: none, length, chunked, or with the connection (close).
+
+    ``method``: that of the request, for a response.  Transfer-Encoding outranks
+    Content-Length; lengths that differ are an error.
+    """
+    h = head(body)
+    fields = lambda n: F.transform(F.filter(F.split(h, "\r\n"), lambda line: F.lower(F.rtrim(F.substring_index(line, ":", 1))) == n),
+                                   lambda line: F.trim(F.regexp_replace(line, r"\A[^:]*+:", "")))
+    codings = F.filter(F.transform(F.split(F.array_join(fields("transfer-encoding"), ","), ","), lambda c: F.lower(F.trim(c))), lambda c: c != "")
+    lengths = F.array_distinct(F.filter(F.transform(F.split(F.array_join(fields("content-length"), ","), ","), lambda c: F.trim(c)), lambda c: c != ""))
+    n = F.when(F.try_element_at(lengths, F.lit(1)).rlike(r"\A[0-9]{1,19}\z"), F.try_element_at(lengths, F.lit(1))).try_cast("long")
+    code = status(body)
+    bare = ~is_request & (F.coalesce(method == "HEAD", F.lit(False)) if method is not None else F.lit(False)) | ~is_request & ((code < 200) | code.isin(204, 304))
+    made = lambda kind, length=None, error=None: F.struct(
+        F.lit(kind).cast("string").alias("kind"), (F.lit(None).cast("long") if length is None else length).alias("length"), F.lit(error).cast("string").alias("error"))
+    return (
+        F.when(F.coalesce(bare, F.lit(False)), made("none"))
+        .when(F.size(codings) > 0, F.when(F.element_at(codings, -1) == "chunked", made("chunked")).when(is_request, made(None, error="a request whose last transfer-coding is not chunked")).otherwise(made("close")))
+        .when(F.size(lengths) > 1, made(None, error="lengths that differ"))
+        .when((F.size(lengths) == 1) & n.isNull(), made(None, error="a length that is no number"))
+        .when(F.size(lengths) == 1, made("length", n)).when(is_request, made("none")).otherwise(made("close"))
+    )
 
 
 @F.arrow_udf(T.BooleanType())

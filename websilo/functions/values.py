@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 #: The characters of a token (RFC 2616), as a class.
 TOKEN = r"[!#$%&'*+\-.0-9A-Z^_`a-z|~]"
-_QUOTED = r'"(?:[^"\\\x00-\x08\x0A-\x1F\x7F]|\\[^\x00-\x08\x0A-\x1F\x7F])*"'
-_PARAMETER = rf"[ \t]*;[ \t]*{TOKEN}+=(?:{TOKEN}+|{_QUOTED})"
+#: Java's matcher goes one call deeper for each turn of a repeated group, so only classes of characters are repeated
+#: here, without backtracking: values may be a megabyte long.
+_CONTROL = r"\x00-\x08\x0A-\x1F\x7F"
+_QUOTED = rf'"[^"\\{_CONTROL}]*+"'
+_PARAMETER = rf"(?<![ \t])[ \t]*+;[ \t]*+{TOKEN}++=(?:{TOKEN}++|{_QUOTED})"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _H16 = r"[0-9A-Fa-f]{1,4}"
@@ -21,11 +24,10 @@ _IPV6 = "|".join(
     + [rf"(?:(?:{_H16}:){{0,{n}}}{_H16})?::(?:{_H16}:){{{4 - n}}}{_LS32}" for n in range(5)]
     + [rf"(?:(?:{_H16}:){{0,5}}{_H16})?::{_H16}", rf"(?:(?:{_H16}:){{0,6}}{_H16})?::"]
 )
-_PCHAR = r"(?:[A-Za-z0-9\-._~!$&'()*+,;=:@]|%[0-9A-Fa-f]{2})"
-_HOST = r"(?:\[[0-9A-Fa-fvV:.]+\]|(?:[A-Za-z0-9\-._~!$&'()*+,;=]|%[0-9A-Fa-f]{2})*)"
-_USER = r"(?:[A-Za-z0-9\-._~!$&'()*+,;=:]|%[0-9A-Fa-f]{2})*@"
-#: An RFC 3986 URI with a scheme.
-URI = rf"[A-Za-z][A-Za-z0-9+\-.]*:(?://(?:{_USER})?{_HOST}(?::[0-9]*)?(?:/{_PCHAR}*)*|/(?:{_PCHAR}+(?:/{_PCHAR}*)*)?|{_PCHAR}+(?:/{_PCHAR}*)*|)(?:\?(?:{_PCHAR}|[/?])*)?(?:#(?:{_PCHAR}|[/?])*)?"
+_NAME = r"A-Za-z0-9\-._~!$&'()*+,;=%"
+#: An RFC 3986 URI with a scheme, once its percent signs are known to be in order.
+URI = (rf"[A-Za-z][A-Za-z0-9+\-.]*+:(?://(?:[{_NAME}:]*+@)?(?:\[[0-9A-Fa-fvV:.]++\]|[{_NAME}]*+)(?::[0-9]*+)?(?:/[{_NAME}:@/]*+)?"
+       rf"|/(?:[{_NAME}:@][{_NAME}:@/]*+)?|[{_NAME}:@][{_NAME}:@/]*+|)(?:\?[{_NAME}:@/?]*+)?(?:#[{_NAME}:@/?]*+)?")
 
 
 def latin(b: Column) -> Column:
@@ -51,13 +53,13 @@ def utf8(text: Column) -> Column:
 
 
 def is_token(text: Column) -> Column:
-    return full(text, TOKEN + "+")
+    return full(text, TOKEN + "++")
 
 
 def bare_uri(text: Column) -> Column:
     """A URI without the angle brackets around it; null if it isn't one."""
     inner = F.when(text.startswith("<") & text.endswith(">") & (F.length(text) > 1), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
-    return F.when(full(inner, URI), inner)
+    return F.when(full(inner, URI) & ~inner.rlike("%(?![0-9A-Fa-f]{2})"), inner)
 
 
 def is_ip(text: Column) -> Column:
@@ -118,6 +120,33 @@ def show_date(d: Column, version: Column | str = "1.1") -> Column:
     return F.when(version == "1.0", second).otherwise(own.otherwise(second))
 
 
+def made_date(ts: Column, precision: Column | str, nanos: Column | None = None, digits: Column | int = 0) -> Column:
+    """A date struct of a timestamp and a precision: what is finer is cut off, and a fraction has one to nine digits.
+
+    ``nanos``: of the second; by default those of the timestamp.  Null outside the years 1 to 9999.
+    """
+    precision = F.lit(precision) if isinstance(precision, str) else precision
+    nanos = nanos if nanos is not None else F.pmod(F.unix_micros(ts), F.lit(1_000_000)) * 1000
+    n = F.when(precision == "fraction", F.least(F.greatest(F.lit(digits) if isinstance(digits, int) else digits, F.lit(1)), F.lit(9))).otherwise(0)
+    unit = F.when(precision == "fraction", "second").otherwise(precision)
+    whole = F.date_trunc("second", ts)
+    for name in ("minute", "day", "month", "year"):
+        whole = F.when(unit == name, F.date_trunc(name, ts)).otherwise(whole)
+    step = F.pow(F.lit(10), 9 - n).cast("long")
+    kept = F.when(precision == "fraction", nanos - F.pmod(nanos, step)).otherwise(0).cast("int")
+    bare = F.struct(whole.alias("ts"), kept.alias("nanos"), precision.alias("precision"), n.cast("int").alias("digits"))
+    known = precision.isin("year", "month", "day", "minute", "second", "fraction") & F.year(ts).between(1, 9999)
+    return F.when(known, let(bare, lambda d: F.struct(*[d[c].alias(c) for c in ("ts", "nanos", "precision", "digits")], show_date(d).alias("text"))))
+
+
+def date_of(ts: Column) -> Column:
+    """A date struct of a timestamp in the shortest form that keeps the instant: seconds, or as many digits as it needs."""
+    nanos = F.pmod(F.unix_micros(ts), F.lit(1_000_000)) * 1000
+    text = F.lpad(nanos.cast("string"), 9, "0")
+    digits = F.length(F.rtrim(text, F.lit("0")))
+    return made_date(ts, F.when(nanos == 0, "second").otherwise("fraction"), nanos, digits)
+
+
 _ALGORITHMS = {"md5": "md5", "sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256"}
 _SIZES = {"md5": 16, "sha1": 20, "sha256": 32}
 
@@ -130,10 +159,15 @@ def algorithm_of(label: Column) -> Column:
     return out
 
 
+def recommended_encoding(algorithm: Column) -> Column:
+    """base32 for sha1, base16 for others."""
+    return F.when(algorithm == "sha1", "base32").otherwise("base16")
+
+
 def digest(text: Column) -> Column:
     """struct(algorithm, label, value) of ``label:value``; null if it isn't a labelled digest."""
     label, value = F.substring_index(text, ":", 1), F.regexp_replace(text, r"\A[^:]*:", "")
-    good = text.contains(":") & is_token(label) & full(value, rf"(?:{TOKEN}|[=/])+")
+    good = text.contains(":") & is_token(label) & full(value, TOKEN[:-1] + "=/]++")
     return F.when(good, F.struct(algorithm_of(label).alias("algorithm"), label.alias("label"), value.alias("value")))
 
 
@@ -143,7 +177,7 @@ def digest_error(text: Column) -> Column:
     return (
         F.when(~text.contains(":"), q("not a labelled digest: no `:` separating algorithm from digest in `", text, "`"))
         .when(~is_token(label), q("not a labelled digest: `", label, "` is not an algorithm label"))
-        .when(~full(value, rf"(?:{TOKEN}|[=/])+"), q("not a labelled digest: `", value, "` is not a digest value"))
+        .when(~full(value, TOKEN[:-1] + "=/]++"), q("not a labelled digest: `", value, "` is not a digest value"))
     )
 
 
@@ -204,28 +238,61 @@ def digest_key(d: Column) -> Column:
     return F.concat(d["algorithm"], F.lit(":"), F.coalesce(F.lower(F.hex(decoded(d))), F.concat(F.lit("="), d["value"])))
 
 
+#: Characters of private use that stand for an escaped backslash, an escaped quote, and the backslash before another character.
+_SLASH, _QUOTE, _ESCAPE = "\uE002", "\uE001", "\uE000"
+
+
+def _masked(text: Column) -> Column:
+    """text with its escapes as characters of private use, so that quoted strings are runs of a class."""
+    text = F.regexp_replace(F.regexp_replace(text, r"\\\\", _SLASH), r'\\"', _QUOTE)
+    return F.regexp_replace(text, rf"\\([^{_CONTROL}])", _ESCAPE + "$1")
+
+
+def _unmasked(text: Column) -> Column:
+    return F.translate(text, _SLASH + _QUOTE + _ESCAPE, '\\"')
+
+
+def _shown(text: Column) -> Column:
+    """Masked text as it was."""
+    for c, was in ((_SLASH, "\\\\"), (_QUOTE, '\\"'), (_ESCAPE, "\\")):
+        text = F.replace(text, F.lit(c), F.lit(was))
+    return text
+
+
+_ESSENCE = rf"\A({TOKEN}++)/({TOKEN}++)"
+
+
+def _leftover(text: Column) -> Column:
+    """What stands in masked text behind type and subtype and isn't a parameter."""
+    return F.rtrim(F.regexp_replace(F.regexp_replace(text, _ESSENCE, ""), _PARAMETER, ""), F.lit(" \t"))
+
+
 def media_type(text: Column) -> Column:
     """struct(type, subtype, parameters array<struct<name, value>>); null if it isn't a media type."""
-    good = full(text, rf"{TOKEN}+/{TOKEN}+(?:{_PARAMETER})*[ \t]*")
-    essence = F.regexp_extract(text, rf"\A({TOKEN}+)/({TOKEN}+)", 1), F.regexp_extract(text, rf"\A({TOKEN}+)/({TOKEN}+)", 2)
-    raw = F.regexp_extract_all(text, F.lit(rf";[ \t]*({TOKEN}+=(?:{TOKEN}+|{_QUOTED}))"), F.lit(1))
+    def read(t: Column) -> Column:
+        good = t.rlike(_ESSENCE) & (_leftover(t) == "")
+        raw = F.regexp_extract_all(t, F.lit(_PARAMETER), F.lit(0))
 
-    def one(p: Column) -> Column:
-        value = F.regexp_replace(p, rf"\A{TOKEN}+=", "")
-        plain = F.regexp_replace(F.regexp_replace(value, r'\A"|"\z', ""), r"\\(.)", "$1")
-        return F.struct(F.substring_index(p, "=", 1).alias("name"), F.when(value.startswith('"'), plain).otherwise(value).alias("value"))
+        def one(p: Column) -> Column:
+            name = F.regexp_replace(F.substring_index(p, "=", 1), r"\A[ \t]*+;[ \t]*+", "")
+            value = F.regexp_replace(p, r"\A[^=]*+=", "")
+            plain = _unmasked(F.regexp_replace(value, r'\A"|"\z', ""))
+            return F.struct(name.alias("name"), F.when(value.startswith('"'), plain).otherwise(value).alias("value"))
 
-    return F.when(good, F.struct(essence[0].alias("type"), essence[1].alias("subtype"), F.transform(raw, one).alias("parameters")))
+        return F.when(good, F.struct(F.regexp_extract(t, _ESSENCE, 1).alias("type"), F.regexp_extract(t, _ESSENCE, 2).alias("subtype"),
+                                     F.transform(raw, one).alias("parameters")))
+
+    return let(_masked(text), read)
 
 
 def media_type_error(text: Column) -> Column:
     q = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
     essence = F.regexp_extract(text, r"\A([^;]*)", 1)
-    rest = F.regexp_replace(text, rf"\A{TOKEN}+/{TOKEN}+(?:{_PARAMETER})*[ \t]*", "")
+    rest = _leftover(_masked(text))
     return (
         F.when(~essence.contains("/"), q("not a media type: no `/` separating type from subtype in `", text, "`"))
-        .when(~full(trim_space(essence), rf"{TOKEN}+/{TOKEN}+"), q("not a media type: the type or subtype of `", text, "` is not a token"))
-        .when(rest != "", q("not a media type: `", trim_space(F.regexp_replace(rest, r"\A[ \t]*;", "")), "` is not a parameter, in `", text, "`"))
+        .when(~full(trim_space(essence), rf"{TOKEN}++/{TOKEN}++"), q("not a media type: the type or subtype of `", text, "` is not a token"))
+        .when(rest != "", q("not a media type: `", trim_space(_shown(F.regexp_replace(rest, r"\A[ \t]*;", ""))), "` is not a parameter, in `", text, "`"))
     )
 
 
@@ -241,9 +308,28 @@ def parameter(m: Column, name: str) -> Column:
 def text_value(text: Column) -> Column:
     """struct(content, quoted) of TEXT or a quoted string; null if it has control characters or ends badly."""
     quoted = text.startswith('"')
-    plain = F.regexp_replace(F.regexp_replace(text, r'\A"|"\z', ""), r"\\(.)", "$1")
-    good = F.when(quoted, full(text, _QUOTED)).otherwise(~text.rlike(r"[\x00-\x08\x0A-\x1F\x7F]"))
-    return F.when(good, F.struct(F.when(quoted, plain).otherwise(text).alias("content"), quoted.alias("quoted")))
+
+    def read(t: Column) -> Column:
+        good = F.when(quoted, full(t, _QUOTED)).otherwise(~text.rlike(f"[{_CONTROL}]"))
+        content = F.when(quoted, _unmasked(F.regexp_replace(t, r'\A"|"\z', ""))).otherwise(text)
+        return F.when(good, F.struct(content.alias("content"), quoted.alias("quoted")))
+
+    return let(_masked(text), read)
+
+
+def unquoted(text: Column) -> Column:
+    """struct(content, error, at) of a quoted string: its content without quotes and escapes, or what is wrong and at which byte."""
+    def read(t: Column) -> Column:
+        inner = F.regexp_extract(t, rf'\A"([^"\\{_CONTROL}]*+)', 1)
+        before = F.octet_length(_shown(inner)) + 1  # with the opening quote
+        after = F.substring(t, F.length(inner) + 2, F.length(t))
+        kind = (F.when(~t.startswith('"'), "no opening quote").when(after == "", "no closing quote")
+                .when(after.startswith("\\"), F.when(F.length(after) == 1, "no character behind a backslash").otherwise("control character"))
+                .when(~after.startswith('"'), "control character").when(F.length(after) > 1, "text behind the closing quote"))
+        at = F.when(kind == "no opening quote", 0).when(kind == "text behind the closing quote", before + 1).otherwise(before)
+        return F.struct(F.when(kind.isNull(), _unmasked(inner)).alias("content"), kind.alias("error"), F.when(kind.isNotNull(), at).cast("long").alias("at"))
+
+    return let(_masked(text), read)
 
 
 def record_type(token: Column) -> Column:
@@ -254,6 +340,14 @@ def truncation(token: Column) -> Column:
     return F.lower(token)
 
 
+def truncation_kind(token: Column, further: tuple[str, ...] = ()) -> Column:
+    """standard, extension (one of ``further``) or unknown."""
+    from ..schema import TRUNCATIONS
+
+    t = F.lower(token)
+    return F.when(t.isin(*TRUNCATIONS), "standard").when(t.isin(*[x.lower() for x in further]), "extension").when(t.isNotNull(), "unknown")
+
+
 def revisit_profile(uri: Column) -> Column:
     """identical-payload-digest, server-not-modified or other."""
     from ..schema import IDENTICAL, NOT_MODIFIED

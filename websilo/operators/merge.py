@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as v
+from ..storage import settled
 from .grammar import get, where_type
 
 #: Fields that don't make warcinfo records differ, and fields that refer to records.
@@ -60,7 +61,7 @@ def merge(raw: DataFrame) -> DataFrame:
     plan is one row for each warcinfo record; bodies are not shuffled for it.
     """
     plan = merge_plan(raw)
-    to = redirects(plan)
+    to = settled(redirects(plan))
     info = where_type(raw, "warcinfo")
     kept = info.select(F.col("file_seq").alias("keep_seq"), F.col("record_index").alias("keep_index"), "version", "headers", "content_length", "body")
     slots = plan.where("first").select("file_seq", "record_index", "keep_seq", "keep_index").join(kept, ["keep_seq", "keep_index"])
@@ -69,13 +70,13 @@ def merge(raw: DataFrame) -> DataFrame:
     return redirect(other.select(*columns).unionByName(slots.select(*columns)), to)
 
 
-def redirect(records: DataFrame, to: DataFrame, bound: int = 200_000) -> DataFrame:
+def redirect(records: DataFrame, to: DataFrame, bound: int = 1_000, most_bytes: int = 1 << 20) -> DataFrame:
     """records with references to ``record_id`` replaced by ``keep_id``; a small table is looked up in the row itself."""
     refers = [n.lower() for n in REFERENCES]
-    n = to.limit(bound + 1).count()
+    n, size = to.limit(bound + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("record_id") + F.coalesce(F.octet_length("keep_id"), F.lit(0))), F.lit(0))).first()
     if n == 0:
         return records
-    if n <= bound:  # a map of checked size, sent once
+    if n <= bound and size <= most_bytes:  # a map of checked size, sent once; it is searched in turn, so it is short
         table = F.broadcast(to.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("record_id", "keep_id"))).alias("_to")))
         new = lambda h: F.try_element_at(F.col("_to"), normal_id(h["value"]))
         changed = F.transform("headers", lambda h: F.struct(h["name"].alias("name"), F.when(

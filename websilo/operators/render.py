@@ -112,10 +112,12 @@ _EVENT = ("version", "record_type", "record_id", "date", "target_uri", "concurre
 
 def exchange(df: DataFrame, *, request: Column, response: Column, target_uri: Column, date: Column, ids: tuple[Column, Column, Column],
              warcinfo_id: Column | None = None, ip_address: Column | None = None, fetch_time_ms: Column | None = None,
-             revisit: dict[str, Column] | None = None, keep: list[str] | None = None) -> DataFrame:
+             revisit: dict[str, Column] | None = None, payload_digest: Column | None = None, truncated: Column | None = None,
+             keep: list[str] | None = None) -> DataFrame:
     """Two or three rows for each capture: its request, then response, then metadata if a fetch time is given.
 
-    Each names the one before in concurrent_to.  ``revisit``: profile, refers_to,
+    Each names the one before in concurrent_to.  Address, payload digest and reason of
+    truncation go to the response alone.  ``revisit``: profile, refers_to,
     refers_to_target_uri, refers_to_date and payload_digest of the original; then the
     second record is a revisit, and a head it keeps is declared truncated.
     """
@@ -125,7 +127,8 @@ def exchange(df: DataFrame, *, request: Column, response: Column, target_uri: Co
     request_id, response_id, metadata_id = ids
     rows = [base | {"record_type": F.lit("request"), "record_id": request_id, "content_type": F.lit(REQUEST_MEDIA_TYPE), "body": request}]
     second = base | {"record_type": F.lit("response"), "record_id": response_id, "concurrent_to": request_id,
-                     "content_type": F.lit(RESPONSE_MEDIA_TYPE), "body": response, "ip_address": null if ip_address is None else ip_address}
+                     "content_type": F.lit(RESPONSE_MEDIA_TYPE), "body": response, "ip_address": null if ip_address is None else ip_address,
+                     "payload_digest": null if payload_digest is None else payload_digest, "truncated": null if truncated is None else truncated}
     if revisit:
         some = F.length(response) > 0
         second |= {"record_type": F.lit("revisit"), "content_type": F.when(some, F.lit(RESPONSE_MEDIA_TYPE)),
@@ -137,3 +140,12 @@ def exchange(df: DataFrame, *, request: Column, response: Column, target_uri: Co
                             "content_type": F.lit(FIELDS_MEDIA_TYPE), "body": body})
     structs = [F.struct(*[(r[n].cast("binary") if n == "body" else r[n]).alias(n) for n in _EVENT]) for r in rows]
     return df.select(*(keep or []), F.posexplode(F.array(*structs)).alias("seq", "r")).select(*(keep or []), "seq", *[F.col("r")[n].alias(n) for n in _EVENT])
+
+
+def revisit_original(records: DataFrame, profile: Column | str) -> DataFrame:
+    """(profile, refers_to, refers_to_target_uri, refers_to_date, payload_digest) of readable responses and revisits, as exchange's ``revisit`` takes them."""
+    profile = F.lit(profile) if isinstance(profile, str) else profile
+    digest = F.concat(F.col("payload_digest")["label"], F.lit(":"), F.col("payload_digest")["value"])
+    return records.where(F.col("error").isNull() & F.col("record_type").isin("response", "revisit")).select(
+        profile.alias("profile"), F.col("record_id").alias("refers_to"), F.col("target_uri").alias("refers_to_target_uri"),
+        F.col("date")["text"].alias("refers_to_date"), digest.alias("payload_digest"))

@@ -22,6 +22,13 @@ class Extension:
     truncations: tuple[str, ...] = ()
     fields: dict[str, tuple[str, ...]] = dataclass_field(default_factory=dict)
 
+    def claim(self, unrecognized: Column, record_type: Column) -> Column:
+        """struct(claimed, left): the unrecognized fields that this vocabulary has for a type, and the others."""
+        names = F.coalesce(F.lit(None).cast("array<string>"), *[
+            F.when(record_type == kind, F.array(*[F.lit(n.lower()) for n in own]).cast("array<string>")) for kind, own in self.fields.items()], F.array().cast("array<string>"))
+        ours = lambda f: F.array_contains(names, F.lower(f["name"]))
+        return F.struct(F.filter(unrecognized, ours).alias("claimed"), F.filter(unrecognized, lambda f: ~ours(f)).alias("left"))
+
 
 def field(name: str) -> Column:
     """The first value of a standard field, from the struct that to_semantic_header makes once."""
@@ -136,11 +143,28 @@ def to_semantic(untyped: DataFrame, extension: Extension = Extension()) -> DataF
     return with_body(to_semantic_header(untyped, extension))
 
 
+def where_untyped(raw: DataFrame, condition: Column) -> DataFrame:
+    """Grammar-checked records that meet a condition on their columns; unreadable ones always stay, with their errors."""
+    from .grammar import to_untyped
+
+    return to_untyped(raw).where(F.col("error").isNotNull() | F.coalesce(condition, F.lit(False)))
+
+
+def where_records(untyped: DataFrame, condition: Column, extension: Extension = Extension()) -> DataFrame:
+    """Records that meet a condition on their header's columns; those whose header has a fault always stay.
+
+    Blocks are only read, and their faults found, where the header is kept.
+    """
+    kept = to_semantic_header(untyped, extension).where(F.col("error").isNotNull() | F.coalesce(condition, F.lit(False)))
+    return with_body(kept)
+
+
 def segment_bodies(records: DataFrame) -> DataFrame:
     """(record_id, segments, body): origin records with their continuations' blocks joined in order of number."""
     key = F.when(F.col("record_type") == "continuation", F.col("segment_origin_id")).otherwise(F.col("record_id"))
     part = F.struct(F.coalesce("segment_number", F.lit(1).cast("decimal(20,0)")).alias("n"), F.col("body").alias("b"))
     grouped = records.where(F.col("error").isNull() & F.col("segment_number").isNotNull()).groupBy(key.alias("record_id")).agg(
         F.array_sort(F.collect_list(part)).alias("p"))
-    return grouped.select("record_id", F.size("p").cast("long").alias("segments"), F.aggregate(
-        "p", F.lit(b""), lambda a, p: F.concat(a, p["b"])).alias("body"))
+    # joined once, as text of a character a byte
+    text = F.array_join(F.transform("p", lambda p: v.latin(p["b"])), "")
+    return grouped.select("record_id", F.size("p").cast("long").alias("segments"), F.encode(text, "ISO-8859-1").alias("body"))

@@ -13,7 +13,7 @@ LEVELS = ("raw", "untyped", "record")
 
 
 def judged(raw: DataFrame, level: str, digests: bool = True) -> DataFrame:
-    """(file, record_index, error message or null) at a level; the record level checks digests too."""
+    """(file, record_index, error's message and code or null) at a level; the record level checks digests too."""
     out = raw
     if level in ("untyped", "record"):
         out = to_untyped(out)
@@ -22,20 +22,36 @@ def judged(raw: DataFrame, level: str, digests: bool = True) -> DataFrame:
         if digests:
             out = check_digests(out)
             out = out.withColumn("error", F.coalesce("error", "block_digest_error", "payload_digest_error"))
-    return out.select("file", "record_index", F.col("error")["message"].alias("message"))
+    return out.select("file", "record_index", F.col("error")["message"].alias("message"), F.col("error")["code"].alias("code"))
 
 
 def validate(raw: DataFrame, level: str) -> DataFrame:
     """(file, level, records, errors, status): a file without records fails, as one with errors does.
 
     A grammar or record fault costs its record; a framing fault is a file's last row.
+    A file whose source couldn't be read on has the status error.
     """
     by_file = judged(raw, level).groupBy("file").agg(
-        F.count(F.when(F.col("message").isNull(), 1)).alias("records"), F.count("message").alias("errors"))
-    return by_file.select("file", F.lit(level).alias("level"), "records", "errors", F.when(
+        F.count(F.when(F.col("message").isNull(), 1)).alias("records"), F.count("message").alias("errors"),
+        F.coalesce(F.max(F.col("code") == "Source"), F.lit(False)).alias("unread"))
+    return by_file.select("file", F.lit(level).alias("level"), "records", "errors", F.when(F.col("unread"), "error").when(
         (F.col("errors") == 0) & (F.col("records") > 0), "passed").otherwise("failed").alias("status"))
 
 
+def expected(results: DataFrame, files: DataFrame) -> DataFrame:
+    """results of validate, and of each of files (file) that has none a row of each level with the status unavailable."""
+    levels = results.select("level").distinct()
+    missing = files.select("file").distinct().join(results.select("file").distinct(), "file", "left_anti").join(F.broadcast(levels), F.lit(True))
+    none = F.lit(0).cast("long")
+    return results.unionByName(missing.select("file", "level", none.alias("records"), none.alias("errors"), F.lit("unavailable").alias("status")))
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """(level, passed, failed, error, unavailable, success): files by status for each level, and over all (level null); success: all passed."""
+    of = [F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("passed", "failed", "error", "unavailable")]
+    return results.rollup("level").agg(*of, (F.count(F.lit(1)) == F.count(F.when(F.col("status") == "passed", 1))).alias("success"))
+
+
 def validate_all(raw: DataFrame) -> DataFrame:
     out = validate(raw, LEVELS[0])
     for level in LEVELS[1:]:

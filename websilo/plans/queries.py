@@ -8,7 +8,9 @@ from ..functions import fields as wf
 from ..functions import http
 from ..functions import values as v
 from ..operators import canonicalize, digests, export, grammar, graph, lint, merge, rewrite, semantic, validate
-from ..operators.render import build, exchange, render
+from ..operators.render import build, exchange, render, revisit_original
+from ..sources.warc import invalid_reason, read_warc, write_warc
+from ..storage import new_folder
 from . import synth
 from .synth import PER_FILE, as_raw, captured, captures, day, field_list, key, table, urn
 
@@ -280,11 +282,13 @@ SELECT {sql_urn("'d' || doc_id::VARCHAR")} AS record_id, CASE WHEN doc_id = orig
 def revisit_dedup(spark, sf_dir):
     """Documents as resources; equal payloads become revisits of the first, found by digest and written as records."""
     d = table(spark, sf_dir, "documents").withColumn("b", F.coalesce("text", F.lit("")).cast("binary")).withColumn("digest", digests.sha256_digest(F.col("b")))
-    first = d.groupBy("digest").agg(F.min("doc_id").alias("origin"))  # pre-aggregated: copies don't meet in one task
-    j = d.select("doc_id", "b", "digest").join(first, "digest")
+    first = synth.settled(d.groupBy("digest").agg(F.min("doc_id").alias("origin")))
+    # blocks are only joined by id; what meets by digest is narrow, and a digest of many copies is split as a skewed join
+    fresh_rows = d.join(first.select(F.col("origin").alias("doc_id")), "doc_id", "left_semi")
+    again_rows = d.select("doc_id", "digest").join(first, "digest").where("doc_id <> origin")
     uri = lambda c: F.concat(F.lit("http://example.org/d/"), F.col(c).cast("string"))
-    fresh = build(j.where("doc_id = origin"), "resource", record_id=urn(key("d", "doc_id")), date=day("doc_id"), target_uri=uri("doc_id"), body=F.col("b"))
-    again = build(j.where("doc_id <> origin"), "revisit", record_id=urn(key("d", "doc_id")), date=day("doc_id"), target_uri=uri("doc_id"),
+    fresh = build(fresh_rows, "resource", record_id=urn(key("d", "doc_id")), date=day("doc_id"), target_uri=uri("doc_id"), body=F.col("b"))
+    again = build(again_rows, "revisit", record_id=urn(key("d", "doc_id")), date=day("doc_id"), target_uri=uri("doc_id"),
                   profile=F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), payload_digest=F.col("digest"), refers_to=urn(key("d", "origin")))
     raw = loose(render(fresh.unionByName(again, allowMissingColumns=True)))
     return records(raw).select("record_id", "record_type", "refers_to", F.length("body").cast("long").alias("size"))
@@ -453,7 +457,7 @@ def validate_levels(spark, sf_dir):
     return out.select(F.substring("file", 6, 6).cast("long").alias("file_no"), "level", "records", "errors", "status")
 
 
-@query(f"""SELECT {sql_urn("'c' || doc_id::VARCHAR || '-1'")} AS record_id, greatest(1, ceil(strlen(coalesce(text, '')) / 1000.0))::BIGINT AS segments, sha256(coalesce(text, '')) AS block FROM documents WHERE doc_id % 3 = 0""")
+@query(f"""SELECT {sql_urn("'c' || doc_id::VARCHAR || '-1'")} AS record_id, greatest(1, ceil(strlen(coalesce(text, '')) / 1000.0))::BIGINT AS segments, sha256(coalesce(text, '')) AS block FROM documents""")
 def segment_reassembly(spark, sf_dir):
     """Documents cut into segments of 1,000 bytes, and put together again."""
     d = table(spark, sf_dir, "documents").withColumn("b", F.coalesce("text", F.lit("")).cast("binary"))
@@ -468,4 +472,217 @@ def segment_reassembly(spark, sf_dir):
     return semantic.segment_bodies(headers_of(raw)).select("record_id", "segments", F.sha2("body", 256).alias("block"))
 
 
+@query("""SELECT page_id, length('http://example.org/' || repeat('a%20b/', 900) || page_id::VARCHAR)::INTEGER AS uri_length, 5000::INTEGER AS parameter_length,
+  CASE WHEN page_id % 2 = 0 THEN 'Malformed field line: X-Long' END AS why, NULL::VARCHAR AS bad_uri FROM pages""")
+def long_values(spark, sf_dir):
+    """URIs, parameters and header values of thousands of characters."""
+    p, i = table(spark, sf_dir, "pages"), F.col("page_id").cast("string")
+    uri = F.concat(F.lit("http://example.org/"), F.repeat(F.lit("a%20b/"), F.lit(900)), i)
+    media = v.media_type(F.concat(F.lit('text/plain; a=b; x="'), F.repeat(F.lit('\\"'), F.lit(5000)), F.lit('"; c=d')))
+    value = F.concat(F.lit(" "), F.repeat(F.lit("x\r\n y"), F.lit(1000)), F.when(F.col("page_id") % 2 == 0, F.lit("\rz")).otherwise(F.lit("z"))).cast("binary")
+    headers = F.array(F.struct(F.lit("X-Long").alias("name"), value.alias("value")), F.struct(F.lit("Content-Length").alias("name"), F.lit(b" 0").alias("value")))
+    p = p.select("page_id", uri.alias("u"), media.alias("m"), headers.alias("headers"), F.lit(b"").alias("body"))
+    return p.select("page_id", F.length(v.bare_uri(F.col("u"))).alias("uri_length"), F.length(v.parameter(F.col("m"), "X")).alias("parameter_length"),
+                    invalid_reason().alias("why"), v.bare_uri(F.concat(F.col("u"), F.lit("%2"))).alias("bad_uri"))
+
+
+@query(f"""SELECT record_type, count(*) AS n, (SELECT count(DISTINCT page_id // 50) FROM pages) AS files FROM ({RECORDS}) GROUP BY record_type""")
+def append_archives(spark, sf_dir):
+    """Archives written in two jobs, the second behind the first."""
+    rows, path = synth.settled(captures(spark, sf_dir)), new_folder(spark, "appended")
+    for odd in (0, 1):
+        part = rows.where(F.col("file_no") % 2 == odd).repartition("file_no").sortWithinPartitions("file_no", "place")
+        write_warc(part, path, level=1, append=bool(odd))
+    raw = read_warc(spark, path, bodies=False)
+    infos = raw.where(F.lower(v.trim_space(v.latin(grammar.get("WARC-Type")))) == "warcinfo").agg(F.count(F.lit(1)).alias("files"))
+    kinds = raw.groupBy(F.lower(v.trim_space(v.latin(grammar.get("WARC-Type")))).alias("record_type")).agg(F.count(F.lit(1)).alias("n"))
+    return kinds.join(F.broadcast(infos), F.lit(True)).select("record_type", "n", "files")
+
+
+@query(f"""SELECT record_type, count(*) AS n, 0::BIGINT AS errors, true AS contiguous, sum(strlen(body))::BIGINT AS bytes FROM ({RECORDS}) GROUP BY record_type""")
+def written_rows(spark, sf_dir):
+    """One gzip stream a file, and the rows that writing returns, by the records' places."""
+    rows, path = captures(spark, sf_dir).repartition("file_no").sortWithinPartitions("file_no", "place"), new_folder(spark, "streams")
+    written = write_warc(rows, path, "gzip", level=1, stream=True)
+    files = written.groupBy("file").agg(F.count("error").alias("errors"), F.max("record_index").alias("last"), F.count(F.lit(1)).alias("n"))
+    totals = files.agg(F.sum("errors").alias("errors"), F.min(F.col("last") + 1 == F.col("n")).alias("contiguous"))
+    raw = read_warc(spark, path)
+    kinds = raw.groupBy(F.lower(v.trim_space(v.latin(grammar.get("WARC-Type")))).alias("record_type")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("body").cast("long")).alias("bytes"))
+    return kinds.join(F.broadcast(totals), F.lit(True)).select("record_type", "n", "errors", "contiguous", "bytes")
+
+
+@query(f"""SELECT record_id, sha256(body) AS block FROM ({RECORDS})""")
+def recompressed(spark, sf_dir):
+    """A plain archive copied with a gzip member for each record."""
+    path = new_folder(spark, "copied")
+    rewrite.compress(captured(spark, sf_dir, compression="none"), path, level=1).collect()
+    return read_warc(spark, path).select(merge.normal_id(grammar.get("WARC-Record-ID")).alias("record_id"), F.sha2("body", 256).alias("block"))
+
+
+@query("""SELECT level, code, count(*) AS n FROM (SELECT 'untyped' AS level, CASE WHEN k IN (3, 5) THEN 'MalformedField' END AS code, k, page_id FROM (SELECT page_id, (page_id % 50) % 9 AS k FROM pages)
+  UNION ALL SELECT 'record', CASE k WHEN 0 THEN 'MissingField' WHEN 1 THEN 'ForbiddenField' WHEN 2 THEN 'RepeatedField' WHEN 3 THEN 'MalformedField' WHEN 4 THEN 'UnknownRecordType'
+    WHEN 5 THEN 'MalformedField' WHEN 6 THEN 'MissingField' WHEN 7 THEN 'MalformedField' END, k, page_id FROM (SELECT page_id, (page_id % 50) % 9 AS k FROM pages))
+WHERE code IS NOT NULL OR (level = 'untyped' AND (page_id % 50) * 3 + 2 > 75) OR (level = 'record' AND page_id % 2 = 0 ) GROUP BY ALL""")
+def filter_keeps_faults(spark, sf_dir):
+    """Records by a predicate at each level: faults stay, whatever it says."""
+    raw = synth.settled(faulty(spark, sf_dir))
+    page = F.floor((F.col("record_index") - 1) / 3) + F.substring("file", 6, 6).cast("long") * PER_FILE
+    untyped = semantic.where_untyped(raw, F.col("record_index") > 75).select(F.lit("untyped").alias("level"), F.col("error")["code"].alias("code"))
+    whole = semantic.where_records(grammar.to_untyped(raw), page % 2 == 0).select(F.lit("record").alias("level"), F.col("error")["code"].alias("code"))
+    return untyped.unionByName(whole).groupBy("level", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT event_id, CASE k WHEN 0 THEN strftime(s, '%Y') WHEN 1 THEN strftime(s, '%Y-%m') WHEN 2 THEN strftime(s, '%Y-%m-%d') WHEN 3 THEN strftime(s, '%Y-%m-%dT%H:%MZ')
+    WHEN 4 THEN strftime(s, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(s, '%Y-%m-%dT%H:%M:%S.') || rpad(substr(lpad((event_id % 1000)::VARCHAR, 3, '0'), 1, least(d, 3)), d, '0') || 'Z' END AS made,
+  strftime(s, '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad((event_id % 1000)::VARCHAR, 3, '0'), '0') END || 'Z' AS shortest
+FROM (SELECT event_id, event_id % 6 AS k, greatest(1, least(9, event_id % 11))::INTEGER AS d, {_STAMP} AS s FROM events)""")
+def dates_from_timestamps(spark, sf_dir):
+    """Dates of every precision from timestamps, and in the shortest form."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id") % 6
+    ts = F.timestamp_micros((F.lit(1704067200) + F.col("event_id")) * 1_000_000 + F.col("event_id") % 1000 * 1000)
+    precision = F.element_at(F.array(*[F.lit(x) for x in ("year", "month", "day", "minute", "second", "fraction")]), (k + 1).cast("int"))
+    d = e.select("event_id", v.made_date(ts, precision, digits=(F.col("event_id") % 11).cast("int")).alias("a"), v.date_of(ts).alias("b"))
+    return d.select("event_id", F.col("a")["text"].alias("made"), F.col("b")["text"].alias("shortest"))
+
+
+@query("""SELECT event_id, CASE k WHEN 0 THEN 'a"b\\c' WHEN 1 THEN '' END AS content, CASE k WHEN 2 THEN 'no opening quote' WHEN 3 THEN 'no closing quote' WHEN 4 THEN 'text behind the closing quote'
+  WHEN 5 THEN 'control character' WHEN 6 THEN 'no character behind a backslash' END AS error, CASE k WHEN 2 THEN 0 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 2 WHEN 6 THEN 2 END::BIGINT AS "at",
+  k < 2 AS is_text, k = 2 AS is_token FROM (SELECT event_id, event_id % 7 AS k FROM events)""")
+def quoted_strings(spark, sf_dir):
+    """Quoted strings, and what is wrong with others."""
+    texts = ['"a\\"b\\\\c"', '""', "abc", '"abc', '"abc"d', '"a\x01"', '"a\\']
+    t = F.element_at(F.array(*[F.lit(x) for x in texts]), (F.col("event_id") % 7 + 1).cast("int"))
+    e = table(spark, sf_dir, "events").select("event_id", t.alias("t"))
+    e = e.select("event_id", v.unquoted(F.col("t")).alias("u"), (v.text_value(F.col("t"))["quoted"] & F.col("t").isNotNull()).alias("x"), v.is_token(F.col("t")).alias("is_token"))
+    return e.select("event_id", F.col("u")["content"].alias("content"), F.col("u")["error"].alias("error"), F.col("u")["at"].alias("at"), F.coalesce("x", F.lit(False)).alias("is_text"), "is_token")
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'application/json' WHEN 1 THEN CASE WHEN html LIKE '<!doctype html%' OR lower(html) LIKE '<html%' OR lower(html) LIKE '<!doctype html%' THEN 'text/html' ELSE 'text/plain' END
+  WHEN 2 THEN 'image/png' END AS kind, CASE page_id % 4 WHEN 0 THEN 'application/json' WHEN 1 THEN 'text/html; charset=x' WHEN 2 THEN NULL ELSE 'a/b' END AS declared FROM pages""")
+def http_message_types(spark, sf_dir):
+    """Types of the payloads of whole messages."""
+    p, k = table(spark, sf_dir, "pages"), F.col("page_id") % 4
+    message = (F.when(k == 0, F.lit(b"HTTP/1.1 200 OK\r\nContent-Type: application/json\r\nTransfer-Encoding: chunked\r\n\r\n2\r\n{}\r\n0\r\n\r\n"))
+               .when(k == 1, F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html;\r\n charset=x\r\ncontent-type: a/b\r\n\r\n"), F.ltrim("html")).cast("binary"))
+               .when(k == 2, F.concat(F.lit(b"HTTP/1.1 200 OK\r\n\r\n"), F.unhex(F.lit("89504E470D0A1A0A00"))))
+               .otherwise(F.lit(b"HTTP/1.1 200 OK\r\nContent-Type: a/b\r\nTransfer-Encoding: gzip\r\n\r\nx")))
+    out = http.with_message_type(p.select("page_id", message.alias("body")))
+    return out.select("page_id", F.col("payload_type").alias("kind"), http.declared_type(F.col("body")).alias("declared"))
+
+
+@query("""SELECT event_id, ['none', 'length', 'chunked', 'close', NULL, NULL, 'none'][k + 1] AS kind, CASE WHEN k = 1 THEN event_id END AS length,
+  CASE k WHEN 4 THEN 'lengths that differ' WHEN 5 THEN 'a length that is no number' END AS error FROM (SELECT event_id, event_id % 7 AS k FROM events)""")
+def http_framing(spark, sf_dir):
+    """How messages' bodies end."""
+    k, i = F.col("event_id") % 7, F.col("event_id").cast("string")
+    heads = [F.lit("HTTP/1.1 304 x\r\nContent-Length: 5"), F.concat(F.lit("HTTP/1.1 200 OK\r\ncontent-length: "), i), F.lit("HTTP/1.1 200 OK\r\nContent-Length: 5\r\nTransfer-Encoding: gzip, Chunked"),
+             F.lit("HTTP/1.1 200 OK\r\nA: b"), F.lit("HTTP/1.1 200 OK\r\nContent-Length: 5\r\nContent-Length: 6"), F.lit("HTTP/1.1 200 OK\r\nContent-Length: x"), F.lit("GET / HTTP/1.1\r\nA: b")]
+    body = F.concat(F.element_at(F.array(*heads), (k + 1).cast("int")), F.lit("\r\n\r\nbody")).cast("binary")
+    e = table(spark, sf_dir, "events").select("event_id", http.body_framing(body, k == 6).alias("f"))
+    return e.select("event_id", F.col("f")["kind"].alias("kind"), F.col("f")["length"].alias("length"), F.col("f")["error"].alias("error"))
+
+
+@query(f"""SELECT {sql_urn("'v' || page_id::VARCHAR")} AS record_id, {sql_urn("'r' || page_id::VARCHAR")} AS refers_to, url AS refers_to_target_uri, {sql_day('page_id')} AS refers_to_date,
+  'sha256:' || sha256(html) AS payload_digest, strlen({HEAD})::BIGINT AS size, 'length' AS truncated FROM pages""")
+def revisit_exchange(spark, sf_dir):
+    """Captures seen again: revisits of the originals of an archive, which keep the head alone."""
+    originals = revisit_original(headers_of(as_raw(captures(spark, sf_dir))), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+    kept = F.lit(b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n")
+    pages = table(spark, sf_dir, "pages").withColumn("refers_to", urn(key("r", "page_id"))).join(originals, "refers_to")
+    names = ("profile", "refers_to", "refers_to_target_uri", "refers_to_date", "payload_digest")
+    e = exchange(pages, request=F.lit(b"GET / HTTP/1.1\r\n\r\n"), response=kept, target_uri=F.col("url"), date=day("page_id"),
+                 ids=(urn(key("p", "page_id")), urn(key("v", "page_id")), urn(key("n", "page_id"))), revisit={n: F.col(n) for n in names})
+    r = records(loose(render(e))).where(F.col("record_type") == "revisit")
+    digest = F.concat(F.col("payload_digest")["label"], F.lit(":"), F.col("payload_digest")["value"])
+    return r.select("record_id", "refers_to", "refers_to_target_uri", F.col("refers_to_date")["text"].alias("refers_to_date"), digest.alias("payload_digest"),
+                    F.length("body").cast("long").alias("size"), "truncated")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Ada' ELSE 'Ada <a' || page_id::VARCHAR || '@example.org>' END AS operator, 'crawler/1.' || page_id::VARCHAR AS software,
+  'via: http://example.org/' || chr(13) || chr(10) || 'hopsFromSeed: L' || chr(13) || chr(10) || 'fetchTimeMs: ' || (page_id * 1500)::VARCHAR || chr(13) || chr(10) AS metadata,
+  CASE page_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'isPartOf' END AS term, CASE page_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_element FROM pages""")
+def body_setters(spark, sf_dir):
+    """Blocks of warcinfo and metadata records from their parts, and DCMI names."""
+    p, i = table(spark, sf_dir, "pages"), F.col("page_id").cast("string")
+    info = wf.warcinfo_body(operator=(F.lit("Ada"), F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("a"), i, F.lit("@example.org")))), software=(F.lit("crawler"), F.concat(F.lit("1."), i)))
+    meta = wf.metadata_body(via=F.lit("http://example.org/"), hops_from_seed=F.lit("L"), fetch_time=F.col("page_id") * 1.5 + F.lit(0.0004))
+    term = wf.dcmi_term(F.element_at(F.array(F.lit("TITLE"), F.lit("ispartof"), F.lit("x")), (F.col("page_id") % 3 + 1).cast("int")))
+    d = p.select("page_id", info.alias("i"), meta.alias("m"), term.alias("t"))
+    return d.select("page_id", wf.get(F.col("i"), "operator").alias("operator"), wf.get(F.col("i"), "software").alias("software"),
+                    wf.render(F.col("m")).cast("string").alias("metadata"), F.col("t")["name"].alias("term"), F.col("t")["is_element"].alias("is_element"))
+
+
+@query("""SELECT page_id, ['a', 'b', 'b2'] AS pushed, CASE WHEN page_id % 4 <> 0 THEN page_id END AS n, CASE WHEN page_id % 4 <> 0 THEN [true, false] END AS flags,
+  CASE WHEN page_id % 4 = 0 THEN 'The value of the `n` field cannot be read.' END AS error, CASE WHEN page_id % 4 <> 0 THEN 'n=' || page_id::VARCHAR || ',flag=true,flag=false' ELSE '' END AS back FROM pages""")
+def typed_fields(spark, sf_dir):
+    """Fields pushed, read into typed columns, and written again."""
+    from pyspark.sql import types as T
+
+    p = table(spark, sf_dir, "pages")
+    none = F.array().cast("array<struct<name: string, value: string>>")
+    pushed = wf.push(wf.push(wf.push(wf.push(none, "x", F.lit("a")), "y", F.lit("b")), "Y", F.lit("b2")), "z", F.lit(None).cast("string"))
+    fields = field_list(N=F.when(F.col("page_id") % 4 == 0, "x").otherwise(F.col("page_id").cast("string")), flag=F.lit("true"), FLAG=F.lit("false"))
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("flag", T.ArrayType(T.BooleanType()))])
+    d = wf.from_fields(p.select("page_id", pushed.alias("p"), fields.alias("body_fields")), schema)
+    d = wf.to_fields(d.withColumn("value", F.col("data")["value"]), "value", schema, "again")
+    return d.select("page_id", F.transform("p", lambda f: f["value"]).alias("pushed"), F.col("value")["n"].alias("n"), F.col("value")["flag"].alias("flags"),
+                    F.col("data")["error"].alias("error"), F.array_join(F.transform("again", lambda f: F.concat(f["name"], F.lit("="), f["value"])), ",").alias("back"))
+
+
+@query(f"""SELECT {sql_urn("'t' || page_id::VARCHAR")} AS record_id, ['length', 'standard', 'paused', 'extension', 'other', 'unknown'][(page_id % 3) * 2 + 1] AS truncated,
+  ['length', 'standard', 'paused', 'extension', 'other', 'unknown'][(page_id % 3) * 2 + 2] AS kind, 'p' || page_id::VARCHAR AS claimed, 1::INTEGER AS others, 'sha1:' || upper(sha1(html)) AS digest FROM pages""")
+def extension_records(spark, sf_dir):
+    """Records of a type, reasons and fields that an extension defines, and SHA-1 digests added."""
+    ext = semantic.Extension(record_types=("snapshot",), truncations=("paused",), fields={"snapshot": ("X-Pass",)})
+    p = table(spark, sf_dir, "pages")
+    reason = F.element_at(F.array(F.lit("length"), F.lit("Paused"), F.lit("Other")), (F.col("page_id") % 3 + 1).cast("int"))
+    line = lambda n, t: F.struct(F.lit(n).alias("name"), F.concat(F.lit(" "), t).cast("binary").alias("value"))
+    body = F.col("html").cast("binary")
+    headers = F.array(line("WARC-Type", F.lit("Snapshot")), line("WARC-Record-ID", F.concat(F.lit("<"), urn(key("t", "page_id")), F.lit(">"))), line("WARC-Date", day("page_id")),
+                      line("WARC-Truncated", reason), line("x-pass", F.concat(F.lit("p"), F.col("page_id").cast("string"))), line("X-Else", F.lit("1")), line("Content-Length", F.length(body).cast("string")))
+    raw = synth.settled(p.select(F.lit("x").alias("file"), F.col("page_id").alias("record_index"), F.lit("1.1").alias("version"), headers.alias("headers"),
+                                 F.length(body).cast("decimal(20,0)").alias("content_length"), body.alias("body"), grammar.no_error().alias("error")))
+    r = digests.add_sha1_digests(semantic.to_semantic(grammar.to_untyped(raw), ext))
+    left = ext.claim(F.col("unrecognized"), F.col("record_type"))["left"]
+    return r.select("record_id", "truncated", v.truncation_kind(F.col("truncated"), ext.truncations).alias("kind"), F.col("ext_x_pass").alias("claimed"),
+                    F.size(left).alias("others"), F.concat(F.lit("sha1:"), F.hex(v.decoded(F.col("block_digest")))).alias("digest"))
+
+
+@query(f"""SELECT {sql_urn("'o' || page_id::VARCHAR")} AS record_id, '<' || url || '>' AS target, {sql_day('page_id')} AS date, CASE WHEN page_id % 2 = 0 THEN 'The `WARC-Refers-To-Date` field is not defined in WARC 1.0.' END AS error FROM pages""")
+def version_1_0(spark, sf_dir):
+    """Records of WARC 1.0: all URIs in brackets, dates in seconds, no later fields."""
+    p = table(spark, sf_dir, "pages")
+    e = p.select(F.lit("1.0").alias("version"), F.lit("revisit").alias("record_type"), urn(key("o", "page_id")).alias("record_id"), F.col("url").alias("target_uri"),
+                 v.show_date(v.date_of(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id"))), "1.0").alias("date"),
+                 F.lit("http://netpreserve.org/warc/1.0/revisit/server-not-modified").alias("profile"), F.when(F.col("page_id") % 2 == 0, day("page_id")).alias("refers_to_date"), F.lit(b"").alias("body"))
+    r = render(e)
+    text = lambda n: F.trim(grammar.get(n).cast("string"))
+    return r.select("record_id", text("WARC-Target-URI").alias("target"), text("WARC-Date").alias("date"), "error")
+
+
+@query("""WITH f AS (SELECT DISTINCT page_id // 50 AS f FROM pages)
+SELECT level, CASE WHEN level = 'raw' THEN n ELSE 0 END AS passed, CASE WHEN level = 'raw' THEN 0 ELSE n END AS failed, 0::BIGINT AS error, 1::BIGINT AS unavailable, false AS success
+FROM (SELECT unnest(['raw', 'untyped', 'record']) AS level, (SELECT count(*) FROM f) AS n)
+UNION ALL SELECT 'all', (SELECT count(*) FROM f), 2 * (SELECT count(*) FROM f), 0, 3, false""")
+def validate_summary(spark, sf_dir):
+    """Files by status over the levels, with one that was expected but isn't there."""
+    raw = synth.settled(faulty(spark, sf_dir))
+    files = raw.select("file").distinct().unionByName(spark.createDataFrame([("part-none.warc",)], "file string"))
+    out = validate.summary(validate.expected(synth.settled(validate.validate_all(raw)), files))
+    return out.withColumn("level", F.coalesce("level", F.lit("all")))
+
+
+@query(f"""SELECT section, count(*) AS n, count(DISTINCT line) > 0 AS some, min(ok) AS shaped FROM (
+  SELECT 0 AS section, record_id AS line, true AS ok FROM ({RECORDS})
+  UNION ALL SELECT 1, record_id, true FROM ({RECORDS}), (SELECT unnest([1, 2]) AS k) WHERE record_type IN ('response', 'metadata')
+  UNION ALL SELECT 1, record_id, true FROM ({RECORDS}) WHERE record_type = 'request') GROUP BY section""")
+def graph_lines(spark, sf_dir):
+    """D2 lines of nodes and references."""
+    d = graph.d2_lines(as_raw(captures(spark, sf_dir)))
+    shaped = F.when(F.col("section") == 0, F.col("line").rlike(r'^records\.record_[0-9]+: "[^"]+" \{ style\.fill: "#[0-9A-F]{6}" \}$')).otherwise(
+        F.col("line").rlike(r'^records\.record_[0-9]+ -> records\.record_[0-9]+: "[a-z-]+"$'))
+    return d.groupBy("section").agg(F.count(F.lit(1)).alias("n"), (F.countDistinct("line") > 0).alias("some"), F.min(shaped).alias("shaped"))
+
+
 __all__ = ["ORACLES", "QUERIES", "field_list"]

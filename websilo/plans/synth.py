@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields as body_fields
 from ..operators.render import build, exchange, render
 from ..sources.warc import read_warc, write_warc
+from ..storage import new_folder, settled
 
 PER_FILE = 50
 
@@ -55,15 +54,6 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(both)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once in the checkpoint folder, so that what follows is planned apart from how it was made."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", own))
-    return df.checkpoint()
-
-
 def as_raw(rendered: DataFrame) -> DataFrame:
     """Rendered records as a table of raw records: file by file_no, index by place."""
     return settled(_as_raw(rendered))
@@ -76,18 +66,11 @@ def _as_raw(rendered: DataFrame) -> DataFrame:
         F.lit(None).cast("struct<level: string, code: string, field: string, message: string>").alias("error"))
 
 
-def place_for(spark: SparkSession) -> str:
-    """A new folder in the warehouse, which all executors share."""
-    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    base = base.replace("file:", "", 1).replace("///", "/", 1) if base.startswith("file:") else base
-    return f"{base}/websilo-archives/{uuid.uuid4().hex}"
-
-
 def archive(spark: SparkSession, sf_dir: str, compression: str = "gzip") -> str:
     """The captures written as an archive; its folder."""
-    path = place_for(spark)
+    path = new_folder(spark, "archive")
     rows = captures(spark, sf_dir).repartition("file_no").sortWithinPartitions("file_no", "place")
-    write_warc(rows, path, compression, level=1).agg(F.sum("length")).collect()
+    write_warc(rows, path, compression, level=1)
     return path
 
 
@@ -96,4 +79,4 @@ def captured(spark: SparkSession, sf_dir: str, bodies: bool = True, compression:
     return read_warc(spark, archive(spark, sf_dir, compression), bodies)
 
 
-__all__ = ["archive", "as_raw", "body_fields", "captured", "captures", "day", "field_list", "key", "table", "urn"]
+__all__ = ["archive", "as_raw", "body_fields", "captured", "captures", "day", "field_list", "key", "settled", "table", "urn"]

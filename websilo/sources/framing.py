@@ -30,29 +30,50 @@ class Framed(NamedTuple):
     fault: tuple[str, str, str] | None
 
 
+class Member:
+    """One gzip member as a stream of plain bytes, which ends with it; ``rest``: bytes read from raw, but not yet used."""
+
+    def __init__(self, raw: BinaryIO, rest: bytes = b""):
+        self.raw, self.unzip, self.rest = raw, zlib.decompressobj(31), rest
+
+    def read(self, n: int) -> bytes:
+        while not self.unzip.eof:
+            given = self.rest or self.raw.read(_BUFFER)
+            out = self.unzip.decompress(given, n)
+            self.rest = self.unzip.unused_data if self.unzip.eof else self.unzip.unconsumed_tail
+            if out:
+                return out
+            if not given and not self.unzip.eof:
+                raise EOFError("a gzip member is cut off")
+        return b""
+
+
+def members(raw: BinaryIO) -> Iterator[Member]:
+    """The gzip members of a file in turn; each is to be read to its end before the next."""
+    rest = raw.read(_BUFFER)
+    while rest:
+        one = Member(raw, rest)
+        yield one
+        rest = one.rest or raw.read(_BUFFER)
+
+
 class Members:
     """A file of concatenated gzip members as one stream of plain bytes; ``count`` members began."""
 
     def __init__(self, raw: BinaryIO):
-        self.raw, self.unzip, self.rest, self.count = raw, None, b"", 0
+        self.each, self.one, self.count = members(raw), None, 0
 
     def read(self, n: int) -> bytes:
         while True:
-            if self.unzip is None:
-                if not self.rest:
-                    self.rest = self.raw.read(_BUFFER)
-                    if not self.rest:
-                        return b""
-                self.unzip, self.count = zlib.decompressobj(31), self.count + 1
-            given = self.rest or self.raw.read(_BUFFER)
-            if not given:
-                raise EOFError("a gzip member is cut off")
-            out = self.unzip.decompress(given, n)
-            self.rest = self.unzip.unused_data if self.unzip.eof else self.unzip.unconsumed_tail
-            if self.unzip.eof:
-                self.unzip = None
+            if self.one is None:
+                self.one = next(self.each, None)
+                if self.one is None:
+                    return b""
+                self.count += 1
+            out = self.one.read(n)
             if out:
                 return out
+            self.one = None
 
 
 class _Reader:

@@ -5,13 +5,16 @@ found and opened by pyarrow's file systems (local, S3, HDFS, GCS), so any path
 that those reach will do.  A fault ends its file with a row that has an error.
 
 Writing: each task writes one file of its rows, in their order; every record is a
-gzip member of its own (or the file plain).  ``write_warc`` returns a row for
-each written record with its place and digest.
+gzip member of its own (or the file plain).  Attempts write below a temporary
+folder, and only the job's commit moves the files of successful ones into place.
+``write_warc`` returns a row for each record with its place and digest.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..schema import HEADER, NO_BODY, RAW
-from .framing import Members, frame, gzip_member, is_gzip
+from .framing import Members, frame, gzip_member, is_gzip, members
 
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
 
@@ -30,7 +33,9 @@ BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
 def _filesystem(path: str):
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
 
@@ -47,7 +52,8 @@ def list_files(path: str) -> list[str]:
         info = system.get_file_info(base)
         if info.type == fs.FileType.Directory:
             found = [f.path for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
-            out += sorted(f for f in found if not f.rsplit("/", 1)[-1].startswith(("_", ".")) and (prefix is None or f.startswith(prefix)))
+            hidden = lambda f: any(part.startswith(("_", ".")) for part in f[len(base.rstrip("/")) :].split("/"))
+            out += sorted(f for f in found if not hidden(f) and (prefix is None or f.startswith(prefix)))
         elif info.type == fs.FileType.File:
             out.append(inner)
         else:
@@ -122,6 +128,9 @@ class WarcSource(DataSource):
     def reader(self, schema):
         return WarcReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return WarcWriter(self.options, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
@@ -151,8 +160,8 @@ def invalid_reason(headers="headers", body="body"):
     h, b = F.col(headers), F.col(body)
     from ..functions.values import TOKEN, latin
 
-    bad_name = F.filter(h, lambda x: ~x["name"].rlike(f"^{TOKEN}+$"))
-    bad_value = F.filter(h, lambda x: ~latin(x["value"]).rlike(r"^(?:[^\r]|\r\n[ \t])*$"))
+    bad_name = F.filter(h, lambda x: ~x["name"].rlike(rf"\A{TOKEN}++\z"))
+    bad_value = F.filter(h, lambda x: latin(x["value"]).rlike(r"\r(?!\n[ \t])"))
     lengths = F.filter(h, lambda x: F.lower(x["name"]) == "content-length")
     declared = F.trim(latin(F.try_element_at(lengths, F.lit(1))["value"])).try_cast("decimal(20,0)")
     size = F.length(F.coalesce(b, F.lit(b"")))
@@ -171,50 +180,96 @@ WRITTEN = T.StructType([
     T.StructField("file", T.StringType()), T.StructField("record_index", T.LongType()), T.StructField("offset", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("stored_digest", T.StringType()), T.StructField("error", T.StringType()),
 ])
+_WRITTEN = [("file", pa.string()), ("record_index", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("stored_digest", pa.string()), ("error", pa.string())]
 
 
-def write_warc(df: DataFrame, path: str, compression: str = "gzip", level: int = 6, stream: bool = False) -> DataFrame:
-    """A plan that writes (version, headers, body) rows below a folder and returns a row for each record.
+@dataclass
+class Part(WriterCommitMessage):
+    attempt: str
+    name: str
 
-    Nothing is written until the result is evaluated; evaluate it once (for
-    instance, write it to a table).  Invalid records aren't written and have an
-    error.  A retried task writes the same file name again, so a lost executor
-    leaves no half-written file behind; order rows before for an order in files.
-    ``stream``: one gzip member for the whole file instead of one a record.
-    """
-    if not 0 <= level <= 9:
-        raise ValueError(f"gzip level {level} is not between 0 and 9")
-    given = to_bytes(df).select(F.when(invalid_reason().isNull(), F.col("warc_bytes")).alias("b"), invalid_reason().alias("e"))
 
-    def run(batches):
-        import zlib
+class WarcWriter(DataSourceArrowWriter):
+    """Rows (bytes of a record or null, why it has none) to a file a task, and a table of what it holds."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
+        self.packed, self.level = options.get("compression", "gzip") == "gzip", int(options.get("level", 6))
+        self.stream, self.job = options.get("stream", "false") == "true", options["job"]
+        system, inner = _filesystem(self.path)
+        system.create_dir(f"{inner}/_temporary-{self.job}", recursive=True)
+        # files of later jobs stand behind those that are there
+        self.turn = 0 if overwrite else 1 + max((int(n[5:10]) for n in self._parts(system, inner) if n[5:10].isdigit()), default=-1)
+
+    @staticmethod
+    def _parts(system, inner: str) -> list[str]:
+        from pyarrow import fs
 
+        return [f.base_name for f in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)) if f.base_name.startswith("part-")]
+
+    def write(self, iterator):
+        import pyarrow.parquet as pq
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        system, inner = _filesystem(path)
-        system.create_dir(inner, recursive=True)
-        name = f"{inner.rstrip('/')}/part-{part:05d}.warc" + (".gz" if compression == "gzip" else "")
-        offset, index, squeeze = 0, 0, zlib.compressobj(level, zlib.DEFLATED, 31) if stream and compression == "gzip" else None
-        with system.open_output_stream(name, compression=None) as out:
-            for batch in batches:
+        task = TaskContext.get()
+        system, inner = _filesystem(self.path)
+        name = f"part-{self.turn:05d}-{task.partitionId():06d}.warc" + (".gz" if self.packed else "")
+        attempt = f"{inner}/_temporary-{self.job}/{task.taskAttemptId()}"
+        squeeze = zlib.compressobj(self.level, zlib.DEFLATED, 31) if self.stream and self.packed else None
+        offset, index, schema = 0, 0, pa.schema(_WRITTEN)
+        with system.open_output_stream(f"{attempt}.data", compression=None) as out, pq.ParquetWriter(f"{attempt}.rows", schema, filesystem=system) as table:
+            for batch in iterator:
                 rows = []
                 for data, error in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     if data is None:
-                        rows.append((name, index, None, None, None, error))
+                        rows.append((f"{inner}/{name}", index, None, None, None, error))
                     else:
-                        stored = data if compression != "gzip" else squeeze.compress(data) if squeeze else gzip_member(data, level)
+                        stored = data if not self.packed else squeeze.compress(data) if squeeze else gzip_member(data, self.level)
                         out.write(stored)
-                        rows.append((name, index, offset, len(stored), "sha256:" + hashlib.sha256(stored).hexdigest(), None))
+                        rows.append((f"{inner}/{name}", index, offset, len(stored), "sha256:" + hashlib.sha256(stored).hexdigest(), None))
                         offset += len(stored)
                     index += 1
                 if rows:
-                    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=WRITTEN.names)
+                    table.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _WRITTEN)], schema=schema))
             if squeeze:
                 out.write(squeeze.flush())
-
-    return given.mapInArrow(run, WRITTEN)
+        return Part(attempt, name)
+
+    def commit(self, messages):
+        system, inner = _filesystem(self.path)
+        done = [m for m in messages if m is not None]
+        if self.overwrite:
+            for name in set(self._parts(system, inner)) - {m.name for m in done}:
+                system.delete_file(f"{inner}/{name}")
+        system.create_dir(f"{inner}/_written-{self.job}", recursive=True)
+        for m in done:
+            system.move(f"{m.attempt}.data", f"{inner}/{m.name}")
+            system.move(f"{m.attempt}.rows", f"{inner}/_written-{self.job}/{m.name}.parquet")
+        system.delete_dir(f"{inner}/_temporary-{self.job}")
+
+    def abort(self, messages):
+        system, inner = _filesystem(self.path)
+        system.delete_dir(f"{inner}/_temporary-{self.job}")
+
+
+def write_warc(df: DataFrame, path: str, compression: str = "gzip", level: int = 6, stream: bool = False, append: bool = False) -> DataFrame:
+    """Writes (version, headers, body) rows below a folder and returns a row for each record, read from a table written beside them.
+
+    Invalid records aren't written and have an error.  Files that were there are
+    replaced, or stay before the new ones with ``append``.  Nothing shows before the
+    whole job has succeeded, so lost executors and second attempts do no harm; order
+    rows before for an order in files.  ``stream``: one gzip member for the whole file
+    instead of one a record.
+    """
+    if not 0 <= level <= 9:
+        raise ValueError(f"gzip level {level} is not between 0 and 9")
+    spark, job = df.sparkSession, uuid.uuid4().hex[:12]
+    register(spark)
+    given = to_bytes(df).select(F.when(invalid_reason().isNull(), F.col("warc_bytes")).alias("b"), invalid_reason().alias("e"))
+    path = path.rstrip("/")
+    given.write.format("warc").mode("append" if append else "overwrite").options(
+        compression=compression, level=str(level), stream=str(stream).lower(), job=job).save(path)
+    return spark.read.schema(WRITTEN).parquet(f"{path}/_written-{job}/*.parquet")
 
 
 def gzip_members(spark: SparkSession, path: str) -> DataFrame:
@@ -223,23 +278,19 @@ def gzip_members(spark: SparkSession, path: str) -> DataFrame:
     names = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, len(files)), "file")
 
     def run(batches):
-        import io
-        import zlib
-
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 system, inner = _filesystem(name)
-                rows, unzip, held = [], None, io.BytesIO()
+                rows = []
                 with system.open_input_stream(inner, compression=None) as raw:
-                    rest = b""
-                    while rest or (rest := raw.read(1 << 20)):
-                        unzip = unzip or zlib.decompressobj(31)
-                        held.write(unzip.decompress(rest))
-                        rest = unzip.unused_data
-                        if unzip.eof:
-                            held.seek(0)
-                            rows.append((name, len(rows), sum(1 for r in frame(held, False) if r.fault is None)))
-                            unzip, held = None, io.BytesIO()
+                    for i, one in enumerate(members(raw)):
+                        n = sum(1 for r in frame(one, False) if r.fault is None)
+                        while one.read(1 << 20):  # what a fault left unread
+                            pass
+                        rows.append((name, i, n))
+                        if len(rows) >= BATCH_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["file", "member_index", "n_records"])
+                            rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["file", "member_index", "n_records"])
 

@@ -1,13 +1,12 @@
 """Archives that arrive in a folder, as a stream of records.
 
-New files are found by Spark's file stream source, each is framed in the task
-that reads it, and captures are counted in windows of event time with a watermark.
+New files are found by Spark's file stream source, which passes on their paths
+alone; each is opened and framed in bounded batches by the task that has its path.
+Captures are counted in windows of event time with a watermark.
 """
 
 from __future__ import annotations
 
-import io
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,21 +15,23 @@ from ..operators.grammar import to_untyped
 from ..operators.semantic import to_semantic_header
 from ..schema import RAW
 from ..sources.framing import Members, frame, is_gzip
-from ..sources.warc import batches_of
+from ..sources.warc import _filesystem, batches_of
 
 
 def stream_warc(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """Raw records of files as they arrive below a folder."""
+    """Raw records of archives (names that end in .warc or .warc.gz) as they arrive below a folder."""
     files = (
-        spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").load(path)
-        .select("path", "content")
+        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+        .option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc*").load(path)
+        .select("path")  # so contents aren't read
     )
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = io.BytesIO(content.as_py())
-                yield from batches_of(frame(Members(data) if is_gzip(name) else data), name, True)
+            for name in batch.column(0).to_pylist():
+                system, inner = _filesystem(name)
+                with system.open_input_stream(inner, compression=None, buffer_size=1 << 20) as raw:
+                    yield from batches_of(frame(Members(raw) if is_gzip(name) else raw), name, True)
 
     return files.mapInArrow(run, RAW)
 
