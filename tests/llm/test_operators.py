@@ -76,6 +76,30 @@ def test_repeats(spark, monkeypatch, crowd):
     assert got == repeats.brute_force(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("ident", [None, 7])
+def test_repeats_of_rows_of_one_id_or_none(spark, ident):
+    r = random.Random(12)
+    rnd = lambda n: "".join(r.choices("abcdefghij klmé", k=n))
+    shared = [rnd(130) for _ in range(6)]
+    texts = [rnd(r.randint(0, 60)) + r.choice(shared) + rnd(20) for _ in range(1500)]
+    df = spark.createDataFrame([(ident, t) for t in texts], "doc_id long, text string").repartition(6)
+    got = sorted(tuple(x)[1:5] for x in repeats.remove_repeats(df).collect())
+    start, want = {}, []
+    for t in texts:  # the least place of each string over all rows
+        b = t.encode()
+        for k in range(len(b) - 99):
+            start[b[k:k + 100]] = min(k, start.get(b[k:k + 100], k))
+    for t in texts:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 99):
+            if start[b[k:k + 100]] < k:
+                gone[k:k + 100] = True
+        rest = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        want.append((len(b), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum()), hashlib.sha256(rest).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(docs_of(spark, [])).count() == 0
     assert repeats.remove_repeats(docs_of(spark, [None, ""])).where("n_removed = 0 and n_bytes = 0").count() == 2
