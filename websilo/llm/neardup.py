@@ -22,8 +22,8 @@ Buckets of one class drop out; of a large one, parts meet each other, but for th
 its largest class.  Every pair of rows of different classes that agree enough is
 verified.  Where a meeting of two parts has more than MANY such pairs a row, as among
 many texts that are not quite similar enough, no pairs leave it: the rows' shingles come
-to the meeting, all its pairs are verified there, and one link for each two classes
-leaves it.  So classes are those of all pairs that share a band and agree enough,
+to the meeting, all its pairs are verified there, and a link for each class that is joined
+to another leaves it.  So classes are those of all pairs that share a band and agree enough,
 whatever the size of the bucket.
 """
 
@@ -287,8 +287,8 @@ def _elements(batches):
 
 
 def _linking(batches, step: int = 64):
-    """Links between rows of other classes, from their shingles: one for each two classes of a cell, and no more than join them."""
-    for _, rep, label, data, left, right in _cells(batches):
+    """Links between classes of a cell, from the rows' shingles: of those that are joined, each to the one of the smallest label."""
+    for _, _, label, data, left, right in _cells(batches):
         size = np.array([len(d) // 8 for d in data])
         code = np.unique(np.frombuffer(b"".join(data), np.uint64), return_inverse=True)[1]
         parent = {int(x): int(x) for x in np.unique(label)}
@@ -311,7 +311,6 @@ def _linking(batches, step: int = 64):
         given = np.concatenate([code[begin[r] : begin[r + 1]] for r in rows[some]]) if len(some) else code[:0]
         width = (begin[1:] - begin[:-1])[rows[some]]
         heads = np.cumsum(width) - width
-        a, b = [], []
         for lo in range(0, len(left), step):
             mine = left[lo : lo + step]
             common = np.full((len(mine), len(rows)), shared, np.int64)
@@ -322,15 +321,14 @@ def _linking(batches, step: int = 64):
                 common[:, some] += np.add.reduceat(has[:, given], heads, axis=1, dtype=np.int32)
             good = (common > 0) & (common >= SIMILAR * (size[mine][:, None] + size[rows] - common) - 1e-9)
             x, y = np.nonzero(good & (label[mine][:, None] != label[rows]))
-            once = np.unique(np.stack([label[mine[x]], label[rows[y]]]), axis=1, return_index=True)[1] if len(x) else x
-            for u, v in zip(mine[x[once]].tolist(), rows[y[once]].tolist()):
-                p, q = root(int(label[u])), root(int(label[v]))
+            linked_classes = np.unique(np.stack([label[mine[x]], label[rows[y]]]), axis=1)
+            for u, v in linked_classes.T.tolist():
+                p, q = root(u), root(v)
                 if p != q:
                     parent[max(p, q)] = min(p, q)
-                    a.append(rep[u])
-                    b.append(rep[v])
-        if a:
-            yield _pairs_out(np.array(a), np.array(b), False)
+        joined = [(root(x), x) for x in parent if root(x) != x]
+        if joined:
+            yield _pairs_out(*np.array(joined).T, False)
 
 
 def cells(met: DataFrame, labels: DataFrame) -> DataFrame:
