@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import quoted, spare
+from .lineage import cut, quoted, spare
 
 #: A source table of at most so many rows and bytes of names is broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 4 << 20
@@ -74,8 +74,9 @@ def with_copies(docs: DataFrame, seed: str = "mix", names: tuple[str, ...] = _NA
     size, source_size, target, copies = names
     docs = docs.drop(*names)
     mine, rate_col = spare(docs, "source_name"), spare(docs, "rate")
-    by_source = source_targets(docs, **targets).select(
-        F.col("source").alias(mine), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    # written once: it is asked for its size, and then joined
+    by_source = cut(source_targets(docs, **targets).select(
+        F.col("source").alias(mine), F.col("source_size").alias(source_size), F.col("target").alias(target)))
     n, length = by_source.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(mine)), F.lit(0))).first()
     if n <= BROADCAST_ROWS and length <= BROADCAST_BYTES:
         by_source = F.broadcast(by_source)
