@@ -543,11 +543,11 @@ def naive_score(p, v, tokens):
         past = [p["E"][v.inputs[x]].astype(float) for x in seen[-attention.REACH:]][::-1]
         a = np.exp([past[0] @ (e @ p["m"]) + p["b"][k] for k, e in enumerate(past)])
         h = np.maximum(past[0] + sum(w * (e @ p["v"]) for w, e in zip(a / a.sum(), past)), 0)
-        z = h @ p["U"] + p["c"] + v.starts(np.array([seen[-1]]))[0]
+        z = h @ p["U"] + v.starts(p["c"])[v.groups[seen[-1]]]
         cls, group = v.outputs[t], v.groups[seen[-1]]
         members = [x for x in range(len(v.outputs)) if v.outputs[x] == cls]
         n = lambda x: float(v.pairs[group, v.inputs[x]]) if len(members) > 1 and v.inputs[x] < attention.INPUTS - 64 else 0.0
-        share = (n(t) + attention.PRIOR * v.share[t]) / (sum(map(n, members)) + attention.PRIOR)
+        share = (n(t) + v.share[t]) / (sum(map(n, members)) + attention.PRIOR)
         total += z[cls] - np.log(np.exp(z).sum()) + np.log(share)
         seen.append(t)
     return total
