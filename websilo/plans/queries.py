@@ -175,10 +175,13 @@ def value_hops_profiles(spark, sf_dir):
     return e.select("event_id", F.when(h["error"].isNull(), F.size(h["hops"])).otherwise(-1).alias("n_hops"), h["is_seed"].alias("is_seed"), h["error"].alias("error"), "profile")
 
 
+def is_type(*types):
+    return F.coalesce(F.lower(v.trim_space(v.latin(grammar.get("WARC-Type")))).isin(*types), F.lit(False))
+
+
 def faulty(spark, sf_dir):
-    """Response records with one fault each, by page_id % 9."""
-    raw = grammar.where_type(as_raw(captures(spark, sf_dir).withColumn("fault", F.col("page_id") % 9)).withColumn(
-        "fault", F.col("record_index")), "response")
+    """All records; the responses have one fault each, by the place of their page in its file."""
+    raw = as_raw(captures(spark, sf_dir))
     k = F.floor((F.col("record_index") - 1) / 3) % 9
     line = lambda n, t: F.struct(F.lit(n).alias("name"), F.lit(" " + t).cast("binary").alias("value"))
     drop = lambda n: F.filter("headers", lambda h: F.lower(h["name"]) != n.lower())
@@ -187,7 +190,7 @@ def faulty(spark, sf_dir):
     headers = (F.when(k == 0, drop("WARC-Target-URI")).when(k == 1, add(("WARC-Filename", "x"))).when(k == 2, add(("warc-date", "2024-01-01T00:00:00Z")))
                .when(k == 3, swap("WARC-Date", "2024-13-01")).when(k == 4, swap("WARC-Type", "nonsense")).when(k == 5, swap("WARC-Block-Digest", "sha1"))
                .when(k == 6, drop("WARC-Record-ID")).when(k == 7, add(("WARC-Segment-Number", "2"))).otherwise(F.col("headers")))
-    return raw.withColumn("headers", headers)
+    return raw.withColumn("headers", F.when(is_type("response"), headers).otherwise(F.col("headers")))
 
 
 @query("""SELECT CASE k WHEN 0 THEN 'MissingField' WHEN 1 THEN 'ForbiddenField' WHEN 2 THEN 'RepeatedField' WHEN 3 THEN 'MalformedField' WHEN 4 THEN 'UnknownRecordType'
@@ -197,17 +200,20 @@ def faulty(spark, sf_dir):
   WHEN 4 THEN 'The `nonsense` record type is defined by no vocabulary in force.'
   WHEN 5 THEN 'Malformed WARC-Block-Digest field: not a labelled digest: no `:` separating algorithm from digest in `sha1`'
   WHEN 6 THEN 'The mandatory `WARC-Record-ID` field is missing.' WHEN 7 THEN 'The value of the `WARC-Segment-Number` field is not permitted: `2`.' END AS message,
-  count(*) AS n FROM (SELECT (page_id % 50) % 9 AS k FROM pages) GROUP BY ALL""")
+  count(*) AS n FROM (SELECT (page_id % 50) % 9 AS k FROM pages UNION ALL SELECT 8 FROM pages, (SELECT unnest([1, 3])) UNION ALL SELECT 8 FROM pages GROUP BY page_id // 50) GROUP BY ALL""")
 def lift_errors(spark, sf_dir):
     """Faults of each level, by their messages."""
     out = headers_of(faulty(spark, sf_dir))
     return out.groupBy(F.col("error")["code"].alias("code"), F.col("error")["message"].alias("message")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""SELECT {sql_urn("'r' || page_id::VARCHAR")} AS record_id, 'WARC-Type,WARC-Target-URI,WARC-Date,WARC-Record-ID,WARC-Warcinfo-ID,WARC-Concurrent-To,WARC-IP-Address,WARC-Payload-Digest,WARC-Block-Digest,Content-Type,Content-Length,x-b,x-a' AS names FROM pages""")
+@query(f"""SELECT record_id, CASE record_type WHEN 'request' THEN 'WARC-Type,WARC-Target-URI,WARC-Date,WARC-Record-ID,WARC-Warcinfo-ID,WARC-Payload-Digest,WARC-Block-Digest,Content-Type,Content-Length'
+  WHEN 'response' THEN 'WARC-Type,WARC-Target-URI,WARC-Date,WARC-Record-ID,WARC-Warcinfo-ID,WARC-Concurrent-To,WARC-IP-Address,WARC-Payload-Digest,WARC-Block-Digest,Content-Type,Content-Length'
+  WHEN 'metadata' THEN 'WARC-Type,WARC-Target-URI,WARC-Date,WARC-Record-ID,WARC-Warcinfo-ID,WARC-Concurrent-To,WARC-Block-Digest,Content-Type,Content-Length'
+  ELSE 'WARC-Type,WARC-Date,WARC-Record-ID,WARC-Filename,WARC-Block-Digest,Content-Type,Content-Length' END || ',x-b,x-a' AS names FROM ({RECORDS})""")
 def canonical_order(spark, sf_dir):
     """Shuffled, differently spelt headers in canonical order."""
-    raw = grammar.where_type(as_raw(captures(spark, sf_dir)), "response")
+    raw = as_raw(captures(spark, sf_dir))
     other = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(b" 1").alias("value")) for n in ("x-b", "x-a")])
     mixed = F.transform(F.reverse("headers"), lambda h: F.struct(F.upper(h["name"]).alias("name"), h["value"].alias("value")))
     out = canonicalize.canonicalize(raw.withColumn("headers", F.concat(other, mixed)))
@@ -216,13 +222,14 @@ def canonical_order(spark, sf_dir):
 
 @query(f"""SELECT {sql_urn("'r' || page_id::VARCHAR")} AS record_id, CASE page_id % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'payload' END AS wrong,
   CASE page_id % 3 WHEN 0 THEN 'The record declares the block digest `md5:00000000000000000000000000000000`, but its block digests as `md5:' || md5({RESPONSE}) || '`.'
-    WHEN 1 THEN 'The record declares the payload digest `md5:00000000000000000000000000000000`, but its payload digests as `md5:' || md5(html) || '`.' END AS message FROM pages""")
+    WHEN 1 THEN 'The record declares the payload digest `md5:00000000000000000000000000000000`, but its payload digests as `md5:' || md5(html) || '`.' END AS message FROM pages
+UNION ALL SELECT record_id, NULL, NULL FROM ({RECORDS}) WHERE record_type <> 'response'""")
 def digest_check(spark, sf_dir):
     """Declared digests against blocks and payloads."""
-    raw = grammar.where_type(as_raw(captures(spark, sf_dir)), "response").withColumn("k", F.floor((F.col("record_index") - 1) / 3))
+    raw = as_raw(captures(spark, sf_dir))
     zero = F.lit(" md5:" + "0" * 32).cast("binary")
     page = F.floor((F.col("record_index") - 1) / 3) + F.substring("file", 6, 6).cast("long") * PER_FILE
-    bad = F.when(page % 3 == 0, "warc-block-digest").when(page % 3 == 1, "warc-payload-digest").otherwise("")
+    bad = F.when(~is_type("response"), "").when(page % 3 == 0, "warc-block-digest").when(page % 3 == 1, "warc-payload-digest").otherwise("")
     raw = raw.withColumn("headers", F.transform("headers", lambda h: F.struct(h["name"].alias("name"), F.when(F.lower(h["name"]) == bad, zero).otherwise(h["value"]).alias("value"))))
     c = digests.check_digests(records(raw))
     wrong = F.when(F.col("block_digest_error").isNotNull(), "block").when(F.col("payload_digest_error").isNotNull(), "payload")
@@ -447,7 +454,7 @@ def dangling_references(spark, sf_dir):
     return d.join(ids, ["file", "record_index"]).select("record_id", "target")
 
 
-@query("""WITH c AS (SELECT page_id // 50 AS f, count(*) AS n, count(*) FILTER ((page_id % 50) % 9 IN (3, 5)) AS g, count(*) FILTER ((page_id % 50) % 9 < 8) AS r FROM pages GROUP BY 1)
+@query("""WITH c AS (SELECT page_id // 50 AS f, 3 * count(*) + 1 AS n, count(*) FILTER ((page_id % 50) % 9 IN (3, 5)) AS g, count(*) FILTER ((page_id % 50) % 9 < 8) AS r FROM pages GROUP BY 1)
 SELECT f::BIGINT AS file_no, 'raw' AS level, n AS records, 0::BIGINT AS errors, 'passed' AS status FROM c
 UNION ALL SELECT f, 'untyped', n - g, g, CASE WHEN g = 0 THEN 'passed' ELSE 'failed' END FROM c
 UNION ALL SELECT f, 'record', n - r, r, CASE WHEN r = 0 THEN 'passed' ELSE 'failed' END FROM c""")
@@ -520,10 +527,11 @@ def recompressed(spark, sf_dir):
     return read_warc(spark, path).select(merge.normal_id(grammar.get("WARC-Record-ID")).alias("record_id"), F.sha2("body", 256).alias("block"))
 
 
-@query("""SELECT level, code, count(*) AS n FROM (SELECT 'untyped' AS level, CASE WHEN k IN (3, 5) THEN 'MalformedField' END AS code, k, page_id FROM (SELECT page_id, (page_id % 50) % 9 AS k FROM pages)
+@query("""WITH r AS (SELECT page_id, t, CASE WHEN t = 2 THEN (page_id % 50) % 9 ELSE 8 END AS k FROM pages, (SELECT unnest([1, 2, 3]) AS t))
+SELECT level, code, count(*) AS n FROM (SELECT 'untyped' AS level, CASE WHEN k IN (3, 5) THEN 'MalformedField' END AS code, k, page_id, t FROM r
   UNION ALL SELECT 'record', CASE k WHEN 0 THEN 'MissingField' WHEN 1 THEN 'ForbiddenField' WHEN 2 THEN 'RepeatedField' WHEN 3 THEN 'MalformedField' WHEN 4 THEN 'UnknownRecordType'
-    WHEN 5 THEN 'MalformedField' WHEN 6 THEN 'MissingField' WHEN 7 THEN 'MalformedField' END, k, page_id FROM (SELECT page_id, (page_id % 50) % 9 AS k FROM pages))
-WHERE code IS NOT NULL OR (level = 'untyped' AND (page_id % 50) * 3 + 2 > 75) OR (level = 'record' AND page_id % 2 = 0 ) GROUP BY ALL""")
+    WHEN 5 THEN 'MalformedField' WHEN 6 THEN 'MissingField' WHEN 7 THEN 'MalformedField' END, k, page_id, t FROM r)
+WHERE code IS NOT NULL OR (level = 'untyped' AND (page_id % 50) * 3 + t > 75) OR (level = 'record' AND page_id % 2 = 0 ) GROUP BY ALL""")
 def filter_keeps_faults(spark, sf_dir):
     """Records by a predicate at each level: faults stay, whatever it says."""
     raw = synth.settled(faulty(spark, sf_dir))
