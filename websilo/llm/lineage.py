@@ -38,8 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
 def cut_table(df: DataFrame) -> DataFrame:
     """df, written as Parquet in the checkpoint folder and read back: smaller than a checkpoint for many narrow rows.
 
-    The table stays in that folder, as checkpoints do, for the folder's owner to sweep.
+    The table stays in that folder until ``discard``, or, as checkpoints do, for the folder's owner to sweep.
     """
     path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes what cut_table wrote for a table that nothing will read again."""
+    path, spark = getattr(table, "_written_at", None), table.sparkSession
+    if path is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

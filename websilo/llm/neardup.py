@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Words, mix, sliced
-from .lineage import cut, cut_table, quoted, spare
+from .lineage import cut, cut_table, discard, quoted, spare
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -385,6 +385,7 @@ def linked(reps: DataFrame, texts: DataFrame) -> DataFrame:
     bags_of = texts.join(dense.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_elements, "rep long, data binary")
     within = met_with(bags_of, dense, _linking, kind).select("a", "b")
     more = cut(verified(untried, texts).where("good").select("a", "b").union(within).distinct())
+    discard(texts)
     return components(links.union(more)) if more.limit(1).count() else labels
 
 
