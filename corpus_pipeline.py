@@ -5,6 +5,12 @@
 3. decontamination: documents of which a twentieth or more lies in benchmark windows go.
 4. personal data: numbers, dates and addresses are replaced by pseudonyms; n_chars follows the text.
 5. mixing: documents are repeated to the sources' target weights.
+
+Nulls, empty and very long texts, repeated rows and ids, empty tables and other columns,
+whatever their names, are treated as each operator's docstring says: texts without words
+stay unless the classifier rejects them, rows without an id are never copies, a null
+source is a source, and all columns of documents come back.  Each stage's table is
+deleted once the next one is written; the last one's input stays for its result.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from websilo.llm import decontaminate, mixing, neardup, pii, toxicity
-from websilo.llm.lineage import cut_table
+from websilo.llm.lineage import cut_table, discard
 from websilo.llm.queries import PII_KEY, table
 
 
@@ -56,7 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed documents: the columns of the documents table, a row for each copy."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        given, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut_table(docs)
+            discard(given)  # does nothing for documents itself
     return docs
