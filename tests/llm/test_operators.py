@@ -386,6 +386,18 @@ def test_licences(spark):
     assert got[0]["labels"] == "" and got[0]["score"] == 0 and licences.scan_licences(docs_of(spark, [])).count() == 0
 
 
+def test_licence_labels_equal_a_plain_search(spark):
+    r = random.Random(5)
+    phrases = licences.BASE_PHRASES | licences.OWN_PHRASES
+    pool = [w for p in phrases for w in (p, p.upper(), p.replace(" ", "-"), p[:-1], "x" + p)] + ["word", "license", "é"]
+    texts = [r.choice([" ", ", ", "\n"]).join(r.choices(pool, k=r.randint(0, 8))) for _ in range(300)]
+    got = {x["doc_id"]: x for x in licences.scan_licences(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        words = " " + " ".join(words_of(t)) + " "
+        assert got[i]["labels"] == ",".join(sorted({label for p, label in phrases.items() if f" {p} " in words}))
+        assert got[i]["base_labels"] == ",".join(sorted({label for p, label in licences.BASE_PHRASES.items() if f" {p} " in words}))
+
+
 def test_urls(spark):
     urls = [None, "", "nonsense", "http://A.Example.NET/en/x?q", "https://net/", "http://net", "http://xnet/", "http://example.com/de/?a", "http://example.com/x/a.net/",
             "https://b.org/fr/#x", "ftp://s/b.exe", "http://spam-farm.example.org/en/1", "http://a.net/en/", "x://y.example.com/de/" + "z" * 5000, "http://h?://net/"]

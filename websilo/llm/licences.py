@@ -36,7 +36,31 @@ OWN_PHRASES = {
     "cc by sa 4 0": "cc-by-sa-4.0",
     "cc by 4 0": "cc-by-4.0",
     "creative commons": "cc",
+    "creative commons zero": "cc0",
+    "cc0 1 0": "cc0",
     "public domain": "public-domain",
+    "bsd 2 clause": "bsd-2-clause",
+    "bsd 3 clause": "bsd-3-clause",
+    "redistribution and use in source and binary forms": "bsd",
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "you can redistribute it and or modify it under the terms of the gnu": "gpl",
+    "licensed under the apache": "apache",
+    "boost software license": "bsl-1.0",
+    "zlib license": "zlib",
+    "the unlicense": "unlicense",
+    "artistic license": "artistic",
+    "free documentation license": "gfdl",
+    "open font license": "ofl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "microsoft public license": "ms-pl",
+    "python software foundation license": "psf",
+    "postgresql license": "postgresql",
+    "business source license": "busl",
+    "server side public license": "sspl",
+    "elastic license": "elastic",
+    "open database license": "odbl",
+    "proprietary and confidential": "proprietary",
     "all rights reserved": "all-rights-reserved",
 }
 TAG = "spdx license identifier"
