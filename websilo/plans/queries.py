@@ -555,7 +555,7 @@ def dates_from_timestamps(spark, sf_dir):
 
 
 @query("""SELECT event_id, CASE k WHEN 0 THEN 'a"b\\c' WHEN 1 THEN '' END AS content, CASE k WHEN 2 THEN 'no opening quote' WHEN 3 THEN 'no closing quote' WHEN 4 THEN 'text behind the closing quote'
-  WHEN 5 THEN 'control character' WHEN 6 THEN 'no character behind a backslash' END AS error, CASE k WHEN 2 THEN 0 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 2 WHEN 6 THEN 2 END::BIGINT AS "at",
+  WHEN 5 THEN 'control character' WHEN 6 THEN 'no character behind a backslash' END AS error, CASE k WHEN 2 THEN 0 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 2 WHEN 6 THEN 2 ELSE -1 END::BIGINT AS "at",
   k < 2 AS is_text, k = 2 AS is_token FROM (SELECT event_id, event_id % 7 AS k FROM events)""")
 def quoted_strings(spark, sf_dir):
     """Quoted strings, and what is wrong with others."""
@@ -563,7 +563,7 @@ def quoted_strings(spark, sf_dir):
     t = F.element_at(F.array(*[F.lit(x) for x in texts]), (F.col("event_id") % 7 + 1).cast("int"))
     e = table(spark, sf_dir, "events").select("event_id", t.alias("t"))
     e = e.select("event_id", v.unquoted(F.col("t")).alias("u"), (v.text_value(F.col("t"))["quoted"] & F.col("t").isNotNull()).alias("x"), v.is_token(F.col("t")).alias("is_token"))
-    return e.select("event_id", F.col("u")["content"].alias("content"), F.col("u")["error"].alias("error"), F.col("u")["at"].alias("at"), F.coalesce("x", F.lit(False)).alias("is_text"), "is_token")
+    return e.select("event_id", F.col("u")["content"].alias("content"), F.col("u")["error"].alias("error"), F.coalesce(F.col("u")["at"], F.lit(-1)).alias("at"), F.coalesce("x", F.lit(False)).alias("is_text"), "is_token")
 
 
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'application/json' WHEN 1 THEN CASE WHEN html LIKE '<!doctype html%' OR lower(html) LIKE '<html%' OR lower(html) LIKE '<!doctype html%' THEN 'text/html' ELSE 'text/plain' END
@@ -579,7 +579,7 @@ def http_message_types(spark, sf_dir):
     return out.select("page_id", F.col("payload_type").alias("kind"), http.declared_type(F.col("body")).alias("declared"))
 
 
-@query("""SELECT event_id, ['none', 'length', 'chunked', 'close', NULL, NULL, 'none'][k + 1] AS kind, CASE WHEN k = 1 THEN event_id END AS length,
+@query("""SELECT event_id, ['none', 'length', 'chunked', 'close', NULL, NULL, 'none'][k + 1] AS kind, CASE WHEN k = 1 THEN event_id ELSE -1 END AS length,
   CASE k WHEN 4 THEN 'lengths that differ' WHEN 5 THEN 'a length that is no number' END AS error FROM (SELECT event_id, event_id % 7 AS k FROM events)""")
 def http_framing(spark, sf_dir):
     """How messages' bodies end."""
@@ -588,7 +588,7 @@ def http_framing(spark, sf_dir):
              F.lit("HTTP/1.1 200 OK\r\nA: b"), F.lit("HTTP/1.1 200 OK\r\nContent-Length: 5\r\nContent-Length: 6"), F.lit("HTTP/1.1 200 OK\r\nContent-Length: x"), F.lit("GET / HTTP/1.1\r\nA: b")]
     body = F.concat(F.element_at(F.array(*heads), (k + 1).cast("int")), F.lit("\r\n\r\nbody")).cast("binary")
     e = table(spark, sf_dir, "events").select("event_id", http.body_framing(body, k == 6).alias("f"))
-    return e.select("event_id", F.col("f")["kind"].alias("kind"), F.col("f")["length"].alias("length"), F.col("f")["error"].alias("error"))
+    return e.select("event_id", F.col("f")["kind"].alias("kind"), F.coalesce(F.col("f")["length"], F.lit(-1)).alias("length"), F.col("f")["error"].alias("error"))
 
 
 @query(f"""SELECT {sql_urn("'v' || page_id::VARCHAR")} AS record_id, {sql_urn("'r' || page_id::VARCHAR")} AS refers_to, url AS refers_to_target_uri, {sql_day('page_id')} AS refers_to_date,
@@ -621,7 +621,7 @@ def body_setters(spark, sf_dir):
                     wf.render(F.col("m")).cast("string").alias("metadata"), F.col("t")["name"].alias("term"), F.col("t")["is_element"].alias("is_element"))
 
 
-@query("""SELECT page_id, ['a', 'b', 'b2'] AS pushed, CASE WHEN page_id % 4 <> 0 THEN page_id END AS n, CASE WHEN page_id % 4 <> 0 THEN [true, false] END AS flags,
+@query("""SELECT page_id, 'a,b,b2' AS pushed, CASE WHEN page_id % 4 <> 0 THEN page_id ELSE -1 END AS n, CASE WHEN page_id % 4 <> 0 THEN 'true,false' END AS flags,
   CASE WHEN page_id % 4 = 0 THEN 'The value of the `n` field cannot be read.' END AS error, CASE WHEN page_id % 4 <> 0 THEN 'n=' || page_id::VARCHAR || ',flag=true,flag=false' ELSE '' END AS back FROM pages""")
 def typed_fields(spark, sf_dir):
     """Fields pushed, read into typed columns, and written again."""
@@ -634,7 +634,8 @@ def typed_fields(spark, sf_dir):
     schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("flag", T.ArrayType(T.BooleanType()))])
     d = wf.from_fields(p.select("page_id", pushed.alias("p"), fields.alias("body_fields")), schema)
     d = wf.to_fields(d.withColumn("value", F.col("data")["value"]), "value", schema, "again")
-    return d.select("page_id", F.transform("p", lambda f: f["value"]).alias("pushed"), F.col("value")["n"].alias("n"), F.col("value")["flag"].alias("flags"),
+    return d.select("page_id", F.array_join(F.transform("p", lambda f: f["value"]), ",").alias("pushed"), F.coalesce(F.col("value")["n"], F.lit(-1)).alias("n"),
+                    F.array_join(F.transform(F.col("value")["flag"], lambda f: f.cast("string")), ",").alias("flags"),
                     F.col("data")["error"].alias("error"), F.array_join(F.transform("again", lambda f: F.concat(f["name"], F.lit("="), f["value"])), ",").alias("back"))
 
 
