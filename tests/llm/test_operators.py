@@ -461,6 +461,31 @@ CLASHES = ["found", "first_id", "rows", "size", "source_size", "target", "copies
            "items", "class_id", "label", "rep", "id", "a", "b", "h", "block", "k1", "dot.ted", "_found", "_rate", "N_Card", "held_out", "word", "toxic"]
 
 
+def test_texts_of_a_megabyte(spark):
+    """Whole texts, far longer than a batch's usual ones, through each operator."""
+    r = random.Random(13)
+    words = r.choices([f"word{k}" for k in range(5000)], k=120_000)
+    words[60_000:60_003] = ["MIT", "License", "4111111111111111"]
+    big = " ".join(words)
+    near = " ".join([*words[:119_990], *["other"] * 10])
+    df = docs_of(spark, [big, near, "x" * 1_000_000, None, ""])
+    assert len(big) > 1_000_000
+    got = {x["doc_id"]: x["text"] for x in pii.pseudonymise(df, "k").collect()}
+    assert "4111111111111111" not in got[0] and len(got[0]) == len(big) and got[2] == "x" * 1_000_000
+    assert {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    found = {x["doc_id"]: x for x in licences.scan_licences(df).collect()}
+    assert (found[0]["n_words"], found[0]["first_word"], found[0]["labels"]) == (120_000, 60_000, "mit") and found[2]["n_words"] == 1
+    assert {x["doc_id"]: x["size"] for x in mixing.with_copies(df).collect()} == {0: 120_000, 1: 120_000, 2: 1, 3: 0, 4: 0}
+    bench = spark.createDataFrame([(0, " ".join(words[100_000:107_000]))], "item_id long, text string")
+    hit = {x["doc_id"]: x for x in decontaminate.report(df, bench).collect()}
+    assert hit[0]["n_hit"] == hit[1]["n_hit"] == 7_000 and hit[0]["contaminated"]
+    model = toxicity.Model(np.sort(toxicity.word_hash(["word7", "other"])), np.array([0.5, 0.5]), -1.0)
+    assert [x["score"] for x in toxicity.with_scores(df, model).orderBy("doc_id").collect()] == model.scores(pa.array([big, near, "x", None, ""])).tolist()
+    scores = {x["doc_id"]: x for x in lm.score_texts(df).collect()}
+    assert scores[0]["n_tokens"] == 120_001 and all(np.isfinite(x["score"]) and x["score"] < 0 for x in scores.values())
+    assert {x["doc_id"]: x["n_removed"] > 900_000 for x in repeats.remove_repeats(df).collect()} == {0: False, 1: True, 2: True, 3: False, 4: False}
+
+
 def test_stages_keep_columns_of_any_name(spark, tmp_path):
     import corpus_pipeline
 

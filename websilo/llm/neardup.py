@@ -375,8 +375,7 @@ def linked(reps: DataFrame, texts: DataFrame) -> DataFrame:
     met = cut(bucket_rows(reps))
     texts = cut_table(texts.join(met.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
     tried = cut(verified(first_pairs(reps, met), texts))
-    links = tried.where("good").select("a", "b")
-    labels = components(links)
+    labels = components(tried.where("good").select("a", "b"))
     placed = cells(met, labels)
     kind = "a long, b long, dense boolean"
     unlike = cut(met_with(reps.select("rep", F.col("sig").alias("data")), placed, _agreeing, kind).distinct())
@@ -384,9 +383,17 @@ def linked(reps: DataFrame, texts: DataFrame) -> DataFrame:
     dense = placed.join(unlike.where("dense").select(F.col("a").alias("key")).distinct(), "key", "left_semi")
     bags_of = texts.join(dense.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_elements, "rep long, data binary")
     within = met_with(bags_of, dense, _linking, kind).select("a", "b")
-    more = cut(verified(untried, texts).where("good").select("a", "b").union(within).distinct())
+    more = verified(untried, texts).where("good").select("a", "b").union(within)
+    for end in ("a", "b"):  # between classes
+        more = more.join(labels.select(F.col("id").alias(end), "label"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    more = cut(more.select("a", "b").where("a <> b").distinct())
     discard(texts)
-    return components(links.union(more)) if more.limit(1).count() else labels
+    if not more.limit(1).count():
+        return labels
+    outer = components(more).select(F.col("id").alias("class"), F.col("label").alias("whole"))
+    alone = outer.join(labels, outer["class"] == labels["id"], "left_anti").select(F.col("class").alias("id"), F.col("whole").alias("label"))
+    inner = labels.join(outer, labels["label"] == outer["class"], "left").select("id", F.coalesce("whole", "label").alias("label"))
+    return cut(inner.union(alone))
 
 
 def components(edges: DataFrame) -> DataFrame:
