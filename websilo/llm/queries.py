@@ -75,16 +75,35 @@ def op10_toxicity(spark, sf_dir):
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_topk, op4_licences, op5_lm_scores, op6_mixing, op7_decontamination, op8_url_filter, op9_repeats, op10_toxicity)}
+def op11_fill_in_middle(spark, sf_dir):
+    from .fim import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op12_languages(spark, sf_dir):
+    from .ppm import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark, sf_dir):
+    from .whiten import whitened_long
+
+    return whitened_long(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_near_duplicates, op3_topk, op4_licences, op5_lm_scores, op6_mixing, op7_decontamination, op8_url_filter, op9_repeats, op10_toxicity,
+                                   op11_fill_in_middle, op12_languages, op13_whitening)}
 
 
 def _oracles() -> dict[str, str]:
+    from .fim import FIM_SQL
     from .mixing import MIX_SQL
-
     from .oracles import DECONTAMINATION_SQL, URL_SQL
     from .topk import TOPK_SQL
 
-    return {"op3_topk": TOPK_SQL, "op6_mixing": MIX_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op8_url_filter": URL_SQL}
+    return {"op3_topk": TOPK_SQL, "op6_mixing": MIX_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op8_url_filter": URL_SQL, "op11_fill_in_middle": FIM_SQL}
 
 
 ORACLES = _oracles()
