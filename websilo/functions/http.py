@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,14 +11,12 @@ from pyspark.sql import types as T
 
 from .values import latin
 
-_LONGEST_HEAD = 1 << 20
-
 
 def head(body: Column) -> Column:
-    """The start line and fields, with folds joined, as ISO-8859-1 text; empty without the closing empty line in the first MB."""
-    # most heads end early: a megabyte is only looked at where the first 8 KB have no end
+    """The start line and fields, with folds joined, as ISO-8859-1 text; empty without the closing empty line."""
+    # most heads end early: the whole block is only looked at where the first 8 KB have no end
     first = latin(F.substring(body, 1, 8192))
-    text = F.when(F.instr(first, "\r\n\r\n") > 0, first).otherwise(latin(F.substring(body, 1, _LONGEST_HEAD)))
+    text = F.when(F.instr(first, "\r\n\r\n") > 0, first).otherwise(latin(body))
     return F.regexp_replace(F.when(text.contains("\r\n\r\n"), F.substring_index(text, "\r\n\r\n", 1)).otherwise(F.when(text.isNotNull(), "")), "\r\n[ \t]+", " ")
 
 
@@ -28,8 +28,9 @@ def status(body: Column) -> Column:
 def header(body: Column, name: str) -> Column:
     """The first field of a name; null if there is none."""
     h = head(body)
-    pattern = rf"(?i)\r\n{name}[ \t]*:[ \t]*([^\r\n]*?)[ \t]*(?:\r\n|\z)"
-    return F.when(h.rlike(pattern), F.regexp_extract(h, pattern, 1))
+    literal = re.sub(r"([^0-9A-Za-z])", r"\\\1", name)  # names may hold characters that patterns use
+    pattern = rf"(?i)\r\n{literal}[ \t]*:[ \t]*([^\r\n]*)"
+    return F.when(h.rlike(pattern), F.rtrim(F.regexp_extract(h, pattern, 1), F.lit(" \t")))
 
 
 def holds_http(record_type: Column, target_uri: Column, media: Column) -> Column:

@@ -268,7 +268,7 @@ def _leftover(text: Column) -> Column:
 
 
 def media_type(text: Column) -> Column:
-    """struct(type, subtype, parameters array<struct<name, value>>); null if it isn't a media type."""
+    """struct(type, subtype, parameters array<struct<name, value, quoted, separator>>); null if it isn't a media type."""
     def read(t: Column) -> Column:
         good = t.rlike(_ESSENCE) & (_leftover(t) == "")
         raw = F.regexp_extract_all(t, F.lit(_PARAMETER), F.lit(0))
@@ -277,7 +277,8 @@ def media_type(text: Column) -> Column:
             name = F.regexp_replace(F.substring_index(p, "=", 1), r"\A[ \t]*+;[ \t]*+", "")
             value = F.regexp_replace(p, r"\A[^=]*+=", "")
             plain = _unmasked(F.regexp_replace(value, r'\A"|"\z', ""))
-            return F.struct(name.alias("name"), F.when(value.startswith('"'), plain).otherwise(value).alias("value"))
+            return F.struct(name.alias("name"), F.when(value.startswith('"'), plain).otherwise(value).alias("value"),
+                            value.startswith('"').alias("quoted"), F.regexp_extract(p, r"\A([ \t]*+;[ \t]*+)", 1).alias("separator"))
 
         return F.when(good, F.struct(F.regexp_extract(t, _ESSENCE, 1).alias("type"), F.regexp_extract(t, _ESSENCE, 2).alias("subtype"),
                                      F.transform(raw, one).alias("parameters")))
@@ -296,6 +297,26 @@ def media_type_error(text: Column) -> Column:
     )
 
 
+def quoted(text: Column) -> Column:
+    """text as a quoted string."""
+    return F.concat(F.lit('"'), F.regexp_replace(text, r'(["\\])', r"\\$1"), F.lit('"'))
+
+
+def show_media_type(m: Column) -> Column:
+    """A media type struct as text: parameters as they were read, or behind ``; `` and quoted where they are no token."""
+    def one(p: Column) -> Column:
+        bare = ~F.coalesce(p["quoted"], F.lit(False)) & is_token(p["value"])
+        return F.concat(F.coalesce(p["separator"], F.lit("; ")), p["name"], F.lit("="), F.when(bare, p["value"]).otherwise(quoted(p["value"])))
+
+    parameters = F.coalesce(F.array_join(F.transform(m["parameters"], one), ""), F.lit(""))
+    return F.concat(m["type"], F.lit("/"), m["subtype"], parameters)
+
+
+def show_text(t: Column) -> Column:
+    """A text struct as it stands in a field."""
+    return F.when(t["quoted"], quoted(t["content"])).otherwise(t["content"])
+
+
 def is_media_type(m: Column, type_: str, subtype: str) -> Column:
     return (F.lower(m["type"]) == type_) & (F.lower(m["subtype"]) == subtype)
 

@@ -105,3 +105,25 @@ def where_last_segment_not(df: DataFrame, uri: Column, names: list[str]) -> Data
     """Rows whose URI's last path segment isn't one of names."""
     path = F.regexp_extract(uri, r"^[^:]+:(?://[^/?#]*)?([^?#]*)", 1)
     return df.where(~F.element_at(F.split(path, "/"), -1).isin(*names))
+
+
+def filter_raw(spark, path: str, wanted: list, **options) -> DataFrame:
+    """Raw records of files that meet every ``Wanted`` test; others' blocks are passed over with their ends checked, and faults stay."""
+    from ..sources.warc import read_warc
+
+    return read_warc(spark, path, wanted=wanted, **options)
+
+
+def kept(wanted: list) -> Column:
+    """Rows with an error, and those that meet every test."""
+    condition = F.lit(True)
+    for w in wanted:
+        condition = condition & w.column()
+    return F.col("error").isNotNull() | condition
+
+
+def filter_untyped(spark, path: str, wanted: list, **options) -> DataFrame:
+    """Grammar-checked records of files that meet every test; records whose header has a fault stay, without their blocks where a test refused them."""
+    from ..sources.warc import read_warc
+
+    return to_untyped(read_warc(spark, path, wanted=wanted, refused="header", **options)).where(kept(wanted))

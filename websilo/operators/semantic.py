@@ -101,7 +101,7 @@ def to_semantic_header(untyped: DataFrame, extension: Extension = Extension()) -
         "refers_to_target_uri": uri("WARC-Refers-To-Target-URI"),
         "refers_to_date": v.date(field("WARC-Refers-To-Date"), F.col("version")),
         "profile": uri("WARC-Profile"),
-        "filename": v.text_value(field("WARC-Filename")),
+        "filename": _filename(),
         "segment_number": v.digits(field("WARC-Segment-Number")),
         "segment_origin_id": uri("WARC-Segment-Origin-ID"),
         "segment_total_length": v.digits(field("WARC-Segment-Total-Length")),
@@ -114,6 +114,13 @@ def to_semantic_header(untyped: DataFrame, extension: Extension = Extension()) -
     return out.drop("_first", "_kind", "_names")
 
 
+def _filename() -> Column:
+    """struct(content, quoted, utf8): content has a character a byte where the value isn't UTF-8."""
+    text = v.text_value(field("WARC-Filename"))
+    read = F.try_element_at(F.filter("fields", lambda f: f["field"] == "WARC-Filename"), F.lit(1))["utf8"]
+    return F.when(text.isNotNull(), F.struct(text["content"].alias("content"), text["quoted"].alias("quoted"), read.alias("utf8")))
+
+
 def declares_fields() -> Column:
     return F.col("record_type").isin(*FIELDS_TYPES) & v.is_media_type(F.col("content_type"), "application", "warc-fields")
 
@@ -159,6 +166,19 @@ def where_records(untyped: DataFrame, condition: Column, extension: Extension =
     return with_body(kept)
 
 
+def filter_records(spark, path: str, wanted: list, extension: Extension = Extension(), **options) -> DataFrame:
+    """Records of files that meet every ``Wanted`` test; those whose header has a fault stay, without their blocks where a test refused them.
+
+    Blocks that the tests refuse are neither read nor checked, so a block's own fault is found in kept records alone.
+    """
+    from ..sources.warc import read_warc
+    from .grammar import kept, to_untyped
+
+    raw = read_warc(spark, path, wanted=wanted, refused="header", **options).withColumn("_wanted", kept(wanted) & F.col("error").isNull())
+    header = to_semantic_header(to_untyped(raw), extension)
+    return with_body(header.where(F.col("error").isNotNull() | F.col("_wanted")).drop("_wanted"))
+
+
 def segment_bodies(records: DataFrame) -> DataFrame:
     """(record_id, segments, body): origin records with their continuations' blocks joined in order of number."""
     key = F.when(F.col("record_type") == "continuation", F.col("segment_origin_id")).otherwise(F.col("record_id"))

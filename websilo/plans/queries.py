@@ -9,6 +9,7 @@ from ..functions import http
 from ..functions import values as v
 from ..operators import canonicalize, digests, export, grammar, graph, lint, merge, rewrite, semantic, validate
 from ..operators.render import build, exchange, render, revisit_original
+from ..operators.restate import to_raw
 from ..sources.warc import invalid_reason, read_warc, write_warc
 from ..storage import new_folder
 from . import synth
@@ -695,3 +696,119 @@ def graph_lines(spark, sf_dir):
 
 
 __all__ = ["ORACLES", "QUERIES", "field_list"]
+
+
+def page_of(place):
+    """The page of a capture's record, by its place in its file of captures."""
+    return F.floor((place - 1) / 3) + F.substring("file", 6, 6).cast("long") * PER_FILE
+
+
+_BLOCK_DIGEST = "'WARC-Block-Digest: sha256:' || sha256(body) || '|'"
+_KIND = "CASE WHEN record_type = 'warcinfo' THEN 9 ELSE page_id % 9 END"
+
+
+@query(f"""WITH r AS (SELECT record_type, record_id, page_id, target_uri, CASE WHEN record_type = 'metadata' THEN body || 'via: ' || target_uri || chr(13) || chr(10) ELSE body END AS body,
+  {_KIND} AS k, {sql_urn("'i' || (page_id // 50)::VARCHAR")} AS info, {sql_day("page_id")} AS d, {sql_urn("'q' || page_id::VARCHAR")} AS q, {sql_urn("'r' || page_id::VARCHAR")} AS rr FROM ({RECORDS})),
+e AS (SELECT *, CASE WHEN record_type <> 'response' THEN NULL WHEN k = 0 THEN 'ReservedField' WHEN k = 1 THEN 'ForbiddenField' WHEN k = 2 THEN 'UnwritableField'
+  WHEN k = 3 THEN 'ValueNotInVersion' WHEN k = 4 THEN 'BlockDigestMismatch' WHEN k = 5 THEN 'MissingField' END AS error FROM r)
+SELECT record_id, error, CASE WHEN error IS NOT NULL THEN NULL WHEN record_type = 'warcinfo' THEN
+    'WARC-Type: warcinfo|WARC-Date: ' || d || '|WARC-Record-ID: <' || record_id || '>|WARC-Filename: "a \\"part\\" of ' || (page_id // 50)::VARCHAR || '.warc"|'
+    || {_BLOCK_DIGEST} || 'Content-Type: application/warc-fields|Content-Length: ' || strlen(body)::VARCHAR || '|X-Seen: once'
+  ELSE 'WARC-Type: ' || record_type || '|WARC-Target-URI: ' || target_uri || '|WARC-Date: ' || CASE WHEN record_type = 'request' THEN d[1:16] || 'Z' ELSE d END || '|WARC-Record-ID: <' || record_id || '>|WARC-Warcinfo-ID: <' || info || '>|'
+    || CASE record_type WHEN 'response' THEN 'WARC-Concurrent-To: <' || q || '>|WARC-Concurrent-To: <urn:x:second>|WARC-IP-Address: 2001:db8::1|' WHEN 'metadata' THEN 'WARC-Concurrent-To: <' || rr || '>|' ELSE '' END
+    || CASE record_type WHEN 'response' THEN 'WARC-Payload-Digest: sha256:' || sha256(html) || '|' WHEN 'request' THEN 'WARC-Payload-Digest: sha256:' || sha256('') || '|' ELSE '' END
+    || {_BLOCK_DIGEST} || 'Content-Type: ' || CASE record_type WHEN 'metadata' THEN 'application/warc-fields' ELSE 'application/http; msgtype=' || record_type || CASE WHEN record_type = 'response' THEN '; note="a b"' ELSE '' END END
+    || '|Content-Length: ' || strlen(body)::VARCHAR || '|X-Seen: once' END AS header,
+  CASE WHEN error IS NULL THEN sha256(body) END AS block FROM e LEFT JOIN (SELECT page_id, html FROM pages) USING (page_id)""")
+def render_read(spark, sf_dir):
+    """Records that were read, changed, rendered, written, and read again; some changes can't be written."""
+    raw = as_raw(captures(spark, sf_dir)).withColumn("headers", F.concat("headers", F.array(F.struct(F.lit("X-Seen").alias("name"), F.lit(b"  once ").alias("value")))))
+    r = records(raw).withColumn("k", page_of(F.col("record_index")) % 9)
+    answer, extra = F.col("record_type") == "response", F.struct(F.lit("WARC-Date").alias("name"), F.lit("2024").alias("value"))
+    odd = lambda k, new, old: F.when(answer & (F.col("k") == k), new).otherwise(F.col(old))
+    note = F.struct(F.lit("note").alias("name"), F.lit("a b").alias("value"), F.lit(None).cast("boolean").alias("quoted"), F.lit(None).cast("string").alias("separator"))
+    name = F.regexp_replace(F.col("filename")["content"], "part-(.*)", 'a "part" of $1')
+    date = lambda p: v.made_date(F.col("date")["ts"], p)
+    changed = r.withColumns({
+        "unrecognized": odd(0, F.concat("unrecognized", F.array(extra)), "unrecognized"),
+        "segment_origin_id": odd(1, F.lit("urn:x:origin"), "segment_origin_id"),
+        "warcinfo_id": odd(2, F.lit("no uri"), "warcinfo_id"),
+        "version": odd(3, F.lit("1.0"), "version"),
+        "date": F.when(F.col("record_type") == "request", date("minute")).when(answer & (F.col("k") == 3), date("day")).otherwise(F.col("date")),
+        "block_digest": odd(4, v.digest(F.lit("md5:" + "0" * 32)), "block_digest"),
+        "target_uri": odd(5, F.lit(None).cast("string"), "target_uri"),
+        "ip_address": F.when(answer, "2001:db8::1").otherwise(F.col("ip_address")),
+        "concurrent_to": F.when(answer, F.concat("concurrent_to", F.array(F.lit("urn:x:second")))).otherwise(F.col("concurrent_to")),
+        "content_type": F.when(answer, F.struct(F.col("content_type")["type"].alias("type"), F.col("content_type")["subtype"].alias("subtype"), F.concat(
+            F.col("content_type")["parameters"], F.array(note)).alias("parameters"))).otherwise(F.col("content_type")),
+        "filename": F.when(name.isNotNull(), F.struct(name.alias("content"), F.lit(True).alias("quoted"), F.lit(True).alias("utf8"))),
+    })
+    listed = F.col("record_type") == "metadata"
+    null = F.lit(None)
+    changed = changed.withColumns({
+        "body_fields": F.when(listed, wf.push(F.col("body_fields"), "via", F.col("target_uri"))).otherwise(F.col("body_fields")),
+        "body": F.when(listed, null).otherwise(F.col("body")), "content_length": F.when(listed, null).otherwise(F.col("content_length")),
+        "block_digest": F.when(listed, null).otherwise(F.col("block_digest"))})
+    out = synth.settled(to_raw(changed, keep=["record_id"]))
+    path = new_folder(spark, "archive")
+    write_warc(out.where(F.col("error").isNull()).select("version", "headers", "body"), path, level=1)
+    line = lambda h: F.concat(h["name"], F.lit(":"), h["value"].cast("string"))
+    again = read_warc(spark, path).select(
+        merge.normal_id(grammar.get("WARC-Record-ID")).alias("record_id"), F.lit(None).cast("string").alias("error"), F.array_join(F.transform("headers", line), "|").alias("header"), F.sha2("body", 256).alias("block"))
+    refused = out.where(F.col("error").isNotNull()).select(
+        "record_id", F.col("error")["code"].alias("error"), F.lit(None).cast("string").alias("header"), F.lit(None).cast("string").alias("block"))
+    return again.unionByName(refused)
+
+
+@query(f"SELECT record_id, sha256(body) AS block FROM ({RECORDS}) WHERE record_type IN ('response', 'request') AND starts_with(target_uri, 'https://') AND NOT contains(target_uri, '/1')")
+def pushed_filter(spark, sf_dir):
+    """Filters that the reader takes: blocks of other records are passed over."""
+    raw = read_warc(spark, synth.archive(spark, sf_dir, "none"), push=True)
+    kept = raw.where(F.col("record_type").isin("response", "request") & F.col("target_uri").startswith("https://") & ~F.col("target_uri").contains("/1"))
+    return kept.select("record_id", F.sha2("body", 256).alias("block"))
+
+
+@query(f"""SELECT record_id, NULL AS code, sha256(body) AS block FROM ({RECORDS}) WHERE record_type = 'metadata'
+UNION ALL SELECT {sql_urn("'r' || page_id::VARCHAR")}, 'MalformedField', NULL FROM pages WHERE (page_id % 50) % 9 = 3
+UNION ALL SELECT {sql_urn("'r' || page_id::VARCHAR")}, 'MalformedField', NULL FROM pages WHERE (page_id % 50) % 9 = 5""")
+def filter_in_reader(spark, sf_dir):
+    """Metadata records, and every record whose header breaks its grammar, blocks of others left unread."""
+    from ..sources.warc import Wanted
+
+    path = new_folder(spark, "archive")
+    write_warc(faulty(spark, sf_dir), path, level=1)
+    got = grammar.filter_untyped(spark, path, [Wanted("record_type", "=", "metadata")])
+    return got.select("record_id", F.col("error")["code"].alias("code"), F.when(F.col("error").isNull(), F.sha2("body", 256)).alias("block"))
+
+
+_IN_ONE_FILE = f"""SELECT record_id, body, row_number() OVER (ORDER BY page_id // 50, CASE record_type WHEN 'warcinfo' THEN 0 ELSE (page_id % 50) * 3 + CASE record_type WHEN 'request' THEN 1 WHEN 'response' THEN 2 ELSE 3 END END) - 1 AS place
+  FROM ({RECORDS})"""
+
+
+def in_one_file(spark, sf_dir, compression):
+    path = new_folder(spark, "archive")
+    rows = captures(spark, sf_dir).orderBy("file_no", "place").coalesce(1)
+    return path, write_warc(rows, path, compression, level=1)
+
+
+@query(f"SELECT place AS record_index, record_id, sha256(body) AS block, true AS several FROM ({_IN_ONE_FILE})")
+def split_records(spark, sf_dir):
+    """One packed archive, read in many ranges."""
+    from ..sources import splits
+
+    path, _ = in_one_file(spark, sf_dir, "gzip")
+    rows = splits.read_splits(spark, path, 16 << 10)
+    several = splits.split_index(spark, path, 16 << 10).count() > 1
+    return rows.select("record_index", merge.normal_id(grammar.get("WARC-Record-ID")).alias("record_id"), F.sha2("body", 256).alias("block"), F.lit(several).alias("several"))
+
+
+@query(f"SELECT place AS record_index, record_id, sha256(body) AS block, true AS stored FROM ({_IN_ONE_FILE})")
+def records_by_place(spark, sf_dir):
+    """Every record by the place and length that writing gave it, and the digest of what is stored there."""
+    from ..sources import splits
+    from ..sources.warc import to_bytes
+
+    _, written = in_one_file(spark, sf_dir, "none")
+    got = to_bytes(splits.read_places(written.withColumn("place", F.col("record_index")), keep=["place", "stored_digest"]))
+    return got.select(F.col("place").alias("record_index"), merge.normal_id(grammar.get("WARC-Record-ID")).alias("record_id"), F.sha2("body", 256).alias("block"),
+                      (F.concat(F.lit("sha256:"), F.sha2("warc_bytes", 256)) == F.col("stored_digest")).alias("stored"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import BinaryIO, NamedTuple
 
 MAX_HEADER = 1 << 20
@@ -28,6 +28,7 @@ class Framed(NamedTuple):
     content_length: int | None
     body: bytes | None
     fault: tuple[str, str, str] | None
+    refused: bool = False
 
 
 class Member:
@@ -76,9 +77,27 @@ class Members:
             self.one = None
 
 
+class Plain:
+    """A seekable file as a stream of bytes from its position on, parts of which can be passed over."""
+
+    def __init__(self, file):
+        self.file, self.size = file, file.size()
+
+    def read(self, n: int) -> bytes:
+        return self.file.read(n)
+
+    def skip(self, n: int) -> int:
+        """Passes over up to n bytes; how many."""
+        at = self.file.tell()
+        n = min(n, self.size - at)
+        self.file.seek(at + n)
+        return n
+
+
 class _Reader:
     def __init__(self, stream):
         self.stream, self.have, self.at, self.taken = stream, b"", 0, 0
+        self.skip = getattr(stream, "skip", None)
 
     def _more(self) -> bool:
         chunk = self.stream.read(_BUFFER)
@@ -107,6 +126,13 @@ class _Reader:
         """n bytes, or None if there are fewer; b"" if they aren't kept."""
         parts, left = [], n
         while left:
+            if self.at == len(self.have) and not keep and self.skip is not None and left > _BUFFER // 16:
+                over = self.skip(left)
+                self.taken += over
+                left -= over
+                if left:
+                    return None
+                break
             if self.at == len(self.have) and not self._more():
                 return None
             piece = self.have[self.at : self.at + left]
@@ -155,12 +181,17 @@ def parse_header(block: bytes) -> tuple[str, list[tuple[str, bytes]], int]:
     return version.decode(), fields, int(digits[1])
 
 
-def frame(stream, bodies: bool = True) -> Iterator[Framed]:
-    """Records of a stream of plain bytes; without bodies their framing is still checked."""
+def frame(stream, bodies: bool = True, accept: Callable[[str, list], bool] | None = None) -> Iterator[Framed]:
+    """Records of a stream of plain bytes; without bodies their framing is still checked.
+
+    ``accept``: of a version and fields; the blocks of records that it refuses are passed
+    over, with their ends checked, and such records are marked.
+    """
     reader = _Reader(stream)
     while True:
         offset, block = reader.taken, b""
         version = fields = size = None
+        keep = bodies
         try:
             while True:
                 line = reader.line(MAX_HEADER - len(block))
@@ -172,7 +203,9 @@ def frame(stream, bodies: bool = True) -> Iterator[Framed]:
                 if line == b"\r\n":
                     break
             version, fields, size = parse_header(block)
-            body = reader.exactly(size, bodies)
+            refused = accept is not None and not accept(version, fields)
+            keep = bodies and not refused
+            body = reader.exactly(size, keep)
             if body is None:
                 raise Fault("stream", "UnexpectedEndOfBody", "Unexpected end of body.")
             end = reader.exactly(4, True)
@@ -187,7 +220,7 @@ def frame(stream, bodies: bool = True) -> Iterator[Framed]:
             yield Framed(offset, reader.taken - offset, version, fields, size, None,
                          ("stream", "Source", "Error reading data source."))
             return
-        yield Framed(offset, reader.taken - offset, version, fields, size, body if bodies else None, None)
+        yield Framed(offset, reader.taken - offset, version, fields, size, body if keep else None, None, refused)
 
 
 def is_gzip(path: str) -> bool:

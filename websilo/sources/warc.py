@@ -13,6 +13,7 @@ folder, and only the job's commit moves the files of successful ones into place.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..schema import HEADER, NO_BODY, RAW
-from .framing import Members, frame, gzip_member, is_gzip, members
+from .framing import Members, Plain, frame, gzip_member, is_gzip, members
 
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
 
@@ -40,11 +41,11 @@ def _filesystem(path: str):
     return fs.LocalFileSystem(), path
 
 
-def list_files(path: str) -> list[str]:
-    """Files of a path: itself, or those below a folder or under a trailing ``*``, in order of name."""
+def found_files(path: str) -> list[tuple[str, str]]:
+    """(file, path that it was found by) of a path, or of several with commas between: itself, or those below a folder or under a trailing ``*``, in order of name."""
     from pyarrow import fs
 
-    out: list[str] = []
+    out: list[tuple[str, str]] = []
     for one in path.split(","):
         system, inner = _filesystem(one)
         prefix = inner[:-1] if inner.endswith("*") else None
@@ -53,39 +54,112 @@ def list_files(path: str) -> list[str]:
         if info.type == fs.FileType.Directory:
             found = [f.path for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
             hidden = lambda f: any(part.startswith(("_", ".")) for part in f[len(base.rstrip("/")) :].split("/"))
-            out += sorted(f for f in found if not hidden(f) and (prefix is None or f.startswith(prefix)))
+            out += [(f, one) for f in sorted(f for f in found if not hidden(f) and (prefix is None or f.startswith(prefix)))]
         elif info.type == fs.FileType.File:
-            out.append(inner)
+            out.append((inner, one))
         else:
             raise FileNotFoundError(one)
     return out
 
 
-def batches_of(records, path: str, bodies: bool) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of framed records."""
+def list_files(path: str) -> list[str]:
+    return [f for f, _ in found_files(path)]
+
+
+def open_file(name: str, found_by: str):
+    """A file, to be read from any place, in the file system of the path that it was found by."""
+    return _filesystem(found_by)[0].open_input_file(name)
+
+
+_KEYS = {"record_type": b"warc-type", "record_id": b"warc-record-id", "target_uri": b"warc-target-uri"}
+
+
+def key_values(fields: list[tuple[str, bytes]] | None) -> dict[str, str | None]:
+    """A header's type in lower case, id and target URI, both without brackets; null where there is none or it isn't UTF-8."""
+    out: dict[str, str | None] = dict.fromkeys(_KEYS)
+    for column, name in _KEYS.items():
+        for n, value in fields or ():
+            if n.lower().encode() == name:
+                text = b" ".join(value.split(b"\r\n")).strip(b" \t\r\n")
+                try:
+                    text = text.decode()
+                except UnicodeDecodeError:
+                    break
+                out[column] = text.lower() if column == "record_type" else text[1:-1] if text[:1] == "<" and text[-1:] == ">" else text
+                break
+    return out
+
+
+KEYED = T.StructType([*[T.StructField(c, T.StringType()) for c in _KEYS]])
+#: What filters that are pushed into the reader, or given to it, may ask of a key.
+TESTS = {
+    "=": lambda value, x: value == x,
+    "in": lambda value, x: value in x,
+    "starts": lambda value, x: value.startswith(x),
+    "ends": lambda value, x: value.endswith(x),
+    "contains": lambda value, x: x in value,
+    "is not null": lambda value, x: True,
+}
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """A test of a key (record_type, record_id or target_uri): what it must be; ``negated``: must not.  A null key fails both."""
+
+    key: str
+    test: str
+    value: str | tuple[str, ...] | None = None
+    negated: bool = False
+
+    def of(self, keys: dict[str, str | None]) -> bool:
+        value = keys[self.key]
+        return value is not None and TESTS[self.test](value, self.value) != self.negated
+
+    def column(self):
+        """The same as a column's condition."""
+        c = F.col(self.key)
+        made = {"=": lambda: c == self.value, "in": lambda: c.isin(*self.value), "starts": lambda: c.startswith(self.value), "ends": lambda: c.endswith(self.value),
+                "contains": lambda: c.contains(self.value), "is not null": lambda: c.isNotNull()}[self.test]()
+        return F.coalesce(~made if self.negated else made, F.lit(False))
+
+
+def batches_of(records, path: str, bodies: bool, keys: bool = False, first: int = 0, base: int = 0) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of (place, framed record); ``first`` and ``base`` are added to places and offsets."""
     from ..arrow import arrow_schema
 
-    schema = arrow_schema(RAW if bodies else NO_BODY)
-    rows: list[dict] = []
+    schema = arrow_schema(T.StructType([*(RAW if bodies else NO_BODY), *(KEYED if keys else ())]))
+    rows: list = []
+    places: list[int] = []
     size = 0
 
     def done():
-        return pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    for i, r in enumerate(records):
-        error = None if r.fault is None else {"level": r.fault[0], "code": r.fault[1], "field": None, "message": r.fault[2]}
-        row = {
-            "file": path, "record_index": i, "offset": r.offset, "length": r.length, "version": r.version,
-            "headers": None if r.headers is None else [{"name": n, "value": v} for n, v in r.headers],
-            "content_length": r.content_length, "error": error,
+        n = len(rows)
+        fields = [f for r in rows for f in r.headers or ()]
+        edges = [0]
+        for r in rows:
+            edges.append(edges[-1] + len(r.headers or ()))
+        pairs = pa.StructArray.from_arrays([pa.array([f[0] for f in fields], pa.string()), pa.array([f[1] for f in fields], pa.binary())], fields=list(schema.field("headers").type.value_type))
+        error = [None if r.fault is None else {"level": r.fault[0], "code": r.fault[1], "field": None, "message": r.fault[2]} for r in rows]
+        made = {
+            "file": pa.array([path] * n, pa.string()), "record_index": pa.array(places, pa.int64()), "offset": pa.array([base + r.offset for r in rows], pa.int64()),
+            "length": pa.array([r.length for r in rows], pa.int64()), "version": pa.array([r.version for r in rows], pa.string()),
+            "headers": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pairs, mask=pa.array([r.headers is None for r in rows])),
+            "content_length": pa.array([r.content_length for r in rows], schema.field("content_length").type), "error": pa.array(error, schema.field("error").type),
         }
         if bodies:
-            row["body"] = r.body
-        rows.append(row)
+            made["body"] = pa.array([r.body for r in rows], pa.binary())
+        if keys:
+            each = [key_values(r.headers) for r in rows]
+            made |= {c: pa.array([k[c] for k in each], pa.string()) for c in _KEYS}
+        return pa.RecordBatch.from_arrays([made[f.name].cast(f.type) for f in schema], schema=schema)
+
+    for i, r in records:
+        rows.append(r)
+        places.append(first + i)
         size += 200 + len(r.body or b"")
         if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
             yield done()
-            rows, size = [], 0
+            rows, places, size = [], [], 0
     if rows:
         yield done()
 
@@ -93,40 +167,93 @@ def batches_of(records, path: str, bodies: bool) -> Iterator[pa.RecordBatch]:
 @dataclass
 class FilePartition(InputPartition):
     path: str
-    uri: str
+    found_by: str
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options.get("path", "")
-        self.bodies = str(options.get("bodies", "true")).lower() != "false"
+        self.bodies = _yes(options, "bodies", True)
+        self.keys = _yes(options, "keys", False)
         self.compression = options.get("compression", "auto")
+        self.wanted = [Wanted(k, t, tuple(v) if isinstance(v, list) else v, n) for k, t, v, n in json.loads(options.get("wanted", "[]"))]
+        self.refused = options.get("refused", "drop")
+        self.pushed: list[Wanted] = []
 
     def partitions(self):
-        scheme = self.path.split("://", 1)[0] + "://" if "://" in self.path else ""
-        return [FilePartition(f, scheme) for f in list_files(self.path)]
+        return [FilePartition(*f) for f in found_files(self.path)]
 
     def read(self, partition: FilePartition):
-        from pyarrow import fs
-
-        system = fs.FileSystem.from_uri(self.path.split(",")[0])[0] if partition.uri else fs.LocalFileSystem()
         packed = is_gzip(partition.path) if self.compression == "auto" else self.compression == "gzip"
-        with system.open_input_stream(partition.path, compression=None, buffer_size=1 << 20) as raw:
-            yield from batches_of(frame(Members(raw) if packed else raw, self.bodies), partition.path, self.bodies)
+        with open_file(partition.path, partition.found_by) as raw:
+            records = self.chosen(frame(Members(raw) if packed else Plain(raw), self.bodies, self.accepts()))
+            yield from batches_of(records, partition.path, self.bodies, self.keys)
+
+    def accepts(self):
+        every = [*self.wanted, *self.pushed]
+        if not every:
+            return None
+
+        def accept(version, fields):
+            keys = key_values(fields)
+            return all(w.of(keys) for w in every)
+
+        return accept
+
+    def chosen(self, records):
+        """Records with their places; those that are refused keep theirs, but don't come (or come without their blocks)."""
+        for i, r in enumerate(records):
+            if r.fault is not None and self.pushed:  # a pushed filter holds for faults, too
+                keys = key_values(r.headers)
+                if not all(w.of(keys) for w in self.pushed):
+                    continue
+            if not r.refused or self.refused == "header" and not self.pushed:
+                yield i, r
+
+
+class FilteringReader(WarcReader):
+    """The reader that takes filters on its keys from the plan; only for sessions with spark.sql.python.filterPushdown.enabled."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            w = pushed(f)
+            if w is None:
+                yield f
+            else:
+                self.pushed.append(w)
+
+
+def pushed(f, negated: bool = False) -> Wanted | None:
+    """A filter of the plan as a test of a key; None if it isn't one."""
+    from pyspark.sql import datasource as ds
+
+    if isinstance(f, ds.Not):
+        return None if negated else pushed(f.child, True)
+    names = {ds.EqualTo: "=", ds.In: "in", ds.StringStartsWith: "starts", ds.StringEndsWith: "ends", ds.StringContains: "contains", ds.IsNotNull: "is not null"}
+    if type(f) not in names or len(f.attribute) != 1 or f.attribute[0] not in _KEYS or negated and isinstance(f, ds.IsNotNull):
+        return None
+    value = getattr(f, "value", None)
+    if isinstance(f, ds.In) and (negated or not all(isinstance(x, str) for x in value)):
+        return None  # a null in the list makes the rest unknown
+    return Wanted(f.attribute[0], names[type(f)], tuple(value) if isinstance(value, (list, tuple)) else value, negated)
+
+
+def _yes(options, name: str, default: bool) -> bool:
+    return str(options.get(name, str(default))).lower() == "true"
 
 
 class WarcSource(DataSource):
-    """format("warc"): options path, bodies (true or false), compression (auto, gzip or none)."""
+    """format("warc"): options path, bodies (true or false), compression (auto, gzip or none), keys, push, wanted, refused (see read_warc)."""
 
     @classmethod
     def name(cls) -> str:
         return "warc"
 
     def schema(self):
-        return RAW if str(self.options.get("bodies", "true")).lower() != "false" else NO_BODY
+        return T.StructType([*(RAW if _yes(self.options, "bodies", True) else NO_BODY), *(KEYED if _yes(self.options, "keys", False) else ())])
 
     def reader(self, schema):
-        return WarcReader(self.options)
+        return (FilteringReader if _yes(self.options, "push", False) else WarcReader)(self.options)
 
     def writer(self, schema, overwrite):
         return WarcWriter(self.options, overwrite)
@@ -136,14 +263,30 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def read_warc(spark: SparkSession, path: str, bodies: bool = True, compression: str = "auto") -> DataFrame:
+def read_warc(spark: SparkSession, path: str, bodies: bool = True, compression: str = "auto", push: bool = False,
+              wanted: list[Wanted] | None = None, refused: str = "drop") -> DataFrame:
     """Records of the files of a path, with their framing faults.
 
     ``bodies=False`` neither buffers nor ships blocks (the API passes no column
     pruning on), but checks their framing.
+
+    ``push`` adds the keys record_type, record_id and target_uri as columns, and filters on
+    them (equality, lists, starts, ends, parts, and their negations) go into the reader:
+    blocks of records that these refuse are passed over, with their ends checked.  Rows come
+    out as the filter's own rules say, so faults without these keys don't.  This turns on
+    spark.sql.python.filterPushdown.enabled for the session.
+
+    ``wanted`` gives such tests to the reader directly.  Faults always stay then, and a
+    framing fault ends its file, whatever is asked for.  Records that are refused are dropped, or with
+    ``refused="header"`` come without their blocks, so that rules on headers can still be
+    checked for all (``grammar.filter_untyped``, ``semantic.filter_records``).
     """
     register(spark)
-    return spark.read.format("warc").option("bodies", str(bodies).lower()).option("compression", compression).load(path)
+    if push:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    asked = json.dumps([(w.key, w.test, w.value, w.negated) for w in wanted or []])
+    return spark.read.format("warc").options(bodies=str(bodies).lower(), compression=compression, push=str(push).lower(), keys=str(push or bool(wanted)).lower(),
+                                             wanted=asked, refused=refused).load(path)
 
 
 def to_bytes(df: DataFrame, name: str = "warc_bytes") -> DataFrame:
@@ -166,7 +309,8 @@ def invalid_reason(headers="headers", body="body"):
     declared = F.trim(latin(F.try_element_at(lengths, F.lit(1))["value"])).try_cast("decimal(20,0)")
     size = F.length(F.coalesce(b, F.lit(b"")))
     return (
-        F.when(F.size(bad_name) > 0, F.concat(F.lit("Malformed field line: "), F.try_element_at(bad_name, F.lit(1))["name"]))
+        F.when(h.isNull(), "The record has no header.")
+        .when(F.size(bad_name) > 0, F.concat(F.lit("Malformed field line: "), F.try_element_at(bad_name, F.lit(1))["name"]))
         .when(F.size(bad_value) > 0, F.concat(F.lit("Malformed field line: "), F.try_element_at(bad_value, F.lit(1))["name"]))
         .when(F.size(lengths) == 0, "Missing Content-Length.")
         .when(F.size(lengths) > 1, "Repeated Content-Length.")
@@ -274,15 +418,14 @@ def write_warc(df: DataFrame, path: str, compression: str = "gzip", level: int =
 
 def gzip_members(spark: SparkSession, path: str) -> DataFrame:
     """(file, member_index, n_records) of record-compressed files: each member must hold exactly one record."""
-    files = list_files(path)
-    names = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, len(files)), "file")
+    files = found_files(path)
+    names = spark.createDataFrame(files, "file string, found_by string").repartition(max(1, len(files)), "file")
 
     def run(batches):
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                system, inner = _filesystem(name)
+            for name, found_by in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = []
-                with system.open_input_stream(inner, compression=None) as raw:
+                with open_file(name, found_by) as raw:
                     for i, one in enumerate(members(raw)):
                         n = sum(1 for r in frame(one, False) if r.fault is None)
                         while one.read(1 << 20):  # what a fault left unread

@@ -31,7 +31,7 @@ def stream_warc(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
             for name in batch.column(0).to_pylist():
                 system, inner = _filesystem(name)
                 with system.open_input_stream(inner, compression=None, buffer_size=1 << 20) as raw:
-                    yield from batches_of(frame(Members(raw) if is_gzip(name) else raw), name, True)
+                    yield from batches_of(enumerate(frame(Members(raw) if is_gzip(name) else raw)), name, True)
 
     return files.mapInArrow(run, RAW)
 
