@@ -255,6 +255,11 @@ class WarcSource(DataSource):
     def reader(self, schema):
         return (FilteringReader if _yes(self.options, "push", False) else WarcReader)(self.options)
 
+    def streamReader(self, schema):
+        from .stream import WarcStreamReader
+
+        return WarcStreamReader(self.options)
+
     def writer(self, schema, overwrite):
         return WarcWriter(self.options, overwrite)
 

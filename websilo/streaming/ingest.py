@@ -1,7 +1,6 @@
-"""Archives that arrive in a folder, as a stream of records.
+"""Archives that arrive or grow in a folder, as a stream of records.
 
-New files are found by Spark's file stream source, which passes on their paths
-alone; each is opened and framed in bounded batches by the task that has its path.
+The stream source (``sources.stream``) passes on records as files hold them to their ends.
 Captures are counted in windows of event time with a watermark.
 """
 
@@ -13,27 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import values as v
 from ..operators.grammar import to_untyped
 from ..operators.semantic import to_semantic_header
-from ..schema import RAW
-from ..sources.framing import Members, frame, is_gzip
-from ..sources.warc import _filesystem, batches_of
-
-
-def stream_warc(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """Raw records of archives (names that end in .warc or .warc.gz) as they arrive below a folder."""
-    files = (
-        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-        .option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc*").load(path)
-        .select("path")  # so contents aren't read
-    )
-
-    def run(batches):
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                system, inner = _filesystem(name)
-                with system.open_input_stream(inner, compression=None, buffer_size=1 << 20) as raw:
-                    yield from batches_of(enumerate(frame(Members(raw) if is_gzip(name) else raw)), name, True)
-
-    return files.mapInArrow(run, RAW)
+from ..sources.warc import register
+
+
+def stream_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
+    """Raw records of the archives below a folder as they arrive, each once; a restart goes on from its checkpoint."""
+    register(spark)
+    return spark.readStream.format("warc").option("bodies", str(bodies).lower()).load(path)
 
 
 def captures_by_window(raw: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
