@@ -27,13 +27,8 @@ def _show_media(m):
         m["parameters"], lambda p: F.concat(F.lit("; "), p["name"], F.lit("="), p["value"])), ""))
 
 
-def lint(records: DataFrame) -> DataFrame:
-    """(file, record_index, place, record_id, violation, message): a row for each finding of readable records.
-
-    records: the semantic level with ``headers``, unreadable rows included, whose
-    position counts and which end a capture without a finding.  ``place`` orders the
-    findings of a record; a capture left waiting is found when the next record is.
-    """
+def narrow(records: DataFrame) -> DataFrame:
+    """What the rules look at in each record: a few narrow columns."""
     names = F.transform("headers", lambda h: h["name"])
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(names) - 1, F.lit(1))), lambda i: F.struct(
         F.try_element_at(names, i).alias("a"), F.try_element_at(names, i + 1).alias("b")))
@@ -48,19 +43,38 @@ def lint(records: DataFrame) -> DataFrame:
         if message:
             fits = fits & F.coalesce(F.lower(v.parameter(media, "msgtype")) == message, F.lit(False))
         wrong, wanted = F.when(F.col("record_type") == t, ~fits).otherwise(wrong), F.when(F.col("record_type") == t, text).otherwise(wanted)
-    narrow = records.select(
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return records.select(
         "file", "record_index", kind.alias("kind"), "record_id", "target_uri", "warcinfo_id", "concurrent_to",
-        disorder.alias("disorder"), payload.alias("has_payload"), F.col("payload_digest").isNull().alias("no_payload_digest"),
+        disorder["a"].alias("early"), disorder["b"].alias("late"), sure(payload).alias("has_payload"), F.col("payload_digest").isNull().alias("no_payload_digest"),
         F.col("block_digest").isNull().alias("no_block_digest"), media.isNull().alias("no_type"),
-        (F.coalesce(F.col("content_length"), F.lit(0)) > 0).alias("some"), (media.isNotNull() & wrong).alias("wrong_type"), wanted.alias("wanted"),
-        _show_media(media).alias("media"), F.coalesce(F.size(body_fields.get_all(F.col("body_fields"), "fetchTimeMs")) > 0, F.lit(False)).alias("timed"))
+        (F.coalesce(F.col("content_length"), F.lit(0)) > 0).alias("some"), sure(media.isNotNull() & wrong).alias("wrong_type"), wanted.alias("wanted"),
+        _show_media(media).alias("media"), sure(F.size(body_fields.get_all(F.col("body_fields"), "fetchTimeMs")) > 0).alias("timed"))
+
+
+def in_context(rows: DataFrame) -> DataFrame:
+    """``narrow`` rows with what the rules need of the records around them, by windows over files."""
     w = Window.partitionBy("file").orderBy("record_index")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    s = narrow.withColumns({
+    return rows.withColumns({
         "lag1": F.lag("kind", 1).over(w), "lag2": F.lag("kind", 2).over(w), "lead1": F.lead("kind", 1).over(w),
         "id1": F.lag("record_id", 1).over(w), "uri1": F.lag("target_uri", 1).over(w), "uri2": F.lag("target_uri", 2).over(w),
         "info": F.last(F.when(F.col("kind") == "warcinfo", F.col("record_id")), ignorenulls=True).over(before),
     })
+
+
+def lint(records: DataFrame) -> DataFrame:
+    """(file, record_index, place, record_id, violation, message): a row for each finding of readable records.
+
+    records: the semantic level with ``headers``, unreadable rows included, whose
+    position counts and which end a capture without a finding.  ``place`` orders the
+    findings of a record; a capture left waiting is found when the next record is.
+    """
+    return findings(in_context(narrow(records)))
+
+
+def findings(s: DataFrame) -> DataFrame:
+    """The findings of ``in_context`` rows."""
     k, answer = F.col("kind"), lambda c: F.coalesce(F.col(c).isin("response", "revisit"), F.lit(False))
     readable = k != "unreadable"
     pair = k.isin("response", "revisit") & F.coalesce(F.col("lag1") == "request", F.lit(False))
@@ -68,31 +82,30 @@ def lint(records: DataFrame) -> DataFrame:
     origin = F.when(closing, F.col("uri2")).otherwise(F.col("uri1"))
     say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
     code = lambda c: say("`", c, "`")
-    follows = F.when(F.col("lead1").isNull(), "it is the last record").otherwise(say("the next record is a ", code(F.col("lead1")), " record"))
-    listed = F.when(F.size("concurrent_to") > 0, F.array_join("concurrent_to", ", ")).otherwise("nothing")
-    preceding = F.when(F.col("info").isNull(), "no warcinfo record precedes it").otherwise(say("the closest preceding warcinfo record is ", F.col("info")))
+    next_one = F.when(F.col("lead1").isNull(), "the file ends").otherwise(say("type ", code(F.col("lead1")), " comes next"))
+    listed = F.when(F.size("concurrent_to") > 0, F.array_join("concurrent_to", ", ")).otherwise("none")
+    nearest = F.when(F.col("info").isNull(), "none stands before it").otherwise(say("the nearest one is ", F.col("info")))
     needs = readable & (k != "warcinfo")
     linked = pair | closing
     rules = [  # in the order that a record's findings come
-        ("NonCanonicalHeaderOrder", readable & F.col("disorder").isNotNull(), say(code(F.col("disorder")["b"]), " should appear before ", code(F.col("disorder")["a"]))),
-        ("FirstRecordNotWarcinfo", (F.col("record_index") == 0) & needs, say("the first record is a ", code(k), " record, not a `warcinfo` record")),
-        ("MissingWarcinfoId", needs & F.col("warcinfo_id").isNull(), F.lit("the record carries no `WARC-Warcinfo-ID`")),
+        ("NonCanonicalHeaderOrder", readable & F.col("late").isNotNull(), say("header order: ", code(F.col("late")), " belongs ahead of ", code(F.col("early")))),
+        ("FirstRecordNotWarcinfo", (F.col("record_index") == 0) & needs, say("the file opens with type ", code(k), " instead of `warcinfo`")),
+        ("MissingWarcinfoId", needs & F.col("warcinfo_id").isNull(), F.lit("no warcinfo id is given")),
         ("WrongWarcinfoId", needs & F.col("warcinfo_id").isNotNull() & ~F.col("warcinfo_id").eqNullSafe(F.col("info")),
-         say("`WARC-Warcinfo-ID` names ", F.col("warcinfo_id"), ", but ", preceding)),
-        ("MissingPayloadDigest", readable & F.col("has_payload") & F.col("no_payload_digest"), F.lit("the record has a payload but carries no `WARC-Payload-Digest`")),
-        ("MissingBlockDigest", readable & F.col("no_block_digest"), F.lit("the record carries no `WARC-Block-Digest`")),
-        ("MissingContentType", readable & F.col("no_type") & F.col("some") & (k != "continuation"), F.lit("the record has a block but carries no `Content-Type`")),
-        ("WrongContentType", readable & F.col("wrong_type"), say("`Content-Type` should be ", code(F.col("wanted")), ", but is ", code(F.col("media")))),
-        ("ResponseWithoutRequest", k.isin("response", "revisit") & ~pair, F.lit("the response does not follow a request record")),
+         say("warcinfo id ", F.col("warcinfo_id"), " isn't that of the warcinfo record in force: ", nearest)),
+        ("MissingPayloadDigest", readable & F.col("has_payload") & F.col("no_payload_digest"), F.lit("a payload without a payload digest")),
+        ("MissingBlockDigest", readable & F.col("no_block_digest"), F.lit("a block without a block digest")),
+        ("MissingContentType", readable & F.col("no_type") & F.col("some") & (k != "continuation"), F.lit("a block of undeclared media type")),
+        ("WrongContentType", readable & F.col("wrong_type"), say("media type ", code(F.col("media")), " where ", code(F.col("wanted")), " is expected")),
+        ("ResponseWithoutRequest", k.isin("response", "revisit") & ~pair, F.lit("no request stands just before this answer")),
         ("WrongConcurrentTo", linked & ~F.coalesce(F.col("concurrent_to") == F.array("id1"), F.lit(False)),
-         say("`WARC-Concurrent-To` should name ", F.col("id1"), " alone, but names ", listed)),
-        ("WrongTargetUri", linked & ~F.col("target_uri").eqNullSafe(origin), say("`WARC-Target-URI` should be ", origin, ", but ", F.when(
-            F.col("target_uri").isNull(), "the record carries none").otherwise(say("is ", F.col("target_uri"))))),
-        ("MissingFetchTime", closing & ~F.col("timed"), F.lit("the capture's metadata record carries no `fetchTimeMs` field")),
+         say("concurrent records: expected ", F.col("id1"), " only, found ", listed)),
+        ("WrongTargetUri", linked & ~F.col("target_uri").eqNullSafe(origin), say("target URI: expected ", origin, ", found ", F.coalesce(F.col("target_uri"), F.lit("none")))),
+        ("MissingFetchTime", closing & ~F.col("timed"), F.lit("a capture's metadata without its fetch time")),
         ("RequestWithoutResponse", (k == "request") & ~(answer("lead1") | F.coalesce(F.col("lead1") == "unreadable", F.lit(False))),
-         say("the request is not followed by its response: ", follows)),
+         say("no answer comes after this request: ", next_one)),
         ("ResponseWithoutMetadata", pair & ~F.coalesce(F.col("lead1").isin("metadata", "unreadable"), F.lit(False)),
-         say("the response is not followed by its metadata record: ", follows)),
+         say("no metadata comes after this answer: ", next_one)),
     ]
     found = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(i).alias("place"), F.lit(n).alias("violation"), m.alias("message")))
                       for i, (n, c, m) in enumerate(rules)])
