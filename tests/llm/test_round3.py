@@ -228,3 +228,21 @@ def test_whitening_edges(spark):
 def test_chinese_remainders(x):
     moduli = whiten.primes(6)
     assert whiten.residues_joined([x % p for p in moduli], moduli) == x
+
+
+# ---- top inner products of very long vectors
+
+def test_one_long_vector(spark):
+    from websilo.llm import topk
+
+    vectors = {0: [1.0, 2.0], 1: [3.0, 1.0], 2: [1e8, 0.0], 20: [2e7, 1.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * c) for c in v] for i, v in vectors.items()}
+    want = []
+    for q in (0, 20):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q))
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+    assert max(abs(w[3]) for w in want) < 2**63
+    assert sorted(map(tuple, topk.top_inner_products(df).collect())) == sorted(want)
+    with pytest.raises(ValueError):
+        topk.top_inner_products(df.union(spark.createDataFrame([(4, [1e9, 0.0])], df.schema))).count()

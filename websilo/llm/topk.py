@@ -127,15 +127,17 @@ def top_inner_products(rows: DataFrame, k: int = 20, every: int = 20, head: int
     Queries: rows whose id is divisible by ``every``; candidates: every row with
     another id, repeated rows each for itself.  Query rows equal in id and vector
     are answered once.  Vectors of unequal length are filled with zeros.  Scores are
-    exact; vectors so long that a score might not fit a long raise an error.  Other
+    exact; where the two longest vectors of different ids might have a score that fits no long, that is an error.  Other
     columns of rows play no part, whatever their names.  An empty table gives no rows.
     """
     every_row = whole_vectors(rows, id_col, vector_col, scale)
     n, dim, n_queries, most = every_row.agg(
         F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count(F.when(F.col("vec_id") % every == 0, 1)),
         F.coalesce(F.max("n2"), F.lit(0.0))).first()
-    if most > 2.0**63 * 0.999:  # no score is above the largest squared length
-        raise ValueError("inner products of these vectors don't fit a long: scale them down")
+    if most > 2.0**63 * 0.999:  # scores are of rows of different ids, so none is above the product of the two largest lengths of different ids
+        two = [r["m"] for r in every_row.groupBy("vec_id").agg(F.max("n2").alias("m")).orderBy(F.desc("m")).limit(2).collect()]
+        if (two[0] * two[-1]) ** 0.5 > 2.0**63 * 0.999:
+            raise ValueError("inner products of these vectors don't fit a long: scale them down")
     dim = max(int(dim), 1)
     head = min(head, dim)
     part = every_row.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_ROWS / max(n, 1))))
