@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sniff import SEEN, sniffed
 from .values import latin
 
 
@@ -150,25 +151,11 @@ def request_block(method: Column, target: Column, fields: Column, body: Column)
     return F.concat(F.concat(method, F.lit(" "), target, F.lit(" HTTP/1.1\r\n"), lines, F.lit("\r\n")).cast("binary"), body)
 
 
-#: Signatures of payload types, as (first byte, hex, type).
-SIGNATURES = (
-    (0, "89504E470D0A1A0A", "image/png"), (0, "FFD8FF", "image/jpeg"), (0, "47494638", "image/gif"), (0, "424D", "image/bmp"),
-    (0, "49492A00", "image/tiff"), (0, "4D4D002A", "image/tiff"), (8, "57454250", "image/webp"), (4, "6674797061766966", "image/avif"),
-    (0, "25504446", "application/pdf"), (0, "1F8B", "application/gzip"), (0, "504B0304", "application/zip"), (0, "425A68", "application/x-bzip2"),
-    (0, "FD377A585A00", "application/x-xz"), (0, "28B52FFD", "application/zstd"), (0, "377ABCAF271C", "application/x-7z-compressed"),
-    (0, "0061736D", "application/wasm"), (0, "7F454C46", "application/x-executable"), (0, "53514C69746520666F726D6174203300", "application/vnd.sqlite3"),
-    (0, "774F4646", "font/woff"), (0, "774F4632", "font/woff2"), (0, "4F54544F", "font/otf"), (0, "0001000000", "font/ttf"),
-    (0, "4F676753", "audio/ogg"), (0, "664C6143", "audio/flac"), (0, "494433", "audio/mpeg"), (8, "57415645", "audio/wav"),
-    (4, "66747970", "video/mp4"), (0, "1A45DFA3", "video/webm"), (8, "41564920", "video/avi"),
-)
-
-
 def payload_type(payload: Column, declared: Column, valid_json: Column) -> Column:
-    """application/json if JSON is declared and valid; else by signature; text/plain for printable UTF-8; else null."""
-    start = F.hex(F.substring(payload, 1, 32))
-    out = F.when(F.lower(declared).rlike(r"^[^;]*[/+]json\s*(?:;|$)") & valid_json, "application/json")
-    for at, signature, name in SIGNATURES:
-        out = out.when(F.substring(start, 2 * at + 1, len(signature)) == signature, name)
+    """application/json if JSON is declared and valid; else by signature or container; text/plain for printable UTF-8; else null."""
+    # only the first bytes of a payload go to Python
+    kind = sniffed(F.substring(payload, 1, SEEN))
+    out = F.when(F.lower(declared).rlike(r"^[^;]*[/+]json\s*(?:;|$)") & valid_json, "application/json").when(kind.isNotNull(), kind)
     printable = ~latin(payload).rlike(r"[\x00-\x08\x0E-\x1A\x1C-\x1F]") & F.is_valid_utf8(payload.cast("string"))
     low = F.lower(F.ltrim(latin(F.substring(payload, 1, 256))))
     some = (F.length(payload) > 0) & printable

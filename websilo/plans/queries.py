@@ -785,3 +785,23 @@ def records_by_place(spark, sf_dir):
     got = to_bytes(splits.read_places(written.withColumn("place", F.col("record_index")), keep=["place", "stored_digest"]))
     return got.select(F.col("place").alias("record_index"), merge.normal_id(grammar.get("WARC-Record-ID")).alias("record_id"), F.sha2("body", 256).alias("block"),
                       (F.concat(F.lit("sha256:"), F.sha2("warc_bytes", 256)) == F.col("stored_digest")).alias("stored"))
+
+
+@query(f"""SELECT {sql_urn("'g' || doc_id::VARCHAR || '-1'")} AS record_id, greatest(1, ((strlen(coalesce(text, '')) + CASE WHEN coalesce(text, '') = '' THEN 52 ELSE 58 + length(to_hex(strlen(text))) - 2 END) + 699) // 700)::BIGINT AS segments,
+  strlen(coalesce(text, ''))::BIGINT AS payload_bytes, 'sha256:' || sha256(coalesce(text, '')) AS payload_digest, NULL::VARCHAR AS error FROM documents""")
+def segment_payloads(spark, sf_dir):
+    """Chunked messages in segments of 700 bytes: the payload's digest, read piece by piece."""
+    from ..functions.chunks import segment_payloads as payloads
+
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    head = F.lit(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n")
+    chunk = F.when(F.length(text) > 0, F.concat(F.lower(F.hex(F.length(text))).cast("binary"), F.lit(b"\r\n"), text, F.lit(b"\r\n"))).otherwise(F.lit(b""))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, chunk, F.lit(b"0\r\n\r\n")).alias("b"))
+    d = d.select("doc_id", "b", F.explode(F.sequence(F.lit(1), F.ceil(F.length("b") / 700).cast("int"))).alias("n"))
+    ident = lambda i: urn(F.concat(F.lit("g"), F.col("doc_id").cast("string"), F.lit("-"), i.cast("string")))
+    common = {"date": day("doc_id"), "target_uri": F.concat(F.lit("http://example.org/"), F.col("doc_id").cast("string")), "body": F.substring("b", (F.col("n") - 1) * 700 + 1, F.lit(700)),
+              "segment_number": F.col("n").cast("string")}
+    first = build(d.where("n = 1"), "response", record_id=ident(F.lit(1)), **common)
+    rest = build(d.where("n > 1"), "continuation", record_id=ident(F.col("n")), segment_origin_id=ident(F.lit(1)), **common)
+    raw = loose(render(first.unionByName(rest, allowMissingColumns=True)))
+    return payloads(headers_of(raw)).select("record_id", "segments", "payload_bytes", "payload_digest", "error")
