@@ -138,7 +138,8 @@ def with_body(header: DataFrame) -> DataFrame:
                                                   size.cast("string"), " octets, but does not declare that it is truncated.")))
     out = header.withColumn("error", F.coalesce("error", length, revisit, no_error()))
     wanted = F.col("error").isNull() & declares_fields()
-    out = out.withColumn("_parsed", F.when(wanted, body_fields.parse(F.when(wanted, F.col("body")))))
+    # filters on what the parser finds stay above the generator: they'd take the Python function with them otherwise
+    out = out.select("*", F.inline(F.array(F.struct(F.when(wanted, body_fields.parse(F.when(wanted, F.col("body")))).alias("_parsed")))))
     said = block("Fields", _say("The record's body is not what its `Content-Type` declares: ", F.col("_parsed")["error"]))
     return (
         out.withColumn("error", F.coalesce("error", F.when(F.col("_parsed")["error"].isNotNull(), said)))

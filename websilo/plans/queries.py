@@ -805,3 +805,27 @@ def segment_payloads(spark, sf_dir):
     rest = build(d.where("n > 1"), "continuation", record_id=ident(F.col("n")), segment_origin_id=ident(F.lit(1)), **common)
     raw = loose(render(first.unionByName(rest, allowMissingColumns=True)))
     return payloads(headers_of(raw)).select("record_id", "segments", "payload_bytes", "payload_digest", "error")
+
+
+@query(f"""WITH p AS (SELECT page_id, page_id % 6 AS k, {sql_urn("'q' || page_id::VARCHAR")} AS q, {sql_urn("'r' || page_id::VARCHAR")} AS r, {sql_urn("'m' || page_id::VARCHAR")} AS m FROM pages)
+SELECT CASE k WHEN 0 THEN r WHEN 1 THEN r WHEN 2 THEN m WHEN 3 THEN q WHEN 4 THEN q END AS record_id, CASE k WHEN 0 THEN 'structure' WHEN 1 THEN 'digest' WHEN 2 THEN 'reference' WHEN 3 THEN 'id' WHEN 4 THEN 'segment' END AS "check",
+  CASE k WHEN 2 THEN 'no record has the id urn:x:nowhere' WHEN 4 THEN 'the series has no origin' END AS message FROM p WHERE k < 5""")
+def verify_archive(spark, sf_dir):
+    """All checks over an archive in which each page's capture has the fault of its class: a lost field, a wrong digest, a reference into nowhere, a copied record, a segment without origin."""
+    from ..operators.verify import verify
+
+    c = captures(spark, sf_dir)
+    k, kind, headers = F.col("page_id") % 6, F.col("record_type"), F.col("headers")
+    segment = F.transform(headers, lambda h: F.struct(h["name"].alias("name"), F.when(F.lower(h["name"]) == "warc-type", F.lit(b" continuation")).otherwise(h["value"]).alias("value")))
+    gone = F.concat(F.lit(" <urn:x:gone-"), F.col("page_id").cast("string"), F.lit(">"))
+    lone = F.array(*[F.struct(F.lit(n).alias("name"), t.cast("binary").alias("value")) for n, t in (("WARC-Segment-Number", F.lit(" 2")), ("WARC-Segment-Origin-ID", gone))])
+    kept = F.filter(segment, lambda h: ~F.lower(h["name"]).isin("warc-concurrent-to", "warc-ip-address"))
+    changed = (F.when((k == 0) & (kind == "response"), _drop(headers, "WARC-Target-URI")).when((k == 1) & (kind == "response"), _swap(headers, "WARC-Payload-Digest", "md5:" + "0" * 32))
+               .when((k == 2) & (kind == "metadata"), _swap(headers, "WARC-Concurrent-To", "<urn:x:nowhere>")).when((k == 4) & (kind == "request"), F.concat(kept, lone)).otherwise(headers))
+    rows = c.withColumn("headers", F.when(kind == "warcinfo", headers).otherwise(changed)).withColumn(
+        "copies", F.when((k == 3) & (kind == "request"), 2).otherwise(1)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    path = new_folder(spark, "archive")
+    write_warc(rows.repartition("file_no").sortWithinPartitions("file_no", "place", "copy"), path, level=1)
+    found = verify(spark, path).where(~F.col("message").startswith("no record has the id urn:x:gone"))
+    shown = F.when(F.col("check").isin("reference", "segment"), F.col("message"))
+    return found.select("record_id", "check", shown.alias("message"))

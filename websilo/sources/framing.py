@@ -77,6 +77,42 @@ class Members:
             self.one = None
 
 
+class Counted:
+    """A file read in turn from a place on, which knows how far."""
+
+    def __init__(self, file, at: int):
+        self.file, self.at = file, at
+        file.seek(at)
+
+    def read(self, n: int) -> bytes:
+        out = self.file.read(n)
+        self.at += len(out)
+        return out
+
+
+class MarkedMembers:
+    """Gzip members from a place on as one stream of plain bytes; ``marks``: place in the file of the member that begins at a plain byte."""
+
+    def __init__(self, file, at: int):
+        self.raw, self.rest, self.one, self.plain, self.marks = Counted(file, at), b"", None, 0, {}
+        self.begun: list[int] = []  # plain bytes at which members begin, those of empty ones too
+
+    def read(self, n: int) -> bytes:
+        while True:
+            if self.one is None:
+                self.rest = self.rest or self.raw.read(_BUFFER)
+                if not self.rest:
+                    return b""
+                self.marks[self.plain] = self.raw.at - len(self.rest)
+                self.begun.append(self.plain)
+                self.one = Member(self.raw, self.rest)
+            out = self.one.read(n)
+            if out:
+                self.plain += len(out)
+                return out
+            self.rest, self.one = self.one.rest, None
+
+
 class Plain:
     """A seekable file as a stream of bytes from its position on, parts of which can be passed over."""
 

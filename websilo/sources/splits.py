@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..schema import NO_BODY, RAW
 from ..storage import settled
-from .framing import MAX_HEADER, Fault, Framed, Member, Members, Plain, frame, is_gzip, parse_header
+from .framing import MAX_HEADER, Fault, Framed, MarkedMembers, Members, Plain, frame, is_gzip, parse_header
 from .warc import batches_of, found_files, open_file
 
 SPLIT_BYTES = 64 << 20
@@ -29,44 +29,10 @@ _CHUNK = 1 << 20
 _MAGIC, _OPENING = b"\x1f\x8b\x08", b"\r\n\r\nWARC/1."
 
 
-class _Counted:
-    """A file read in turn from a place on, which knows how far."""
-
-    def __init__(self, file, at: int):
-        self.file, self.at = file, at
-        file.seek(at)
-
-    def read(self, n: int) -> bytes:
-        out = self.file.read(n)
-        self.at += len(out)
-        return out
-
-
-class _Marked:
-    """Gzip members from a place on as one stream of plain bytes; ``marks``: place in the file of the member that begins at a plain byte."""
-
-    def __init__(self, file, at: int):
-        self.raw, self.rest, self.one, self.plain, self.marks = _Counted(file, at), b"", None, 0, {}
-
-    def read(self, n: int) -> bytes:
-        while True:
-            if self.one is None:
-                self.rest = self.rest or self.raw.read(_CHUNK)
-                if not self.rest:
-                    return b""
-                self.marks[self.plain] = self.raw.at - len(self.rest)
-                self.one = Member(self.raw, self.rest)
-            out = self.one.read(n)
-            if out:
-                self.plain += len(out)
-                return out
-            self.rest, self.one = self.one.rest, None
-
-
 def placed(file, at: int, packed: bool, bodies: bool) -> Iterator[tuple[int | None, Framed]]:
     """Records from a place on, each with the place in the file where it could be read from (null inside of a member)."""
     if packed:
-        stream = _Marked(file, at)
+        stream = MarkedMembers(file, at)
         for r in frame(stream, bodies):
             yield stream.marks.get(r.offset), r
             for mark in [m for m in stream.marks if m < r.offset]:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..schema import HEADER, NO_BODY, RAW
-from .framing import Members, Plain, frame, gzip_member, is_gzip, members
+from .framing import MarkedMembers, Members, Plain, frame, gzip_member, is_gzip, members
 
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
 
@@ -91,6 +91,8 @@ def key_values(fields: list[tuple[str, bytes]] | None) -> dict[str, str | None]:
 
 
 KEYED = T.StructType([*[T.StructField(c, T.StringType()) for c in _KEYS]])
+#: How many gzip members begin behind the last record's start and up to this one's, and whether one does just there; null in plain files.
+MEMBERS = T.StructType([T.StructField("members_begun", T.LongType()), T.StructField("starts_member", T.BooleanType())])
 #: What filters that are pushed into the reader, or given to it, may ask of a key.
 TESTS = {
     "=": lambda value, x: value == x,
@@ -123,13 +125,14 @@ class Wanted:
         return F.coalesce(~made if self.negated else made, F.lit(False))
 
 
-def batches_of(records, path: str, bodies: bool, keys: bool = False, first: int = 0, base: int = 0) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of (place, framed record); ``first`` and ``base`` are added to places and offsets."""
+def batches_of(records, path: str, bodies: bool, keys: bool = False, first: int = 0, base: int = 0, members: bool = False) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of (place, framed record, and perhaps its members); ``first`` and ``base`` are added to places and offsets."""
     from ..arrow import arrow_schema
 
-    schema = arrow_schema(T.StructType([*(RAW if bodies else NO_BODY), *(KEYED if keys else ())]))
+    schema = arrow_schema(T.StructType([*(RAW if bodies else NO_BODY), *(KEYED if keys else ()), *(MEMBERS if members else ())]))
     rows: list = []
     places: list[int] = []
+    begun: list = []
     size = 0
 
     def done():
@@ -151,15 +154,18 @@ def batches_of(records, path: str, bodies: bool, keys: bool = False, first: int
         if keys:
             each = [key_values(r.headers) for r in rows]
             made |= {c: pa.array([k[c] for k in each], pa.string()) for c in _KEYS}
+        if members:
+            made |= {"members_begun": pa.array([m and m[0] for m in begun], pa.int64()), "starts_member": pa.array([m and m[1] for m in begun], pa.bool_())}
         return pa.RecordBatch.from_arrays([made[f.name].cast(f.type) for f in schema], schema=schema)
 
-    for i, r in records:
+    for i, r, *more in records:
         rows.append(r)
+        begun.append(more[0] if more else None)
         places.append(first + i)
         size += 200 + len(r.body or b"")
         if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
             yield done()
-            rows, places, size = [], [], 0
+            rows, places, begun, size = [], [], [], 0
     if rows:
         yield done()
 
@@ -174,7 +180,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options.get("path", "")
         self.bodies = _yes(options, "bodies", True)
-        self.keys = _yes(options, "keys", False)
+        self.keys, self.members = _yes(options, "keys", False), _yes(options, "members", False)
         self.compression = options.get("compression", "auto")
         self.wanted = [Wanted(k, t, tuple(v) if isinstance(v, list) else v, n) for k, t, v, n in json.loads(options.get("wanted", "[]"))]
         self.refused = options.get("refused", "drop")
@@ -186,8 +192,11 @@ class WarcReader(DataSourceReader):
     def read(self, partition: FilePartition):
         packed = is_gzip(partition.path) if self.compression == "auto" else self.compression == "gzip"
         with open_file(partition.path, partition.found_by) as raw:
-            records = self.chosen(frame(Members(raw) if packed else Plain(raw), self.bodies, self.accepts()))
-            yield from batches_of(records, partition.path, self.bodies, self.keys)
+            stream = (MarkedMembers(raw, 0) if self.members else Members(raw)) if packed else Plain(raw)
+            records = self.chosen(frame(stream, self.bodies, self.accepts()))
+            if self.members:
+                records = with_members(records, getattr(stream, "begun", None))
+            yield from batches_of(records, partition.path, self.bodies, self.keys, members=self.members)
 
     def accepts(self):
         every = [*self.wanted, *self.pushed]
@@ -211,6 +220,17 @@ class WarcReader(DataSourceReader):
                 yield i, r
 
 
+def with_members(records, begun: list[int] | None):
+    """(place, record, (members begun behind the last record's start, whether one begins here)); begun: plain bytes at which members begin, in order."""
+    for i, r in records:
+        if begun is None:
+            yield i, r, None
+        else:
+            passed = [m for m in begun if m <= r.offset]
+            yield i, r, (len(passed), r.offset in passed)
+            del begun[: len(passed)]
+
+
 class FilteringReader(WarcReader):
     """The reader that takes filters on its keys from the plan; only for sessions with spark.sql.python.filterPushdown.enabled."""
 
@@ -250,7 +270,8 @@ class WarcSource(DataSource):
         return "warc"
 
     def schema(self):
-        return T.StructType([*(RAW if _yes(self.options, "bodies", True) else NO_BODY), *(KEYED if _yes(self.options, "keys", False) else ())])
+        return T.StructType([*(RAW if _yes(self.options, "bodies", True) else NO_BODY), *(KEYED if _yes(self.options, "keys", False) else ()),
+                             *(MEMBERS if _yes(self.options, "members", False) else ())])
 
     def reader(self, schema):
         return (FilteringReader if _yes(self.options, "push", False) else WarcReader)(self.options)
@@ -269,7 +290,7 @@ def register(spark: SparkSession) -> None:
 
 
 def read_warc(spark: SparkSession, path: str, bodies: bool = True, compression: str = "auto", push: bool = False,
-              wanted: list[Wanted] | None = None, refused: str = "drop") -> DataFrame:
+              wanted: list[Wanted] | None = None, refused: str = "drop", members: bool = False) -> DataFrame:
     """Records of the files of a path, with their framing faults.
 
     ``bodies=False`` neither buffers nor ships blocks (the API passes no column
@@ -285,13 +306,15 @@ def read_warc(spark: SparkSession, path: str, bodies: bool = True, compression:
     framing fault ends its file, whatever is asked for.  Records that are refused are dropped, or with
     ``refused="header"`` come without their blocks, so that rules on headers can still be
     checked for all (``grammar.filter_untyped``, ``semantic.filter_records``).
+
+    ``members`` adds what gzip members begin at each record (``MEMBERS``).
     """
     register(spark)
     if push:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     asked = json.dumps([(w.key, w.test, w.value, w.negated) for w in wanted or []])
     return spark.read.format("warc").options(bodies=str(bodies).lower(), compression=compression, push=str(push).lower(), keys=str(push or bool(wanted)).lower(),
-                                             wanted=asked, refused=refused).load(path)
+                                             members=str(members).lower(), wanted=asked, refused=refused).load(path)
 
 
 def to_bytes(df: DataFrame, name: str = "warc_bytes") -> DataFrame:
