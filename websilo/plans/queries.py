@@ -829,3 +829,28 @@ def verify_archive(spark, sf_dir):
     found = verify(spark, path).where(~F.col("message").startswith("no record has the id urn:x:gone"))
     shown = F.when(F.col("check").isin("reference", "segment"), F.col("message"))
     return found.select("record_id", "check", shown.alias("message"))
+
+
+@query("""WITH k AS (SELECT page_id, page_id % 7 AS k, length(url) AS n, regexp_extract(url, '^[a-z]+') AS scheme FROM pages)
+SELECT page_id, CASE k WHEN 1 THEN 'UnreadableValue' WHEN 2 THEN 'RepeatedField' WHEN 3 THEN 'UnknownChoice' WHEN 4 THEN 'MissingField' END AS code,
+  CASE k WHEN 1 THEN 'size' WHEN 2 THEN 'size' WHEN 3 THEN 'scheme' WHEN 4 THEN 'size' END AS field,
+  CASE WHEN k IN (0, 5, 6) THEN 'size: ' || n::VARCHAR || '|ratio: ' || CASE WHEN page_id % 2 = 0 THEN (page_id // 2)::VARCHAR ELSE (page_id // 2)::VARCHAR || '.5' END || '|scheme: ' || scheme || '|seen: 1|seen: 2|'
+    || CASE WHEN k = 5 THEN 'x-page: ' || page_id::VARCHAR || '|X-Other: y|' ELSE '' END END AS lines FROM k""")
+def typed_bodies(spark, sf_dir):
+    """Named fields of pages read into typed values with a map of the rest, and written again."""
+    from ..functions import typed
+    from ..functions.typed import Field
+
+    schema = [Field("size", "uint32"), Field("ratio", "float", required=False), Field("scheme", choices=("http", "https")), Field("seen", "int16", many=True)]
+    k, i = F.col("page_id") % 7, F.col("page_id")
+    f = lambda n, c: F.struct(F.lit(n).alias("name"), c.cast("string").alias("value"))
+    size = F.length("url").cast("string")
+    no = F.array().cast("array<struct<name: string, value: string>>")
+    fields = F.concat(
+        F.array(f("SEEN", F.lit("1"))), F.when(k == 4, no).when(k == 1, F.array(f("size", F.concat(size, F.lit(" bytes"))))).when(k == 2, F.array(f("size", size), f("Size", size))).otherwise(F.array(f("size", size))),
+        F.array(f("scheme", F.when(k == 3, "ftp").otherwise(F.regexp_extract("url", "^[a-z]+", 0))), f("seen", F.lit("+2")), f("Ratio", (i / 2))),
+        F.when(k == 5, F.array(f("x-page", i), f("X-Other", F.lit("y")))).otherwise(no))
+    r = table(spark, sf_dir, "pages").select("page_id", typed.read(fields, schema, rest=True).alias("r"))
+    w = r.withColumn("w", typed.write(F.col("r")["value"], schema, F.col("r")["rest"]))
+    return w.select("page_id", F.col("r")["error"]["code"].alias("code"), F.col("r")["error"]["field"].alias("field"),
+                    F.when(F.col("r")["error"].isNull(), F.regexp_replace(wf.render(F.col("w")["fields"]).cast("string"), "\r\n", "|")).alias("lines"))

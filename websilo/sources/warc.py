@@ -7,6 +7,8 @@ that those reach will do.  A fault ends its file with a row that has an error.
 Writing: each task writes one file of its rows, in their order; every record is a
 gzip member of its own (or the file plain).  Attempts write below a temporary
 folder, and only the job's commit moves the files of successful ones into place.
+
+A file is a task here; ``splits`` reads large files by several, and records by their places.
 ``write_warc`` returns a row for each record with its place and digest.
 """
 
@@ -428,9 +430,10 @@ def write_warc(df: DataFrame, path: str, compression: str = "gzip", level: int =
     """Writes (version, headers, body) rows below a folder and returns a row for each record, read from a table written beside them.
 
     Invalid records aren't written and have an error.  Files that were there are
-    replaced, or stay before the new ones with ``append``.  Nothing shows before the
-    whole job has succeeded, so lost executors and second attempts do no harm; order
-    rows before for an order in files.  ``stream``: one gzip member for the whole file
+    replaced, or stay before the new ones with ``append``.  Nothing shows before all
+    tasks have succeeded, so lost executors and second attempts do no harm; the driver then
+    moves the files one at a time, and if it dies meanwhile, old and new ones may be mixed.
+    Order rows before for an order in files.  ``stream``: one gzip member for the whole file
     instead of one a record.
     """
     if not 0 <= level <= 9:

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (as in tests) one in the warehouse."""
+    """The folder of spark.checkpoint.dir; only where that is unset and Spark runs locally (as in tests) one in the warehouse."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", own))
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return jsc.getCheckpointDir().get()
 
 
