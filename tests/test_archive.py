@@ -67,16 +67,16 @@ def test_values(spark):
     assert r["ip"] and not r["ip2"] and r["ip3"] and r["big"] is None and int(r["most"]) == 2**64 - 1
     assert r["leap"] is None and r["old"] is None and r["none"] is None
     assert r["fine"] == "2016-02-29T01:02:03.123456789Z" and r["down"] == "2016-02-01T00:00:00Z"
-    assert r["hop"] == "`x` at byte 2 of the value names no hop." and not r["token"] and r["unfolded"] == "a b"
+    assert r["hop"] == "`x` at byte 2 is the letter of no hop." and not r["token"] and r["unfolded"] == "a b"
 
 
 @pytest.mark.parametrize("message, body, error", [
     (b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nxyz", b"xyz", None),
     (b"HTTP/1.1 200 OK\nA: b\n\nxyz", b"xyz", None),
     (b"HTTP/1.1 200 OK\r\nTransfer-Encoding: identity, chunked\r\n\r\n3\r\nxyz\r\n0\r\n\r\nrest", b"xyz", None),
-    (b"HTTP/1.1 200 OK\r\nTransfer-Encoding: gzip\r\n\r\nxyz", None, "The HTTP message declares the transfer-coding `gzip`: only chunked can be undone."),
-    (b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\n", None, "The chunked message declares `zz` where a chunk size belongs."),
-    (b"HTTP/1.1 200 OK\r\nA: b\r\n", None, "The HTTP message does not end its header section with an empty line."),
+    (b"HTTP/1.1 200 OK\r\nTransfer-Encoding: gzip\r\n\r\nxyz", None, "The HTTP message has the transfer-coding `gzip`: only chunked can be undone."),
+    (b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\n", None, "The chunked message has `zz` where a chunk size belongs."),
+    (b"HTTP/1.1 200 OK\r\nA: b\r\n", None, "No empty line ends the head of the HTTP message."),
 ])
 def test_entity(spark, message, body, error):
     df = spark.createDataFrame([(bytearray(message),)], "body binary")
@@ -104,8 +104,8 @@ def test_values_of_a_megabyte(spark):
 def test_fields_blocks():
     assert wf.parse_bytes(b"a: 1\r\n\r\n") == ([{"name": "a", "value": "1"}], None)
     assert wf.parse_bytes(b"") == ([], None)
-    assert wf.parse_bytes(b"a: \xff\r\n")[1] == "The value of the `a` field is not valid UTF-8."
-    assert wf.parse_bytes(b"a: 1")[1] == "Not a named field at byte 0 of the block."
+    assert wf.parse_bytes(b"a: \xff\r\n")[1] == "The value of `a` isn't UTF-8."
+    assert wf.parse_bytes(b"a: 1")[1] == "No field begins at byte 0 of the block."
 
 
 @pytest.mark.parametrize("name, good, error, wrong", [

@@ -60,7 +60,7 @@ def test_series_of_segments(spark):
     got = {r["record_id"]: tuple(r)[1:] for r in chunks.segment_payloads(df.repartition(3)).collect()}
     assert got["a"] == (3, len(message), 5, "sha256:2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824", None)
     assert got["b"][-1] == "Segment 2 is missing." and got["d"][-1] == "Segment 2 stands there twice." and got["e"][-1] == "Segment 1 is missing."
-    assert got["c"][-1].startswith("The chunked message ends") and got["f"][-1].startswith("The HTTP message does not end")
+    assert got["c"][-1].startswith("No last chunk") and got["f"][-1].startswith("No empty line")
     assert chunks.segment_payloads(df.limit(0)).count() == 0
 
 

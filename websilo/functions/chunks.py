@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .http import PayloadError, split_message
 
-_CUT_OFF = "The chunked message ends before the chunk that closes it."
+_CUT_OFF = "No last chunk ends the chunked message."
 
 
 class ChunkScanner:
@@ -50,7 +50,7 @@ class ChunkScanner:
         line = self.line.removesuffix(b"\r")
         size = line.partition(b";")[0].strip(b" \t\r\n\x0c")
         if not size or size.strip(b"0123456789abcdefABCDEF"):
-            raise PayloadError(f"The chunked message declares `{line.decode('utf-8', 'replace')}` where a chunk size belongs.")
+            raise PayloadError(f"The chunked message has `{line.decode('utf-8', 'replace')}` where a chunk size belongs.")
         self.left = int(size, 16)
         self.stage, self.done = "data", self.left == 0
 
@@ -76,7 +76,7 @@ class MessageScanner:
         names = [c.strip(" \t\r\n") for c in codings.split(",")]
         names = [c for c in names if c and c.lower() != "identity"]
         if names and [c.lower() for c in names] != ["chunked"]:
-            raise PayloadError(f"The HTTP message declares the transfer-coding `{codings.strip()}`: only chunked can be undone.")
+            raise PayloadError(f"The HTTP message has the transfer-coding `{codings.strip()}`: only chunked can be undone.")
         self.body, self.head = True, b""
         self.chunks = ChunkScanner() if names else None
         return self.feed(rest)

@@ -41,11 +41,11 @@ def parse_bytes(block: bytes) -> tuple[list[dict] | None, str | None]:
         try:
             out.append({"name": name, "value": _FOLD.sub(b" ", m[2]).strip(b" \t\r\n").decode("utf-8")})
         except UnicodeDecodeError:
-            return None, f"The value of the `{name}` field is not valid UTF-8."
+            return None, f"The value of `{name}` isn't UTF-8."
         at = m.end()
     if block[at:] in (b"", b"\r\n", b"\n"):
         return out, None
-    return None, f"Not a named field at byte {at} of the block."
+    return None, f"No field begins at byte {at} of the block."
 
 
 @F.arrow_udf(T.StructType([T.StructField("fields", PAIR), T.StructField("error", T.StringType())]))
@@ -115,9 +115,9 @@ def from_fields(df: DataFrame, schema: T.StructType, fields: str = "body_fields"
             bad = F.exists(cast, lambda v: v.isNull())
         else:
             cast = F.try_element_at(values, F.lit(1)).try_cast(s.dataType)
-            errors.append(F.when(F.size(values) > 1, F.lit(f"The `{s.name}` field is written more than once.")))
+            errors.append(F.when(F.size(values) > 1, F.lit(f"The `{s.name}` occurs more than once.")))
             bad = (F.size(values) > 0) & cast.isNull()
-        errors.append(F.when(bad, F.lit(f"The value of the `{s.name}` field cannot be read.")))
+        errors.append(F.when(bad, F.lit(f"The value of `{s.name}` is of another type.")))
         columns.append(cast.alias(s.name))
     error = F.coalesce(*errors) if errors else F.lit(None).cast("string")
     return df.withColumn(into, F.struct(F.when(error.isNull(), F.struct(*columns)).alias("value"), error.alias("error")))

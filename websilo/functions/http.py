@@ -65,7 +65,7 @@ def split_message(message: bytes) -> tuple[bytes, str]:
         folding = bool(colon) and name.rstrip(b" \t").lower() == b"transfer-encoding"
         if folding:
             coding.append(value)
-    raise PayloadError("The HTTP message does not end its header section with an empty line.")
+    raise PayloadError("No empty line ends the head of the HTTP message.")
 
 
 def entity_bytes(message: bytes) -> bytes:
@@ -76,21 +76,21 @@ def entity_bytes(message: bytes) -> bytes:
     if not names:
         return body
     if [c.lower() for c in names] != ["chunked"]:
-        raise PayloadError(f"The HTTP message declares the transfer-coding `{codings.strip()}`: only chunked can be undone.")
+        raise PayloadError(f"The HTTP message has the transfer-coding `{codings.strip()}`: only chunked can be undone.")
     out, at = [], 0
     while True:
         end = body.find(b"\n", at)
         if end < 0:
-            raise PayloadError("The chunked message ends before the chunk that closes it.")
+            raise PayloadError("No last chunk ends the chunked message.")
         line = body[at:end].removesuffix(b"\r")
         size = line.partition(b";")[0].strip(b" \t\r\n\x0c")
         if not size or size.strip(b"0123456789abcdefABCDEF"):
-            raise PayloadError(f"The chunked message declares `{line.decode('utf-8', 'replace')}` where a chunk size belongs.")
+            raise PayloadError(f"The chunked message has `{line.decode('utf-8', 'replace')}` where a chunk size belongs.")
         n, at = int(size, 16), end + 1
         if n == 0:
             return b"".join(out)
         if at + n > len(body) or body[at + n : at + n + 2] != b"\r\n" and body[at + n : at + n + 1] != b"\n":
-            raise PayloadError("The chunked message ends before the chunk that closes it.")
+            raise PayloadError("No last chunk ends the chunked message.")
         out.append(body[at : at + n])
         at += n + (2 if body[at + n : at + n + 1] == b"\r" else 1)
 

@@ -175,9 +175,9 @@ def digest_error(text: Column) -> Column:
     label, value = F.substring_index(text, ":", 1), F.regexp_replace(text, r"\A[^:]*:", "")
     q = lambda a, c, b: F.concat(F.lit(a), c, F.lit(b))
     return (
-        F.when(~text.contains(":"), q("not a labelled digest: no `:` separating algorithm from digest in `", text, "`"))
-        .when(~is_token(label), q("not a labelled digest: `", label, "` is not an algorithm label"))
-        .when(~full(value, TOKEN[:-1] + "=/]++"), q("not a labelled digest: `", value, "` is not a digest value"))
+        F.when(~text.contains(":"), q("no labelled digest: `:` is missing in `", text, "`"))
+        .when(~is_token(label), q("no labelled digest: `", label, "` can't be a label"))
+        .when(~full(value, TOKEN[:-1] + "=/]++"), q("no labelled digest: `", value, "` can't be a value"))
     )
 
 
@@ -291,9 +291,9 @@ def media_type_error(text: Column) -> Column:
     essence = F.regexp_extract(text, r"\A([^;]*)", 1)
     rest = _leftover(_masked(text))
     return (
-        F.when(~essence.contains("/"), q("not a media type: no `/` separating type from subtype in `", text, "`"))
-        .when(~full(trim_space(essence), rf"{TOKEN}++/{TOKEN}++"), q("not a media type: the type or subtype of `", text, "` is not a token"))
-        .when(rest != "", q("not a media type: `", trim_space(_shown(F.regexp_replace(rest, r"\A[ \t]*;", ""))), "` is not a parameter, in `", text, "`"))
+        F.when(~essence.contains("/"), q("no media type: `/` is missing in `", text, "`"))
+        .when(~full(trim_space(essence), rf"{TOKEN}++/{TOKEN}++"), q("no media type: in `", text, "` type or subtype is no token"))
+        .when(rest != "", q("no media type: `", trim_space(_shown(F.regexp_replace(rest, r"\A[ \t]*;", ""))), "` is no parameter, in `", text, "`"))
     )
 
 
@@ -386,4 +386,4 @@ def hops(text: Column) -> Column:
     at = F.octet_length(F.regexp_extract(text, f"\\A([{HOPS}]*)", 1))
     return F.struct(
         F.when(bad == "", F.filter(F.split(text, ""), lambda c: c != "")).alias("hops"), (text == "").alias("is_seed"),
-        F.when(bad != "", F.concat(F.lit("`"), bad, F.lit("` at byte "), at.cast("string"), F.lit(" of the value names no hop."))).alias("error"))
+        F.when(bad != "", F.concat(F.lit("`"), bad, F.lit("` at byte "), at.cast("string"), F.lit(" is the letter of no hop."))).alias("error"))

@@ -29,10 +29,9 @@ def _compare(declared: Column, content: Column, what: str) -> Column:
     stored = v.decoded(declared)
     name = what.capitalize()
     bad = error("block", f"Malformed{name}Digest", None, F.concat(
-        F.lit(f"The {what} digest `"), shown, F.lit("` is not a digest the algorithm it names can have produced.")))
-    owner = "its block digests" if what == "block" else "its payload digests"
+        F.lit(f"The {what} digest `"), shown, F.lit("` can't come from its algorithm.")))
     off = error("block", f"{name}DigestMismatch", None, F.concat(
-        F.lit(f"The record declares the {what} digest `"), shown, F.lit(f"`, but {owner} as `"), v.labelled(declared["algorithm"], actual), F.lit("`.")))
+        F.lit(f"Declared {what} digest `"), shown, F.lit("`, computed `"), v.labelled(declared["algorithm"], actual), F.lit("`.")))
     return F.when(declared.isNotNull() & actual.isNotNull(), F.when(stored.isNull(), bad).when(stored != actual, off))
 
 
@@ -46,7 +45,7 @@ def check_digests(records: DataFrame) -> DataFrame:
     out = with_payload(records)
     whole = F.col("segment_number").isNull() & F.col("truncated").isNull() & F.col("payload_digest").isNotNull()
     unread = F.col("payload_error").isNotNull() & ~F.col("payload_error").contains("transfer-coding")
-    broken = error("block", "Payload", None, F.concat(F.lit("The record's payload cannot be read from its block: "), F.col("payload_error")))
+    broken = error("block", "Payload", None, F.concat(F.lit("Unreadable payload: "), F.col("payload_error")))
     return out.withColumns({
         "block_digest_error": _compare(F.col("block_digest"), F.col("body"), "block"),
         "payload_digest_error": F.when(whole, F.when(unread, broken).when(

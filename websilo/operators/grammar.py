@@ -45,7 +45,7 @@ def value_error(form: Column, text: Column) -> Column:
         .when(form == "digest", v.digest_error(text))
         .when(form == "media_type", v.media_type_error(text))
         .when((form == "text") & v.text_value(text).isNull(), F.concat(
-            F.lit("not text: a control character is written at byte "), control.cast("string"), F.lit(" of `"), text, F.lit("`")))
+            F.lit("no text: control character at byte "), control.cast("string"), F.lit(" of `"), text, F.lit("`")))
     )
 
 
@@ -69,7 +69,7 @@ def to_untyped(raw: DataFrame) -> DataFrame:
         f["name"].alias("name"), value_error(f["form"], f["text"]).alias("why"))), lambda f: f["why"].isNotNull())
     out = out.withColumn("_fault", F.try_element_at(faults, F.lit(1)))
     said = error("untyped", "MalformedField", F.col("_fault")["name"], F.concat(
-        F.lit("Malformed "), F.col("_fault")["name"], F.lit(" field: "), F.col("_fault")["why"]))
+        F.col("_fault")["name"], F.lit(": "), F.col("_fault")["why"]))
     return out.withColumn("error", F.coalesce("error", F.when(F.col("_fault").isNotNull(), said))).drop("_fault")
 
 

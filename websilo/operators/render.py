@@ -62,9 +62,9 @@ def render(records: DataFrame, sha1: bool = False) -> DataFrame:
         types = [t for t, (a, b) in RULES.items() if n in (*CORE, *a, *b)]
         if n in ("WARC-Block-Digest", "WARC-Payload-Digest") and COLUMNS[n] not in have:
             continue
-        errors.append(F.when(value.isNotNull() & kind.isin(*RULES) & ~kind.isin(*types), F.lit(f"The `{n}` field is not permitted on the record.")))
+        errors.append(F.when(value.isNotNull() & kind.isin(*RULES) & ~kind.isin(*types), F.lit(f"The `{n}` has no place on the record.")))
         if n in ONLY_1_1:
-            errors.append(F.when(value.isNotNull() & ~one_1, F.lit(f"The `{n}` field is not defined in WARC 1.0.")))
+            errors.append(F.when(value.isNotNull() & ~one_1, F.lit(f"The `{n}` is unknown to WARC 1.0.")))
     if "block_digest" in have:
         declared = v.digest(F.col("block_digest"))
         errors.append(F.when(v.decoded(declared) != v.computed(declared["algorithm"], F.col("body")), F.lit("The declared block digest is not the block's.")))

@@ -46,17 +46,17 @@ def header_error(extension: Extension = Extension()) -> Column:
                        lambda x: x["n"].isNotNull() & (x["n"] != REPEATABLE) & x["again"])
     repeated = F.try_element_at(repeats, F.lit(1))["n"]
     late = F.try_element_at(F.filter(names, lambda n: n.isin(*ONLY_1_1)), F.lit(1))
-    missing = lambda n: error("semantic", "MissingField", n, _say("The mandatory `", n, "` field is missing."))
-    malformed = lambda n, value: error("semantic", "MalformedField", n, _say("The value of the `", n, "` field is not permitted: `", value, "`."))
+    missing = lambda n: error("semantic", "MissingField", n, _say("Required: `", n, "` is absent."))
+    malformed = lambda n, value: error("semantic", "MalformedField", n, _say("The value of `", n, "` must not be `", value, "`."))
     checks = [
-        F.when(repeated.isNotNull(), error("semantic", "RepeatedField", repeated, _say("The `", repeated, "` field is written more than once."))),
-        F.when((version == "1.0") & late.isNotNull(), error("semantic", "FieldNotInVersion", late, _say("The `", late, "` field is not defined in WARC 1.0."))),
+        F.when(repeated.isNotNull(), error("semantic", "RepeatedField", repeated, _say("The `", repeated, "` occurs more than once."))),
+        F.when((version == "1.0") & late.isNotNull(), error("semantic", "FieldNotInVersion", late, _say("The `", late, "` is unknown to WARC 1.0."))),
         F.when(field("WARC-Type").isNull(), missing("WARC-Type")),
         F.when(field("WARC-Record-ID").isNull(), missing("WARC-Record-ID")),
         F.when(field("WARC-Date").isNull(), missing("WARC-Date")),
         F.when((version == "1.0") & (F.length(field("WARC-Date")) != 20), malformed("WARC-Date", field("WARC-Date"))),
         F.when(~kind.isin(*TYPES, *extension.record_types), error("semantic", "UnknownRecordType", "WARC-Type", _say(
-            "The `", kind, "` record type is defined by no vocabulary in force."))),
+            "The `", kind, "` record type is unknown."))),
     ]
     number = field("WARC-Segment-Number")
     needed = list(dict.fromkeys(n for required, _ in RULES.values() for n in required))
@@ -71,9 +71,9 @@ def header_error(extension: Extension = Extension()) -> Column:
         F.lit(name), F.array(*[F.lit(n) for n in (*CORE, *required, *optional)]))]), kind)
     alien = F.try_element_at(F.filter(names, lambda n: n.isNotNull() & ~F.array_contains(permitted, n)), F.lit(1))
     checks.append(F.when(alien.isNotNull(), error("semantic", "ForbiddenField", alien, _say(
-        "The `", alien, "` field is not permitted on a `", kind, "` record."))))
+        "The `", alien, "` has no place on a `", kind, "` record."))))
     odd = F.try_element_at(F.filter("fields", lambda f: f["field"].isNull() & ~f["utf8"]), F.lit(1))["name"]
-    checks.append(F.when(odd.isNotNull(), error("semantic", "NonUtf8Field", odd, _say("The value of the `", odd, "` field is not valid UTF-8."))))
+    checks.append(F.when(odd.isNotNull(), error("semantic", "NonUtf8Field", odd, _say("The value of `", odd, "` isn't UTF-8."))))
     return F.coalesce(*checks)
 
 
@@ -130,17 +130,17 @@ def with_body(header: DataFrame) -> DataFrame:
     size = F.length("body")
     block = lambda code, message: error("block", code, None, message)
     length = F.when(F.col("content_length") != size, block("ContentLengthMismatch", _say(
-        "`Content-Length` declares ", F.col("content_length").cast("string"), " octets, but the block is ", size.cast("string"), ".")))
+        "Declared bytes: ", F.col("content_length").cast("string"), ", bytes of the block: ", size.cast("string"), ".")))
     revisit = F.when(
         (F.col("record_type") == "revisit") & (size > 0) & (v.revisit_profile(F.col("profile")) == "identical-payload-digest")
         & ~F.coalesce(F.col("truncated") == "length", F.lit(False)),
-        block("UndeclaredRevisitTruncation", _say("A `revisit` record under the identical payload digest profile carries a block of ",
-                                                  size.cast("string"), " octets, but does not declare that it is truncated.")))
+        block("UndeclaredRevisitTruncation", _say("The revisit's block of ",
+                                                  size.cast("string"), " bytes isn't marked as cut to a length.")))
     out = header.withColumn("error", F.coalesce("error", length, revisit, no_error()))
     wanted = F.col("error").isNull() & declares_fields()
     # filters on what the parser finds stay above the generator: they'd take the Python function with them otherwise
     out = out.select("*", F.inline(F.array(F.struct(F.when(wanted, body_fields.parse(F.when(wanted, F.col("body")))).alias("_parsed")))))
-    said = block("Fields", _say("The record's body is not what its `Content-Type` declares: ", F.col("_parsed")["error"]))
+    said = block("Fields", _say("The block isn't of its declared type: ", F.col("_parsed")["error"]))
     return (
         out.withColumn("error", F.coalesce("error", F.when(F.col("_parsed")["error"].isNotNull(), said)))
         .withColumn("body_fields", F.col("_parsed")["fields"]).drop("_parsed")

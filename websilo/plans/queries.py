@@ -148,7 +148,7 @@ def value_digest_encodings(spark, sf_dir):
 
 @query("""SELECT event_id, CASE k WHEN 0 THEN 'text' WHEN 1 THEN 'Application' WHEN 2 THEN 'text' END AS type, CASE k WHEN 0 THEN 'html' WHEN 1 THEN 'HTTP' WHEN 2 THEN 'plain' END AS subtype,
   CASE k WHEN 0 THEN event_type WHEN 1 THEN 'response' WHEN 2 THEN 'a;"b' END AS first_value,
-  CASE k WHEN 3 THEN 'not a media type: no `/` separating type from subtype in `' || event_type || '`' WHEN 4 THEN 'not a media type: the type or subtype of `a b/c` is not a token' END AS why
+  CASE k WHEN 3 THEN 'no media type: `/` is missing in `' || event_type || '`' WHEN 4 THEN 'no media type: in `a b/c` type or subtype is no token' END AS why
 FROM (SELECT event_id, event_type, event_id % 5 AS k FROM events)""")
 def value_media_types(spark, sf_dir):
     """Media types with plain and quoted parameters, and what isn't one."""
@@ -161,7 +161,7 @@ def value_media_types(spark, sf_dir):
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN -1 ELSE length(h)::INTEGER END AS n_hops, h = '' AS is_seed,
-  CASE WHEN event_id % 4 = 3 THEN '`x` at byte ' || length(h0)::VARCHAR || ' of the value names no hop.' END AS error,
+  CASE WHEN event_id % 4 = 3 THEN '`x` at byte ' || length(h0)::VARCHAR || ' is the letter of no hop.' END AS error,
   CASE event_id % 3 WHEN 0 THEN 'identical-payload-digest' WHEN 1 THEN 'server-not-modified' ELSE 'other' END AS profile
 FROM (SELECT event_id, repeat('LEXRPIMS', (event_id % 3)::INTEGER) AS h0, CASE WHEN event_id % 4 = 3 THEN repeat('LEXRPIMS', (event_id % 3)::INTEGER) || 'x' ELSE repeat('LEXRPIMS', (event_id % 3)::INTEGER) END AS h FROM events)""")
 def value_hops_profiles(spark, sf_dir):
@@ -196,11 +196,11 @@ def faulty(spark, sf_dir):
 
 @query("""SELECT CASE k WHEN 0 THEN 'MissingField' WHEN 1 THEN 'ForbiddenField' WHEN 2 THEN 'RepeatedField' WHEN 3 THEN 'MalformedField' WHEN 4 THEN 'UnknownRecordType'
   WHEN 5 THEN 'MalformedField' WHEN 6 THEN 'MissingField' WHEN 7 THEN 'MalformedField' END AS code,
-  CASE k WHEN 0 THEN 'The mandatory `WARC-Target-URI` field is missing.' WHEN 1 THEN 'The `WARC-Filename` field is not permitted on a `response` record.'
-  WHEN 2 THEN 'The `WARC-Date` field is written more than once.' WHEN 3 THEN 'Malformed WARC-Date field: not a timestamp: 2024-13-01'
-  WHEN 4 THEN 'The `nonsense` record type is defined by no vocabulary in force.'
-  WHEN 5 THEN 'Malformed WARC-Block-Digest field: not a labelled digest: no `:` separating algorithm from digest in `sha1`'
-  WHEN 6 THEN 'The mandatory `WARC-Record-ID` field is missing.' WHEN 7 THEN 'The value of the `WARC-Segment-Number` field is not permitted: `2`.' END AS message,
+  CASE k WHEN 0 THEN 'Required: `WARC-Target-URI` is absent.' WHEN 1 THEN 'The `WARC-Filename` has no place on a `response` record.'
+  WHEN 2 THEN 'The `WARC-Date` occurs more than once.' WHEN 3 THEN 'WARC-Date: not a timestamp: 2024-13-01'
+  WHEN 4 THEN 'The `nonsense` record type is unknown.'
+  WHEN 5 THEN 'WARC-Block-Digest: no labelled digest: `:` is missing in `sha1`'
+  WHEN 6 THEN 'Required: `WARC-Record-ID` is absent.' WHEN 7 THEN 'The value of `WARC-Segment-Number` must not be `2`.' END AS message,
   count(*) AS n FROM (SELECT (page_id % 50) % 9 AS k FROM pages UNION ALL SELECT 8 FROM pages, (SELECT unnest([1, 3])) UNION ALL SELECT 8 FROM pages GROUP BY page_id // 50) GROUP BY ALL""")
 def lift_errors(spark, sf_dir):
     """Faults of each level, by their messages."""
@@ -222,8 +222,8 @@ def canonical_order(spark, sf_dir):
 
 
 @query(f"""SELECT {sql_urn("'r' || page_id::VARCHAR")} AS record_id, CASE page_id % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'payload' END AS wrong,
-  CASE page_id % 3 WHEN 0 THEN 'The record declares the block digest `md5:00000000000000000000000000000000`, but its block digests as `md5:' || md5({RESPONSE}) || '`.'
-    WHEN 1 THEN 'The record declares the payload digest `md5:00000000000000000000000000000000`, but its payload digests as `md5:' || md5(html) || '`.' END AS message FROM pages
+  CASE page_id % 3 WHEN 0 THEN 'Declared block digest `md5:00000000000000000000000000000000`, computed `md5:' || md5({RESPONSE}) || '`.'
+    WHEN 1 THEN 'Declared payload digest `md5:00000000000000000000000000000000`, computed `md5:' || md5(html) || '`.' END AS message FROM pages
 UNION ALL SELECT record_id, NULL, NULL FROM ({RECORDS}) WHERE record_type <> 'response'""")
 def digest_check(spark, sf_dir):
     """Declared digests against blocks and payloads."""
@@ -237,7 +237,7 @@ def digest_check(spark, sf_dir):
     return c.select("record_id", wrong.alias("wrong"), F.coalesce(F.col("block_digest_error")["message"], F.col("payload_digest_error")["message"]).alias("message"))
 
 
-@query("SELECT page_id, sha256(html) AS entity, NULL::VARCHAR AS error FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, NULL, 'The chunked message ends before the chunk that closes it.' FROM pages WHERE page_id % 2 = 1")
+@query("SELECT page_id, sha256(html) AS entity, NULL::VARCHAR AS error FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, NULL, 'No last chunk ends the chunked message.' FROM pages WHERE page_id % 2 = 1")
 def entity_body_chunked(spark, sf_dir):
     """Chunked messages, half of them cut off."""
     p = table(spark, sf_dir, "pages")
@@ -271,7 +271,7 @@ def payload_types(spark, sf_dir):
 
 @query("""SELECT page_id, 'a b' AS folded, 2::INTEGER AS n_via, 'v:' || page_id::VARCHAR AS last_via, (page_id % 97)::BIGINT AS ms,
   'hopsFromSeed: LE' || chr(13) || chr(10) || 'via: new' || chr(13) || chr(10) || 'fetchTimeMs: ' || (page_id % 97)::VARCHAR || chr(13) || chr(10) || 'n: a b' || chr(13) || chr(10) AS rewritten,
-  CASE WHEN page_id % 5 = 0 THEN 'Not a named field at byte 6 of the block.' END AS error FROM pages""")
+  CASE WHEN page_id % 5 = 0 THEN 'No field begins at byte 6 of the block.' END AS error FROM pages""")
 def fields_blocks(spark, sf_dir):
     """warc-fields blocks parsed, read into columns and changed."""
     p = table(spark, sf_dir, "pages")
@@ -596,7 +596,7 @@ def body_setters(spark, sf_dir):
 
 
 @query("""SELECT page_id, 'a,b,b2' AS pushed, CASE WHEN page_id % 4 <> 0 THEN page_id ELSE -1 END AS n, CASE WHEN page_id % 4 <> 0 THEN 'true,false' END AS flags,
-  CASE WHEN page_id % 4 = 0 THEN 'The value of the `n` field cannot be read.' END AS error, CASE WHEN page_id % 4 <> 0 THEN 'n=' || page_id::VARCHAR || ',flag=true,flag=false' ELSE '' END AS back FROM pages""")
+  CASE WHEN page_id % 4 = 0 THEN 'The value of `n` is of another type.' END AS error, CASE WHEN page_id % 4 <> 0 THEN 'n=' || page_id::VARCHAR || ',flag=true,flag=false' ELSE '' END AS back FROM pages""")
 def typed_fields(spark, sf_dir):
     """Fields pushed, read into typed columns, and written again."""
     from pyspark.sql import types as T
@@ -632,7 +632,7 @@ def extension_records(spark, sf_dir):
                     F.size(left).alias("others"), F.concat(F.lit("sha1:"), F.hex(v.decoded(F.col("block_digest")))).alias("digest"))
 
 
-@query(f"""SELECT {sql_urn("'o' || page_id::VARCHAR")} AS record_id, '<' || url || '>' AS target, {sql_day('page_id')} AS date, CASE WHEN page_id % 2 = 0 THEN 'The `WARC-Refers-To-Date` field is not defined in WARC 1.0.' END AS error FROM pages""")
+@query(f"""SELECT {sql_urn("'o' || page_id::VARCHAR")} AS record_id, '<' || url || '>' AS target, {sql_day('page_id')} AS date, CASE WHEN page_id % 2 = 0 THEN 'The `WARC-Refers-To-Date` is unknown to WARC 1.0.' END AS error FROM pages""")
 def version_1_0(spark, sf_dir):
     """Records of WARC 1.0: all URIs in brackets, dates in seconds, no later fields."""
     p = table(spark, sf_dir, "pages")
