@@ -32,12 +32,11 @@ class Failed(Exception):
 def _whole(spark: SparkSession, *paths: str) -> DataFrame:
     """Records of files in order of the paths, with file_seq; all readable, or else Failed."""
     files = [f for path in paths for f, _ in found_files(path)]
-    order = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "file string, file_seq int")
     raw = read_warc(spark, ",".join(paths))
     bad = raw.where(F.col("error").isNotNull()).select("file", "record_index", F.col("error")["message"]).orderBy("file", "record_index").first()
     if bad is not None:
         raise Failed(f"record {bad[1]} of {bad[0]}: {bad[2]}")
-    return raw.join(order, "file")
+    return merging.in_order(raw, files)
 
 
 def _apart(output: str, *inputs: str) -> None:

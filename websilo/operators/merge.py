@@ -94,9 +94,9 @@ def redirect(records: DataFrame, to: DataFrame, bound: int = 1_000, most_bytes:
 
 
 def in_order(files: DataFrame, names: list[str]) -> DataFrame:
-    """files with file_seq, the place of each row's file in names."""
-    seq = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("file"))
-    return files.withColumn("file_seq", (seq - 1).cast("int"))
+    """files with file_seq, the place of each row's file in names; the names are a table, not a part of the plan."""
+    order = files.sparkSession.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(names))], "file string, file_seq int")
+    return files.join(order, "file", "left")
 
 
 def first_by_id(records: DataFrame) -> DataFrame:

@@ -854,3 +854,39 @@ def typed_bodies(spark, sf_dir):
     w = r.withColumn("w", typed.write(F.col("r")["value"], schema, F.col("r")["rest"]))
     return w.select("page_id", F.col("r")["error"]["code"].alias("code"), F.col("r")["error"]["field"].alias("field"),
                     F.when(F.col("r")["error"].isNull(), F.regexp_replace(wf.render(F.col("w")["fields"]).cast("string"), "\r\n", "|")).alias("lines"))
+
+
+@query(f"""SELECT {sql_urn("'v' || doc_id::VARCHAR")} AS record_id, CASE WHEN doc_id % 3 = 0 AND coalesce(text, '') <> '' THEN 'UndeclaredRevisitTruncation' END AS code FROM documents""")
+def revisit_truncation(spark, sf_dir):
+    """Revisits of equal payloads with a block: those that don't say that it is cut to a length."""
+    d = table(spark, sf_dir, "documents").withColumn("b", F.coalesce("text", F.lit("")).cast("binary"))
+    k = F.col("doc_id") % 3
+    rows = build(d, "revisit", record_id=urn(key("v", "doc_id")), date=day("doc_id"), target_uri=F.concat(F.lit("http://example.org/"), F.col("doc_id").cast("string")), body=F.col("b"),
+                 profile=F.when(k == 2, "http://netpreserve.org/warc/1.1/revisit/server-not-modified").otherwise("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"),
+                 payload_digest=digests.sha256_digest(F.col("b")), truncated=F.when(k == 1, "length"))
+    return records(loose(render(rows))).select("record_id", F.col("error")["code"].alias("code"))
+
+
+@query(f"""SELECT {sql_urn("'w' || page_id::VARCHAR")} AS record_id, 'Ada <' || page_id::VARCHAR || '@example.org>' AS operator, 'crawler/' || page_id::VARCHAR AS software, CASE WHEN page_id % 2 = 0 THEN 'obey' END AS robots,
+  regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS hostname, CASE page_id % 3 WHEN 0 THEN '192.0.2.' || (page_id % 256)::VARCHAR WHEN 1 THEN '2001:db8::' || (page_id % 10)::VARCHAR END AS ip,
+  'agent ' || page_id::VARCHAR AS user_agent, NULL::VARCHAR AS from_address FROM pages""")
+def warcinfo_fields(spark, sf_dir):
+    """The named fields of warcinfo records as columns; an address that is none is null."""
+    i = F.col("page_id").cast("string")
+    ip = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("192.0.2."), (F.col("page_id") % 256).cast("string"))).when(
+        F.col("page_id") % 3 == 1, F.concat(F.lit("2001:db8::"), (F.col("page_id") % 10).cast("string"))).otherwise("nowhere")
+    body = wf.warcinfo_body(operator=(F.lit("Ada"), F.concat(i, F.lit("@example.org"))), software=(F.lit("crawler"), i), robots=F.when(F.col("page_id") % 2 == 0, "obey"),
+                            hostname=F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1), ip=ip, user_agent=F.concat(F.lit("agent "), i))
+    rows = build(table(spark, sf_dir, "pages"), "warcinfo", record_id=urn(key("w", "page_id")), date=day("page_id"), body_fields=body)
+    out = wf.warcinfo_columns(records(loose(render(rows))))
+    return out.select("record_id", "operator", "software", "robots", "hostname", "ip", "user_agent", "from_address")
+
+
+@query(f"""SELECT page_id, sha256('POST ' || url || ' HTTP/1.1' || {NL} || 'Host: ' || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || {NL} || 'X-A: b' || {NL}
+  || CASE WHEN page_id % 2 = 0 THEN 'Content-Length: ' || strlen(html)::VARCHAR || {NL} ELSE '' END || {NL} || CASE WHEN page_id % 2 = 0 THEN html ELSE '' END) AS block FROM pages""")
+def rebuilt_requests(spark, sf_dir):
+    """Requests put together anew: no transfer-coding, and the length of what is sent."""
+    fields = F.array(*[F.struct(F.lit(n).alias("name"), t.alias("value")) for n, t in (
+        ("Host", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)), ("Transfer-Encoding", F.lit("chunked")), ("X-A", F.lit("b")), ("content-length", F.lit("1")))])
+    sent = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise("").cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(http.request_block(F.lit("POST"), F.col("url"), fields, sent), 256).alias("block"))
