@@ -246,3 +246,82 @@ def test_one_long_vector(spark):
     assert sorted(map(tuple, topk.top_inner_products(df).collect())) == sorted(want)
     with pytest.raises(ValueError):
         topk.top_inner_products(df.union(spark.createDataFrame([(4, [1e9, 0.0])], df.schema))).count()
+
+
+# ---- toxicity against a plain version
+
+def plain_toxicity(docs, labels, terms, neutral="person", penalty=4.0, ridge=0.02, steps=300, rate=0.1):
+    """Scores by text id, computed a row and a word at a time."""
+    from websilo.llm.toxicity import word_hash
+
+    words = {i: set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in docs}
+    label = {}
+    for i, y in labels:
+        if y in (0, 1) and zlib.crc32(str(i).encode()) % 5:
+            label[i] = max(y, label.get(i, 0))
+    train = sorted((i for i in words if i in label), key=str)
+    n, t = len(train), sum(label[i] for i in train)
+    counts = Counter(w for i in train for w in words[i])
+    toxic = Counter(w for i in train if label[i] for w in words[i])
+    part = lambda x, of, by: x * math.log(x * n / (of * by)) if x > 0 else 0.0
+    gain = {w: part(toxic[w], c, max(t, 1)) + part(c - toxic[w], c, max(n - t, 1)) + part(t - toxic[w], n - c, max(t, 1)) + part(n - c - t + toxic[w], n - c, max(n - t, 1)) for w, c in counts.items() if c >= 5}
+    assert len(gain) <= 4096
+    names = {w for group in terms for w in group} | {neutral}
+    swaps = {a: [b for b in (*group, neutral) if b != a] for group in terms for a in group}
+    known = set(gain) | names
+    order = sorted(swaps, key=lambda w: int(word_hash([w])[0]))
+    rows = [(label[i], words[i] & known) for i in train]
+    copies = []
+    for k, (_, x) in enumerate(rows):
+        mine = [w for w in x if w in swaps]
+        copies += [(k, a, b) for a in mine for b in swaps[a]] or [(k, None, order[k % len(order)])]
+    w, m, v = ({x: 0.0 for x in [*known, "(bias)"]} for _ in range(3))
+    w["(bias)"] = math.log((t + 0.5) / (n - t + 0.5))
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for step in range(1, steps + 1):
+        g = {x: ridge * w[x] / n**0.5 if x != "(bias)" else 0.0 for x in w}
+        z = [w["(bias)"] + sum(w[x] for x in xs) for _, xs in rows]
+        for (y, xs), s in zip(rows, z):
+            for x in [*xs, "(bias)"]:
+                g[x] += (sigmoid(s) - y) / n
+        for k, out, into in copies:
+            change = w[into] - (w[out] if out else 0.0)
+            off = (sigmoid(z[k] + change) - rows[k][0]) / len(copies)
+            for x in [*rows[k][1], "(bias)"]:
+                g[x] += off
+            g[into] += off + 2 * penalty * change / len(copies)
+            if out:
+                g[out] -= off + 2 * penalty * change / len(copies)
+        for x in w:
+            m[x] = 0.9 * m[x] + 0.1 * g[x]
+            v[x] = 0.999 * v[x] + 0.001 * g[x] ** 2
+            w[x] -= rate * (m[x] / (1 - 0.9**step)) / ((v[x] / (1 - 0.999**step)) ** 0.5 + 1e-8)
+    return {i: sigmoid(w["(bias)"] + sum(w[x] for x in xs & known)) for i, xs in words.items()}
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    from websilo.llm import toxicity
+
+    r = random.Random(8)
+    terms = (("women", "men"), ("deaf", "blind", "old"))
+    texts = []
+    for i in range(70):
+        bad = i % 3 == 0
+        xs = r.choices(["scum", "trash", "vile"] if bad else ["nice", "tea", "walk"], k=2) + r.choices("abcdefg", k=4) + r.choices(["women", "deaf", "old", "q"], k=1)
+        texts.append((i, " ".join(xs).title(), int(bad)))
+    texts += [(200, None, 0), (201, "", 1), (202, "word " * 5000, 0), (203, "scum women", 1), (203, "scum women", 1)]
+    labels = [(i, y) for i, _, y in texts if i % 7] + [(5, 1), (8, None), (9, 7)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string").repartition(3)
+    model = toxicity.train(docs.dropDuplicates(["doc_id"]), spark.createDataFrame(labels, "doc_id long, toxic int"), terms=terms)
+    got = {x["doc_id"]: x["score"] for x in toxicity.with_scores(docs, model).collect()}
+    want = plain_toxicity({i: t for i, t, _ in texts}.items(), labels, terms)
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
+    assert got[203] > 0.5 > got[202]
+
+
+def test_a_score_of_a_half_is_toxic(spark):
+    from websilo.llm import toxicity
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    model = toxicity.Model(toxicity.word_hash(["b"]), np.array([-1e-9]), 0.0)
+    assert {x["doc_id"]: x["score"] >= 0.5 for x in toxicity.with_scores(docs, model).collect()} == {1: True, 2: False}
