@@ -325,3 +325,16 @@ def test_a_score_of_a_half_is_toxic(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     model = toxicity.Model(toxicity.word_hash(["b"]), np.array([-1e-9]), 0.0)
     assert {x["doc_id"]: x["score"] >= 0.5 for x in toxicity.with_scores(docs, model).collect()} == {1: True, 2: False}
+
+
+def test_scans_without_rows_and_with_other_columns(spark):
+    from websilo.llm import licences, urlfilter
+
+    docs = spark.createDataFrame([(1, "MIT License " + "word " * 900_000 + "Apache license", "x", 1.0), (None, None, "y", 2.0), (1, "mit license", None, None)],
+                                 "doc_id long, text string, labels string, score double").withColumn("n_words", F.lit("clash"))
+    got = sorted(((r["n_words"], r["n_base"], r["base_labels"]) for r in licences.scan_licences(docs).collect()), key=str)
+    assert got == sorted([(900_004, 2, "apache,mit"), (0, 0, ""), (2, 1, "mit")], key=str)
+    assert licences.scan_licences(docs.limit(0)).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.example.net/" + "a" * 500_000, "x"), (None, None, "y")], "page_id long, url string, host string").withColumn("verdict", F.lit(3))
+    assert {(r["page_id"], r["rule"], r["verdict"]) for r in urlfilter.judge_urls(pages).collect()} == {(1, "net/", "block"), (None, None, "allow")}
+    assert urlfilter.judge_urls(pages.limit(0)).count() == 0

@@ -192,7 +192,9 @@ def scan_licences(docs: DataFrame, base: dict = BASE_PHRASES, own: dict = OWN_PH
 
     A null text is an empty one: no words, no labels, score 0.  Labels are
     distinct, sorted and comma-joined.  Places that overlap all count.  Repeated
-    rows give repeated results; no shuffle.
+    rows give repeated results; no shuffle.  Texts are scanned whole, in blocks of about
+    four megabytes, a longer one alone; an empty table gives no rows.  Columns other than
+    the id and the text play no part, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -139,7 +139,8 @@ def judge_urls(pages: DataFrame, site_rules=SITE_RULES, own_rules=OWN_RULES, def
     URL's scheme, query and fragment; null if none does, and then the verdict is
     that of the first own rule that fits (``own_rule``), or the default.  A null
     URL or one without ``://`` has empty host and path and gets the default.
-    Repeated rows are judged alike; URLs of any length are read whole.
+    Repeated rows are judged alike; URLs of any length are read whole.  Other columns play
+    no part, whatever their names; an empty table gives no rows.
     """
     site = sorted(site_rules, key=lambda r: -len(r.name))  # stable: the first of equal length wins
     rules = [*site, *own_rules]
