@@ -203,8 +203,20 @@ def run(spark: SparkSession, arguments: list[str], show=print) -> int:
     return 0
 
 
+def ship(spark: SparkSession, folder: str) -> None:
+    """Gives the workers this package, as --py-files would, by way of a folder that stays until the session ends."""
+    import shutil
+
+    here = os.path.dirname(os.path.abspath(__file__))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/websilo", "zip", os.path.dirname(here), os.path.basename(here)))
+
+
 if __name__ == "__main__":
-    session = SparkSession.builder.appName("websilo").getOrCreate()
-    code = run(session, sys.argv[1:])
-    session.stop()
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as packed:
+        session = SparkSession.builder.appName("websilo").getOrCreate()
+        ship(session, packed)
+        code = run(session, sys.argv[1:])
+        session.stop()
     sys.exit(code)
