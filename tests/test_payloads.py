@@ -117,3 +117,14 @@ def test_types_of_payloads(spark):
     df = spark.createDataFrame([(i, p and bytearray(p) if p else (bytearray() if p == b"" else None), d) for i, (p, d) in enumerate(rows)], "i int, p binary, d string")
     got = [r[0] for r in df.orderBy("i").select(http.payload_type(F.col("p"), F.col("d"), http.strict_json(F.col("p")))).collect()]
     assert got == ["application/json", "text/plain", "text/plain", "image/png", None, None, OFFICE + "wordprocessingml.document", "text/html", "application/xml", None, "text/plain"]
+
+
+def test_segments_are_joined(spark):
+    from websilo.operators.semantic import segment_bodies
+
+    rows = [("a", None, 1, b"one "), ("a3", "a", 3, b"three"), ("a2", "a", 2, b"two "), ("b", None, 1, None), ("c2", "c", 2, b"x" * (5 << 20)), ("c", None, 1, b""), ("d2", "d", 2, b"tail")]
+    df = spark.createDataFrame([(i, "response" if o is None else "continuation", o, n, b and bytearray(b)) for i, o, n, b in rows],
+                               "record_id string, record_type string, segment_origin_id string, segment_number long, body binary").withColumn("error", F.lit(None).cast("string"))
+    got = {r["record_id"]: (r["segments"], bytes(r["body"])) for r in segment_bodies(df.repartition(3)).collect()}
+    assert got == {"a": (3, b"one two three"), "b": (1, b""), "c": (2, b"x" * (5 << 20)), "d": (1, b"tail")}
+    assert segment_bodies(df.limit(0)).count() == 0

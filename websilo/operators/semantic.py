@@ -181,11 +181,39 @@ def filter_records(spark, path: str, wanted: list, extension: Extension = Extens
 
 
 def segment_bodies(records: DataFrame) -> DataFrame:
-    """(record_id, segments, body): origin records with their continuations' blocks joined in order of number."""
+    """(record_id, segments, body): origin records with their continuations' blocks joined in order of number.
+
+    Series are sorted by Spark and joined a piece at a time; a task holds one whole block,
+    and no more of the others than a batch.
+    """
+    import pyarrow as pa
+
     key = F.when(F.col("record_type") == "continuation", F.col("segment_origin_id")).otherwise(F.col("record_id"))
-    part = F.struct(F.coalesce("segment_number", F.lit(1).cast("decimal(20,0)")).alias("n"), F.col("body").alias("b"))
-    grouped = records.where(F.col("error").isNull() & F.col("segment_number").isNotNull()).groupBy(key.alias("record_id")).agg(
-        F.array_sort(F.collect_list(part)).alias("p"))
-    # joined once, as text of a character a byte
-    text = F.array_join(F.transform("p", lambda p: v.latin(p["b"])), "")
-    return grouped.select("record_id", F.size("p").cast("long").alias("segments"), F.encode(text, "ISO-8859-1").alias("body"))
+    parts = records.where(F.col("error").isNull() & F.col("segment_number").isNotNull()).select(
+        key.alias("series"), F.col("segment_number").cast("decimal(20,0)").alias("n"), "body")
+
+    def run(batches):
+        rows: list[tuple] = []
+        name, n, pieces = None, 0, None
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], names=["record_id", "segments", "body"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                series = batch.column(0)[i].as_py()
+                if pieces is None or series != name:
+                    if pieces is not None:
+                        rows.append((name, n, b"".join(pieces)))
+                        if len(rows) >= 1024 or sum(len(r[2]) for r in rows[-8:]) > 4 << 20:
+                            yield made()
+                            rows.clear()
+                    name, n, pieces = series, 0, []
+                n += 1
+                pieces.append(batch.column(2)[i].as_py() or b"")
+        if pieces is not None:
+            rows.append((name, n, b"".join(pieces)))
+            yield made()
+
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(tasks, "series").sortWithinPartitions("series", "n", "body").mapInArrow(run, "record_id string, segments long, body binary")
