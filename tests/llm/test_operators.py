@@ -607,6 +607,23 @@ def test_scores_equal_a_naive_forward_pass():
     assert abs(np.exp(np.array(one) - attention.Scorer(p, vocab).texts(np.array([5]), np.array([1]))[0]).sum() - 1) < 1e-3
 
 
+def test_attention_tells_subwords_of_a_class_apart():
+    vocab = attention.Vocabulary.of(np.linspace(60, 1, 3001))
+    a, c, x = 1, 2, 3
+    same = np.flatnonzero(vocab.outputs == vocab.outputs[2990])
+    near = np.flatnonzero(vocab.outputs == vocab.outputs[1000])
+    for b, d in ((same[0], same[1]), (same[0], same[-1]), (near[0], near[-1])):
+        # what follows x is told by what stands before it alone: counts of b and d after x are equal
+        tokens = np.array([[a, x, b], [c, x, d]] * 400).ravel()
+        windows = attention.windows(tokens, np.full(800, 3), 3001)[:2]
+        p = attention.initial(vocab)
+        for _ in range(12):
+            p, n = attention.train_locally(p, vocab, *windows, 0.03, batch=64)
+        assert n == len(tokens)
+        score = attention.Scorer(p, vocab).texts(np.array([[a, x, b], [a, x, d], [c, x, b], [c, x, d]]).ravel(), np.full(4, 3))
+        assert score[0] - score[1] > 1 and score[3] - score[2] > 1
+
+
 def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)  # many blocks
     monkeypatch.setattr(lm, "GROUP", 3)

@@ -7,16 +7,20 @@ under a mask.  Positions enter as a bias for each distance, so queries, keys and
 values depend on the token alone.
 
 The probability of a subword is that of its class times its share of the class.
-Frequent subwords are classes of their own.  Both follow from counts after each of
-``AFTER`` groups of subwords (the frequent ones alone), joined to those without context:
-a share is (n(group, id) + PRIOR * share) / (n(group, class) + PRIOR), and the log of a
-class's, formed alike, is where the model starts: attention learns what the tokens
-before the last one, and the last one itself, change about it.
+Frequent subwords are classes of their own; the others of a class are leaves of a binary
+tree over its subwords in order of their counts, each range cut where half of its mass
+ends, and a share is the product of the choices on the way.  Choices of classes and in
+trees start from counts after each of ``AFTER`` groups of subwords (the frequent ones
+alone), joined to those without context: untaught, a share is (n(group, id) + PRIOR *
+share) / (n(group, class) + PRIOR), and a class's is formed alike.  Attention learns what
+the tokens before the last one, and the last one itself, change about every choice, so
+it tells all subwords of the tokenizer apart.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 
@@ -27,6 +31,52 @@ SINGLE = (CLASSES * 3) // 4  # so many frequent subwords are classes of their ow
 _F = np.float32
 
 
+@dataclass
+class Trees:
+    """Binary trees of the classes: node k parts the ranks [low, high) at ``cut``; the way to an id is of ``size`` nodes from ``first``."""
+
+    ids: np.ndarray  # of each rank
+    low: np.ndarray
+    cut: np.ndarray
+    high: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    nodes: np.ndarray
+    left: np.ndarray  # 1 where the way goes left, else -1
+
+    @classmethod
+    def of(cls, ids: np.ndarray, bounds: np.ndarray, mass: np.ndarray) -> Trees:
+        """Ids in order of ranks, with their masses; each range of ranks between bounds is a tree."""
+        upto = np.append(0, np.cumsum(mass))
+        low, high = bounds[:-1], bounds[1:]
+        made, ways, n = [], [], 0
+        while True:
+            some = high - low > 1
+            low, high = low[some], high[some]
+            if not len(low):
+                break
+            cut = np.clip(np.searchsorted(upto, (upto[low] + upto[high]) / 2), low + 1, high - 1)
+            made.append((low, cut, high))
+            size = high - low
+            at = np.arange(int(size.sum())) + np.repeat(low - (np.cumsum(size) - size), size)
+            ways.append((at, np.repeat(np.arange(n, n + len(low)), size), np.where(at < np.repeat(cut, size), 1, -1)))
+            n += len(low)
+            low, high = np.stack([low, cut], 1).ravel(), np.stack([cut, high], 1).ravel()
+        low, cut, high = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (zip(*made) if made else ((), (), ())))
+        at, nodes, left = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (zip(*ways) if ways else ((), (), ())))
+        # nodes by the first rank below them, so that those with counts stand first
+        order = np.argsort(low, kind="stable")
+        number = np.empty(n, np.int64)
+        number[order] = np.arange(n)
+        by_rank = np.argsort(at, kind="stable")
+        size = np.bincount(at, minlength=len(ids))
+        rank = np.empty(len(ids), np.int64)
+        rank[ids] = np.arange(len(ids))
+        first = (np.cumsum(size) - size)[rank]
+        return cls(ids, low[order], cut[order], high[order], first.astype(np.int32), size[rank].astype(np.int32),
+                   number[nodes[by_rank]].astype(np.int32), left[by_rank].astype(_F))
+
+
 @dataclass
 class Vocabulary:
     """Classes of subword ids, from counts; id n is the end of a text, id n + 1 what stands before it."""
@@ -39,6 +89,7 @@ class Vocabulary:
     pairs: np.ndarray = field(default_factory=lambda: np.zeros((AFTER, INPUTS), _F))
     pairs_class: np.ndarray = field(default_factory=lambda: np.zeros((AFTER, CLASSES), _F))
     start: np.ndarray | None = None
+    trees: Trees | None = None
 
     @classmethod
     def of(cls, counts: np.ndarray, classes: int = CLASSES, inputs: int = INPUTS, after: int = AFTER) -> Vocabulary:
@@ -63,7 +114,9 @@ class Vocabulary:
         table[end] = inputs - 2
         alone = after - 128
         groups = np.append(np.where(rank < alone, rank, alone + rank % 127), after - 1)
-        return cls(table.astype(np.int32), outputs.astype(np.int32), (PRIOR * seen / of_class[outputs]).astype(_F), log_class, groups.astype(np.int32))
+        bounds = np.append(np.flatnonzero(np.diff(outputs[rest], prepend=-1)), len(rest)) + min(single, n)
+        return cls(table.astype(np.int32), outputs.astype(np.int32), (PRIOR * seen / of_class[outputs]).astype(_F), log_class, groups.astype(np.int32),
+                   trees=Trees.of(order, bounds, seen[order]))
 
     def place(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Where the count of a token after another stands; -1 for tokens that share an input or are a class."""
@@ -79,31 +132,96 @@ class Vocabulary:
         prior = 16 * PRIOR * np.exp(self.log_class)
         start = np.log((classes + prior) / (classes.sum(axis=1, keepdims=True) + prior.sum()))
         return Vocabulary(self.inputs, self.outputs, self.share, self.log_class, self.groups,
-                          counts.astype(_F), (counts @ of_input).astype(_F), start.astype(_F))
+                          counts.astype(_F), (counts @ of_input).astype(_F), start.astype(_F), self.trees)
 
     def starts(self, shift: np.ndarray) -> np.ndarray:
         """(AFTER, CLASSES): where the logits start after each group, and a shift of each class."""
         return np.broadcast_to(self.log_class.astype(_F) if self.start is None else self.start, (AFTER, CLASSES)) + shift
 
-    def log_shares(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Log of each token's share of its class, after the token before: 0 for those that are a class."""
-        out = np.zeros(len(token), _F)
-        rest = np.flatnonzero(self.outputs[token] >= SINGLE)
-        before, token = before[rest], token[rest]
-        place = self.place(before, token)
-        n = np.where(place >= 0, self.pairs.ravel()[np.maximum(place, 0)], _F(0))
-        of_class = self.pairs_class[self.groups[before], self.outputs[token]]
-        out[rest] = np.log((n + self.share[token]) / (of_class + _F(PRIOR)))
+    @cached_property
+    def odds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of going left that counts give: (AFTER, nodes above counted ids) after each group, and of every node without context."""
+        t, keep = self.trees, INPUTS - 64
+        share = np.append(0, np.cumsum(self.share[t.ids].astype(float)))
+        prior = share[t.cut] - share[t.low], share[t.high] - share[t.cut]
+        n = int(np.searchsorted(t.low, keep))
+        upto = np.zeros((AFTER, keep + 1))
+        np.cumsum(self.pairs[:, :keep], axis=1, out=upto[:, 1:])
+        low, cut, high = (upto[:, np.minimum(x[:n], keep)] for x in (t.low, t.cut, t.high))
+        after = np.log((cut - low + prior[0][:n]) / (high - cut + prior[1][:n]))
+        return np.ascontiguousarray(after, _F), np.log(prior[0] / prior[1]).astype(_F)
+
+    def of_tokens(self, tokens: np.ndarray) -> tuple[Vocabulary, np.ndarray]:
+        """The vocabulary with no nodes but those on the ways to these tokens, and their numbers."""
+        t, (after, always) = self.trees, self.odds
+        seen = np.flatnonzero(np.bincount(tokens, minlength=len(self.outputs)))
+        size = t.size[seen]
+        at = np.repeat(t.first[seen] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        used = np.unique(t.nodes[at])
+        number = np.zeros(len(t.low), np.int32)
+        number[used] = np.arange(len(used))
+        out = replace(self, trees=replace(t, nodes=number[t.nodes]))
+        out.odds = np.ascontiguousarray(after[:, used[used < after.shape[1]]]), always[used]
+        return out, used
+
+    def choices(self, before: np.ndarray, token: np.ndarray):
+        """All choices on the ways to tokens, level by level: (tokens that have any, longest way first; how many of
+        them, from the first, reach each level; and of each choice its node, 1 for left or -1, and the log odds of left to start from)."""
+        t, (after, always) = self.trees, self.odds
+        size = t.size[token]
+        inner = np.argsort(-size.astype(np.int16), kind="stable")[: np.count_nonzero(size)]
+        levels = (len(inner) - np.cumsum(np.bincount(size[inner])))[:-1].tolist()
+        first, row = t.first[token[inner]], self.groups[before[inner]] * np.int32(after.shape[1])
+        at = np.concatenate([np.empty(0, np.int32), *(first[:k] + np.int32(level) for level, k in enumerate(levels))])
+        node = t.nodes[at]
+        if after.shape[1]:
+            row = np.concatenate([np.empty(0, np.int32), *(row[:k] for k in levels)])
+            start = np.take(after.ravel(), row + node, mode="clip")
+        else:
+            start = always[node]
+        rare = np.flatnonzero(node >= after.shape[1])
+        start[rare] = always[node[rare]]
+        return inner, levels, node.astype(np.intp), t.left[at], start
+
+    def log_shares(self, before: np.ndarray, token: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Log of each token's share of its class, after the token before, with hidden values h and weights w
+        (DIM, nodes) of choices: 0 for tokens that are a class."""
+        inner, levels, node, left, start = self.choices(before, token)
+        x = (start + _each(h[inner].T, levels, w, node)[0]) * -left
+        np.exp(np.minimum(x, _F(60), out=x), out=x)
+        out = np.zeros(len(token))
+        out[inner] = -_by_token(np.log1p(x, out=x)[None], levels, len(inner))[0]
         return out
 
 
+def _each(h: np.ndarray, levels: list[int], w: np.ndarray, node: np.ndarray):
+    """(products, hidden values (DIM, choices), weights (DIM, choices)) of each choice."""
+    h = np.concatenate([h[:, :0], *(h[:, :k] for k in levels)], axis=1)
+    w = np.take(w, node, axis=1, mode="clip")
+    return (h * w).sum(axis=0), h, w
+
+
+def _by_token(x: np.ndarray, levels: list[int], n: int) -> np.ndarray:
+    """Sums of (m, choices) by token: (m, n)."""
+    out, at = np.zeros((len(x), n), x.dtype), 0
+    for k in levels:
+        out[:, :k] += x[:, at : at + k]
+        at += k
+    return out
+
+
+def _summed(where: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """Sums (n, m) of the columns (m, ...) that ``where`` (intp) deals to each of n rows."""
+    return np.stack([np.bincount(where, c, n) for c in columns], axis=1).astype(columns.dtype)
+
+
 def initial(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     size = len(vocabulary.log_class)
     near = lambda *s: (r.standard_normal(s) * 0.3).astype(_F)
     return {
         "E": near(INPUTS, DIM), "m": near(DIM, DIM), "v": near(DIM, DIM),
-        "U": near(DIM, size) * _F(0.1), "c": np.zeros(size, _F), "b": -np.arange(REACH, dtype=_F) * _F(0.3),
+        "U": near(DIM, size) * _F(0.1), "c": np.zeros(size, _F), "W": np.zeros((len(vocabulary.trees.low), DIM), _F), "b": -np.arange(REACH, dtype=_F) * _F(0.3),
     }
 
 
@@ -159,6 +277,7 @@ class Scorer:
         self.v, self.p = vocabulary, p
         self.before = len(vocabulary.outputs)
         self.keys, self.val = p["E"] @ p["m"], p["E"] @ p["v"]
+        self.w = np.ascontiguousarray(p["W"].T)
         self.bias = _bias(p["b"])
         self.starts = vocabulary.starts(p["c"])
 
@@ -184,7 +303,7 @@ class Scorer:
             z += np.take(self.starts, self.v.groups[prior], axis=0, mode="clip")
             hit = z.ravel()[np.arange(len(goal)) * z.shape[1] + self.v.outputs[goal]]
             np.exp(z, out=z)  # logits are small: trained with a ridge and started at log frequencies
-            logp = hit.astype(float) - np.log((z @ np.ones(z.shape[1], _F)).astype(float)) + self.v.log_shares(prior, goal)
+            logp = hit.astype(float) - np.log((z @ np.ones(z.shape[1], _F)).astype(float)) + self.v.log_shares(prior, goal, h, self.w)
             rows = np.repeat(text[lo : lo + block], BLOCK)[real]
             first, last = (rows[0], rows[-1] + 1) if len(rows) else (0, 0)  # texts stand in order
             out[first:last] += np.bincount(rows - first, logp, last - first)
@@ -192,7 +311,7 @@ class Scorer:
 
 
 def gradients(p, v: Vocabulary, x: np.ndarray, y: np.ndarray):
-    """Mean log loss of classes, and its gradients, for windows x with targets y (-1: none)."""
+    """Mean log loss of subwords, and its gradients, for windows x with targets y (-1: none)."""
     kind = p["E"].dtype.type
     flat = lambda t: t.reshape(-1, t.shape[-1])
     ids = v.inputs[x]
@@ -218,7 +337,21 @@ def gradients(p, v: Vocabulary, x: np.ndarray, y: np.ndarray):
     z.ravel()[at] -= 1
     z *= (real / kind(n)).astype(kind)[:, None]  # places without a target have no loss
     g = {"U": r.T @ z, "c": np.ones(len(z), kind) @ z}
-    dh = ((z @ p["U"].T) * (r > 0)).reshape(h.shape)
+    dh = z @ p["U"].T
+    inner = np.flatnonzero(real)
+    way, levels, node, left, start = v.choices(x[:, BACK:].reshape(-1)[inner], goal[inner])
+    inner = inner[way]
+    odds, of_h, of_w = _each(r[inner].T, levels, np.ascontiguousarray(p["W"].T), node)
+    odds = (odds + start) * -left
+    np.exp(np.minimum(odds, kind(60), out=odds), out=odds)
+    odds += 1
+    loss += np.log(odds).sum() / n
+    slope = (1 / odds - 1) * left / kind(n)
+    of_w *= slope
+    of_h *= slope
+    dh[inner] += _by_token(of_w, levels, len(inner)).T
+    g["W"] = _summed(node, of_h, len(p["W"]))
+    dh = (dh * (r > 0)).reshape(h.shape)
     ds = dh @ val.transpose(0, 2, 1)
     ds -= (dh * att) @ np.ones((DIM, 1), kind)
     ds *= a
@@ -227,20 +360,17 @@ def gradients(p, v: Vocabulary, x: np.ndarray, y: np.ndarray):
     g["m"], g["v"] = flat(e).T @ flat(dk), flat(e).T @ flat(dval)
     de = (flat(dk) @ p["m"].T + flat(dval) @ p["v"].T).reshape(e.shape)
     de[:, BACK:] += ds @ k + dh
-    where, by = ids.ravel().astype(np.uint16), flat(de)
-    order = np.argsort(where, kind="stable")
-    where = where[order]
-    heads = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
-    g["E"] = np.zeros_like(p["E"])
-    g["E"][where[heads]] = np.add.reduceat(by[order], heads, axis=0)
+    g["E"] = _summed(ids.ravel().astype(np.intp), np.ascontiguousarray(flat(de).T), len(p["E"]))
     return loss, g
 
 
 def train_locally(p, v: Vocabulary, x: np.ndarray, y: np.ndarray, rate: float, batch: int = 256, ridge: float = 1e-5):
     """Adam over the windows once, with a rate that falls to a tenth; (parameters, tokens)."""
     order = np.random.default_rng(len(x)).permutation(len(x))
-    p = {n: w.copy() for n, w in p.items()}
+    start, (v, used) = p, v.of_tokens(y[y >= 0])
+    p = {n: w[used] if n == "W" else w.copy() for n, w in p.items()}
     m, s = ({n: np.zeros_like(w) for n, w in p.items()} for _ in range(2))
+    batch = min(batch, max(16, len(x) // 512))  # few windows: smaller batches
     steps = max(1, -(-len(x) // batch))
     for t, lo in enumerate(range(0, len(x), batch), 1):
         pick = order[lo : lo + batch]
@@ -257,4 +387,6 @@ def train_locally(p, v: Vocabulary, x: np.ndarray, y: np.ndarray, rate: float, b
             np.sqrt(s[n] * _F(1 / (1 - 0.99**t)), out=d)
             d += _F(1e-6)
             w -= _F(now) * m[n] / d
+    p["W"], inside = start["W"].copy(), p["W"]
+    p["W"][used] = inside
     return p, int((y >= 0).sum())

@@ -156,6 +156,7 @@ def summed(rows: DataFrame, n_blocks: int) -> list:
 
 
 PARTS = 8  # of the counts of pairs
+PIECE = 1 << 16  # parameters that are summed in one group
 _IDS = "block int, pos long, learn binary, sizes binary, tokens binary"
 
 
@@ -248,12 +249,14 @@ def train(ids: DataFrame, n_blocks: int, path: str = TOKENIZER):
             for block, _, tokens, sizes in _parts(batches, end, True):
                 x, y, _ = windows(tokens, sizes, end + 1)
                 q, n = train_locally(start, v, x, y, rate)
-                yield _sums([_row(0, block, n, _packed(q) * n)])
+                flat = _packed(q) * n
+                yield _sums([_row(k, block, n, flat[at : at + PIECE]) for k, at in enumerate(range(0, len(flat), PIECE))])
 
         got = summed(ids.where(some).mapInArrow(learned, _SUMS), n_blocks)
-        n = sum(r["n"] for r in got)
+        n = sum(r["n"] for r in got if r["part"] == 0)
         if n:
-            p = _unpacked(_whole(got, [len(_packed(p))])[0] / n, p)
+            sizes = [len(x) for x in np.split(_packed(p), range(PIECE, len(_packed(p)), PIECE))]
+            p = _unpacked(np.concatenate(_whole(got, sizes)) / n, p)
     return p, vocabulary
 
 
