@@ -652,6 +652,26 @@ def test_lm_scores(spark):
     assert lm.score_texts(docs_of(spark, [])).count() == 0
 
 
+def test_words_come_back_from_subwords_in_any_block(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 400)
+    r = random.Random(6)
+    some = ["bar", "foo\u00a0", "\u00a0bar", "\u2003", "a\u00a0b", "\u3000\u00a0", "x" * 90, "-" * 200, "12345", "été", "😀", "\x00", "\x1f", "e\u0301"]
+    texts = [" ".join(r.choices(some, k=r.randint(0, 30))) for _ in range(90)]
+    got = {x["doc_id"]: x for x in lm.score_texts(docs_of(spark, texts).repartition(3)).collect()}
+    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + [None]
+    count = Counter(x for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 for x in tokens(t))
+    n, v = sum(count.values()), len(count)
+    for i, t in enumerate(texts):
+        want = sum(np.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens(t))
+        assert abs(got[i]["base_score"] - want) < 1e-6 * (1 - want)
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(tokens(t)), sum(count[y] > 0 for y in tokens(t)), n)
+    # words that aren't UTF-8 stay apart
+    w = blocks.Words(pa.array([b"a \xff b\xfe \xfe \xff"], pa.binary()).cast(pa.large_binary()).view(pa.large_string()).cast(pa.string()), lm._TABLE, collapse=False)
+    ids, size = lm.Encoded(lm.TOKENIZER).words(w, w.starts, w.ends)
+    each = [tuple(x) for x in np.split(ids, np.cumsum(size)[:-1])]
+    assert each[1] == each[4] and len(set(each)) == 4
+
+
 # ---- toxicity
 
 def test_toxicity(spark):

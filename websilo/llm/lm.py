@@ -5,14 +5,18 @@ Learning texts are those whose crc32(doc_id as text) mod 10 isn't 0.
 Texts are dealt into blocks of about BLOCK_BYTES by a hash of the row; blocks follow
 from the table alone, not from its partitions.
 
-Word counts.  A block asks once for each of its distinct words (as 64-bit hashes), with
-its own count; a window over each hash sums the counts of all blocks, and the answers
-return to their block, where the texts are scored.  So a frequent word costs one
-row for each block, and no table of all words is held anywhere.  Windows hold the
-rows of at most SPREAD blocks: with more blocks, sums of windows are added up by word.
-
-Model.  Texts are encoded once, by block, into a table of subword ids.  Ids of learning
-texts are counted (a table as long as the tokenizer's vocabulary), and pairs of
+Texts are encoded once, by block, into a table of subword ids.  Each word follows a
+blank, with which its first subword begins, so ids give the words back, and equal words
+have equal ids.
+
+Word counts.  A block asks for each of its distinct words (as 64-bit hashes of ids), with
+its own count: a row for each bucket of hashes.  A bucket adds up the counts of all
+blocks, and answers each block in the order that it asked in; bucket and block together
+hold as many words as the block has, so a frequent word costs one entry for each block,
+and no table of all words is held anywhere.  A bucket's sums of all learning tokens and
+distinct words go to every block with its answer.
+
+Model.  Ids of learning texts are counted (a table as long as the tokenizer's vocabulary), and pairs of
 neighbours by group (a table of fixed size).  Each block then trains once, over every
 token of its learning texts in order of their hashes: a first eighth of the blocks from
 common parameters, the others from the average of those, and the average of the others
@@ -26,7 +30,7 @@ import base64
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .attention import AFTER, BACK, CLASSES, INPUTS, Scorer, Vocabulary, initial, train_locally, windows
@@ -34,14 +38,13 @@ from .blocks import SPACE, Words, sliced
 from .lineage import cut_table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: How a text is split before byte-pair encoding: letters, digits and other characters apart, in pieces of bounded length.
-PIECES = r"[^\s\p{L}\p{N}]{1,64}|\s?\p{L}{1,64}|\s?\p{N}{1,3}|\s+"
+#: How a text is split before byte-pair encoding: letters, digits and other characters apart, in pieces of bounded length.  A blank only begins a piece.
+PIECES = r"[^\s\p{L}\p{N}]{1,64}|\s?\p{L}{1,64}|\s?\p{N}{1,3}|[^\S ]+| "
 RATES = (0.03, 0.02)
 BLOCK_BYTES = 8 << 20
-#: Blocks whose counts of a word meet in one window, and blocks whose sums meet in one group.
-SPREAD, GROUP = 4096, 256
+#: Blocks that there is a bucket of words for, and blocks whose sums meet in one group.
+SPREAD, GROUP = 4, 256
 _TABLE = np.frombuffer(bytes(SPACE if b in (9, 10, 11, 12, 13, 32) else b + 32 if 65 <= b <= 90 else b for b in range(256)), np.uint8)
-END = 0x454E44  # the hash that stands for the end of a text
 
 _encoders: dict = {}
 
@@ -71,20 +74,27 @@ class Encoded:
     def __init__(self, path: str):
         self.encoding, _, self.opens = encoder(path)
 
-    def _ids(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+    def _ids(self, text: bytes) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text.decode("utf-8"), disallowed_special=()).astype(np.int32)
+
+    def _one(self, text: bytes) -> np.ndarray:
+        try:
+            return self._ids(text)
+        except UnicodeDecodeError:  # byte by byte
+            return np.array([self.encoding.encode_single_token(bytes([b])) for b in text], np.int32)
 
     def words(self, w: Words, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of these words in turn, how many each has), in one call: each word follows a blank, with which its first subword begins."""
         size = ends - starts + 1  # with the blank before it
         at = np.arange(int(size.sum())) + np.repeat(starts - 1 - (np.cumsum(size) - size), size)
-        flat = self._ids(w.data[at].tobytes().decode("utf-8", "replace"))
-        heads = np.flatnonzero(self.opens[flat])
-        if len(heads) == len(starts):
+        try:
+            flat = self._ids(w.data[at].tobytes())
+            heads = np.flatnonzero(self.opens[flat])
             return flat, np.diff(np.append(heads, len(flat)))
-        raw = w.data.tobytes()
-        each = [self._ids(" " + raw[a:b].decode("utf-8", "replace")) for a, b in zip(starts.tolist(), ends.tolist())]
-        return np.concatenate(each), np.array([len(x) for x in each])
+        except UnicodeDecodeError:
+            raw = w.data.tobytes()
+            each = [self._one(b" " + raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+            return np.concatenate(each), np.array([len(x) for x in each])
 
     def distinct(self, w: Words, hashes: np.ndarray):
         """(subword ids of the distinct words in turn, how many each has, each word's number)."""
@@ -94,9 +104,32 @@ class Encoded:
         return *self.words(w, w.starts[once], w.ends[once]), back
 
 
-def _counted(values: np.ndarray, counts: np.ndarray):
-    back, values = pd.factorize(values)
-    return values, np.bincount(back, counts, len(values)).astype(np.int64)
+_MIX = np.random.default_rng(5).integers(0, 1 << 64, 1 << 17, np.uint64)
+_STEP, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(tokens: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words and ends that ids make up, how many each text has); opens: of each id, and at last of ends."""
+    heads = np.flatnonzero(opens[tokens])
+    size = np.diff(np.append(heads, len(tokens)))
+    powers = np.full(int(size.max(initial=1)), _STEP)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    terms = _MIX[tokens] if len(opens) <= len(_MIX) else (tokens.astype(np.uint64) + np.uint64(1)) * _LAST
+    terms *= powers[np.arange(len(tokens), dtype=np.int32) - np.repeat(heads.astype(np.int32), size)]
+    upto = np.cumsum(terms, dtype=np.uint64)
+    h = np.diff(upto[heads + size - 1], prepend=np.uint64(0))
+    h ^= h >> np.uint64(32)
+    h *= _LAST
+    h ^= h >> np.uint64(29)
+    return h, np.diff(np.flatnonzero(tokens[heads] == len(opens) - 1), prepend=-1)
+
+
+def in_buckets(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of hashes by bucket, where each bucket of n begins and the last ends)."""
+    bucket = (h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    bucket = bucket.astype(np.uint16) if n <= 1 << 16 else bucket
+    return np.argsort(bucket, kind="stable"), np.append(0, np.cumsum(np.bincount(bucket.astype(np.int64), minlength=n)))
 
 
 def tokens_of(column, encoded: Encoded, end: int):
@@ -157,7 +190,7 @@ def summed(rows: DataFrame, n_blocks: int) -> list:
 
 PARTS = 8  # of the counts of pairs
 PIECE = 1 << 16  # parameters that are summed in one group
-_IDS = "block int, pos long, learn binary, sizes binary, tokens binary"
+_IDS = "block int, pos long, learn binary, sizes binary, tokens binary, held binary, doc_ids array<{}>"
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -166,33 +199,38 @@ def in_order(table: pa.Table) -> pa.Table:
 
 
 def encoded_texts(dealt: DataFrame, path: str) -> DataFrame:
-    """_IDS of texts (block, h, learn, text), whose blocks are whole partitions: a row for each block, or each part of a very large one."""
+    """_IDS of texts (block, h, doc_id, held_out, learn, text), whose blocks are whole partitions: a row for each block, or each part of a very large one."""
     end = encoder(path)[1]
+    out = _IDS.format(dealt.schema["doc_id"].dataType.simpleString())
 
     def run(key, table):
-        pos, rows, encoded = 0, [], Encoded(path)
+        pos, rows, doc_ids, encoded = 0, [], [], Encoded(path)
         for part in sliced(in_order(table).to_batches(), "text", 2 * BLOCK_BYTES):
             tokens, size = tokens_of(part.column("text"), encoded, end)
-            learn = part.column("learn").to_numpy(zero_copy_only=False).astype(np.uint8)
-            rows.append((key[0].as_py(), pos, learn.tobytes(), size.astype(np.int32).tobytes(), tokens.astype(np.uint16 if end < 1 << 16 else np.int32).tobytes()))
+            learn, held = (part.column(c).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() for c in ("learn", "held_out"))
+            of = part.column("doc_id")
+            of = pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of)
+            rows.append((key[0].as_py(), pos, learn, size.astype(np.int32).tobytes(), tokens.astype(np.uint16 if end < 1 << 16 else np.int32).tobytes(), held))
+            doc_ids.append(of)
             pos += part.num_rows
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["block", "pos", "learn", "sizes", "tokens"])
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        columns = [*(pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)), pa.chunked_array(doc_ids)]
+        return pa.Table.from_arrays(columns, names=["block", "pos", "learn", "sizes", "tokens", "held", "doc_ids"])
 
-    return dealt.groupBy("block").applyInArrow(run, _IDS)
+    return dealt.groupBy("block").applyInArrow(run, out)
 
 
-def _parts(batches, end: int, learning: bool):
-    """(block, pos, tokens, sizes) of each row of _IDS, of learning texts alone if so asked."""
+def _parts(batches, end: int, learning: bool = True):
+    """(block, pos, tokens, sizes) of each row of _IDS, of learning texts alone if so asked; else also which texts those are."""
     for batch in batches:
         for block, pos, learn, sizes, tokens in zip(*(batch.column(i).to_pylist() for i in range(5))):
             sizes = np.frombuffer(sizes, np.int32)
             tokens = np.frombuffer(tokens, np.uint16 if end < 1 << 16 else np.int32)
-            if learning:
-                on = np.frombuffer(learn, np.uint8) > 0
-                sizes, tokens = sizes[on], tokens[np.repeat(on, sizes)]
-            if len(sizes) or not learning:
-                yield block, pos, tokens, sizes
+            on = np.frombuffer(learn, np.uint8) > 0
+            if not learning:
+                yield block, pos, tokens, sizes, on
+            elif on.any():
+                yield block, pos, tokens[np.repeat(on, sizes)], sizes[on]
 
 
 def _sums(rows: list):
@@ -211,10 +249,11 @@ def _whole(rows: list, sizes: list[int]) -> list[np.ndarray]:
 def train(ids: DataFrame, n_blocks: int, path: str = TOKENIZER):
     """(parameters, Vocabulary) from the learning texts of a table of _IDS."""
     end = encoder(path)[1]
+    ids = ids.select("block", "pos", "learn", "sizes", "tokens")
 
     def counted(batches):
         total, first = np.zeros(end + 1), None
-        for block, _, tokens, _ in _parts(batches, end, True):
+        for block, _, tokens, _ in _parts(batches, end):
             total += np.bincount(tokens, minlength=len(total))
             first = block if first is None else min(first, block)
         if first is not None:
@@ -227,7 +266,7 @@ def train(ids: DataFrame, n_blocks: int, path: str = TOKENIZER):
     def paired(batches, shared=shared):
         v, first = shared.value, None
         pairs, classes = np.zeros(AFTER * INPUTS), np.zeros(AFTER * CLASSES)
-        for block, _, tokens, sizes in _parts(batches, end, True):
+        for block, _, tokens, sizes in _parts(batches, end):
             before = np.append(0, tokens[:-1]).astype(np.int64)
             before[np.cumsum(sizes) - sizes] = end + 1
             at = v.place(before, tokens)
@@ -246,7 +285,7 @@ def train(ids: DataFrame, n_blocks: int, path: str = TOKENIZER):
 
         def learned(batches, shared=shared, rate=rate):
             start, v = shared.value
-            for block, _, tokens, sizes in _parts(batches, end, True):
+            for block, _, tokens, sizes in _parts(batches, end):
                 x, y, _ = windows(tokens, sizes, end + 1)
                 q, n = train_locally(start, v, x, y, rate)
                 flat = _packed(q) * n
@@ -260,18 +299,6 @@ def train(ids: DataFrame, n_blocks: int, path: str = TOKENIZER):
     return p, vocabulary
 
 
-def model_scores(ids: DataFrame, shared, end: int) -> DataFrame:
-    """(block, pos, score): the model's log10 probability of each text of a table of _IDS."""
-    def run(batches):
-        model = Scorer(*shared.value)
-        for block, pos, tokens, sizes in _parts(batches, end, False):
-            score = model.texts(tokens, sizes) / np.log(10)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), block, np.int32)), pa.array(np.arange(pos, pos + len(sizes))), pa.array(score)],
-                                             names=["block", "pos", "score"])
-
-    return ids.mapInArrow(run, "block int, pos long, score double")
-
-
 def score_texts(docs: DataFrame, path: str = TOKENIZER, fold: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -293,75 +320,58 @@ def score_texts(docs: DataFrame, path: str = TOKENIZER, fold: int = 10, id_col:
     n_blocks = max(1, -(-n_bytes // BLOCK_BYTES))
     dealt = rows.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("block", F.pmod(F.col("h"), F.lit(n_blocks)).cast("int"))
     dealt = dealt.repartition(n_blocks, "block")
-    ids = cut_table(encoded_texts(dealt.select("block", "h", "learn", "text"), path))
+    ids = cut_table(encoded_texts(dealt.select("block", "h", "doc_id", "held_out", "learn", "text"), path))
     shared = spark.sparkContext.broadcast(train(ids, n_blocks, path))
-    scores = model_scores(ids, shared, encoder(path)[1])
-
-    def asked(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        h_all, c_all = [], []
-        for part in sliced(table.to_batches(), "text"):
-            w, h = words_of(part.column("text"))
-            learn = part.column("learn").to_numpy(zero_copy_only=False)
-            h_all.append(np.append(h, np.uint64(END)))
-            c_all.append(np.append(learn[w.doc].astype(np.int64), int(learn.sum())))
-            if sum(map(len, h_all)) > 1 << 20:
-                h, c = _counted(np.concatenate(h_all), np.concatenate(c_all))
-                h_all, c_all = [h], [c]
-        h, c = _counted(np.concatenate(h_all), np.concatenate(c_all))
-        return pa.Table.from_arrays([pa.array(np.full(len(h), block, np.int32)), pa.array(h.view(np.int64)), pa.array(c)], names=["block", "h", "c"])
-
-    asks = dealt.groupBy("block").applyInArrow(asked, "block int, h long, c long")
-    spread = asks.withColumn("wave", F.floor(F.col("block") / SPREAD).cast("int"))
-    word = Window.partitionBy("h", "wave")
-    answers = spread.select("block", "h", "wave", F.sum("c").over(word).alias("c"),
-                            (F.row_number().over(word.orderBy("block")) == 1).alias("one"))
-    if n_blocks > SPREAD:
-        waves = answers.where("one").groupBy("h").agg(F.sum("c").alias("c"), F.collect_list("wave").alias("waves"))
-        waves = waves.select("h", "c", F.array_min("waves").alias("w0"), F.explode("waves").alias("wave"))
-        answers = answers.drop("c").join(waves, ["h", "wave"]).select("block", "h", "c", (F.col("one") & (F.col("wave") == F.col("w0"))).alias("one"))
-    total = answers.where("one").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"))
-    # the totals go to every block as two rows of their own
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(int(n_blocks) - 1)))
-    totals = total.select(blocks.alias("block"), F.explode(F.array(
-        F.struct(F.lit(1).alias("kind"), F.col("n").alias("c")), F.struct(F.lit(2).alias("kind"), F.col("v").alias("c")))).alias("t"))
-    told = answers.where("c > 0").select("block", F.lit(0).alias("kind"), "h", "c").union(
-        totals.select("block", "t.kind", F.lit(0).cast("long").alias("h"), "t.c"))
+    end, opens = encoder(path)[1], np.append(encoder(path)[2], True)
+    n_buckets = -(-n_blocks // SPREAD)
+
+    def asked(batches):
+        for block, pos, tokens, _, learn in _parts(batches, end, False):
+            h, n = word_hashes(tokens, opens)
+            back, h = pd.factorize(h)
+            c = np.bincount(back, np.repeat(learn, n), len(h)).astype(np.int64)
+            order, at = in_buckets(h, n_buckets)
+            h, c = h[order], c[order]
+            pick = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n_buckets, block, np.int32)), pa.array(np.full(n_buckets, pos)),
+                                              pa.array(np.arange(n_buckets, dtype=np.int32)), pick(h), pick(c)], names=["block", "pos", "bucket", "h", "c"])
+
+    def answered(key, table):
+        """Each row's counts in all blocks, and the bucket's sums of counts and of known words."""
+        h, c = (np.concatenate([np.frombuffer(x, t) for x in table.column(n).to_pylist()]) for n, t in (("h", np.uint64), ("c", np.int64)))
+        back, distinct = pd.factorize(h)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, back, c)
+        n, v, total = int(c.sum()), int((total > 0).sum()), total[back]
+        at = np.append(0, np.cumsum([len(x) // 8 for x in table.column("h").to_pylist()]))
+        told = pa.array([total[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+        both = (pa.array(np.full(table.num_rows, x)) for x in (n, v))
+        return pa.Table.from_arrays([table.column("block"), table.column("pos"), table.column("bucket"), told, *both],
+                                    names=["block", "pos", "bucket", "c", "n", "v"])
+
+    asks = ids.select("block", "pos", "learn", "sizes", "tokens").mapInArrow(asked, "block int, pos long, bucket int, h binary, c binary")
+    answers = asks.groupBy("bucket").applyInArrow(answered, "block int, pos long, bucket int, c binary, n long, v long")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = f"block int, pos long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double"
+    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def scored(key, texts: pa.Table, counts: pa.Table) -> pa.Table:
-        what = counts.column("kind").to_numpy()
-        h, c = counts.column("h").to_numpy().view(np.uint64), counts.column("c").to_numpy()
-        n, v = (int(c[what == k].sum()) for k in (1, 2))
-        h, c = h[what == 0], c[what == 0]
-        order = np.argsort(h)
-        h, c = np.append(h[order], np.uint64(0)), np.append(c[order], 0)
-        names = ["block", "pos", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
-        batches, pos = [], 0
-
-        def count_of(x):
-            at = np.minimum(np.searchsorted(h[:-1], x), len(h) - 1)
-            return np.where(h[at] == x, c[at], 0)
-
-        of_end = int(count_of(np.array([END], np.uint64))[0])
-        low = np.log10(n + 0.1 * (v + 1))
-        for part in sliced(in_order(texts).to_batches(), "text"):
-            w, words = words_of(part.column("text"))
-            back, distinct = pd.factorize(words)
-            known, rows_n = count_of(distinct)[back], part.num_rows
-            base = np.bincount(w.doc, np.log10(known + 0.1), rows_n) + np.log10(of_end + 0.1) - (w.count + 1) * low
-            batches.append(pa.RecordBatch.from_arrays([
-                pa.array(np.full(rows_n, key[0].as_py(), np.int32)), pa.array(np.arange(pos, pos + rows_n)),
-                part.column("doc_id"), part.column("held_out"), pa.array(w.count + 1),
-                pa.array((np.bincount(w.doc, known > 0, rows_n) + (of_end > 0)).astype(np.int64)),
-                pa.array(np.full(rows_n, n, np.int64)), pa.array(base)], names=names))
-            pos += rows_n
-        if not batches:  # a block of totals without texts
-            kinds = (pa.int32(), pa.int64(), texts.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            return pa.schema(list(zip(names, kinds))).empty_table()
-        return pa.Table.from_batches(batches)
-
-    counted = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, out)
-    return counted.join(scores, ["block", "pos"]).select(
-        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        counts = counts.sort_by("bucket")
+        n, v = (int(counts.column(x).to_numpy().sum()) for x in ("n", "v"))
+        told = np.concatenate([np.frombuffer(x, np.int64) for x in counts.column("c").to_pylist()])
+        (_, _, tokens, sizes, _), = _parts(texts.combine_chunks().to_batches(), end, False)
+        h, of_text = word_hashes(tokens, opens)
+        back, h = pd.factorize(h)
+        c = np.empty(len(h), np.int64)
+        c[in_buckets(h, n_buckets)[0]] = told
+        first = np.cumsum(of_text) - of_text
+        base = np.add.reduceat(np.log10(c + 0.1)[back], first) - of_text * np.log10(n + 0.1 * (v + 1))
+        known = np.add.reduceat((c > 0).astype(np.int64)[back], first)
+        score = Scorer(*shared.value).texts(tokens, sizes) / np.log(10)
+        held = np.frombuffer(texts.column("held")[0].as_py(), np.uint8) > 0
+        return pa.Table.from_arrays(
+            [texts.column("doc_ids").combine_chunks().flatten(), pa.array(held), pa.array(of_text), pa.array(known),
+             pa.array(np.full(len(held), n)), pa.array(base), pa.array(score)],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    keys = ["block", "pos"]
+    return ids.groupBy(*keys).cogroup(answers.groupBy(*keys)).applyInArrow(scored, out)
