@@ -624,6 +624,31 @@ def test_attention_tells_subwords_of_a_class_apart():
         assert score[0] - score[1] > 1 and score[3] - score[2] > 1
 
 
+def test_top_nodes_of_trees_change_the_order_of_sums_alone(monkeypatch):
+    r = np.random.default_rng(9)
+    tokens, sizes = r.integers(0, 900, 1500), np.array([700, 1, 0, 15, 16, 17, 751])
+    got = []
+    for top in (32, 1, 300):  # most nodes below, nearly all, none
+        monkeypatch.setattr(attention, "TOP", top)
+        vocab = attention.Vocabulary.of(np.linspace(60, 1, 901))
+        counts = np.zeros((attention.AFTER, attention.INPUTS))
+        at = vocab.place(tokens[:-1], tokens[1:])
+        np.add.at(counts.reshape(-1), at[at >= 0], 1)
+        vocab, p = vocab.with_pairs(counts, np.ones((attention.AFTER, attention.CLASSES))), attention.initial(vocab)
+        p["W"] = np.random.default_rng(1).standard_normal(p["W"].shape).astype(np.float32)
+        x, y, _ = attention.windows(tokens, sizes, 901)
+        loss, g = attention.gradients(p, vocab, x, y)
+        taught, n = attention.train_locally(p, vocab, x, y, 0.01)
+        # looked up for some batches at once, what is given is that of each batch alone
+        for lo, ready in zip(range(0, len(x), 16), vocab.given(x, y, 16)):
+            alone = attention.gradients(p, vocab, x[lo : lo + 16], y[lo : lo + 16])[1]
+            assert all((w == alone[k]).all() for k, w in attention.gradients(p, vocab, None, None, ready)[1].items())
+        got.append([loss, attention.Scorer(p, vocab).texts(tokens, sizes), attention.Scorer(p, vocab).texts(tokens, sizes, 16), *g.values(), n])
+        assert np.isclose(-got[-1][1].sum() / len(tokens), loss, rtol=1e-5) and attention.gradients(taught, vocab, x, y)[0] < loss
+    for other in got[1:]:
+        assert all(np.allclose(a, b, rtol=1e-4, atol=1e-6) for a, b in zip(got[0], other))
+
+
 def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)  # many blocks
     monkeypatch.setattr(lm, "GROUP", 3)

@@ -94,9 +94,7 @@ class Words:
             out = mix(size.astype(np.uint64) + np.uint64(seed) * _ODD)
             at, left = np.arange(len(self)), size
             for offset in range(0, LONG, 8):
-                short = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
-                x = eight[self.starts[at] + offset] & ~(~np.uint64(0) << np.minimum(short, np.uint64(63))) | np.where(
-                    short == 64, eight[self.starts[at] + offset], np.uint64(0))
+                x = eight[self.starts[at] + offset] & _FIRST[np.minimum(left, 8)]
                 out[at] = mix(out[at] ^ x * _ODD)
                 on = left > 8
                 at, left = at[on], left[on] - 8
@@ -119,6 +117,7 @@ class Words:
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 LONG = 64
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n of eight bytes
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -9,9 +9,9 @@ Texts are encoded once, by block, into a table of subword ids.  Each word follow
 blank, with which its first subword begins, so ids give the words back, and equal words
 have equal ids.
 
-Word counts.  A block asks for each of its distinct words (as 64-bit hashes of ids), with
-its own count: a row for each bucket of hashes.  A bucket adds up the counts of all
-blocks, and answers each block in the order that it asked in; bucket and block together
+Word counts.  A block asks for each of its distinct words (as 64-bit hashes of ids, formed
+once for each as the texts are encoded), with its own count: a row for each bucket of hashes.  A bucket adds up the counts of all
+blocks, and answers each block in the order that it asked in, by hash; bucket and block together
 hold as many words as the block has, so a frequent word costs one entry for each block,
 and no table of all words is held anywhere.  A bucket's sums of all learning tokens and
 distinct words go to every block with its answer.
@@ -125,24 +125,33 @@ def word_hashes(tokens: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.n
     return h, np.diff(np.flatnonzero(tokens[heads] == len(opens) - 1), prepend=-1)
 
 
-def in_buckets(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of hashes by bucket, where each bucket of n begins and the last ends)."""
-    bucket = (h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
-    bucket = bucket.astype(np.uint16) if n <= 1 << 16 else bucket
-    return np.argsort(bucket, kind="stable"), np.append(0, np.cumsum(np.bincount(bucket.astype(np.int64), minlength=n)))
+def bucket_bounds(h: np.ndarray, n: int) -> np.ndarray:
+    """Where each bucket of n begins in rising hashes, and the last one ends."""
+    return np.searchsorted((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+
+
+def counted_words(flat: np.ndarray, back: np.ndarray, n_words: np.ndarray, learn: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rising hashes of the distinct words and of the end, their counts in learning texts), of the distinct words' ids in turn, each word's number and the words of each text."""
+    h, _ = word_hashes(np.append(flat, np.int32(len(opens) - 1)), opens)
+    c = np.bincount(back, np.repeat(learn, n_words), len(h)).astype(np.int64)
+    c[-1] = learn.sum(dtype=np.int64)
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    return h[at], np.add.reduceat(c, at)
 
 
 def tokens_of(column, encoded: Encoded, end: int):
-    """(tokens, tokens of each text): each text's subword ids, then its end."""
+    """(tokens, tokens of each text, ids of the distinct words in turn, each word's number, words of each text): each text's subword ids, then its end."""
     w, h = words_of(column)
     if not len(w):
-        return np.full(w.n_docs, end, np.int32), np.ones(w.n_docs, np.int64)
+        return np.full(w.n_docs, end, np.int32), np.ones(w.n_docs, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), w.count
     flat, size, back = encoded.distinct(w, h)
     begin, n = (np.cumsum(size) - size).astype(np.int32), size[back].astype(np.int32)
     stop = np.cumsum(n, dtype=np.int32)
     tokens = flat[np.repeat(begin[back] - (stop - n), n) + np.arange(stop[-1], dtype=np.int32)]
     last = np.append(0, stop)[np.append(w.first[1:], len(w))]  # tokens up to each text's end
-    return np.insert(tokens, last, end), np.diff(last, prepend=0) + 1
+    return np.insert(tokens, last, end), np.diff(last, prepend=0) + 1, flat, back, w.count
 
 
 def _packed(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -190,7 +199,7 @@ def summed(rows: DataFrame, n_blocks: int) -> list:
 
 PARTS = 8  # of the counts of pairs
 PIECE = 1 << 16  # parameters that are summed in one group
-_IDS = "block int, pos long, learn binary, sizes binary, tokens binary, held binary, doc_ids array<{}>"
+_IDS = "block int, pos long, learn binary, sizes binary, tokens binary, held binary, doc_ids array<{}>, h binary, c binary"
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -200,27 +209,30 @@ def in_order(table: pa.Table) -> pa.Table:
 
 def encoded_texts(dealt: DataFrame, path: str) -> DataFrame:
     """_IDS of texts (block, h, doc_id, held_out, learn, text), whose blocks are whole partitions: a row for each block, or each part of a very large one."""
-    end = encoder(path)[1]
+    end, opens = encoder(path)[1], np.append(encoder(path)[2], True)
     out = _IDS.format(dealt.schema["doc_id"].dataType.simpleString())
 
     def run(key, table):
         pos, rows, doc_ids, encoded = 0, [], [], Encoded(path)
         for part in sliced(in_order(table).to_batches(), "text", 2 * BLOCK_BYTES):
-            tokens, size = tokens_of(part.column("text"), encoded, end)
-            learn, held = (part.column(c).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() for c in ("learn", "held_out"))
+            tokens, size, *words = tokens_of(part.column("text"), encoded, end)
+            learn, held = (part.column(c).to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("learn", "held_out"))
+            h, c = counted_words(*words, learn, opens)
             of = part.column("doc_id")
             of = pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of)
-            rows.append((key[0].as_py(), pos, learn, size.astype(np.int32).tobytes(), tokens.astype(np.uint16 if end < 1 << 16 else np.int32).tobytes(), held))
+            rows.append((key[0].as_py(), pos, learn.tobytes(), size.astype(np.int32).tobytes(), tokens.astype(np.uint16 if end < 1 << 16 else np.int32).tobytes(), held.tobytes(),
+                         h.tobytes(), c.astype(np.int32).tobytes()))
             doc_ids.append(of)
             pos += part.num_rows
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        columns = [*(pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)), pa.chunked_array(doc_ids)]
-        return pa.Table.from_arrays(columns, names=["block", "pos", "learn", "sizes", "tokens", "held", "doc_ids"])
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)]
+        columns.insert(6, pa.chunked_array(doc_ids))
+        return pa.Table.from_arrays(columns, names=["block", "pos", "learn", "sizes", "tokens", "held", "doc_ids", "h", "c"])
 
     return dealt.groupBy("block").applyInArrow(run, out)
 
 
-def _parts(batches, end: int, learning: bool = True):
+def _parts(batches, end: int, learning: bool = True):  # of the columns block, pos, learn, sizes, tokens
     """(block, pos, tokens, sizes) of each row of _IDS, of learning texts alone if so asked; else also which texts those are."""
     for batch in batches:
         for block, pos, learn, sizes, tokens in zip(*(batch.column(i).to_pylist() for i in range(5))):
@@ -247,7 +259,7 @@ def _whole(rows: list, sizes: list[int]) -> list[np.ndarray]:
 
 
 def train(ids: DataFrame, n_blocks: int, path: str = TOKENIZER):
-    """(parameters, Vocabulary) from the learning texts of a table of _IDS."""
+    """(parameters, broadcast of the Vocabulary) from the learning texts of a table of _IDS."""
     end = encoder(path)[1]
     ids = ids.select("block", "pos", "learn", "sizes", "tokens")
 
@@ -278,13 +290,13 @@ def train(ids: DataFrame, n_blocks: int, path: str = TOKENIZER):
 
     *pairs, classes = _whole(summed(ids.mapInArrow(paired, _SUMS), n_blocks), [wide] * PARTS + [AFTER * CLASSES])
     vocabulary = vocabulary.with_pairs(np.concatenate(pairs).reshape(AFTER, INPUTS), classes.reshape(AFTER, CLASSES))
-    p = initial(vocabulary)
+    p, known = initial(vocabulary), sc.broadcast(vocabulary)
     first = F.col("block") % 8 == 0
     for some, rate in ((first, RATES[0]), (~first, RATES[1])):
-        shared = sc.broadcast((p, vocabulary))
+        shared = sc.broadcast(p)
 
         def learned(batches, shared=shared, rate=rate):
-            start, v = shared.value
+            start, v = shared.value, known.value
             for block, _, tokens, sizes in _parts(batches, end):
                 x, y, _ = windows(tokens, sizes, end + 1)
                 q, n = train_locally(start, v, x, y, rate)
@@ -296,7 +308,7 @@ def train(ids: DataFrame, n_blocks: int, path: str = TOKENIZER):
         if n:
             sizes = [len(x) for x in np.split(_packed(p), range(PIECE, len(_packed(p)), PIECE))]
             p = _unpacked(np.concatenate(_whole(got, sizes)) / n, p)
-    return p, vocabulary
+    return p, known
 
 
 def score_texts(docs: DataFrame, path: str = TOKENIZER, fold: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,35 +333,33 @@ def score_texts(docs: DataFrame, path: str = TOKENIZER, fold: int = 10, id_col:
     dealt = rows.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("block", F.pmod(F.col("h"), F.lit(n_blocks)).cast("int"))
     dealt = dealt.repartition(n_blocks, "block")
     ids = cut_table(encoded_texts(dealt.select("block", "h", "doc_id", "held_out", "learn", "text"), path))
-    shared = spark.sparkContext.broadcast(train(ids, n_blocks, path))
+    p, vocabulary = train(ids, n_blocks, path)
+    shared = spark.sparkContext.broadcast(p)
     end, opens = encoder(path)[1], np.append(encoder(path)[2], True)
     n_buckets = -(-n_blocks // SPREAD)
 
     def asked(batches):
-        for block, pos, tokens, _, learn in _parts(batches, end, False):
-            h, n = word_hashes(tokens, opens)
-            back, h = pd.factorize(h)
-            c = np.bincount(back, np.repeat(learn, n), len(h)).astype(np.int64)
-            order, at = in_buckets(h, n_buckets)
-            h, c = h[order], c[order]
+        for block, pos, h, c in (row for batch in batches for row in zip(*(x.to_pylist() for x in batch.columns))):
+            h, c = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)
+            at = bucket_bounds(h, n_buckets)
             pick = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n_buckets, block, np.int32)), pa.array(np.full(n_buckets, pos)),
                                               pa.array(np.arange(n_buckets, dtype=np.int32)), pick(h), pick(c)], names=["block", "pos", "bucket", "h", "c"])
 
     def answered(key, table):
         """Each row's counts in all blocks, and the bucket's sums of counts and of known words."""
-        h, c = (np.concatenate([np.frombuffer(x, t) for x in table.column(n).to_pylist()]) for n, t in (("h", np.uint64), ("c", np.int64)))
+        h, c = (np.concatenate([np.frombuffer(x, t) for x in table.column(n).to_pylist()]) for n, t in (("h", np.uint64), ("c", np.int32)))
         back, distinct = pd.factorize(h)
         total = np.zeros(len(distinct), np.int64)
         np.add.at(total, back, c)
-        n, v, total = int(c.sum()), int((total > 0).sum()), total[back]
+        n, v, total = int(c.sum(dtype=np.int64)), int((total > 0).sum()), total[back]
         at = np.append(0, np.cumsum([len(x) // 8 for x in table.column("h").to_pylist()]))
         told = pa.array([total[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
         both = (pa.array(np.full(table.num_rows, x)) for x in (n, v))
         return pa.Table.from_arrays([table.column("block"), table.column("pos"), table.column("bucket"), told, *both],
                                     names=["block", "pos", "bucket", "c", "n", "v"])
 
-    asks = ids.select("block", "pos", "learn", "sizes", "tokens").mapInArrow(asked, "block int, pos long, bucket int, h binary, c binary")
+    asks = ids.select("block", "pos", "h", "c").mapInArrow(asked, "block int, pos long, bucket int, h binary, c binary")
     answers = asks.groupBy("bucket").applyInArrow(answered, "block int, pos long, bucket int, c binary, n long, v long")
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -362,11 +372,11 @@ def score_texts(docs: DataFrame, path: str = TOKENIZER, fold: int = 10, id_col:
         h, of_text = word_hashes(tokens, opens)
         back, h = pd.factorize(h)
         c = np.empty(len(h), np.int64)
-        c[in_buckets(h, n_buckets)[0]] = told
+        c[np.argsort(h)] = told
         first = np.cumsum(of_text) - of_text
         base = np.add.reduceat(np.log10(c + 0.1)[back], first) - of_text * np.log10(n + 0.1 * (v + 1))
         known = np.add.reduceat((c > 0).astype(np.int64)[back], first)
-        score = Scorer(*shared.value).texts(tokens, sizes) / np.log(10)
+        score = Scorer(shared.value, vocabulary.value).texts(tokens, sizes) / np.log(10)
         held = np.frombuffer(texts.column("held")[0].as_py(), np.uint8) > 0
         return pa.Table.from_arrays(
             [texts.column("doc_ids").combine_chunks().flatten(), pa.array(held), pa.array(of_text), pa.array(known),
@@ -374,4 +384,4 @@ def score_texts(docs: DataFrame, path: str = TOKENIZER, fold: int = 10, id_col:
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     keys = ["block", "pos"]
-    return ids.groupBy(*keys).cogroup(answers.groupBy(*keys)).applyInArrow(scored, out)
+    return ids.drop("h", "c").groupBy(*keys).cogroup(answers.groupBy(*keys)).applyInArrow(scored, out)
