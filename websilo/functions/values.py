@@ -5,7 +5,7 @@ Byte strings are searched as ISO-8859-1 text, in which a character is a byte.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The characters of a token (RFC 2616), as a class.
@@ -81,6 +81,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that filters stay above: pushed below them, they'd spell out again all that the columns are made of."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _instant(text: Column) -> Column:
     """The timestamp of a date in any layout, in whole seconds; null if it isn't one."""
     bare = F.regexp_replace(text, r"(?:\.[0-9]+)?Z\z", "")

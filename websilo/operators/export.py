@@ -32,7 +32,8 @@ def write_csv(records: DataFrame, path: str) -> None:
 def json_lines(records: DataFrame) -> DataFrame:
     """(file, record_index, record_id, line, error): payloads of records that declare JSON, one line each."""
     subtype = F.lower(F.col("identified_payload_type")["subtype"])
-    chosen = with_payload(records.where(F.col("error").isNull() & ((subtype == "json") | subtype.endswith("+json"))))
+    declared = F.col("error").isNull() & ((subtype == "json") | subtype.endswith("+json"))
+    chosen = with_payload(v.held(records, _declared=declared).where("_declared").drop("_declared"))
     text = F.col("payload").cast("string")
     line = F.regexp_replace(text, r"\r?\n\z", "")
     at = F.concat(F.lit("record "), F.col("record_index").cast("string"), F.lit(" ("), F.col("record_id"), F.lit("): "))

@@ -13,7 +13,7 @@ from ..operators.restate import to_raw
 from ..sources.warc import invalid_reason, read_warc, write_warc
 from ..storage import new_folder
 from . import synth
-from .synth import PER_FILE, as_raw, captured, captures, day, field_list, key, table, urn
+from .synth import PER_FILE, as_raw, captured, captures, day, field_list, key, spread, table, urn
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -397,7 +397,7 @@ def export_csv(spark, sf_dir):
 @query(f"""SELECT {sql_urn("'e' || event_id::VARCHAR")} AS record_id, CASE WHEN json_valid(props) THEN props END AS line FROM events WHERE event_id % 2 = 0""")
 def export_json(spark, sf_dir):
     """Lines of the JSON export: records that declare a JSON payload."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
     rows = build(e, "resource", record_id=urn(key("e", "event_id")), date=day("event_id"), target_uri=F.lit("http://example.org/e"),
                  identified_payload_type=F.when(F.col("event_id") % 2 == 0, "application/ld+json").otherwise("text/plain"), body=F.concat(F.col("props"), F.lit("\r\n")).cast("binary"))
     raw = loose(render(rows))

@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df in as many partitions as there are cores, by columns, where it has fewer: a table may be a single row group."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, *by)
+
+
 def urn(key: Column) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.regexp_replace(F.md5(key.cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
 
@@ -79,4 +85,4 @@ def captured(spark: SparkSession, sf_dir: str, bodies: bool = True, compression:
     return read_warc(spark, archive(spark, sf_dir, compression), bodies)
 
 
-__all__ = ["archive", "as_raw", "body_fields", "captured", "captures", "day", "field_list", "key", "settled", "table", "urn"]
+__all__ = ["archive", "as_raw", "body_fields", "captured", "captures", "day", "field_list", "key", "settled", "spread", "table", "urn"]
