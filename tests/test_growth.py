@@ -1,11 +1,16 @@
-"""Work that must not grow by more than its input: plans that spell expressions out again, tables of one partition."""
+"""Work that must not grow by more than its input: plans that spell expressions out again, tables of one partition, short ranges."""
 
+import io
+import random
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from websilo.operators import export, grammar, semantic
 from websilo.plans.synth import spread
+from websilo.sources import splits
+from websilo.sources.framing import gzip_member
+from websilo.sources.warc import found_files, read_warc, write_one, write_warc
 
 RAW = "file string, record_index long, version string, headers array<struct<name: string, value: binary>>, content_length decimal(20,0), body binary, error struct<level: string, code: string, field: string, message: string>"
 
@@ -37,3 +42,65 @@ def test_tables_of_one_row_group_are_spread(spark):
     assert one.groupBy(F.spark_partition_id()).count().count() == tasks
     many = spark.range(1000).repartition(tasks + 1)
     assert spread(many, "id") is many
+
+
+class Counting:
+    """A file that knows how many bytes were read."""
+
+    def __init__(self, data):
+        self.data, self.n = io.BytesIO(data), 0
+
+    def read(self, n):
+        out = self.data.read(n)
+        self.n += len(out)
+        return out
+
+    def seek(self, at):
+        self.data.seek(at)
+
+    def size(self):
+        return len(self.data.getbuffer())
+
+
+def member(i):
+    return gzip_member(b"WARC/1.1\r\nWARC-Record-ID: <urn:x:%d>\r\nContent-Length: 32\r\n\r\n" % i + random.Random(i).randbytes(32) + b"\r\n\r\n")
+
+
+def test_short_ranges_read_little():
+    data = b"".join(member(i) for i in range(20000))
+    low = data.index(member(9000)) - 10
+    for at, high in ((0, 16 << 10), (low, low + (16 << 10))):
+        file = Counting(data)
+        start = splits.seeming_start(file, at, high, True)
+        stop, n, _ = splits.follow(file, start, high, True)
+        assert start == (at and low + 10) and data[start:stop] == b"".join(member(i) for i in range(9000 if at else 0, (9000 if at else 0) + n))
+        assert file.n < 300_000 < len(data)
+    from websilo.sources.framing import Members, frame
+
+    assert [r.headers[0][1] for r in frame(Members(io.BytesIO(data)))] == [b" <urn:x:%d>" % i for i in range(20000)]
+
+
+def test_short_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(member(i) for i in range(400)))
+    path = str(tmp_path / "a.warc.gz")
+    assert splits.split_index(spark, path, 300).count() > 100
+    rows = splits.read_splits(spark, path, 300)
+    assert rows.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = ["record_index", "offset", "length", "headers", "body"]
+    assert sorted(rows.select(*key).collect()) == sorted(read_warc(spark, path).select(*key).collect())
+
+
+def test_one_file_of_parts(spark, tmp_path):
+    rows = [raw_row(i, {}, bytes(i)) for i in range(50)]
+    rows[30] = (*rows[30][:4], Decimal(7), b"1234567", None)  # its length isn't what its header says
+    df = spark.createDataFrame(rows, RAW).repartitionByRange(7, "record_index").sortWithinPartitions("record_index")
+    for compression in ("gzip", "none"):
+        one, plain = str(tmp_path / f"one-{compression}"), str(tmp_path / f"plain-{compression}")
+        written = write_one(df, one, compression)
+        again = write_one(df, one, compression)  # replaces the first
+        expected = write_warc(df.orderBy("record_index").coalesce(1), plain, compression)
+        columns = ["record_index", "offset", "length", "stored_digest", "error"]
+        key = lambda t: sorted((tuple(r) for r in t.select(*columns).collect()), key=str)
+        assert key(written) == key(again) == key(expected) and len(key(written)) == 50
+        (a,), (b,) = found_files(one), found_files(plain)
+        assert open(a[0], "rb").read() == open(b[0], "rb").read() and {r["file"] for r in written.select("file").collect()} == {a[0]}

@@ -10,7 +10,7 @@ from ..functions import values as v
 from ..operators import canonicalize, digests, export, grammar, graph, lint, merge, rewrite, semantic, validate
 from ..operators.render import build, exchange, render, revisit_original
 from ..operators.restate import to_raw
-from ..sources.warc import invalid_reason, read_warc, write_warc
+from ..sources.warc import invalid_reason, read_warc, write_one, write_warc
 from ..storage import new_folder
 from . import synth
 from .synth import PER_FILE, as_raw, captured, captures, day, field_list, key, spread, table, urn
@@ -760,8 +760,7 @@ _IN_ONE_FILE = f"""SELECT record_id, body, row_number() OVER (ORDER BY page_id /
 
 def in_one_file(spark, sf_dir, compression):
     path = new_folder(spark, "archive")
-    rows = captures(spark, sf_dir).orderBy("file_no", "place").coalesce(1)
-    return path, write_warc(rows, path, compression, level=1)
+    return path, write_one(captures(spark, sf_dir).orderBy("file_no", "place"), path, compression, level=1)
 
 
 @query(f"SELECT place AS record_index, record_id, sha256(body) AS block, true AS several FROM ({_IN_ONE_FILE})")
@@ -770,8 +769,8 @@ def split_records(spark, sf_dir):
     from ..sources import splits
 
     path, _ = in_one_file(spark, sf_dir, "gzip")
-    rows = splits.read_splits(spark, path, 16 << 10)
-    several = splits.split_index(spark, path, 16 << 10).count() > 1
+    index = synth.settled(splits.split_index(spark, path, 16 << 10))
+    rows, several = splits.read_ranges(index), index.count() > 1
     return rows.select("record_index", merge.normal_id(grammar.get("WARC-Record-ID")).alias("record_id"), F.sha2("body", 256).alias("block"), F.lit(several).alias("several"))
 
 

@@ -63,16 +63,17 @@ def seeming_start(file, low: int, high: int, packed: bool) -> int | None:
     at = max(low - before, 0)
     while at + before < high:
         file.seek(at)
-        data = file.read(_CHUNK + len(mark) - 1)
+        size = min(_CHUNK, high - at - before)
+        data = file.read(size + len(mark) - 1)
         hit = data.find(mark)
         while hit >= 0 and at + hit + before < high:
             place = at + hit + before
             if _opens(file, place, packed):
                 return place
             hit = data.find(mark, hit + 1)
-        if len(data) < _CHUNK + len(mark) - 1:
+        if len(data) < size + len(mark) - 1:
             return None
-        at += _CHUNK
+        at += size
     return None
 
 
@@ -116,6 +117,10 @@ def _ranges(spark: SparkSession, path: str, split_bytes: int, compression: str)
         "file", "found_by", "range", (F.col("range") * split_bytes).alias("low"), F.least((F.col("range") + 1) * split_bytes, F.col("size")).alias("high"), "packed")
 
 
+def _least(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _by_row(df: DataFrame, schema: str, make: Callable[[dict], Iterator[pa.RecordBatch]], tasks: int) -> DataFrame:
     """What ``make`` yields for each row of df, rows dealt out over tasks."""
     def run(batches):
@@ -150,7 +155,7 @@ def split_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES,
     a row for each ``split_bytes`` of it.
     """
     ranges = _ranges(spark, path, split_bytes, compression)
-    tasks = tasks or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = tasks or _least(spark)
     found = _by_row(ranges, _FOLLOWED, _follow_row, tasks)
     while True:
         known = settled(found.groupBy("file").applyInArrow(_chained, _CHAINED))
@@ -188,8 +193,15 @@ def read_splits(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES,
 
     Files are gone through twice: for where records start (``split_index``), and for the records.
     """
-    index = settled(split_index(spark, path, split_bytes, compression))
+    return read_ranges(settled(split_index(spark, path, split_bytes, compression)), bodies)
+
 
+def read_ranges(index: DataFrame, bodies: bool = True) -> DataFrame:
+    """The records of the ranges of a ``split_index``, which is best settled.
+
+    A range of SPLIT_BYTES is a task; shorter ones are put together up to that size, but for
+    as many tasks as there are cores.
+    """
     def read(row: dict):
         with open_file(row["file"], row["found_by"]) as file:
             def records():
@@ -200,7 +212,8 @@ def read_splits(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES,
 
             yield from batches_of(records(), row["file"], bodies, first=row["first_index"], base=row["first_plain"])
 
-    return _by_row(index, RAW if bodies else NO_BODY, read, max(1, index.count()))
+    n, size = index.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    return _by_row(index, RAW if bodies else NO_BODY, read, min(max(1, n), max(_least(index.sparkSession), -(-size // SPLIT_BYTES))))
 
 
 def read_places(places: DataFrame, keep: list[str] | None = None, tasks: int = 0) -> DataFrame:

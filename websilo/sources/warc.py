@@ -447,6 +447,49 @@ def write_warc(df: DataFrame, path: str, compression: str = "gzip", level: int =
     return spark.read.schema(WRITTEN).parquet(f"{path}/_written-{job}/*.parquet")
 
 
+def write_one(df: DataFrame, path: str, compression: str = "gzip", level: int = 6) -> DataFrame:
+    """``write_warc`` to one file: tasks write parts beside each other, and one then copies them behind each other, a piece at a time.
+
+    Records are packed and checked by the first tasks, in the order of df's partitions and rows.
+    """
+    spark, path, job = df.sparkSession, path.rstrip("/"), uuid.uuid4().hex[:12]
+    system, inner = _filesystem(path)
+    written = write_warc(df, f"{path}/_parts-{job}", compression, level)
+    parts = [f for f, _ in found_files(f"{path}/_parts-{job}")]
+    rows = dict(written.groupBy("file").count().collect())
+    name = f"{inner}/part-00000-000000.warc" + (".gz" if compression == "gzip" else "")
+
+    def copy(batches):
+        from pyspark import TaskContext
+
+        system = _filesystem(path)[0]
+        for batch in batches:
+            for names in batch.column(0).to_pylist():
+                made, sizes = f"{inner}/_parts-{job}/_one-{TaskContext.get().taskAttemptId()}", []
+                with system.open_output_stream(made, compression=None) as out:
+                    for part in names:
+                        sizes.append(0)
+                        with system.open_input_stream(part, compression=None) as data:
+                            while piece := data.read(8 << 20):
+                                out.write(piece)
+                                sizes[-1] += len(piece)
+                yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([sizes], pa.list_(pa.int64()))], names=["made", "sizes"])
+
+    made, sizes = spark.createDataFrame([(parts,)], "parts array<string>").coalesce(1).mapInArrow(copy, "made string, sizes array<long>").first()
+    for old in WarcWriter._parts(system, inner):
+        system.delete_file(f"{inner}/{old}")
+    system.move(made, name)
+    for part in parts:
+        system.delete_file(part)
+    before, n, size = [], 0, 0
+    for part, own in zip(parts, sizes):
+        before.append((part, n, size))
+        n, size = n + rows.get(part, 0), size + own
+    starts = spark.createDataFrame(before, "file string, _n long, _size long")
+    return written.join(F.broadcast(starts), "file").select(
+        F.lit(name).alias("file"), (F.col("record_index") + F.col("_n")).alias("record_index"), (F.col("offset") + F.col("_size")).alias("offset"), "length", "stored_digest", "error")
+
+
 def gzip_members(spark: SparkSession, path: str) -> DataFrame:
     """(file, member_index, n_records) of record-compressed files: each member must hold exactly one record."""
     files = found_files(path)
@@ -471,4 +514,4 @@ def gzip_members(spark: SparkSession, path: str) -> DataFrame:
     return names.mapInArrow(run, "file string, member_index long, n_records long")
 
 
-__all__ = ["HEADER", "RAW", "gzip_members", "list_files", "read_warc", "register", "to_bytes", "write_warc"]
+__all__ = ["HEADER", "RAW", "gzip_members", "list_files", "read_warc", "register", "to_bytes", "write_one", "write_warc"]
