@@ -1,12 +1,15 @@
 """Work that must not grow by more than its input: plans that spell expressions out again, tables of one partition, short ranges."""
 
+import base64
+import hashlib
 import io
 import random
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from websilo.operators import export, grammar, semantic
+from websilo.functions import values as v
+from websilo.operators import digests, export, grammar, semantic
 from websilo.plans.synth import spread
 from websilo.sources import splits
 from websilo.sources.framing import gzip_member
@@ -104,3 +107,23 @@ def test_one_file_of_parts(spark, tmp_path):
         assert key(written) == key(again) == key(expected) and len(key(written)) == 50
         (a,), (b,) = found_files(one), found_files(plain)
         assert open(a[0], "rb").read() == open(b[0], "rb").read() and {r["file"] for r in written.select("file").collect()} == {a[0]}
+
+
+def test_added_digests_hash_a_block_once(spark):
+    raw = spark.createDataFrame([raw_row(i, {}, b"x" * i) for i in range(3)], RAW).localCheckpoint()
+    out = digests.add_sha1_digests(semantic.to_semantic_header(grammar.to_untyped(raw))).select("record_index", "block_digest")
+    assert optimized(out).count("sha1(") == 1
+    got = {r["record_index"]: tuple(r["block_digest"]) for r in out.collect()}
+    assert got == {i: ("sha1", "sha1", base64.b32encode(hashlib.sha1(b"x" * i).digest()).decode()) for i in range(3)}
+
+
+def test_base32_reads_its_bytes_once(spark):
+    r = random.Random(3)
+    rows = [(None,), (b"",), *[(r.randbytes(n),) for n in range(1, 45)], (b"\0" * 20,), (b"\xff" * 20,)]
+    df = spark.createDataFrame(rows, "b binary").localCheckpoint().select("b", v.base32(F.col("b")).alias("t"))
+    assert optimized(df.select("t")).count("b#") <= 3  # the relation, its use and perhaps an alias
+    df = df.localCheckpoint()
+    back = df.select("b", "t", v._unbase32(F.col("t")).alias("back"), v._unbase32(F.lower(F.rtrim("t", F.lit("=")))).alias("low"))
+    for row in back.collect():
+        assert row["t"] == (None if row["b"] is None else base64.b32encode(row["b"]).decode())
+        assert row["b"] == row["back"] == row["low"]

@@ -189,23 +189,32 @@ def digest_error(text: Column) -> Column:
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
+#: Digits of conv to base 32, five bytes of which are eight digits.
+_DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+
+
+def _by_groups(text: Column, size: int, one) -> Column:
+    """one() of each ``size`` characters of text, joined; text is computed once."""
+    return let(text, lambda t: F.array_join(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.length(t) / size).cast("int") - 1, F.lit(0))), lambda i: one(F.substring(t, i * size + 1, F.lit(size)))), ""))
+
+
 def base32(b: Column) -> Column:
     """Upper-case Base32 of bytes, padded to eight characters."""
-    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.length(b)), lambda i: F.lpad(
-        F.conv(F.hex(F.substring(b, i, F.lit(1))), 16, 2), 8, "0")), "")
-    n = F.ceil(F.length(b) * 8 / 5).cast("int")
-    digit = lambda i: F.substring(F.lit(_BASE32), F.conv(F.substring(F.rpad(bits, n * 5, "0"), (i - 1) * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
-    text = F.array_join(F.transform(F.sequence(F.lit(1), n), digit), "")
-    return F.when(F.length(b) == 0, "").otherwise(F.rpad(text, (F.ceil(n / 8) * 8).cast("int"), "="))
+    def shown(h: Column) -> Column:
+        n = F.ceil(F.length(h) * 4 / 5).cast("int")
+        text = _by_groups(h, 10, lambda g: F.translate(F.lpad(F.conv(F.rpad(g, 10, "0"), 16, 32), 8, "0"), _DIGITS32, _BASE32))
+        return F.when(h == "", "").otherwise(F.rpad(F.substring(text, F.lit(1), n), (F.ceil(n / 8) * 8).cast("int"), "="))
+
+    return let(F.hex(b), shown)
 
 
 def _unbase32(text: Column) -> Column:
-    t = F.upper(F.rtrim(text, F.lit("=")))
-    five = lambda i: F.lpad(F.conv((F.instr(F.lit(_BASE32), F.substring(t, i, F.lit(1))) - 1).cast("string"), 10, 2), 5, "0")
-    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.length(t)), five), "")
-    n = F.floor(F.length(t) * 5 / 8).cast("int")
-    byte = lambda i: F.lpad(F.conv(F.substring(bits, (i - 1) * 8 + 1, F.lit(8)), 2, 16), 2, "0")
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), n), byte), ""))
+    def read(t: Column) -> Column:
+        n = F.floor(F.length(t) * 5 / 8).cast("int")
+        return F.substring(_by_groups(t, 8, lambda g: F.lpad(F.conv(F.translate(F.rpad(g, 8, "A"), _BASE32, _DIGITS32), 32, 16), 10, "0")), F.lit(1), n * 2)
+
+    return F.unhex(let(F.upper(F.rtrim(text, F.lit("="))), read))
 
 
 def decoded(d: Column) -> Column:

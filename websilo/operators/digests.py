@@ -64,7 +64,7 @@ def sha256_digest(content: Column) -> Column:
 def add_sha1_digests(records: DataFrame) -> DataFrame:
     """records with sha1 block digests, and payload digests of requests and responses, where there were none."""
     out = with_payload(records)
-    add = lambda old, content, when: F.when(F.col(old).isNull() & when, v.digest(sha1_digest(content))).otherwise(F.col(old))
+    add = lambda old, content, when: F.when(F.col(old).isNull() & when, v.let(sha1_digest(content), v.digest)).otherwise(F.col(old))
     return out.withColumns({
         "block_digest": add("block_digest", F.col("body"), F.lit(True)),
         "payload_digest": add("payload_digest", F.col("payload"), F.col("record_type").isin("request", "response") & F.col("payload").isNotNull()),

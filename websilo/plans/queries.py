@@ -618,7 +618,7 @@ def typed_fields(spark, sf_dir):
 def extension_records(spark, sf_dir):
     """Records of a type, reasons and fields that an extension defines, and SHA-1 digests added."""
     ext = semantic.Extension(record_types=("snapshot",), truncations=("paused",), fields={"snapshot": ("X-Pass",)})
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     reason = F.element_at(F.array(F.lit("length"), F.lit("Paused"), F.lit("Other")), (F.col("page_id") % 3 + 1).cast("int"))
     line = lambda n, t: F.struct(F.lit(n).alias("name"), F.concat(F.lit(" "), t).cast("binary").alias("value"))
     body = F.col("html").cast("binary")
